@@ -28,9 +28,12 @@ def _same(a: DataFrame, b: DataFrame, cols: list[str]):
 
 
 def _sorted_names(scratch: Scratch, rows: DataFrame, cols: list[str], label: str) -> DataFrame:
-    """An integer for each distinct value of cols, ascending in their order; written, so that it stays."""
-    distinct = rows.select(*cols).distinct()
-    ordered = distinct.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    """An integer for each distinct value of cols, ascending in each partition; written, so that it stays.
+
+    The partitions are those that found the distinct values: a range partitioning would send samples of
+    whole blocks to the driver.
+    """
+    ordered = rows.select(*cols).distinct().sortWithinPartitions(*cols)
     return scratch.keep(ordered.withColumn("name", F.monotonically_increasing_id()), label)
 
 
