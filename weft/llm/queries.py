@@ -7,6 +7,7 @@ import importlib
 #: Query name to module; each module has query(spark, sf_dir) and, where SQL can say it, SQL.
 MODULES = {
     "op2_warc_archive": "warc_store",
+    "op3_nearest_vectors": "cross_polytope",
     "op4_mix_sources": "pareto_mix",
     "op5_pack_sequences": "slack_packing",
     "op6_token_shards": "repair_store",
