@@ -26,8 +26,9 @@ from weft.llm.storage import Scratch
 from weft.llm.tokens import SpacedEncoder, encoder, portions
 
 SHARD_IDS = 1_000_000
-ROUNDS = 6
 LEAST_COUNT = 24
+#: Rounds go on while one shortens the shard by this part at least.
+LEAST_GAIN = 0.005
 MOST_RULES = 15_000
 
 SHARDS = pa.schema([
@@ -38,7 +39,7 @@ SHARDS = pa.schema([
 SHARDS_SQL = "part int, seq int, width int, first_symbol bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, body_start array<bigint>, rules binary, round_ends array<int>, lengths binary, body binary"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rounds: int = ROUNDS, least: int = LEAST_COUNT, most_rules: int = MOST_RULES):
+def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, least: int = LEAST_COUNT, most_rules: int = MOST_RULES):
     """Grammar of ids, whose documents end before the positions ``ends``: rules, round_ends, body, body_start."""
     seq = ids.astype(np.uint32)
     closes = np.zeros(len(seq), bool)
@@ -46,7 +47,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rounds: int =
     rules: list[np.ndarray] = []
     round_ends: list[int] = []
     known = 0
-    for _ in range(rounds):
+    gain = 1.0
+    while gain >= LEAST_GAIN:
         room = most_rules - known
         if room <= 0 or len(seq) < 2:
             break
@@ -80,6 +82,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rounds: int =
         closes[may] = closes[may + 1]
         stay = np.ones(len(seq), bool)
         stay[may + 1] = False
+        gain = len(may) / len(seq)
         seq, closes = seq[stay], closes[stay]
         rules.append(np.stack([left, right], 1))
         known += len(left)

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
-KEPT_WORDS = 600_000
+KEPT_WORDS, FIRST_WORDS = 1_200_000, 500_000
 LONGEST_KEPT = 48
 #: White space as the tokenizers' own patterns mean it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -29,27 +31,43 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes | None] = {}
+        self.long: list[str] = []
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, words: Iterable[str]) -> None:
         """Have self.kept hold every one of words."""
-        every = set(words)
-        new = every.difference(self.kept)
+        kept, every = self.kept, set(words)
+        new = every.difference(kept)
         if not new:
             return
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = every
-        parts = {w: self._parts(w) for w in new}
-        need = list({p for ps in parts.values() if ps for p in ps}.difference(self.kept))
-        got = dict(zip(need, self._raw([self._text(p) for p in need])))
-        known = lambda p: got[p] if p in got else self.kept[p]
-        self.kept.update({w: None if ps is None else b"".join(map(known, ps)) for w, ps in parts.items()})
-        self.kept.update({p: v for p, v in got.items() if len(p) <= LONGEST_KEPT})
+        if len(kept) + len(new) > KEPT_WORDS:
+            # what came first is what comes often; the others make room
+            self.kept = kept = dict(islice(kept.items(), FIRST_WORDS))
+            new = every.difference(kept)
+        whole, joined = [], []
+        for w in new:
+            parts = self._parts(w)
+            if parts is None:
+                kept[w] = None
+            elif len(parts) == 1:
+                whole.append((w, parts[0]))
+            else:
+                joined.append((w, *parts))
+        need = {part for _, part in whole}.union({c for _, c, _ in joined}, {m for _, _, m in joined}).difference(kept)
+        need = list(need)
+        kept.update(zip(need, self._raw([self._text(p) for p in need])))
+        kept.update([(w, kept[part]) for w, part in whole if w is not part])
+        kept.update([(w, kept[c] + kept[m]) for w, c, m in joined])
+        if any(len(w) > LONGEST_KEPT for w in new):
+            self.long += [w for w in new if len(w) > LONGEST_KEPT]
+
+    def _forget(self) -> None:
+        """Drop words too long to keep, once their texts are done."""
+        for w in self.long:
+            self.kept.pop(w, None)
+        self.long = []
 
     def _text(self, part: str) -> str:
         return part
@@ -65,13 +83,15 @@ class WordEncoder(_Encoder):
             if low[-1] in PUNCTUATION and low[:-1].isalpha():
                 return (low[:-1], low[-1])
             return (low,) if low.isalpha() else (word,)
-        return (word,) if word else ()
+        return (word,)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         self._learn(w for s in split for w in s)
         get = self.kept.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        out = [b"".join(map(get, s)) for s in split]
+        self._forget()
+        return out
 
 
 class SpacedEncoder(_Encoder):
@@ -117,6 +137,7 @@ class SpacedEncoder(_Encoder):
                 out.append(self._raw([odd[k]])[0] if k in odd else b"".join(map(get, s)))
             except TypeError:
                 out.append(self._runs(texts[k]))
+        self._forget()
         return out
 
     def _runs(self, text: str) -> bytes:
