@@ -12,6 +12,7 @@ MODULES = {
     "op5_pack_sequences": "slack_packing",
     "op6_token_shards": "repair_store",
     "op8_exact_dedup": "block_naming",
+    "op9_main_text": "html_blocks",
 }
 
 
