@@ -13,6 +13,7 @@ MODULES = {
     "op6_token_shards": "repair_store",
     "op8_exact_dedup": "block_naming",
     "op9_main_text": "html_blocks",
+    "op10_class_lm": "brown_lm",
 }
 
 
