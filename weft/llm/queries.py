@@ -11,6 +11,7 @@ MODULES = {
     "op4_mix_sources": "pareto_mix",
     "op5_pack_sequences": "slack_packing",
     "op6_token_shards": "repair_store",
+    "op7_toxicity": "nearest_toxic",
     "op8_exact_dedup": "block_naming",
     "op9_main_text": "html_blocks",
     "op10_class_lm": "brown_lm",

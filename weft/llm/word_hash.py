@@ -19,6 +19,8 @@ _VALUES[65:91] = _VALUES[97:123]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: For words without the punctuation around them: every ASCII byte but letters and digits.
+NOT_LETTERS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: pa.Array, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts (null: empty), one text after another, and how many each text has."""
     texts = texts.cast(pa.large_binary())
     n = len(texts)
@@ -38,12 +40,12 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if texts.null_count:
         lengths = np.where(texts.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
         if int(lengths.sum()) != int(offsets[-1] - offsets[0]):
-            return words(texts.fill_null(b""))
+            return words(texts.fill_null(b""), space)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     starts = offsets[:-1] - offsets[0]
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begins = starts[starts < len(data)]
