@@ -6,6 +6,7 @@ import importlib
 
 #: Query name to module; each module has query(spark, sf_dir) and, where SQL can say it, SQL.
 MODULES = {
+    "op1_jaccard_join": "jaccard_rtree",
     "op2_warc_archive": "warc_store",
     "op3_nearest_vectors": "cross_polytope",
     "op4_mix_sources": "pareto_mix",
