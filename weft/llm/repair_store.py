@@ -30,6 +30,7 @@ LEAST_COUNT = 24
 #: Rounds go on while one shortens the shard by this part at least.
 LEAST_GAIN = 0.005
 MOST_RULES = 15_000
+SLOT_BITS = 20
 
 SHARDS = pa.schema([
     ("part", pa.int32()), ("seq", pa.int32()), ("width", pa.int32()), ("first_symbol", pa.int64()), ("n_ids", pa.int64()),
@@ -39,6 +40,12 @@ SHARDS = pa.schema([
 SHARDS_SQL = "part int, seq int, width int, first_symbol bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, body_start array<bigint>, rules binary, round_ends array<int>, lengths binary, body binary"
 
 
+def _slot(codes: np.ndarray) -> np.ndarray:
+    if codes.dtype == np.uint32:
+        return (codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, least: int = LEAST_COUNT, most_rules: int = MOST_RULES):
     """Grammar of ids, whose documents end before the positions ``ends``: rules, round_ends, body, body_start."""
     seq = ids.astype(np.uint32)
@@ -65,14 +72,16 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, least: int =
         # the most frequent first, so that the room goes to them; ties by the pair's own order
         good = np.sort(good[np.argsort(-counts[good], kind="stable")[: max(1, min(room, most_rules // 4))]])
         chosen = found[starts[good]]
+        # a slot for each chosen pair; where two share one, the other waits for the next round
+        slots = np.full(1 << SLOT_BITS, -1, np.int16 if most_rules < 1 << 15 else np.int32)
+        slots[_slot(chosen)] = np.arange(len(chosen))
+        chosen = chosen[slots[_slot(chosen)] == np.arange(len(chosen))]
+        slots[_slot(chosen)] = np.arange(len(chosen))
         shift = np.uint64(32) if wide else np.uint32(16)
         left, right = (chosen >> shift).astype(np.uint32), (chosen & chosen.dtype.type((1 << int(shift)) - 1)).astype(np.uint32)
-        as_left, as_right = np.zeros(int(seq.max()) + 1, bool), np.zeros(int(seq.max()) + 1, bool)
-        as_left[left], as_right[right] = True, True
-        may = np.flatnonzero(as_left[seq[:-1]] & as_right[seq[1:]] & ~closes[:-1])
-        at = np.minimum(np.searchsorted(chosen, codes[may]), len(chosen) - 1)
-        hit = chosen[at] == codes[may]
-        may, at = may[hit], at[hit]
+        at = slots[_slot(codes)]
+        may = np.flatnonzero((at >= 0) & (chosen[at] == codes) & ~closes[:-1])
+        at = at[may].astype(np.int64)
         # of hits that overlap one another, every second one from the left
         runs = np.r_[True, np.diff(may) != 1]
         begin = np.maximum.accumulate(np.where(runs, np.arange(len(may)), 0))
