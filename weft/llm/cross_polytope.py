@@ -1,8 +1,8 @@
 """Nearest neighbours by cosine through cross-polytope hashing.
 
 A hash function turns a unit vector by a pseudo-rotation (three rounds of random signs and a fast Hadamard
-transform) and takes the nearest signed axis. A table joins the axes of several functions to a bucket; as
-many functions as the number of vectors asks for. A query probes the buckets that are nearest to it in
+transform) and takes the nearest signed axis. A table joins the axes of several functions to a bucket; it
+has as many buckets as the number of vectors asks for. A query probes the buckets that are nearest to it in
 each of TABLES tables, and what they hold is ranked by the exact cosine.
 
 Equal vectors are one class, searched once: its first members stand for it, as no more can be in a result.
@@ -21,16 +21,23 @@ from pyspark.sql import functions as F
 from weft.llm.storage import Scratch
 
 TABLES = 32
-PROBES = 64
+PROBES = 40
 NEIGHBOURS = 5
 EVERY = 50
 SEED = 20
 BLOCK = 5000
 
 
-def functions_for(n: int) -> int:
-    """Hash functions in a table: one for a few thousand vectors, one more for each further factor of 128."""
-    return 1 + sum(n >= 4096 * 128**k for k in range(3))
+def axes_for(n: int, dims: int) -> list[int]:
+    """Axes that each function of a table looks at, so that a table has about n / 4 buckets, and a bucket a few vectors.
+
+    Functions look at all axes, but the last one at as many as are needed, a power of two.
+    """
+    left, out = 1 << max(1, (max(1, n) // 4 - 1).bit_length()), []
+    while left > 1:
+        out.append(min(dims, max(1, left // 2)))
+        left //= 2 * out[-1]
+    return out
 
 
 def rotate(x: np.ndarray, table: int, function: int) -> np.ndarray:
@@ -59,27 +66,28 @@ def _scaled(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return x, np.sqrt(square)
 
 
-def buckets(vectors: list, functions: int, probes: int) -> np.ndarray:
-    """For each vector and table the ``probes`` nearest buckets, nearest first."""
+def buckets(vectors: list, n: int, probes: int) -> np.ndarray:
+    """For each vector and table the ``probes`` nearest buckets of tables for n vectors, nearest first."""
     x, norms = _scaled(vectors)
     dims = 1 << max(0, (x.shape[1] - 1).bit_length())
     x = np.pad(x / norms[:, None], ((0, 0), (0, dims - x.shape[1])))
-    axes, out, rows = 2 * dims, [], np.arange(len(x))[:, None]
+    out, rows = [], np.arange(len(x))[:, None]
     for table in range(TABLES):
         codes, sums = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
-        for f in range(functions):
-            turned = rotate(x, table, f)
+        for f, most in enumerate(axes_for(n, dims)):
+            axes = 2 * most
+            turned = rotate(x, table, f)[:, :most]
             near = np.concatenate([turned, -turned], 1)
             best = np.argsort(-near, 1, kind="stable")[:, : min(probes, axes)] if probes > 1 else near.argmax(1)[:, None]
             total = (sums[:, :, None] + near[rows, best][:, None, :]).reshape(len(x), -1)
             every = (codes[:, :, None] * axes + best[:, None, :]).reshape(len(x), -1)
             keep = np.argsort(-total, 1, kind="stable")[:, :probes]
             codes, sums = every[rows, keep], total[rows, keep]
-        out.append(codes + ((np.int64(x.shape[1]) * TABLES + table) << np.int64(8 * 5)))
+        out.append(codes + (np.int64(x.shape[1] % 1024 * TABLES + table) << np.int64(48)))
     return np.concatenate(out, 1)
 
 
-def _hashed(df: DataFrame, key: str, functions: int, probes: int) -> DataFrame:
+def _hashed(df: DataFrame, key: str, n: int, probes: int) -> DataFrame:
     """(key, code) of the buckets of df's embeddings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +98,7 @@ def _hashed(df: DataFrame, key: str, functions: int, probes: int) -> DataFrame:
                 vectors, ids = some.column("embedding").to_pylist(), some.column(key).to_pylist()
                 for size in sorted({len(v) for v in vectors}):
                     mine = [k for k, v in enumerate(vectors) if len(v) == size]
-                    codes = buckets([vectors[k] for k in mine], functions, probes)
+                    codes = buckets([vectors[k] for k in mine], n, probes)
                     yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in mine], pa.int64()), pa.array(list(codes), pa.list_(pa.int64()))], [key, "codes"])
 
     return df.select(key, "embedding").mapInArrow(run, f"{key} bigint, codes array<bigint>").select(key, F.explode("codes").alias("code"))
@@ -151,9 +159,9 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, neighbou
     distinct = scratch.keep(named.groupBy("query").agg(F.first("embedding").alias("embedding")), "distinct")
 
     n = classes.count()
-    functions, blocks = functions_for(n), max(1, n // BLOCK)
-    entries = _hashed(classes, "class_id", functions, 1)
-    probes = _hashed(distinct, "query", functions, PROBES)
+    blocks = max(1, n // BLOCK)
+    entries = _hashed(classes, "class_id", n, 1)
+    probes = _hashed(distinct, "query", n, PROBES)
     block = F.pmod(F.xxhash64("class_id"), F.lit(blocks))
     met = entries.join(probes, "code").groupBy("query", block.alias("block")).agg(F.collect_set("class_id").alias("candidates"))
     met = met.join(distinct, "query").select("block", "query", "embedding", "candidates")
