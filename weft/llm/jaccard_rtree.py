@@ -2,8 +2,8 @@
 
 A document's distinct shingles are hashed into GROUPS groups; how many fall into each is its point. The
 summed minima of two points bound the shingles that two documents share, and the summed minima of a point
-and the maxima of a tree's node bound those it shares with all below. What passes the bound is verified on
-the shingles themselves.
+and the maxima of a tree's node bound those it shares with all below. What passes the bound meets a finer
+one, of more groups where there are more shingles, and is then verified on the shingles themselves.
 
 Trees hold what can meet. Under an order of all shingles, two linked documents have one in common among the
 first n - ceil(0.8 n) + 1 of each; so a document goes under the keys of those first shingles, and a tree is
@@ -32,7 +32,7 @@ WORDS = 5
 GROUPS = 128
 #: Two documents link when DEN * shared >= NUM * united.
 NUM, DEN = 80, 100
-OFTEN = 200
+OFTEN = 40
 LIMIT = 4096
 LATE_BITS, BLOOM_BITS = 22, 24
 LEAF = 16
@@ -69,10 +69,22 @@ def _names(sets: list[np.ndarray]) -> np.ndarray:
         return np.array([(mix(s * _ODD[1]).sum(dtype=np.uint64) + np.uint64(len(s)) * _ODD[0], mix(s ^ _ODD[2]).sum(dtype=np.uint64)) if len(s) else (0, 0) for s in sets], np.uint64).reshape(-1, 2)
 
 
-def points(sets: list[np.ndarray]) -> np.ndarray:
-    if not sets:
-        return np.zeros((0, GROUPS), np.uint32)
-    return np.stack([np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets]).astype(np.uint32)
+def groups_for(n: int) -> int:
+    """Groups of the fine point of a set of n shingles: a few shingles fall into each, whatever n."""
+    groups = GROUPS
+    while n > 6 * groups:
+        groups *= 2
+    return groups
+
+
+def fine_point(own: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles in its groups. A sum of halves, quarters and so on gives the point of fewer groups."""
+    groups = groups_for(len(own))
+    return np.bincount((own >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups).astype(np.uint16)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    return point.reshape(-1, groups).sum(0, dtype=np.uint16)
 
 
 def prefix(own: np.ndarray, late: np.ndarray) -> np.ndarray:
@@ -136,10 +148,10 @@ def _documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"))
-            names = _names(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array([p.tobytes() for p in points(sets)], pa.binary())], ["doc_id", "n", "name", "check", "point"])
+            names, fine = _names(sets).view(np.int64), [fine_point(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array([folded(p, GROUPS).tobytes() for p in fine], pa.binary()), pa.array([p.tobytes() for p in fine], pa.binary())], ["doc_id", "n", "name", "check", "point", "fine"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, name bigint, check bigint, point binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, name bigint, check bigint, point binary, fine binary")
 
 
 def _rows(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,14 +238,17 @@ def _bits(df: DataFrame, index, bits: int) -> np.ndarray:
 
 def _linked(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets link: first those that their points allow, then by their shingles."""
-    side = lambda s: classes.select(F.col("name").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}"))
+    side = lambda s: classes.select(F.col("name").alias(s), F.col("n").alias(f"n{s}"), F.col("fine").alias(f"p{s}"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS) for c in ("pa", "pb"))
-                na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-                good = may_link(np.minimum(a, b).sum(1, dtype=np.int64), na, nb)
+                shared = []
+                for a, b in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist()):
+                    a, b = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
+                    groups = min(len(a), len(b))
+                    shared.append(int(np.minimum(folded(a, groups), folded(b, groups)).sum(dtype=np.int64)))
+                good = may_link(np.array(shared), batch.column("na").to_numpy(), batch.column("nb").to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b", "na", "nb")], ["a", "b", "na", "nb"])
 
     near = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
@@ -269,7 +284,7 @@ def link(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     own = scratch.keep(_documents(texts), "documents")
-    classes = own.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+    classes = own.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("fine").alias("fine"), F.min("check").alias("c1"), F.max("check").alias("c2"))
     classes = scratch.keep(classes, "classes")
     if not classes.filter("c1 <> c2").isEmpty():
         raise ValueError("two sets of shingles share a 64-bit name")
@@ -305,7 +320,7 @@ def link(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
         def trees(t: pa.Table) -> pa.RecordBatch:
             key, deal, label, name, n = (t.column(c).to_numpy() for c in ("key", "deal", "label", "name", "n"))
-            counts = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS)
+            counts = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
             cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (deal[1:] != deal[:-1]), True])
             found = [tree_pairs(label[a:b], name[a:b], n[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
             found = np.unique(np.concatenate(found), axis=0)
