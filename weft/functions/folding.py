@@ -7,9 +7,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def fold(text: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else t.casefold() for t in text])
+def fold(text: Column | str) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else t.casefold() for t in texts])
+
+    # made where it is used: a worker that imports this module has no session
+    return F.pandas_udf(run, "string")(text)
 
 
 def folded_map(text: str) -> tuple[str, list[int]]:

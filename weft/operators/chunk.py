@@ -40,18 +40,20 @@ def by_lines(docs: DataFrame, n: int, newlines: str = LF) -> DataFrame:
     return lines(docs, newlines).withColumn("chunk", F.floor((F.col("line_no") - 1) / n))
 
 
-@F.pandas_udf("array<long>")
-def _greedy(sizes: pd.Series, budget: pd.Series) -> pd.Series:
-    out = []
-    for own, most in zip(sizes, budget):
-        chunk, used, places = -1, 0, []
-        for k, s in enumerate(own):
-            if k == 0 or used + s > most:
-                chunk, used = chunk + 1, 0
-            used += s
-            places.append(chunk)
-        out.append(places)
-    return pd.Series(out)
+def _greedy(sizes: Column, budget: int) -> Column:
+    def run(all_sizes: pd.Series) -> pd.Series:
+        out = []
+        for own in all_sizes:
+            chunk, used, places = -1, 0, []
+            for k, s in enumerate(own):
+                if k == 0 or used + s > budget:
+                    chunk, used = chunk + 1, 0
+                used += s
+                places.append(chunk)
+            out.append(places)
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<long>")(sizes)
 
 
 def by_bytes(docs: DataFrame, budget: int, header_bytes: int = 0, newlines: str = LF) -> DataFrame:
@@ -65,7 +67,7 @@ def by_bytes(docs: DataFrame, budget: int, header_bytes: int = 0, newlines: str
 
     rows = docs.select("doc", line_structs("text", newlines).alias("parts"))
     sizes = F.transform("parts", lambda s: (F.octet_length(s["as_cut"]) + F.octet_length(s["terminator"])).cast("long"))
-    rows = rows.withColumn("places", _greedy(sizes, F.lit(budget - header_bytes)))
+    rows = rows.withColumn("places", _greedy(sizes, budget - header_bytes))
     rows = rows.select("doc", F.posexplode(F.arrays_zip("parts", "places")).alias("at", "z"))
     return rows.select("doc", (F.col("at") + 1).cast("long").alias("line_no"), "z.parts.as_cut", F.regexp_replace("z.parts.as_cut", r"\r\z", "").alias("body"), "z.parts.terminator", F.col("z.places").alias("chunk"))
 

@@ -1,9 +1,258 @@
-"""Every registered query of the text operators, with its SQL."""
+"""Every registered query of the text operators over the driver's tables, with its SQL where SQL can say it.
+
+A query works on the whole documents table (or the one named), as ``doc`` and ``text``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.functions.folding import fold
+from weft.functions.lines import lines, whole
+from weft.functions.names import content_name
+from weft.operators import checksum, chunk, cols, count, distinct, find, fuzzy, outline, replace, rows, segment
+from weft.operators.find import Search
+from weft.plans import render
+from weft.sources import containers
+
+WORD, OTHER, NEEDLE = "ent", "tion", "schein"
+DUCK_WORD = r"[^ \t\n\x0B\f\r]+"
+
+
+def docs(spark: SparkSession, d: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).alias("doc"), F.col(text).alias("text"))
+
+
+def _pages(spark, d):
+    return docs(spark, d, "pages", "page_id", "html")
+
+
+def _events(spark, d):
+    return docs(spark, d, "events", "event_id", "props")
+
+
+#: Lines of a table as SQL: doc, line_no, line.
+def _lines(source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    return f"""
+L AS (SELECT doc, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line
+      FROM (SELECT doc, CASE WHEN p[-1] = '' THEN p[1:len(p) - 1] ELSE p END AS p
+            FROM (SELECT {key} AS doc, string_split({text}, chr(10)) AS p FROM {source})))"""
+
+
+OFFSETS = """
+O AS (SELECT *, (coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS byte_offset FROM L)"""
+#: A content name of an expression's hex SHA-256 in SQL.
+DIGITS = "0123456789abcdefghjkmnpqrstvwxyz"
+
+
+def _name_sql(content: str, width: int = 13) -> str:
+    """The first 64 bits, five at a time, then four with a zero."""
+    h = f"sha256({content})"
+    value = f"('0x' || substr({h}, 1, 15))::BIGINT"
+    chars = [f"substr('{DIGITS}', 1 + (({value} >> {5 * (11 - k)}) & 31)::INT, 1)" for k in range(12)]
+    last = f"substr('{DIGITS}', 1 + 2 * ('0x' || substr({h}, 16, 1))::INT, 1)"
+    return f"substr({' || '.join([*chars, last])}, 1, {width})"
+
+
+def _duck_fold(x: str) -> str:
+    return f"replace(lower({x}), 'ß', 'ss')"
+
+
+def _q(*args, **kw) -> Search:
+    return Search(*args, **kw)
+
+
+def _fold_first(df: DataFrame) -> DataFrame:
+    return df.select("doc", "line_no", "line")
+
+
+def _two_edits(spark, d):
+    source = docs(spark, d)
+    return replace.chained(source, [(WORD, "<<1>>"), ("<<1>>", "[ent]")])
+
+
+def _claims(spark, d):
+    """A manifest whose every third line is wrong and every fifth names no document."""
+    good = checksum.digests(docs(spark, d))
+    odd = F.col("path").cast("long")
+    digest = F.when(odd % 3 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("digest"))
+    path = F.when(odd % 5 == 0, F.concat(F.lit("gone-"), "path")).otherwise(F.col("path"))
+    return checksum.manifest(good.select(path.alias("path"), digest.alias("digest"))).select("line")
+
+
+def _notebooks(spark, d):
+    """Conversations as notebooks: a cell for each turn."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    cell = F.struct("turn", F.lit("code").alias("cell_type"), F.col("text").alias("source"))
+    made = c.groupBy(F.col("conv_id").alias("doc")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(cell)), lambda s: F.struct(s["cell_type"].alias("cell_type"), s["source"].alias("source"))).alias("cells"))).alias("text"))
+    return containers.notebook_cells(made).select("doc", F.col("cell").cast("long").alias("cell"), "text")
+
+
+L = _lines()
+HITS = f"WITH {L} SELECT doc, line_no, line FROM L WHERE contains(line, '{WORD}')"
+CONTEXT = f"""
+WITH {L},
+near AS (SELECT *, contains(line, '{NEEDLE}') AS is_match,
+                bool_or(contains(line, '{NEEDLE}')) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM L),
+gaps AS (SELECT *, CASE WHEN line_no - coalesce(lag(line_no) OVER (PARTITION BY doc ORDER BY line_no), -1) > 1 THEN 1 ELSE 0 END AS gap FROM near WHERE near)
+SELECT doc, line_no, is_match, (sum(gap) OVER (PARTITION BY doc ORDER BY line_no))::BIGINT AS group_id, line FROM gaps"""
+MATCHES = f"""
+WITH {L}, parts AS (SELECT doc, line_no, string_split(line, '{WORD}') AS p FROM L WHERE contains(line, '{WORD}')),
+cut AS (SELECT doc, line_no, p, unnest(range(1, len(p))) AS k FROM parts)
+SELECT doc, line_no, (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + (k - 1) * {len(WORD)})::BIGINT AS start,
+       (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + k * {len(WORD)})::BIGINT AS "end",
+       (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + (k - 1) * {len(WORD)} + 1)::BIGINT AS "column", '{WORD}' AS match FROM cut"""
+FUZZY_WORDS = {"colour": 1.0, "schein": 1.0}
+
+
+def _bm25(words: dict[str, float], line: str) -> str:
+    rows = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in words.items())
+    return f"""
+WITH {L},
+sized AS (SELECT *, (strlen(line) + CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc) THEN 0 ELSE 1 END)::DOUBLE AS size FROM L),
+meant AS (SELECT *, avg(size) OVER (PARTITION BY doc) AS mean FROM sized),
+terms AS (SELECT doc, line_no, line, size, mean, weight, ((length({line}) - length(replace({line}, needle, ''))) / length(needle))::DOUBLE AS tf
+          FROM meant JOIN (VALUES {rows}) AS v(needle, weight) ON contains({line}, needle))
+SELECT doc, line_no, line, round(sum(weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score FROM terms GROUP BY ALL"""
+
+
+#: name: (query, SQL or None)
+CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    # lines and search
+    "lines": (lambda s, d: lines(docs(s, d), offsets=True).select("doc", "line_no", "byte_offset", F.col("body").alias("line")), f"WITH {L}, {OFFSETS} SELECT doc, line_no, byte_offset, line FROM O"),
+    "find_lines": (lambda s, d: find.hits(docs(s, d), _q(WORD)).select("doc", "line_no", F.col("body").alias("line")), HITS),
+    "find_matches": (lambda s, d: find.matches(docs(s, d), _q(WORD)), MATCHES),
+    "find_folded": (lambda s, d: find.hits(docs(s, d), _q("STRASSE", ignore_case=True)).select("doc", "line_no", F.col("body").alias("line")), f"WITH {L} SELECT doc, line_no, line FROM L WHERE contains({_duck_fold('line')}, 'strasse')"),
+    "find_folded_spans": (lambda s, d: find.matches(docs(s, d), _q("SS", ignore_case=True)), None),
+    "find_word": (lambda s, d: find.hits(docs(s, d), _q("in", word=True)).select("doc", "line_no", F.col("body").alias("line")), f"WITH {L} SELECT doc, line_no, line FROM L WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])in([^A-Za-z0-9_]|$)')"),
+    "find_inverted": (lambda s, d: find.hits(docs(s, d), _q(WORD, invert=True)).select("doc", "line_no", F.col("body").alias("line")), f"WITH {L} SELECT doc, line_no, line FROM L WHERE NOT contains(line, '{WORD}')"),
+    "find_context": (lambda s, d: find.context(docs(s, d), _q(NEEDLE), 1, 2), CONTEXT),
+    "find_multiline": (lambda s, d: find.multiline(docs(s, d), _q(".\nD", multiline=True)).select("doc", "line_no", "line"), f"WITH {L} SELECT doc, line_no, line FROM (SELECT *, lead(line) OVER w AS following, lag(line) OVER w AS previous FROM L WINDOW w AS (PARTITION BY doc ORDER BY line_no)) WHERE (line LIKE '%.' AND following LIKE 'D%') OR (line LIKE 'D%' AND previous LIKE '%.')"),
+    "find_count": (lambda s, d: find.count_lines(docs(s, d), _q(WORD)), f"WITH {L} SELECT doc, count(*) AS count FROM L WHERE contains(line, '{WORD}') GROUP BY doc"),
+    "find_count_zeros": (lambda s, d: find.count_lines(docs(s, d), _q(NEEDLE), zeros=True), f"WITH {L} SELECT doc_id AS doc, (SELECT count(*) FROM L WHERE doc = doc_id AND contains(line, '{NEEDLE}')) AS count FROM documents"),
+    "find_count_occurrences": (lambda s, d: find.count_lines(docs(s, d), _q(WORD, multiline=True)), f"SELECT doc_id AS doc, (len(string_split(text, '{WORD}')) - 1)::BIGINT AS count FROM documents WHERE contains(text, '{WORD}')"),
+    "find_files": (lambda s, d: find.files(docs(s, d), _q(NEEDLE)), f"SELECT doc_id AS doc FROM documents WHERE contains(text, '{NEEDLE}')"),
+    "find_files_without": (lambda s, d: find.files_without(docs(s, d), _q(NEEDLE)), f"SELECT doc_id AS doc FROM documents WHERE NOT contains(text, '{NEEDLE}')"),
+    "find_capped": (lambda s, d: find.capped(docs(s, d), _q(WORD), 2).select("doc", "line_no", F.col("body").alias("line")), f"""
+WITH {L}, H AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS place FROM L WHERE contains(line, '{WORD}')),
+N AS (SELECT doc, max(line_no) AS n FROM L GROUP BY doc),
+E AS (SELECT min(H.doc) AS last FROM H JOIN N USING (doc) WHERE place = 2 AND line_no < n)
+SELECT doc, line_no, line FROM H, E WHERE place <= 2 AND (last IS NULL OR doc <= last)"""),
+    "find_exists": (lambda s, d: find.hits(docs(s, d), _q(NEEDLE)).limit(1).agg(F.count("*").alias("found")), f"SELECT least(1, count(*)) AS found FROM documents WHERE contains(text, '{NEEDLE}')"),
+    "find_fields": (lambda s, d: find.fields(docs(s, d), _q(WORD)), f"""
+WITH {L}, {OFFSETS}, N AS (SELECT doc_id, text, {_name_sql('text')} AS file_hash FROM documents)
+SELECT doc, line_no, strlen(string_split(line, '{WORD}')[1]) + 1 AS "column", byte_offset,
+       {_name_sql("line || CASE WHEN line_no = max_no THEN '' ELSE chr(10) END", 8)} AS line_hash, file_hash, line
+FROM (SELECT *, max(line_no) OVER (PARTITION BY doc) AS max_no FROM O) JOIN N ON doc = doc_id WHERE contains(line, '{WORD}')"""),
+    "find_summary": (lambda s, d: find.summary(docs(s, d), _q(WORD)), f"""
+WITH {L} SELECT (SELECT count(*) FROM documents) AS files_searched, count(DISTINCT doc) AS files_matched, count(*) AS lines,
+       sum(len(string_split(line, '{WORD}')) - 1)::BIGINT AS matches, (SELECT sum(strlen(text)) FROM documents)::BIGINT AS bytes FROM L WHERE contains(line, '{WORD}')"""),
+    "find_vimgrep": (lambda s, d: render.vimgrep(docs(s, d), _q(NEEDLE, unicode=True)), None),
+    "find_records": (lambda s, d: render.find_records(docs(s, d), _q(NEEDLE)), None),
+    "find_text": (lambda s, d: render.text_lines(docs(s, d), _q(NEEDLE)).select("doc", "line_no", "text"), f"WITH {L} SELECT doc, line_no, doc || ':' || line_no || ':' || line AS text FROM L WHERE contains(line, '{NEEDLE}')"),
+    "find_trimmed": (lambda s, d: find.hits(docs(s, d), _q(WORD)).select("doc", "line_no", render.trimmed("body", 40).alias("line")), f"WITH {L} SELECT doc, line_no, CASE WHEN length(line) > 40 THEN substr(line, 1, 40) || ' [...]' ELSE line END AS line FROM L WHERE contains(line, '{WORD}')"),
+    # replacement
+    "replace_all": (lambda s, d: replace.replace(docs(s, d), WORD, "[X]").select("doc", "text", "replacements"), f"SELECT doc_id AS doc, replace(text, '{WORD}', '[X]') AS text, (len(string_split(text, '{WORD}')) - 1)::BIGINT AS replacements FROM documents"),
+    "replace_first": (lambda s, d: replace.replace(docs(s, d), WORD, "[X]", "first").select("doc", "text", "replacements"), f"SELECT doc_id AS doc, CASE WHEN contains(text, '{WORD}') THEN substr(text, 1, instr(text, '{WORD}') - 1) || '[X]' || substr(text, instr(text, '{WORD}') + {len(WORD)}) ELSE text END AS text, contains(text, '{WORD}')::BIGINT AS replacements FROM documents"),
+    "replace_one": (lambda s, d: replace.replace(docs(s, d), NEEDLE, "[X]", "one").select("doc", "text", "replacements", "status"), f"""
+WITH n AS (SELECT doc_id AS doc, text, len(string_split(text, '{NEEDLE}')) - 1 AS n FROM documents)
+SELECT doc, CASE WHEN n = 1 THEN replace(text, '{NEEDLE}', '[X]') ELSE text END AS text, (n = 1)::BIGINT AS replacements,
+       CASE WHEN n = 1 THEN 'done' WHEN n = 0 THEN 'unresolved' ELSE 'ambiguous' END AS status FROM n"""),
+    "replace_folded": (lambda s, d: replace.replace(docs(s, d), "SS", ".", ignore_case=True).select("doc", "replacements"), f"SELECT doc_id AS doc, (len(string_split({_duck_fold('text')}, 'ss')) - 1)::BIGINT AS replacements FROM documents WHERE true"),
+    "replace_hashes": (lambda s, d: replace.replace(docs(s, d), WORD, "[X]").select("doc", "hash_before", "hash_after"), f"SELECT doc_id AS doc, {_name_sql('text')} AS hash_before, {_name_sql(f'''replace(text, '{WORD}', '[X]')''')} AS hash_after FROM documents"),
+    "replace_chained": (_two_edits, f"SELECT doc_id AS doc, replace(text, '{WORD}', '[ent]') AS text, {_name_sql(f'''replace(text, '{WORD}', '[ent]')''')} AS hash_after FROM documents"),
+    "replace_guarded": (lambda s, d: replace.replace(docs(s, d), WORD, "[X]", expect_hash=F.when(F.col("doc") % 2 == 0, content_name("text")).otherwise("stale")).select("doc", "status"), f"SELECT doc_id AS doc, CASE WHEN doc_id % 2 = 1 THEN 'stale' WHEN contains(text, '{WORD}') THEN 'done' ELSE 'unresolved' END AS status FROM documents"),
+    "replace_line_named": (lambda s, d: replace.edit_lines(docs(s, d), "0000", "new", occurrences_="all").select("doc", "edits", "status"), f"""
+WITH {L}, M AS (SELECT *, max(line_no) OVER (PARTITION BY doc) AS m FROM L),
+H AS (SELECT doc, count(*) AS n FROM M WHERE {_name_sql("line || CASE WHEN line_no = m THEN '' ELSE chr(10) END", 4)} = '0000' GROUP BY doc)
+SELECT doc_id AS doc, coalesce(n, 0) AS edits, CASE WHEN n IS NULL THEN 'unresolved' ELSE 'done' END AS status FROM documents LEFT JOIN H ON doc = doc_id"""),
+    # counts
+    "count_ascii": (lambda s, d: count.count(docs(s, d)), rf"""
+WITH {L}, M AS (SELECT doc, count(*) AS lines, max(strlen(line)) AS m FROM L GROUP BY doc)
+SELECT doc, lines, len(regexp_extract_all(text, '{DUCK_WORD}')) AS words, strlen(text) AS bytes, length(text) AS chars, m AS max_line_length FROM M JOIN documents ON doc = doc_id"""),
+    "count_posix": (lambda s, d: count.count(docs(s, d), ("lines", "bytes"), count.POSIX), "SELECT doc_id AS doc, len(string_split(text, chr(10))) - 1 AS lines, strlen(text) AS bytes FROM documents"),
+    "count_unicode": (lambda s, d: count.count(docs(s, d), ("words", "chars"), count.UNICODE_MODE), r"SELECT doc_id AS doc, len(regexp_extract_all(text, '[^\s\x0B\x{85}\p{Z}]+')) AS words, length(text) AS chars FROM documents"),
+    "count_totals": (lambda s, d: count.totals(count.count(docs(s, d))), rf"""
+WITH {L} SELECT count(*) AS lines, (SELECT sum(len(regexp_extract_all(text, '{DUCK_WORD}'))) FROM documents)::BIGINT AS words,
+       (SELECT sum(strlen(text)) FROM documents)::BIGINT AS bytes, (SELECT sum(length(text)) FROM documents)::BIGINT AS chars, max(strlen(line)) AS max_line_length, (SELECT count(*) FROM documents) AS files FROM L"""),
+    "count_with_total": (lambda s, d: count.with_total(count.count(docs(s, d), ("bytes", "chars"))), "SELECT doc_id AS doc, sum(strlen(text))::BIGINT AS bytes, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ROLLUP (doc_id)"),
+    "count_table": (lambda s, d: render.count_table(count.count(docs(s, d), ("bytes", "chars")), "human"), None),
+    # rows and columns
+    "rows_ranges": (lambda s, d: rows.select_rows(docs(s, d), "3,1,5-7").select("doc", "line_no", "line"), f"WITH {L} SELECT doc, line_no, line FROM L WHERE line_no IN (1, 3) OR line_no BETWEEN 5 AND 7"),
+    "rows_every": (lambda s, d: rows.select_rows(docs(s, d), every=3).select("doc", "line_no", "line"), f"WITH {L} SELECT doc, line_no, line FROM L WHERE line_no % 3 = 0"),
+    "rows_tail": (lambda s, d: rows.select_rows(docs(s, d), tail=2).select("doc", "line_no", "line"), f"WITH {L} SELECT doc, line_no, line FROM (SELECT *, max(line_no) OVER (PARTITION BY doc) AS n FROM L) WHERE line_no > n - 2"),
+    "cols_select": (lambda s, d: cols.columns(docs(s, d), "3,1", " ", ",").select("doc", "line_no", "line"), f"""
+WITH {L} SELECT doc, line_no, CASE WHEN line = '' THEN ',' ELSE coalesce(f[3], '') || ',' || coalesce(f[1], '') END AS line FROM (SELECT *, string_split(line, ' ') AS f FROM L)"""),
+    "cols_minimum": (lambda s, d: cols.columns(_events(s, d), "2", ":", min_columns=2).select("doc", "line_no", "line"), f"WITH {_lines('events', 'event_id', 'props')} SELECT doc, line_no, string_split(line, ':')[2] AS line FROM L WHERE len(string_split(line, ':')) >= 2"),
+    # distinct and sort
+    "dedup_lines": (lambda s, d: distinct.dedup(docs(s, d)).select("doc", "line_no", "line", "times"), f"WITH {L} SELECT doc, line_no, line, times FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc, line_no) AS k, count(*) OVER (PARTITION BY line) AS times FROM L) WHERE k = 1"),
+    "dedup_folded": (lambda s, d: distinct.dedup(docs(s, d), True).select("doc", "line_no", "line"), f"WITH {L} SELECT doc, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY {_duck_fold('line')} ORDER BY doc, line_no) AS k FROM L) WHERE k = 1"),
+    "dedup_totals": (lambda s, d: distinct.dedup_totals(docs(s, d)), f'WITH {L} SELECT count(DISTINCT line) AS "unique", count(*) AS total FROM L'),
+    "sort_lines": (lambda s, d: distinct.sort(docs(s, d)), f"WITH {L} SELECT doc, line_no, line FROM L ORDER BY line, doc, line_no"),
+    "sort_reverse": (lambda s, d: distinct.sort(docs(s, d), reverse=True), f"WITH {L} SELECT doc, line_no, line FROM L ORDER BY line DESC, doc, line_no"),
+    "sort_unique": (lambda s, d: distinct.sort(docs(s, d), unique=True), f"WITH {L} SELECT doc, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc, line_no) AS k FROM L) WHERE k = 1 ORDER BY line"),
+    "sort_folded": (lambda s, d: distinct.sort(docs(s, d), ignore_case=True, unique=True).select("line"), f"WITH {L} SELECT arg_min(line, (doc, line_no)) AS line FROM L GROUP BY {_duck_fold('line')}"),
+    "sort_disorder": (lambda s, d: distinct.first_disorder(docs(s, d)), f"WITH {L} SELECT doc, min(line_no) AS line_no FROM (SELECT *, lag(line) OVER (PARTITION BY doc ORDER BY line_no) AS before FROM L) WHERE line < before GROUP BY doc"),
+    # chunks
+    "chunk_lines": (lambda s, d: chunk.by_lines(docs(s, d), 5).groupBy("doc", "chunk").agg(F.count("*").alias("lines")), f"WITH {L} SELECT doc, (line_no - 1) // 5 AS chunk, count(*) AS lines FROM L GROUP BY ALL"),
+    "chunk_bytes": (lambda s, d: chunk.chunks(chunk.by_bytes(docs(s, d), 2000)).select("doc", "chunk", "lines", "bytes"), f"""
+WITH RECURSIVE {L}, S AS (SELECT doc, line_no, strlen(line) + CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc) THEN 0 ELSE 1 END AS size FROM L),
+R AS (SELECT doc, line_no, size, size AS used, 0::BIGINT AS chunk FROM S WHERE line_no = 1
+      UNION ALL SELECT S.doc, S.line_no, S.size, CASE WHEN used + S.size > 2000 THEN S.size ELSE used + S.size END, chunk + CASE WHEN used + S.size > 2000 THEN 1 ELSE 0 END
+      FROM R JOIN S ON S.doc = R.doc AND S.line_no = R.line_no + 1)
+SELECT doc, chunk, count(*) AS lines, sum(size)::BIGINT AS bytes FROM R GROUP BY doc, chunk"""),
+    "chunk_count": (lambda s, d: chunk.chunks(chunk.by_count(docs(s, d), 4), 4).select("doc", "chunk", "lines", "bytes"), f"""
+WITH {L}, {OFFSETS}, P AS (SELECT doc, byte_offset, line, line_no, strlen(text) AS total, max(line_no) OVER (PARTITION BY doc) AS m FROM O JOIN documents ON doc = doc_id),
+C AS (SELECT doc, CASE WHEN byte_offset = 0 THEN 0 ELSE least(3, (byte_offset * 4 + total - 1) // total - 1) END AS chunk, strlen(line) + CASE WHEN line_no = m THEN 0 ELSE 1 END AS size FROM P),
+G AS (SELECT doc, chunk, count(*) AS lines, sum(size)::BIGINT AS bytes FROM C GROUP BY doc, chunk)
+SELECT doc_id AS doc, k AS chunk, coalesce(lines, 0) AS lines, coalesce(bytes, 0) AS bytes FROM documents CROSS JOIN range(4) AS r(k) LEFT JOIN G ON doc = doc_id AND chunk = k"""),
+    "chunk_pattern": (lambda s, d: chunk.chunks(chunk.by_pattern(docs(s, d), "D")).select("doc", "chunk", "lines", "bytes"), f"""
+WITH {L}, C AS (SELECT doc, line_no, (sum(CASE WHEN starts_with(line, 'D') AND line_no > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no))::BIGINT AS chunk,
+       strlen(line) + CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc) THEN 0 ELSE 1 END AS size FROM L)
+SELECT doc, chunk, count(*) AS lines, sum(size)::BIGINT AS bytes FROM C GROUP BY doc, chunk"""),
+    "chunk_header": (lambda s, d: chunk.chunks(chunk.with_header(docs(s, d), 1, lambda x: chunk.by_lines(x, 3))).select("doc", "chunk", "lines", "header_lines"), f"WITH {L} SELECT doc, (line_no - 2) // 3 AS chunk, count(*) AS lines, 1::BIGINT AS header_lines FROM L WHERE line_no > 1 GROUP BY ALL"),
+    "chunk_suffix": (lambda s, d: chunk.by_lines(docs(s, d), 5).select("doc", "line_no", chunk.suffix_column("chunk", 3).alias("suffix")), f"WITH {L} SELECT doc, line_no, chr(97 + ((line_no - 1) // 5 // 676)::INT) || chr(97 + ((line_no - 1) // 5 // 26 % 26)::INT) || chr(97 + ((line_no - 1) // 5 % 26)::INT) AS suffix FROM L"),
+    # segments
+    "segment_whitespace": (lambda s, d: segment.segments(docs(s, d), "whitespace"), None),
+    "segment_whitespace_count": (lambda s, d: segment.count(docs(s, d), "whitespace"), r"SELECT doc_id AS doc, len(regexp_extract_all(text, '[^\s\x0B\x{85}\p{Z}]+')) AS segments FROM documents"),
+    "segment_delimiters_count": (lambda s, d: segment.count(docs(s, d), "delimiters"), r"SELECT doc_id AS doc, len(regexp_extract_all(text, '[^\p{P}\p{S}\p{Z}\s\x0B\x{85}]+')) AS segments FROM documents"),
+    "segment_newlines": (lambda s, d: segment.segments(docs(s, d), "newlines").select("doc", "start", "end", "segment"), f"""WITH {L}, {OFFSETS} SELECT doc, byte_offset AS start, byte_offset + strlen(line) AS "end", line AS segment FROM O WHERE line <> ''"""),
+    "segment_graphemes_count": (lambda s, d: segment.count(docs(s, d), "graphemes"), "SELECT doc_id AS doc, length_grapheme(text) AS segments FROM documents"),
+    "segment_words_count": (lambda s, d: segment.count(docs(s, d), "words"), None),
+    "segment_sentences": (lambda s, d: segment.segments(docs(s, d), "sentences"), None),
+    "segment_linebreaks_count": (lambda s, d: segment.count(docs(s, d), "linebreaks"), None),
+    "segment_packed": (lambda s, d: segment.packed(docs(s, d), "sentences", 1000), None),
+    # checksums and names
+    "sha256_digests": (lambda s, d: checksum.digests(docs(s, d)), "SELECT doc_id::VARCHAR AS path, sha256(text) AS digest, strlen(text) AS bytes FROM documents"),
+    "sha256_manifest": (lambda s, d: checksum.manifest(checksum.digests(docs(s, d)), "bsd"), "SELECT doc_id::VARCHAR AS path, 'SHA256 (' || doc_id || ') = ' || sha256(text) AS line FROM documents"),
+    "sha256_verify": (lambda s, d: checksum.verify(checksum.parse_manifest(_claims(s, d)), checksum.digests(docs(s, d))), "SELECT CASE WHEN doc_id % 5 = 0 THEN 'gone-' ELSE '' END || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'FAILED open or read' WHEN doc_id % 3 = 0 THEN 'FAILED' ELSE 'OK' END AS verdict FROM documents"),
+    "sha256_totals": (lambda s, d: checksum.totals(checksum.digests(docs(s, d))), "SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents"),
+    "content_names": (lambda s, d: docs(s, d).select("doc", content_name("text").alias("name")), f"SELECT doc_id AS doc, {_name_sql('text')} AS name FROM documents"),
+    "line_names": (lambda s, d: lines(docs(s, d)).select("doc", "line_no", content_name(whole(), 8).alias("name")), f"""WITH {L}, M AS (SELECT *, max(line_no) OVER (PARTITION BY doc) AS m FROM L) SELECT doc, line_no, {_name_sql("line || CASE WHEN line_no = m THEN '' ELSE chr(10) END", 8)} AS name FROM M"""),
+    "folded_texts": (lambda s, d: docs(s, d).select("doc", fold("text").alias("text")), f"SELECT doc_id AS doc, {_duck_fold('text')} AS text FROM documents"),
+    # fuzzy search
+    "fuzzy_exact": (lambda s, d: fuzzy.score(s, docs(s, d), list(FUZZY_WORDS), fuzzy.Effort.EXACT, ignore_case=False).withColumn("score", F.round("score", 9)), _bm25(FUZZY_WORDS, "line")),
+    "fuzzy_exact_folded": (lambda s, d: fuzzy.score(s, docs(s, d), list(FUZZY_WORDS), fuzzy.Effort.EXACT).withColumn("score", F.round("score", 9)), _bm25(FUZZY_WORDS, _duck_fold("line"))),
+    "fuzzy_typos": (lambda s, d: fuzzy.score(s, docs(s, d), [NEEDLE]), None),
+    "fuzzy_spelling": (lambda s, d: fuzzy.score(s, docs(s, d), [NEEDLE], fuzzy.Effort.SPELLING), None),
+    "fuzzy_sounds": (lambda s, d: fuzzy.score(s, docs(s, d), ["Gaddafi", "philosophie"], fuzzy.Effort.SOUNDS), None),
+    "fuzzy_spans": (lambda s, d: fuzzy.locate(fuzzy.score(s, docs(s, d), [NEEDLE]), [NEEDLE]), None),
+    "fuzzy_top": (lambda s, d: rows.top_k(fuzzy.score(s, docs(s, d), [NEEDLE]), 3), None),
+    "fuzzy_files": (lambda s, d: fuzzy.files(fuzzy.score(s, docs(s, d), [NEEDLE], fuzzy.Effort.EXACT)), f"SELECT doc_id AS doc FROM documents WHERE contains(lower(text), '{NEEDLE}')"),
+    # outlines and containers
+    "outline_markdown": (lambda s, d: outline.outline(docs(s, d), "markdown"), None),
+    "outline_c": (lambda s, d: outline.outline(docs(s, d, "conversations", "conv_id"), "c"), None),
+    "notebook_cells": (_notebooks, "SELECT conv_id AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cell, text FROM conversations"),
+    "pages_find": (lambda s, d: find.count_lines(_pages(s, d), _q("<p>", multiline=True)), "SELECT page_id AS doc, len(string_split(html, '<p>')) - 1 AS count FROM pages WHERE contains(html, '<p>')"),
+}
 
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in CATALOGUE.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in CATALOGUE.items() if sql}
