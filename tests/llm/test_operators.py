@@ -132,6 +132,7 @@ def test_rtree_bound_loses_nothing():
         sets[k] = np.sort(np.r_[sets[k - 1][: int(0.93 * len(sets[k - 1]))], sets[k][:2]])
     sizes = np.array([len(s) for s in sets])
     points = np.stack([jaccard_rtree.folded(jaccard_rtree.fine_point(s), jaccard_rtree.GROUPS) for s in sets])
+    assert jaccard_rtree.bound(jaccard_rtree.fine_point(sets[2]), jaccard_rtree.fine_point(sets[3])) >= len(np.intersect1d(sets[2], sets[3]))
     tree = jaccard_rtree.RTree(points, sizes)
     for k in range(300):
         near = set(tree.search(points[k], int(sizes[k])).tolist())

@@ -10,8 +10,9 @@ first n - ceil(0.8 n) + 1 of each; so a document goes under the keys of those fi
 what one key holds. Shingles that many documents put first come last in the order of a second round, which
 keeps trees small. Only keys with two different sets matter, and equal sets are one class throughout.
 
-Groups of near copies need no tree: each member is first compared with one of the group. What that joins is
-one component, and trees search only between components that share a key. A tree over LIMIT points is
+Groups of near copies need no tree at first: in a few rounds each member is compared with that class which
+most of its keys chose. What that joins is one component, and trees search only between components that
+share a key. A tree over LIMIT points is
 dealt out: the rows of its largest component in parts, the others to every part.
 """
 
@@ -33,6 +34,8 @@ GROUPS = 128
 #: Two documents link when DEN * shared >= NUM * united.
 NUM, DEN = 80, 100
 OFTEN = 40
+#: Rounds of comparing every class with one other before trees search.
+ROUNDS = 3
 LIMIT = 4096
 LATE_BITS, BLOOM_BITS = 22, 24
 LEAF = 16
@@ -69,22 +72,27 @@ def _names(sets: list[np.ndarray]) -> np.ndarray:
         return np.array([(mix(s * _ODD[1]).sum(dtype=np.uint64) + np.uint64(len(s)) * _ODD[0], mix(s ^ _ODD[2]).sum(dtype=np.uint64)) if len(s) else (0, 0) for s in sets], np.uint64).reshape(-1, 2)
 
 
-def groups_for(n: int) -> int:
-    """Groups of the fine point of a set of n shingles: a few shingles fall into each, whatever n."""
+def fine_point(own: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles, in so many groups that a few fall into each and none holds over 255."""
     groups = GROUPS
-    while n > 6 * groups:
+    while len(own) > 6 * groups:
+        groups *= 2
+    while True:
+        counts = np.bincount((own >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
         groups *= 2
-    return groups
 
 
-def fine_point(own: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles in its groups. A sum of halves, quarters and so on gives the point of fewer groups."""
-    groups = groups_for(len(own))
-    return np.bincount((own >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups).astype(np.uint16)
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The point of fewer groups: the sum of halves, quarters and so on."""
+    return point.reshape(-1, groups).sum(0, dtype=np.uint32)
 
 
-def folded(point: np.ndarray, groups: int) -> np.ndarray:
-    return point.reshape(-1, groups).sum(0, dtype=np.uint16)
+def bound(a: np.ndarray, b: np.ndarray) -> int:
+    """At most so many shingles are in both sets of two fine points."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum(dtype=np.int64))
 
 
 def prefix(own: np.ndarray, late: np.ndarray) -> np.ndarray:
@@ -128,15 +136,18 @@ class RTree:
         return self.order[at]
 
 
-def tree_pairs(labels: np.ndarray, names: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Pairs of names with different labels that the bound leaves, found through one tree."""
+def tree_pairs(labels: np.ndarray, names: np.ndarray, sizes: np.ndarray, fine: list[np.ndarray]) -> np.ndarray:
+    """Pairs of names with different labels that the tree's bound and then the finer one leave."""
     values, n = np.unique(labels, return_counts=True)
     if len(values) < 2:
         return np.zeros((0, 2), np.int64)
+    counts = np.stack([folded(p, GROUPS) for p in fine])
     tree, out = RTree(counts, sizes), []
     for k in np.flatnonzero(labels != values[np.argmax(n)]):
         met = tree.search(counts[k], int(sizes[k]))
         met = met[labels[met] != labels[k]]
+        if len(fine[k]) > GROUPS:
+            met = np.array([m for m in met if may_link(bound(fine[k], fine[m]), int(sizes[k]), int(sizes[m]))], np.int64)
         if len(met):
             out.append(np.stack([np.minimum(names[met], names[k]), np.maximum(names[met], names[k])], 1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
@@ -149,9 +160,9 @@ def _documents(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"))
             names, fine = _names(sets).view(np.int64), [fine_point(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array([folded(p, GROUPS).tobytes() for p in fine], pa.binary()), pa.array([p.tobytes() for p in fine], pa.binary())], ["doc_id", "n", "name", "check", "point", "fine"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array([p.tobytes() for p in fine], pa.binary())], ["doc_id", "n", "name", "check", "point"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, name bigint, check bigint, point binary, fine binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, name bigint, check bigint, point binary")
 
 
 def _rows(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,22 +249,19 @@ def _bits(df: DataFrame, index, bits: int) -> np.ndarray:
 
 def _linked(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets link: first those that their points allow, then by their shingles."""
-    side = lambda s: classes.select(F.col("name").alias(s), F.col("n").alias(f"n{s}"), F.col("fine").alias(f"p{s}"))
+    side = lambda s: classes.select(F.col("name").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}"))
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                shared = []
-                for a, b in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist()):
-                    a, b = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
-                    groups = min(len(a), len(b))
-                    shared.append(int(np.minimum(folded(a, groups), folded(b, groups)).sum(dtype=np.int64)))
+                points = zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())
+                shared = [bound(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)) for a, b in points]
                 good = may_link(np.array(shared), batch.column("na").to_numpy(), batch.column("nb").to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b", "na", "nb")], ["a", "b", "na", "nb"])
 
     near = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
     left = pairs.join(side("a"), "a").join(side("b"), "b").filter(near)
-    left = scratch.keep(left.mapInArrow(bound, "a bigint, b bigint, na bigint, nb bigint"), "bounded")
+    left = scratch.keep(left.mapInArrow(bounded, "a bigint, b bigint, na bigint, nb bigint"), "bounded")
     ids = left.select(F.col("a").alias("name")).unionAll(left.select(F.col("b"))).distinct().join(classes.select("name", "doc_id"), "name")
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BLOOM_BITS)
     mask = docs.sparkSession.sparkContext.broadcast(_bits(ids, place, BLOOM_BITS))
@@ -284,7 +292,7 @@ def link(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     own = scratch.keep(_documents(texts), "documents")
-    classes = own.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("fine").alias("fine"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+    classes = own.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("check").alias("c1"), F.max("check").alias("c2"))
     classes = scratch.keep(classes, "classes")
     if not classes.filter("c1 <> c2").isEmpty():
         raise ValueError("two sets of shingles share a 64-bit name")
@@ -299,15 +307,29 @@ def link(spark: SparkSession, docs: DataFrame) -> DataFrame:
         old, shared = shared, scratch.keep(_shared_keys(texts, late, parts), "keys2")
         scratch.drop(old)
 
-    # one class of each key meets all others of the key
-    stars = shared.groupBy("key").agg(F.min("name").alias("a"))
-    pairs = shared.join(stars, "key").filter("name <> a").select("a", F.col("name").alias("b")).distinct()
-    links = _linked(scratch, texts, classes, scratch.keep(pairs, "stars"))
-    labels = scratch.keep(components(scratch, links), "labels")
+    # every class is compared with one class of the keys it has: of each key's chosen one, that of most keys
+    rows = scratch.keep(shared.distinct(), "rows")
+    scratch.drop(shared)
+    open_rows, links, labels = rows.withColumn("label", F.col("name")), None, None
+    for turn in range(ROUNDS):
+        stars = open_rows.groupBy("key").agg(F.min_by(F.struct("name", "label"), F.xxhash64("name", F.lit(turn))).alias("star"))
+        met = open_rows.join(stars, "key").filter("label <> star.label").groupBy("name", F.col("star.name").alias("a")).agg(F.count("*").alias("keys"))
+        pairs = met.groupBy(F.col("name").alias("b")).agg(F.max_by("a", F.struct("keys", "a")).alias("a"))
+        new = _linked(scratch, texts, classes, scratch.keep(pairs, "stars"))
+        links = new if links is None else scratch.keep(links.unionAll(new), "links")
+        labels = scratch.keep(components(scratch, links), "labels")
+        named = rows.join(labels.select(F.col("node").alias("name"), "label"), "name", "left").select("key", "name", F.coalesce("label", "name").alias("label"))
+        named = scratch.keep(named, "named")
+        mixed = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("key")
+        old, open_rows = open_rows, scratch.keep(named.join(mixed, "key", "left_semi"), "open")
+        scratch.drop(named)
+        if turn:
+            scratch.drop(old)
+        if new.isEmpty():
+            break
 
     # keys that still hold different components
-    named = shared.distinct().join(labels.select(F.col("node").alias("name"), "label"), "name", "left").select("key", "name", F.coalesce("label", "name").alias("label"))
-    named = scratch.keep(named, "named")
+    named = open_rows
     per_label = named.groupBy("key", "label").agg(F.count("*").alias("rows"))
     per_key = per_label.groupBy("key").agg(F.sum("rows").alias("rows"), F.count("*").alias("labels"), F.max_by("label", F.struct("rows", "label")).alias("main")).filter("labels > 1")
     deals = F.ceil(F.col("rows") / LIMIT).cast("int")
@@ -320,9 +342,9 @@ def link(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
         def trees(t: pa.Table) -> pa.RecordBatch:
             key, deal, label, name, n = (t.column(c).to_numpy() for c in ("key", "deal", "label", "name", "n"))
-            counts = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
+            fine = [np.frombuffer(p, np.uint8) for p in t.column("point").to_pylist()]
             cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (deal[1:] != deal[:-1]), True])
-            found = [tree_pairs(label[a:b], name[a:b], n[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
+            found = [tree_pairs(label[a:b], name[a:b], n[a:b], fine[a:b]) for a, b in zip(cuts, cuts[1:])]
             found = np.unique(np.concatenate(found), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
