@@ -178,7 +178,7 @@ SELECT doc, lines, len(regexp_extract_all(text, '{DUCK_WORD}')) AS words, strlen
     "count_totals": (lambda s, d: count.totals(count.count(docs(s, d))), rf"""
 WITH {L} SELECT count(*) AS lines, (SELECT sum(len(regexp_extract_all(text, '{DUCK_WORD}'))) FROM documents)::BIGINT AS words,
        (SELECT sum(strlen(text)) FROM documents)::BIGINT AS bytes, (SELECT sum(length(text)) FROM documents)::BIGINT AS chars, max(strlen(line)) AS max_line_length, (SELECT count(*) FROM documents) AS files FROM L"""),
-    "count_with_total": (lambda s, d: count.with_total(count.count(docs(s, d), ("bytes", "chars"))), "SELECT doc_id AS doc, sum(strlen(text))::BIGINT AS bytes, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ROLLUP (doc_id)"),
+    "count_with_total": (lambda s, d: count.with_total(count.count(docs(s, d), ("bytes", "chars"))).withColumn("doc", F.coalesce(F.col("doc").cast("string"), F.lit("total"))), "SELECT coalesce(doc_id::VARCHAR, 'total') AS doc, sum(strlen(text))::BIGINT AS bytes, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ROLLUP (doc_id)"),
     "count_table": (lambda s, d: render.count_table(count.count(docs(s, d), ("bytes", "chars")), "human"), None),
     # rows and columns
     "rows_ranges": (lambda s, d: rows.select_rows(docs(s, d), "3,1,5-7").select("doc", "line_no", "line"), f"WITH {L} SELECT doc, line_no, line FROM L WHERE line_no IN (1, 3) OR line_no BETWEEN 5 AND 7"),
