@@ -63,7 +63,7 @@ def words(texts: pa.Array, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.n
     return mix(np.add.reduceat(values, word_begins) ^ (long.astype(np.uint64) << np.uint64(48))), per_text
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of a column; a longer text comes alone."""
     for batch in batches:
         if not batch.num_rows:
