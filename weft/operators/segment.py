@@ -39,6 +39,9 @@ _sb, _lb = _classes("Sentence_Break", SENTENCE), _classes("Line_Break", LINE)
 
 
 def graphemes(text: str) -> list[str]:
+    # below the first combining mark only CR LF joins characters
+    if "\r" not in text and (text.isascii() or max(text) < "\u0300"):
+        return list(text)
     return regex.findall(r"\X", text)
 
 
@@ -249,7 +252,12 @@ def segments(docs: DataFrame, by: str, keep_empty: bool = False) -> DataFrame:
 def count(docs: DataFrame, by: str, keep_empty: bool = False) -> DataFrame:
     """doc and its number of segments, without a row for each."""
     if by in TILE:
-        return docs.select("doc", F.size(_tiled(by)("text")).cast("long").alias("segments"))
+
+        @F.pandas_udf("long")
+        def run(text: pd.Series) -> pd.Series:
+            return pd.Series([len(TILE[by](t or "")) for t in text], dtype="int64")
+
+        return docs.select("doc", run("text").alias("segments"))
     if by not in SPLITTERS:
         raise ValueError(f"by is one of {(*TILERS, *SPLITTERS)}, not {by!r}")
     parts = F.split("text", SPLITTERS[by], -1)
