@@ -39,6 +39,8 @@ ROUNDS = 3
 LIMIT = 4096
 LATE_BITS, BLOOM_BITS = 22, 24
 LEAF = 16
+#: Keys that a task holds before it sends them.
+HELD = 1_500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -212,7 +214,7 @@ def _shared_keys(docs: DataFrame, late: np.ndarray, parts: int) -> DataFrame:
             if any(map(len, firsts)):
                 held.append((np.concatenate(firsts), np.repeat(names, [len(f) for f in firsts])))
                 size += len(held[-1][0])
-            if size > 4_000_000:
+            if size > HELD:
                 yield from out()
                 held, size = [], 0
         if held:

@@ -7,6 +7,7 @@ chance of about one in 2**64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,15 @@ def words(texts: pa.Array, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.n
     return mix(np.add.reduceat(values, word_begins) ^ (long.astype(np.uint64) << np.uint64(48))), per_text
 
 
+def _release() -> None:
+    """Give freed memory back to the system; a worker lives on and waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of a column; a longer text comes alone."""
     for batch in batches:
@@ -75,3 +85,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_500_000
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    _release()
