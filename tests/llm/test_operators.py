@@ -288,6 +288,20 @@ def test_neighbours(spark):
     assert cross_polytope.search(spark, vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_neighbours_of_a_table_that_grew(spark, monkeypatch):
+    monkeypatch.setattr(cross_polytope, "PROBES", 2)
+    monkeypatch.setattr(cross_polytope, "STEADY", 250, raising=False)
+    x = np.random.default_rng(5).standard_normal((8000, 32))
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    found = collections.defaultdict(set)
+    for r in cross_polytope.search(spark, table, table.filter("vec_id % 200 = 0")).collect():
+        found[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.argsort(-(unit[::200] @ unit.T), 1)[:, 1:6]
+    hits = sum(len(found[200 * q] & set(near[q].tolist())) for q in range(40))
+    assert hits >= 0.9 * 200
+
+
 def test_toxicity(spark, docs):
     r = random.Random(9)
     rows, labels = [], []

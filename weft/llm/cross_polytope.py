@@ -3,7 +3,8 @@
 A hash function turns a unit vector by a pseudo-rotation (three rounds of random signs and a fast Hadamard
 transform) and takes the nearest signed axis. A table joins the axes of several functions to a bucket; it
 has as many buckets as the number of vectors asks for. A query probes the buckets that are nearest to it in
-each of TABLES tables, and what they hold is ranked by the exact cosine.
+each of TABLES tables, and what they hold is ranked by the exact cosine. The probes grow with the square root
+of the number of vectors, as a fixed number finds less and less of a growing table.
 
 Equal vectors are one class, searched once: its first members stand for it, as no more can be in a result.
 Candidates are scored where their vectors are: a query's vector goes to each block of vectors once.
@@ -11,6 +12,7 @@ Candidates are scored where their vectors are: a query's vector goes to each blo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from weft.llm.storage import Scratch
 
 TABLES = 32
-PROBES = 40
+#: Probes of a table of STEADY vectors or fewer.
+PROBES, STEADY = 40, 25_000
 NEIGHBOURS = 5
 EVERY = 50
 SEED = 20
@@ -40,6 +43,11 @@ def axes_for(n: int, dims: int) -> list[int]:
     return out
 
 
+def probes_for(n: int) -> int:
+    """Buckets that a query probes in each of the tables for n vectors."""
+    return math.ceil(PROBES * math.sqrt(max(1.0, n / STEADY)))
+
+
 def rotate(x: np.ndarray, table: int, function: int) -> np.ndarray:
     """Pseudo-rotation of the rows of x, whose length is a power of two."""
     n, dims = x.shape
@@ -161,7 +169,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, neighbou
     n = classes.count()
     blocks = max(1, n // BLOCK)
     entries = _hashed(classes, "class_id", n, 1)
-    probes = _hashed(distinct, "query", n, PROBES)
+    probes = _hashed(distinct, "query", n, probes_for(n))
     block = F.pmod(F.xxhash64("class_id"), F.lit(blocks))
     met = entries.join(probes, "code").groupBy("query", block.alias("block")).agg(F.collect_set("class_id").alias("candidates"))
     met = met.join(distinct, "query").select("block", "query", "embedding", "candidates")
