@@ -380,6 +380,13 @@ def test_language_model(spark, docs):
     assert brown_lm.score_texts(spark, spark.createDataFrame([], NONE)).count() == 0
 
 
+def test_language_model_has_classes_for_all_words(spark, docs):
+    few, all_ = ({x.doc_id: x for x in brown_lm.score_texts(spark, docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), classes=3, core_words=20, table_words=most).collect()} for most in (25, 10**6))
+    assert few.keys() == all_.keys()
+    for d, x in few.items():
+        assert x[:5] == all_[d][:5] and (x.base_score, x.score) == pytest.approx((all_[d].base_score, all_[d].score), abs=1e-6)
+
+
 def test_language_model_beats_single_words(spark):
     r = random.Random(2)
     kinds = [[f"{c}{k}" for k in range(30)] for c in "abc"]
