@@ -302,47 +302,113 @@ def test_neighbours_of_a_table_that_grew(spark, monkeypatch):
     assert hits >= 0.9 * 200
 
 
-def test_toxicity(spark, docs):
+def toxic_rows(n=900):
     r = random.Random(9)
     rows, labels = [], []
-    for k in range(900):
+    for k in range(n):
         w = [r.choice(VOCABULARY) for _ in range(30)]
         if k % 6 == 0:
             for _ in range(3):
                 w.insert(r.randint(0, 30), r.choice(["Zut!", "fie,", "bah"]))
         rows.append((k, " ".join(w)))
         labels.append((k, int(k % 6 == 0), "x"))
-    table = spark.createDataFrame([*rows, (None, None), (2000, ""), (2001, LONG)], "doc_id bigint, text string").withColumn("toxic", pytest.importorskip("pyspark.sql.functions").lit("clash"))
-    marks = spark.createDataFrame([*labels, (None, 1, "x"), (1, None, "x"), (5000, 1, "x")], "doc_id bigint, toxic int, text string")
+    return rows, labels
+
+
+def test_toxicity(spark, docs):
+    from pyspark.sql import functions as F
+
+    rows, labels = toxic_rows()
+    # 900 and 901 repeat a text, 902 an id with its text
+    rows += [(900, rows[12][1]), (901, rows[13][1]), (902, rows[14][1]), (902, rows[14][1])]
+    odd = [(None, None), (2000, ""), (2001, LONG)]
+    table = spark.createDataFrame([*rows, *odd], "doc_id bigint, text string").withColumn("toxic", F.lit("clash")).withColumn("held_out", F.lit(7)).withColumn("score", F.lit("clash"))
+    marks = spark.createDataFrame([*labels, (None, 1, "x"), (1, None, "x"), (5000, 1, "x"), (902, 0, "x")], "doc_id bigint, toxic int, text string")
     model = nearest_toxic.fit(spark, table, marks)
-    found = {x.doc_id: x for x in nearest_toxic.scored(spark, table, model).collect()}
-    assert len(found) == 903 and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in found.values())
+    every = nearest_toxic.scored(spark, table, model).collect()
+    found = {x.doc_id: x for x in every}
+    assert len(every) == 907 and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in every)
+    assert len({x.score for x in every if x.doc_id == 902}) == 1 and found[900].score == found[12].score
     assert all(found[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k in range(900))
     assert all(found[k].predicted == (k % 6 == 0) for k in range(900)) and found[2000].predicted == 0
+    # nearly every text meets neighbours, and the toxic ones are told by what they share
+    assert all(found[k].evidence for k in range(900)) and all(e.toxic for k in range(0, 900, 6) for e in found[k].evidence)
     # labels of the held-out fold change nothing
-    from pyspark.sql import functions as F
-
     other = marks.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = nearest_toxic.fit(spark, table, other)
-    assert (again.hashes == model.hashes).all() and again.index.labels == model.index.labels
+    assert (again.hashes == model.hashes).all() and (again.index.labels == model.index.labels).all() and (again.weights == model.weights).all()
     empty = nearest_toxic.fit(spark, table.limit(0), marks.limit(0))
     assert nearest_toxic.scored(spark, docs, empty).filter("predicted = 1").count() == 0
+    assert nearest_toxic.scored(spark, docs.limit(0), model).count() == 0
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """Weights, cosines, votes and the curve computed anew with dictionaries from the texts."""
+    import math
+
+    rows, labels = toxic_rows(240)
+    rows += [(k, t) for k, t in enumerate(TEXTS[5:12], 1000)]
+    table, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int, x string")
+    model = nearest_toxic.fit(spark, table, marks, k=7)
+    split = lambda t: [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) if w]
+    label = {k: y for k, y, _ in labels if zlib.crc32(str(k).encode()) % 5}
+    places, df = collections.defaultdict(dict), collections.Counter()
+    for k, t in rows:
+        df.update(set(split(t)))
+    for k, t in rows:
+        if k in label:
+            w = split(t)
+            for a, b, c in zip([None, *w], w, [*w[1:], None]):
+                places[b].setdefault((a, c), []).append(label[k])
+    n = {w: len(p) for w, p in places.items()}
+    one = {w: sum(min(x) for x in p.values()) for w, p in places.items()}
+    base = math.log((sum(one.values()) + 0.5) / (sum(n.values()) - sum(one.values()) + 0.5))
+    # words of different examples meet at the edges of a batch, so places there may differ by one
+    weight = {w: (math.log((len(rows) + 1) / (df[w] + 1)) + 1) * (0.1 + max(0, math.log((one[w] + 0.5) / (n[w] - one[w] + 0.5)) - base - 2 * math.sqrt(1 / (one[w] + 0.5) + 1 / (n[w] - one[w] + 0.5)))) for w in n}
+    mine = {int(h): w for h, w in zip(model.hashes, model.weights)}
+    hashed = {w: int(words(pa.array([w.encode()], pa.binary()))[0][0]) for w in n}
+    assert set(hashed.values()) == set(mine)
+    assert np.median([abs(mine[hashed[w]] - weight[w]) / weight[w] for w in n]) < 0.05
+
+    def vector(t):
+        raw = {w: (1 + math.log(c)) * mine[hashed[w]] for w, c in collections.Counter(split(t)).items() if w in n}
+        norm = math.sqrt(sum(x * x for x in raw.values())) or 1
+        return {w: x / norm for w, x in raw.items()}
+
+    vectors = {k: vector(t) for k, t in rows}
+    for r in nearest_toxic.scored(spark, table, model).collect():
+        v = vectors[r.doc_id]
+        near = sorted((-round(sum(x * vectors[k].get(w, 0) for w, x in v.items()), 9), k) for k in label)
+        near = [(-c, k) for c, k in near if c < 0][:7]
+        if not near:
+            assert abs(r.score - model.prior) < 1e-12
+            continue
+        vote = sum(label[k] / (0.1 + 1 - c) for c, k in near) / sum(1 / (0.1 + 1 - c) for c, k in near)
+        want = 1 / (1 + math.exp(-(model.slope * math.log((vote + 0.02) / (1.02 - vote)) + model.shift)))
+        assert abs(r.score - want) < 1e-6 and [e.doc_id for e in r.evidence] == [k for _, k in near[:3]]
 
 
 def test_block_max_search_is_exact():
     g = np.random.default_rng(3)
-    vectors = []
-    for _ in range(500):
-        v = {int(w): float(g.random()) for w in g.choice(40, 6, replace=False)}
-        norm = sum(x * x for x in v.values()) ** 0.5
-        vectors.append({w: x / norm for w, x in v.items()})
-    ids = g.permutation(500).tolist()
-    index = nearest_toxic.BlockMaxIndex(vectors, ids, [0] * 500)
-    for q in vectors[:30]:
-        brute = sorted((-round(sum(x * v.get(w, 0.0) for w, x in q.items()), 12), d) for v, d in zip(vectors, ids))
+    n, width = 500, 40
+    dense = np.zeros((n, width))
+    for k in range(n):
+        # two kinds without a word in common
+        dense[k, g.choice(width // 2, 6, replace=False) + k % 2 * (width // 2)] = g.random(6)
+    dense[17] = dense[23]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    ids = g.permutation(n)
+    rows, cols = np.nonzero(dense)
+    index = nearest_toxic.BlockMaxIndex(rows, cols, dense[rows, cols], ids, np.zeros(n, int), width)
+    for q in dense[:60]:
+        brute = sorted((-round(float(c), 12), int(d)) for c, d in zip(dense @ q, ids))
         want = [(-c, d) for c, d in brute if c < 0][:9]
-        got = [(c, index.ids[n]) for c, n in index.search(q, 9)]
-        assert [d for _, d in got] == [d for _, d in want]
+        at = np.flatnonzero(q)
+        cosines, places = index.search(at, q[at], 9)
+        assert index.ids[places].tolist() == [d for _, d in want] and np.allclose(cosines, [c for c, _ in want], atol=1e-11)
+    # alike vectors share blocks, so blocks of the other kind aren't read
+    assert index.scored < 60 * index.n_blocks
+    assert len(nearest_toxic.alike_order(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0)) == 0
 
 
 def test_html():

@@ -1,11 +1,14 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 The examples are at most EXAMPLES labelled rows outside the held-out fold, those with the smallest hashes of
-their ids. The vocabulary is the words that tell the labels apart: a word counts once for each pair of
-neighbours that it has, so that copies of one text count once, and it stays if such a share of toxic places
-would come by chance less than once in a million. The examples' vectors are in an inverted index in blocks;
-a block knows its largest weight of each word, and a search leaves the blocks that can't reach its k-th
-best. Votes weigh by nearness, against the share of toxic examples among those without any such word.
+their ids. Vectors have all words of the examples. A word's weight is (1 + log of its times) * idf * relevance:
+idf counts all documents, relevance is LEAST plus the lower bound of the word's log odds for label 1 where
+that is above 0. Without relevance, neighbours are those on the same topic, whatever their label. Odds count
+a word once for each pair of neighbouring words it has, so that copies of one text count once.
+
+The examples' vectors are in an inverted index in blocks of alike examples; a block knows its largest weight
+of each word, and a search leaves the blocks that can't reach its k-th best. Votes weigh by nearness. What
+votes mean is fitted (a logistic curve) on the examples themselves, each judged by the others.
 """
 
 from __future__ import annotations
@@ -22,102 +25,195 @@ from weft.llm.storage import Scratch
 from weft.llm.word_hash import NOT_LETTERS, mix, slices, words
 
 EXAMPLES = 8000
-NEIGHBOURS = 15
-VOCABULARY = 512
+NEIGHBOURS = 30
 BLOCK = 64
-CHANCE = 1e-6
-LEAST_SHARE = 0.8
 FOLDS = 5
-#: A vote weighs one by (NEAREST + the cosine's distance from 1), the share without words PRIOR.
-NEAREST, PRIOR = 0.02, 6.0
+#: Weight of a word that tells nothing of the label, beside log odds of words that do; their deviations below the estimate.
+LEAST, DEVIATIONS = 0.1, 2.0
+#: A vote weighs one by (NEAREST + the cosine's distance from 1).
+NEAREST = 0.1
 
 
-def _chance(hits: int, of: int, share: float) -> float:
-    """That at least ``hits`` of ``of`` are hits of probability share."""
-    if not 0 < share < 1:
-        return 1.0
-    logs = [math.lgamma(of + 1) - math.lgamma(k + 1) - math.lgamma(of - k + 1) + k * math.log(share) + (of - k) * math.log1p(-share) for k in range(hits, min(of, hits + 200) + 1)]
-    return min(1.0, sum(map(math.exp, logs)))
+def relevance(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Of words with n places, ``ones`` of them toxic."""
+    a, b = ones + 0.5, n - ones + 0.5
+    base = math.log((ones.sum() + 0.5) / ((n - ones).sum() + 0.5)) if len(n) else 0.0
+    return LEAST + np.maximum(0.0, np.log(a / b) - base - DEVIATIONS * np.sqrt(1 / a + 1 / b))
+
+
+def ragged(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after another."""
+    ends = np.cumsum(size)
+    out = np.repeat(starts - (ends - size), size)
+    out += np.arange(len(out))
+    return out
+
+
+def alike_order(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """An order of n sparse vectors in which neighbours are alike: halves along the main direction, again and again."""
+    dense = np.zeros((n, 64))
+    np.add.at(dense, (rows, (mix(cols.astype(np.uint64) + np.uint64(1)) % np.uint64(64)).astype(np.int64)), weights)
+    out, todo = [], [np.arange(n)]
+    while todo:
+        own = todo.pop()
+        if len(own) <= BLOCK:
+            out.append(own)
+            continue
+        x = dense[own] - dense[own].mean(0)
+        direction = np.ones(64)
+        for _ in range(8):
+            direction = x.T @ (x @ direction) + 1e-12
+            direction /= np.linalg.norm(direction)
+        order = own[np.argsort(np.round(x @ direction, 9), kind="stable")]
+        # whole blocks on the left, so that at most the last block isn't full
+        half = max(1, round(len(own) / 2 / BLOCK)) * BLOCK
+        todo += [order[half:], order[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 class BlockMaxIndex:
-    """Unit vectors (ascending ids) by word; ``search`` is exact."""
-
-    def __init__(self, vectors: list[dict[int, float]], ids: list[int], labels: list[int]):
-        order = sorted(range(len(ids)), key=ids.__getitem__)
-        self.ids, self.labels = [ids[k] for k in order], [labels[k] for k in order]
-        self.n_blocks = -(-len(ids) // BLOCK)
-        self.most: dict[int, np.ndarray] = {}
-        self.postings: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
+    """Unit vectors of examples by word: ``search`` is exact, whatever the order in blocks.
+
+    rows, words, weights: the entries of all vectors; ids and labels: of the examples.
+    """
+
+    def __init__(self, rows: np.ndarray, word: np.ndarray, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_words: int):
+        order = alike_order(rows, word, weights, len(ids))
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        self.ids, self.labels, self.n_blocks = ids[order], labels[order].astype(np.int32), -(-len(ids) // BLOCK)
+        at = place[rows]
+        by = np.lexsort((at, word))
+        word, at, weights = word[by], at[by], weights[by]
+        self.example, self.weight = at.astype(np.intp), weights.astype(np.float64)
+        block = at // BLOCK
+        first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])][: len(word)])
+        #: entries (word, block) with where their postings begin and their largest weight, and where a word's entries begin
+        self.begin = np.r_[first, len(word)]
+        self.size = np.diff(self.begin)
+        self.block = block[first].astype(np.intp)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.word_begin = np.searchsorted(word[first], np.arange(n_words + 1))
         self.scored = 0
-        for n, k in enumerate(order):
-            for word, weight in vectors[k].items():
-                most = self.most.setdefault(word, np.zeros(self.n_blocks))
-                most[n // BLOCK] = max(most[n // BLOCK], weight)
-                at, w = self.postings.setdefault((word, n // BLOCK), ([], []))
-                at.append(n % BLOCK)
-                w.append(weight)
-
-    def search(self, vector: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """(cosine, place) of the k nearest with a cosine above 0, nearest first, ties to the smaller id."""
-        bound = np.zeros(self.n_blocks)
-        for word, weight in vector.items():
-            if word in self.most:
-                bound += weight * self.most[word]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-9):
-                break
-            self.scored += 1
-            sums = np.zeros(BLOCK)
-            for word, weight in vector.items():
-                at, w = self.postings.get((word, int(b)), ((), ()))
-                sums[list(at)] += weight * np.array(w)
-            best += [(-round(float(sums[j]), 12), int(b) * BLOCK + int(j)) for j in np.flatnonzero(sums > 0)]
-            best = sorted(best)[:k]
-        return [(-c, n) for c, n in best]
+
+    def search(self, word: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the k nearest with a cosine above 0, nearest first, ties to the smaller id."""
+        begin = self.word_begin[word]
+        size = self.word_begin[word + 1] - begin
+        entry, own = ragged(begin, size), np.repeat(weights, size)
+        block = self.block[entry]
+        bound = np.bincount(block, self.most[entry] * own, self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        cosines, places, worst, step = np.zeros(0), np.zeros(0, np.int64), 0.0, 4
+        while len(order):
+            now, order = order[:step], order[step:]
+            wanted = np.zeros(self.n_blocks, bool)
+            wanted[now] = True
+            some = np.flatnonzero(wanted[block])
+            meant = entry[some]
+            size = self.size[meant]
+            at = ragged(self.begin[meant], size)
+            sums = np.bincount(self.example[at], self.weight[at] * np.repeat(own[some], size), len(self.ids))
+            new = np.flatnonzero(sums > 0)
+            cosines, places = np.concatenate([cosines, np.round(sums[new], 12)]), np.concatenate([places, new])
+            best = np.lexsort((self.ids[places], -cosines))[:k]
+            cosines, places = cosines[best], places[best]
+            self.scored += len(now)
+            step *= 4
+            if len(cosines) == k:
+                worst = cosines[-1]
+                order = order[bound[order] >= worst - 1e-9]
+        return cosines, places
 
 
 class Model:
-    """What scoring needs: the words' hashes, their weights, the index of examples, the share without words."""
-
-    def __init__(self, hashes: np.ndarray, idf: np.ndarray, index: BlockMaxIndex | None, prior: float, k: int):
-        self.hashes, self.idf, self.index, self.prior, self.k = hashes, idf, index, prior, k
-        self.known: dict[tuple, tuple[float, list]] = {}
-
-    def vector(self, counts: tuple) -> dict[int, float]:
-        raw = {w: (1 + math.log(n)) * float(self.idf[w]) for w, n in counts}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {w: x / norm for w, x in raw.items()}
-
-    def score(self, counts: tuple) -> tuple[float, list]:
-        """Score and evidence of a text with these (word, times)."""
-        if not counts or self.index is None:
-            return self.prior, []
-        if counts not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            near = self.index.search(self.vector(counts), self.k)
-            weights = [1 / (NEAREST + 1 - c) for c, _ in near]
-            toxic = sum(w for w, (_, n) in zip(weights, near) if self.index.labels[n])
-            self.known[counts] = (toxic + PRIOR * self.prior) / (sum(weights) + PRIOR), [(self.index.ids[n], c, self.index.labels[n]) for c, n in near[:3]]
-        return self.known[counts]
-
-
-def counts_of(texts: pa.Array, hashes: np.ndarray) -> list[tuple]:
-    """For each text its (word, times) of the words whose ascending hashes are given."""
+    """The words' ascending hashes and weights, the index of examples, and what votes mean."""
+
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, index: BlockMaxIndex | None, prior: float, k: int):
+        self.hashes, self.weights, self.index, self.prior, self.k = hashes, weights, index, prior, k
+        self.slope, self.shift = 1.0, 0.0
+
+    def vector(self, word: np.ndarray, times: np.ndarray) -> np.ndarray:
+        raw = (1 + np.log(times)) * self.weights[word]
+        norm = math.sqrt(float(raw @ raw))
+        return raw / norm if norm else raw
+
+    def vote(self, word: np.ndarray, times: np.ndarray, but: int | None = None):
+        """The toxic part of the nearest examples' votes, and these as (id, cosine, label); None without neighbours.
+
+        ``but`` is the id of an example that takes no part, nor do its copies.
+        """
+        if not len(word) or self.index is None:
+            return None, []
+        cosines, places = self.index.search(word, self.vector(word, times), self.k if but is None else self.k + 20)
+        if but is not None:
+            other = (self.index.ids[places] != but) & (cosines < 1 - 1e-9)
+            cosines, places = cosines[other][: self.k], places[other][: self.k]
+        if not len(places):
+            return None, []
+        weights = 1 / (NEAREST + 1 - cosines)
+        toxic = float(weights @ self.index.labels[places] / weights.sum())
+        return toxic, list(zip(self.index.ids[places[:3]].tolist(), cosines[:3].tolist(), self.index.labels[places[:3]].tolist()))
+
+    def score(self, word: np.ndarray, times: np.ndarray) -> tuple[float, list]:
+        """Score and evidence of a text with these words and times."""
+        toxic, near = self.vote(word, times)
+        return (self.prior, []) if toxic is None else (self.calibrated(toxic), near)
+
+    def calibrated(self, toxic: float) -> float:
+        return 1 / (1 + math.exp(-min(700.0, max(-700.0, self.slope * logit(toxic) + self.shift))))
+
+
+def logit(toxic):
+    return np.log((toxic + 0.02) / (1.02 - toxic))
+
+
+def fit_curve(toxic: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from votes to labels, by Newton's method; a weak prior keeps both finite."""
+    x = np.stack([logit(toxic), np.ones(len(toxic))], 1)
+    w, hold = np.array([1.0, 0.0]), np.diag([1.0, 0.1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold, x.T @ (labels - p) - hold @ (w - [1.0, 0.0]))
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    # votes for label 1 never lower a score
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
+def counts_of(texts: pa.Array, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its words, as places in the ascending hashes, and how often each is there."""
     found, per_text = words(texts, NOT_LETTERS)
-    out: list[tuple] = [()] * len(texts)
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
     if not len(hashes) or not len(found):
-        return out
+        return [none] * len(texts)
     at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
     hit = np.flatnonzero(hashes[at] == found)
-    text = np.searchsorted(np.cumsum(per_text), hit, side="right")
+    text = np.repeat(np.arange(len(per_text)), per_text)[hit]
     keys, n = np.unique(text * len(hashes) + at[hit], return_counts=True)
-    where = keys // len(hashes)
-    for t in np.unique(where):
-        a, b = np.searchsorted(where, [t, t + 1])
-        out[t] = tuple(zip((keys[a:b] % len(hashes)).tolist(), n[a:b].tolist()))
+    cuts = np.searchsorted(keys, np.arange(len(texts) + 1) * len(hashes))
+    return [(keys[a:b] - t * len(hashes), n[a:b]) for t, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+def _frequencies(spark: SparkSession, texts: DataFrame, hashes: np.ndarray) -> np.ndarray:
+    """In how many of all texts each word is."""
+    sent = spark.sparkContext.broadcast(hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(sent.value), np.int64)
+        for batch in slices(batches, "text"):
+            for word, _ in counts_of(batch.column("text"), sent.value):
+                held[word] += 1
+        at = np.flatnonzero(held)
+        for k in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000]), pa.array(held[at[k : k + 100_000]])], ["word", "n"])
+
+    # a row for each word of the examples at most
+    found = texts.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(hashes))
+    out[found["word"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
 
 
@@ -125,14 +221,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int =
     """The model of docs (doc_id, text) with labels (doc_id, toxic), of which rows in the held-out fold aren't read.
 
     Null labels and ids, and labels of no document, take no part. A document with two labels is toxic if
-    one of them says so.
+    one of them says so; rows that repeat an id are examples each, copies of one another. Without examples
+    every score is the same. What reaches the driver are the words of at most ``examples`` texts.
     """
     scratch = Scratch(spark, "toxic")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     named = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     named = named.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     # at most ``examples`` rows of two numbers
-    sample = scratch.keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(F.broadcast(named), "doc_id"), "sample")
+    sample = scratch.keep(texts.join(F.broadcast(named), "doc_id"), "sample")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -145,42 +243,61 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int =
 
     # a place that both labels have is a toxic one no more
     once = sample.mapInArrow(places, "word bigint, place bigint, toxic int").groupBy("word", "place").agg(F.min("toxic").alias("toxic"))
-    per_word = scratch.keep(once.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("ones")), "words")
-    every = per_word.agg(F.sum("n"), F.sum("ones")).first()
-    share = (every[1] or 0) / every[0] if every[0] else 0.0
-    few = per_word.filter((F.col("ones") >= 3) & (F.col("ones") >= LEAST_SHARE * F.col("n"))).orderBy(F.desc("ones"), "word").limit(8 * VOCABULARY).collect()
-    good = sorted((_chance(r["ones"], r["n"], share), r["word"]) for r in few)
-    hashes = np.sort(np.array([w for c, w in good[:VOCABULARY] if c < CHANCE], np.int64).view(np.uint64))
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    per_word = once.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("ones")).toPandas()
+    per_word = per_word.assign(word=per_word["word"].to_numpy(np.int64).view(np.uint64)).sort_values("word")
+    hashes = per_word["word"].to_numpy(np.uint64)
+    n_docs = docs.count()
+    idf = np.log((n_docs + 1) / (_frequencies(spark, texts, hashes) + 1)) + 1
+    weights = idf * relevance(per_word["n"].to_numpy(float), per_word["ones"].to_numpy(float))
+    sent = spark.sparkContext.broadcast(hashes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            counts = counts_of(batch.column("text"), hashes)
-            pairs = [[{"word": w, "times": n} for w, n in c] for c in counts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(pairs, pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int64())])))], ["doc_id", "toxic", "counts"])
-
-    rows = sample.mapInArrow(reduce, "doc_id bigint, toxic int, counts array<struct<word: bigint, times: bigint>>").orderBy("doc_id").collect()
-    vectors = [tuple((c["word"], c["times"]) for c in r["counts"]) for r in rows]
-    df = np.bincount([w for v in vectors for w, _ in v], minlength=len(hashes)) if len(hashes) else np.zeros(0)
-    idf = np.log((len(rows) + 1) / (df + 1)) + 1
-    without = [r["toxic"] for r, v in zip(rows, vectors) if not v]
-    model = Model(hashes, idf, None, (sum(without) + 0.05) / (len(without) + 1), k)
-    some = [(model.vector(v), r) for r, v in zip(rows, vectors) if v]
-    if some:
-        model.index = BlockMaxIndex([v for v, _ in some], [r["doc_id"] for _, r in some], [r["toxic"] for _, r in some])
+            found = counts_of(batch.column("text"), sent.value)
+            packed = [pa.array([x[c].astype("<i4").tobytes() for x in found], pa.binary()) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *packed], ["doc_id", "toxic", "words", "times"])
+
+    counted = scratch.keep(sample.mapInArrow(count, "doc_id bigint, toxic int, words binary, times binary"), "counted")
+    rows = counted.toPandas().sort_values(["doc_id", "words"], kind="stable")
+    word, times = ([np.frombuffer(x, "<i4").astype(np.int64) for x in rows[c]] for c in ("words", "times"))
+    toxic = rows["toxic"].to_numpy(np.int64)
+    model = Model(hashes, weights, None, (float(toxic.sum()) + 0.05) / (len(rows) + 1), k)
+    vectors = [model.vector(w, n) for w, n in zip(word, times)]
+    if any(map(len, vectors)):
+        at = np.repeat(np.arange(len(rows)), [len(w) for w in word])
+        model.index = BlockMaxIndex(at, np.concatenate(word), np.concatenate(vectors), rows["doc_id"].to_numpy(np.int64), toxic, len(hashes))
+        model.slope, model.shift = _curve(spark, counted, model)
     return model
 
 
+def _curve(spark: SparkSession, counted: DataFrame, model: Model) -> tuple[float, float]:
+    """The curve that the examples' own votes ask for, each example and its copies left out of its own."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "words", "times")))
+            votes = [sent.value.vote(np.frombuffer(w, "<i4").astype(np.int64), np.frombuffer(n, "<i4").astype(np.int64), d)[0] for d, w, n in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], ["vote", "toxic"])
+
+    parts = spark.sparkContext.defaultParallelism
+    found = counted.repartition(parts, "doc_id").mapInArrow(run, "vote double, toxic int").filter("vote is not null").toPandas()
+    found = found.sort_values(["vote", "toxic"])
+    return fit_curve(found["vote"].to_numpy(float), found["toxic"].to_numpy(float)) if len(found) else (1.0, 0.0)
+
+
 def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (up to three examples) of all rows of docs (doc_id, text).
 
-    A null text is empty; a text without any of the model's words gets the share of toxic examples among
-    those without one. A null id isn't held out. Rows that repeat are scored each; no rows give no rows.
+    A null text is empty; a text without any of the examples' words gets the share of toxic examples. A
+    null id isn't held out. Rows that repeat are scored each, all alike. No rows give no rows. Other columns
+    of docs are ignored, whatever their names.
     """
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [sent.value.score(c) for c in counts_of(batch.column("text"), sent.value.hashes)]
+            found = [sent.value.score(*c) for c in counts_of(batch.column("text"), sent.value.hashes)]
             why = [[{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in e] for _, e in found]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in found], pa.float64()), pa.array(why, kind)], ["doc_id", "held_out", "score", "evidence"])
@@ -197,7 +314,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, model: Model) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            good = [sent.value.score(c)[0] < 0.5 for c in counts_of(batch.column("text"), sent.value.hashes)]
+            good = [sent.value.score(*c)[0] < 0.5 for c in counts_of(batch.column("text"), sent.value.hashes)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
