@@ -27,8 +27,8 @@ def folded_map(text: str) -> tuple[str, list[int]]:
     return "".join(out), places + [len(text)]
 
 
-def spans(text: str, literal: str, ignore_case: bool = False) -> list[tuple[int, int]]:
-    """Character spans of all matches from the left, none overlapping another.
+def spans(text: str, literal: str, ignore_case: bool = False, overlapping: bool = False) -> list[tuple[int, int]]:
+    """Character spans of all matches from the left, none overlapping another unless overlapping ones are asked for.
 
     A folded match that begins or ends inside what one character folds to takes the whole character, and
     the next match begins after it.
@@ -37,15 +37,15 @@ def spans(text: str, literal: str, ignore_case: bool = False) -> list[tuple[int,
     if not ignore_case:
         while (k := text.find(literal, at)) >= 0:
             found.append((k, k + len(literal)))
-            at = k + len(literal)
+            at = k + (1 if overlapping else len(literal))
         return found
     folded, places = folded_map(text)
     needle = literal.casefold()
     while (k := folded.find(needle, at)) >= 0:
         begin, end = places[k], places[k + len(needle) - 1] + 1
         found.append((begin, end))
-        at = k + len(needle)
-        while at < len(folded) and places[at] < end:
+        at = k + (1 if overlapping else len(needle))
+        while not overlapping and at < len(folded) and places[at] < end:
             at += 1
     return found
 

@@ -3,11 +3,17 @@
 A documents frame has ``doc`` and ``text``; other columns are dropped. Two sets of terminators exist: ``lf``
 is the line feed alone, and a CR before it stays on the line that is searched; ``unicode`` is LF, VT, FF,
 CR, NEL, LS and PS, with CR LF as one. A terminator at the end begins no further line.
+
+Everything here takes time in proportion to a text: a text is cut once, and what belongs to its lines is
+zipped with them. An expression over the whole text must not stand inside a function of one line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LF, UNICODE = "lf", "unicode"
@@ -21,29 +27,75 @@ def _check(newlines: str) -> str:
     return newlines
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def line_array(text: Column | str, newlines: str = LF) -> Column:
     """The lines of a text, without terminators; an empty text has none."""
-    parts = F.split(text, TERMINATOR[_check(newlines)], -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    whole_ends = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    return once(F.split(text, TERMINATOR[_check(newlines)], -1), whole_ends)
+
+
+def terminators(text: Column | str, parts: Column, newlines: str = LF) -> Column:
+    """The terminator of each of the parts that a text is cut into; the last has none."""
+    if newlines == LF:
+        return F.concat(F.array_repeat(F.lit("\n"), F.size(parts) - 1), F.array(F.lit("")))
+    return F.concat(F.regexp_extract_all(text, F.lit(TERMINATOR[newlines]), 0), F.array(F.lit("")))
 
 
 def line_structs(text: Column | str, newlines: str = LF) -> Column:
     """Structs (as_cut, terminator) of a text; only an unterminated last line has an empty terminator."""
-    ends = F.concat(F.regexp_extract_all(text, F.lit(TERMINATOR[_check(newlines)]), 0), F.array(F.lit("")))
-    lines = line_array(text, newlines)
-    return F.transform(lines, lambda line, k: F.struct(line.alias("as_cut"), ends[k].alias("terminator")))
 
+    def zipped(parts: Column) -> Column:
+        both = F.arrays_zip(parts.alias("as_cut"), terminators(text, parts, newlines).alias("terminator"))
+        return F.when(F.element_at(parts, -1) == "", F.slice(both, 1, F.size(parts) - 1)).otherwise(both)
+
+    found = once(F.split(text, TERMINATOR[_check(newlines)], -1), zipped)
+    return found.cast("array<struct<as_cut: string, terminator: string>>")
+
+
+def without_cr(line: Column | str) -> Column:
+    """A line without a CR at its end."""
+    line = F.col(line) if isinstance(line, str) else line
+    return F.when(F.endswith(line, F.lit("\r")), F.left(line, F.char_length(line) - 1)).otherwise(line)
 
-def lines(docs: DataFrame, newlines: str = LF, offsets: bool = False) -> DataFrame:
+
+def begins(sizes: Column) -> Column:
+    """The sums of all sizes before each of an array; Spark's own running sum would take a window over lines."""
+
+    def run(every: pd.Series) -> pd.Series:
+        return every.map(lambda own: None if own is None else own.cumsum() - own)
+
+    return F.pandas_udf(run, "array<long>")(sizes)
+
+
+def numbered_lines(docs: DataFrame, newlines: str = LF, offsets: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """As ``lines``, with the columns of docs that ``carry`` names and n_lines of the document, without a shuffle."""
+    cut = docs.select("doc", *carry, "text", F.split("text", TERMINATOR[_check(newlines)], -1).alias("parts"))
+    cut = cut.withColumn("n_parts", F.size("parts"))
+    plain = newlines == LF and not offsets
+    if plain:
+        rows = cut.select("doc", *carry, "n_parts", (F.element_at("parts", -1) == "").alias("ended"), F.posexplode("parts").alias("at", "as_cut"))
+        rows = rows.withColumn("terminator", F.when(F.col("at") < F.col("n_parts") - 1, F.lit("\n")).otherwise(F.lit("")))
+    else:
+        cut = cut.withColumn("ends", terminators("text", F.col("parts"), newlines))
+        zipped = [F.col("parts").alias("as_cut"), F.col("ends").alias("terminator")]
+        if offsets:
+            sizes = F.transform(F.arrays_zip("parts", "ends"), lambda z: (F.octet_length(z["parts"]) + F.octet_length(z["ends"])).cast("long"))
+            cut = cut.withColumn("begins", begins(sizes))
+            zipped.append(F.col("begins").alias("byte_offset"))
+        rows = cut.select("doc", *carry, "n_parts", (F.element_at("parts", -1) == "").alias("ended"), F.posexplode(F.arrays_zip(*zipped)).alias("at", "z"))
+        rows = rows.select("doc", *carry, "n_parts", "ended", "at", "z.*")
+    rows = rows.filter((F.col("at") < F.col("n_parts") - 1) | (F.col("as_cut") != ""))
+    own = ["as_cut", without_cr("as_cut").alias("body"), "terminator", *(["byte_offset"] if offsets else [])]
+    return rows.select("doc", *carry, (F.col("at") + 1).cast("long").alias("line_no"), *own, (F.col("n_parts") - F.col("ended").cast("int")).cast("long").alias("n_lines"))
+
+
+def lines(docs: DataFrame, newlines: str = LF, offsets: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc, line_no (from 1), as_cut, body (without a CR at its end), terminator, and with offsets byte_offset."""
-    rows = docs.select("doc", F.posexplode(line_structs("text", newlines)).alias("at", "line"))
-    rows = rows.select("doc", (F.col("at") + 1).cast("long").alias("line_no"), "line.as_cut", F.regexp_replace("line.as_cut", r"\r\z", "").alias("body"), "line.terminator")
-    if offsets:
-        # the lines of one document, which was one value before
-        before = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-        size = F.octet_length("as_cut") + F.octet_length("terminator")
-        rows = rows.withColumn("byte_offset", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
-    return rows
+    return numbered_lines(docs, newlines, offsets, carry).drop("n_lines")
 
 
 def whole() -> Column:
@@ -51,12 +103,6 @@ def whole() -> Column:
     return F.concat("as_cut", "terminator")
 
 
-def with_byte_offsets(hit: DataFrame) -> DataFrame:
-    """byte_offset of rows of ``lines`` that all are still there."""
-    before = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return hit.withColumn("byte_offset", F.coalesce(F.sum(F.octet_length("as_cut") + F.octet_length("terminator")).over(before), F.lit(0)).cast("long"))
-
-
 def quoted(literal: str) -> str:
     """A Java pattern of exactly this text."""
     return r"\Q" + literal.replace(r"\E", r"\E\\E\Q") + r"\E"

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.folding import fold
-from weft.functions.lines import LF, UNICODE, lines, whole
+from weft.functions.lines import LF, UNICODE, line_structs, lines, whole, without_cr
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,13 +63,11 @@ def by_bytes(docs: DataFrame, budget: int, header_bytes: int = 0, newlines: str
     """
     if budget <= header_bytes:
         raise ValueError("the header leaves no room for lines")
-    from weft.functions.lines import line_structs
-
     rows = docs.select("doc", line_structs("text", newlines).alias("parts"))
     sizes = F.transform("parts", lambda s: (F.octet_length(s["as_cut"]) + F.octet_length(s["terminator"])).cast("long"))
     rows = rows.withColumn("places", _greedy(sizes, budget - header_bytes))
     rows = rows.select("doc", F.posexplode(F.arrays_zip("parts", "places")).alias("at", "z"))
-    return rows.select("doc", (F.col("at") + 1).cast("long").alias("line_no"), "z.parts.as_cut", F.regexp_replace("z.parts.as_cut", r"\r\z", "").alias("body"), "z.parts.terminator", F.col("z.places").alias("chunk"))
+    return rows.select("doc", (F.col("at") + 1).cast("long").alias("line_no"), "z.parts.as_cut", without_cr("z.parts.as_cut").alias("body"), "z.parts.terminator", F.col("z.places").alias("chunk"))
 
 
 def by_count(docs: DataFrame, n: int, newlines: str = LF) -> DataFrame:
@@ -79,9 +77,10 @@ def by_count(docs: DataFrame, n: int, newlines: str = LF) -> DataFrame:
     """
     if n < 1:
         raise ValueError("there is a share at least")
-    sizes = docs.select("doc", F.octet_length("text").cast("long").alias("total"))
-    rows = lines(docs, newlines, offsets=True).join(sizes, "doc")
-    share = F.when(F.col("byte_offset") == 0, F.lit(0)).otherwise(F.least(F.lit(n - 1), F.ceil(F.col("byte_offset") * n / F.col("total")) - 1)).cast("long")
+    rows = lines(docs.withColumn("total", F.octet_length("text").cast("long")), newlines, offsets=True, carry=("total",))
+    # in whole numbers: a double has no room for bytes times shares
+    above = F.expr(f"cast((cast(byte_offset as decimal(38, 0)) * {n} + total - 1) div total as bigint)")
+    share = F.when(F.col("byte_offset") == 0, F.lit(0)).otherwise(F.least(F.lit(n - 1), above - 1)).cast("long")
     checked = F.when(F.col("total") >= n, share).otherwise(F.raise_error(F.lit(f"{n} shares of fewer bytes")).cast("long"))
     return rows.withColumn("chunk", checked).drop("total")
 
@@ -96,18 +95,31 @@ def by_pattern(docs: DataFrame, pattern: str, ignore_case: bool = False, newline
     return rows.withColumn("chunk", F.sum("starts").over(_order())).drop("starts")
 
 
-def with_header(docs: DataFrame, n: int, cut) -> DataFrame:
+def with_header(docs: DataFrame, n: int, cut, budget: int | None = None) -> DataFrame:
     """Lines of ``cut`` (a function of documents) over what follows the first n lines, and those in each chunk.
 
-    Header lines have negative line numbers in every chunk; the others keep theirs.
+    Header lines have negative line numbers in every chunk; the others keep those they have in what follows.
+    A document of n lines or fewer has nothing to chunk and is refused when its rows are read, as is one whose
+    header alone reaches the budget, where one is given.
     """
-    rows = lines(docs)
-    header = rows.filter(F.col("line_no") <= n).select("doc", (F.col("line_no") - n - 1).alias("line_no"), "as_cut", "body", "terminator")
-    order = F.transform(F.array_sort(F.collect_list(F.struct("line_no", whole().alias("w")))), lambda s: s["w"])
-    rest = rows.filter(F.col("line_no") > n).groupBy("doc").agg(F.array_join(order, "").alias("text"))
-    cut_rows = cut(rest).select("doc", "line_no", "as_cut", "body", "terminator", "chunk")
+    if n < 1:
+        raise ValueError("a header has a line at least")
+    parts = docs.withColumn("parts", line_structs("text"))
+    joined = lambda p: F.array_join(F.transform(p, lambda s: F.concat(s["as_cut"], s["terminator"])), "")
+    head = F.slice("parts", 1, n)
+    name = F.col("doc").cast("string")
+    fit = F.size("parts") > n
+    why = F.when(~fit, F.concat(name, F.lit(f": no line follows a header of {n}")))
+    if budget is not None:
+        wide = F.octet_length(joined(head)) >= budget
+        why, fit = why.when(wide, F.concat(name, F.lit(f": its header leaves no room in {budget} bytes"))), fit & ~wide
+    rest = joined(F.slice("parts", F.lit(n + 1), F.greatest(F.size("parts") - n, F.lit(0))))
+    rows = parts.select("doc", head.alias("head"), F.when(fit, rest).otherwise(F.raise_error(why).cast("string")).alias("text"))
+    cut_rows = cut(rows.select("doc", "text")).select("doc", "line_no", "as_cut", "body", "terminator", "chunk")
     every = cut_rows.select("doc", "chunk").distinct()
-    return cut_rows.unionByName(header.join(every, "doc").select("doc", "line_no", "as_cut", "body", "terminator", "chunk"))
+    header = every.join(rows.select("doc", F.posexplode("head").alias("at", "line")), "doc")
+    header = header.select("doc", (F.col("at") - n).cast("long").alias("line_no"), "line.as_cut", without_cr("line.as_cut").alias("body"), "line.terminator", "chunk")
+    return cut_rows.unionByName(header)
 
 
 def chunks(cut: DataFrame, count: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import folding
-from weft.functions.lines import LF, UNICODE, line_structs, lines, quoted, whole
+from weft.functions.lines import LF, UNICODE, line_array, lines, numbered_lines, quoted, whole
 from weft.functions.names import DEFAULT, content_name
 
 SPAN = "array<struct<start: long, end: long, column: long, match: string>>"
@@ -58,17 +58,11 @@ class Search:
         if not self.word:
             return folding.spans(text, self.pattern, self.ignore_case)
         inside = (lambda c: c == "_" or c.isalpha() or c.isnumeric()) if self.newlines == UNICODE else (lambda c: c == "_" or (c.isascii() and c.isalnum()))
-        found, at = [], 0
-        while at <= len(text):
-            near = folding.spans(text[at:], self.pattern, self.ignore_case)
-            if not near:
-                break
-            a, b = near[0][0] + at, near[0][1] + at
-            if (a and inside(text[a - 1])) or (b < len(text) and inside(text[b])):
-                at = a + 1
-            else:
+        found, free = [], 0
+        for a, b in folding.spans(text, self.pattern, self.ignore_case, overlapping=True):
+            if a >= free and not (a and inside(text[a - 1])) and not (b < len(text) and inside(text[b])):
                 found.append((a, b))
-                at = b
+                free = b
         return found
 
     def spans_udf(self):
@@ -80,8 +74,10 @@ class Search:
             out = []
             for t in text:
                 one = []
+                at = start = 0
                 for a, b in self.spans(t or ""):
-                    start = len(t[:a].encode())
+                    start += len(t[at:a].encode())
+                    at = a
                     one.append({"start": start, "end": start + len(t[a:b].encode()), "column": (a if chars else start) + 1, "match": t[a:b]})
                 out.append(one)
             return pd.Series(out)
@@ -89,24 +85,23 @@ class Search:
         return run
 
 
-def hits(docs: DataFrame, search: Search, offsets: bool = False) -> DataFrame:
-    """Selected lines: doc, line_no, as_cut, body, terminator (and byte_offset).
+def hits(docs: DataFrame, search: Search, offsets: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Selected lines: doc, line_no, as_cut, body, terminator (and byte_offset), with the columns that carry names.
 
-    A document without the literal has no selected line, so it isn't split at all; not so when inverted, or
-    when the lines before a hit count for its offset.
+    A document without the literal has no selected line, so it isn't split at all; not so when inverted.
     """
-    if not search.invert and not search.word and not offsets:
+    if not search.invert:
         docs = docs.filter(folding.contains("text", search.pattern, search.ignore_case))
     hit = search.matches("as_cut")
-    return lines(docs, search.newlines, offsets).filter(~hit if search.invert else hit)
+    return lines(docs, search.newlines, offsets, carry).filter(~hit if search.invert else hit)
 
 
-def matches(docs: DataFrame, search: Search, offsets: bool = False) -> DataFrame:
-    """One row for each match: doc, line_no, start, end (bytes in the line), column, match; none when inverted."""
+def matches(docs: DataFrame, search: Search, offsets: bool = False, body: bool = False) -> DataFrame:
+    """One row for each match: doc, line_no, start, end (bytes in the line), column, match, and with body the line; none when inverted."""
     if search.invert:
         raise ValueError("an inverted search has no matches to show")
     found = hits(docs, search, offsets)
-    keep = ["doc", "line_no", *(["byte_offset"] if offsets else [])]
+    keep = ["doc", "line_no", *(["body"] if body else []), *(["byte_offset"] if offsets else [])]
     return found.select(*keep, F.explode(search.spans_udf()("as_cut")).alias("m")).select(*keep, "m.start", "m.end", "m.column", "m.match")
 
 
@@ -123,10 +118,11 @@ def count_lines(docs: DataFrame, search: Search, zeros: bool = False) -> DataFra
         found = docs.select("doc", n.alias("count"))
         return found if zeros else found.filter("count > 0")
     # counted in the array, without a row for each line
-    good = lambda s: search.matches(s["as_cut"])
     if not search.ignore_case:
-        test = (lambda s: ~good(s)) if search.invert else good
-        found = docs.select("doc", F.size(F.filter(line_structs("text", search.newlines), test)).cast("long").alias("count"))
+        if not search.invert and not zeros:
+            docs = docs.filter(F.contains("text", F.lit(search.pattern)))
+        test = (lambda line: ~search.matches(line)) if search.invert else search.matches
+        found = docs.select("doc", F.size(F.filter(line_array("text", search.newlines), test)).cast("long").alias("count"))
         return found if zeros else found.filter("count > 0")
     found = hits(docs, search).groupBy("doc").agg(F.count("*").alias("count"))
     return docs.select("doc").join(found, "doc", "left").select("doc", F.coalesce("count", F.lit(0)).alias("count")) if zeros else found
@@ -155,10 +151,14 @@ def capped(docs: DataFrame, search: Search, most: int) -> DataFrame:
     if most < 1:
         raise ValueError("a cap is at least 1")
     place = F.row_number().over(Window.partitionBy("doc").orderBy("line_no"))
-    found = hits(docs, search).withColumn("place", place).filter(F.col("place") <= most)
-    sizes = docs.select("doc", F.size(line_structs("text", search.newlines)).alias("n_lines"))
-    ends = found.filter(F.col("place") == most).join(sizes, "doc").filter("line_no < n_lines").agg(F.min("doc").alias("last"))
-    return found.crossJoin(F.broadcast(ends)).filter(F.col("last").isNull() | (F.col("doc") <= F.col("last"))).drop("place", "last")
+    hit = search.matches("as_cut")
+    if not search.invert:
+        docs = docs.filter(folding.contains("text", search.pattern, search.ignore_case))
+    rows = numbered_lines(docs, search.newlines).filter(~hit if search.invert else hit)
+    found = rows.withColumn("place", place).filter(F.col("place") <= most)
+    # one row
+    ends = found.filter((F.col("place") == most) & (F.col("line_no") < F.col("n_lines"))).agg(F.min("doc").alias("last"))
+    return found.crossJoin(F.broadcast(ends)).filter(F.col("last").isNull() | (F.col("doc") <= F.col("last"))).drop("place", "last", "n_lines")
 
 
 def context(docs: DataFrame, search: Search, before: int = 0, after: int = 0) -> DataFrame:
@@ -185,9 +185,10 @@ def context(docs: DataFrame, search: Search, before: int = 0, after: int = 0) ->
 def multiline(docs: DataFrame, search: Search, before: int = 0, after: int = 0) -> DataFrame:
     """Lines that matches over the whole text touch, with context: as ``context``. Lines end at LF."""
     spans = docs.select("doc", "text", search.spans_udf()("text").alias("spans")).filter(F.size("spans") > 0)
-    rows = lines(spans.select("doc", "text"), LF, offsets=True)
-    ends = F.col("byte_offset") + F.octet_length("as_cut") + F.octet_length("terminator")
-    rows = rows.withColumn("line_end", ends).join(spans.select("doc", "spans"), "doc")
+    # the first and the last byte of each match, so that a line carries no more than these
+    spans = spans.withColumn("spans", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    rows = lines(spans, LF, offsets=True, carry=("spans",))
+    rows = rows.withColumn("line_end", F.col("byte_offset") + F.octet_length("as_cut") + F.octet_length("terminator"))
     touched = F.exists("spans", lambda s: (s["start"] < F.col("line_end")) & (s["end"] > F.col("byte_offset")))
     order = Window.partitionBy("doc").orderBy("line_no")
     rows = rows.withColumn("is_match", touched).withColumn("near", F.max(F.col("is_match").cast("int")).over(order.rowsBetween(-after, before)) == 1).filter("near")
@@ -197,22 +198,28 @@ def multiline(docs: DataFrame, search: Search, before: int = 0, after: int = 0)
 
 def fields(docs: DataFrame, search: Search, hash_width: int = DEFAULT) -> DataFrame:
     """Selected lines with every field: line_no, column of the first match, byte_offset, line_hash, file_hash, line."""
-    named = docs.select("doc", "text", content_name("text").alias("file_hash"))
-    found = hits(docs, search, offsets=True).join(named.select("doc", "file_hash"), "doc")
+    found = hits(docs.withColumn("file_hash", content_name("text")), search, offsets=True, carry=("file_hash",))
     first = F.lit(None).cast("long") if search.invert else search.spans_udf()("as_cut")[0]["column"]
     return found.select("doc", "line_no", first.alias("column"), "byte_offset", content_name(whole(), hash_width).alias("line_hash"), "file_hash", F.col("body").alias("line"))
 
 
 def summary(docs: DataFrame, search: Search) -> DataFrame:
     """One row: files_searched, files_matched, lines, matches, bytes."""
-    counts = count_lines(docs, search, zeros=True)
+    size = F.octet_length("text").cast("long").alias("size")
     if search.ignore_case or search.word:
-        times = matches(docs, search).groupBy("doc").agg(F.count("*").alias("times")) if not search.invert else None
+        # lines and their matches are told in the tasks that fold or look at the edges
+        hit = search.matches("as_cut")
+        rows = lines(docs, search.newlines).withColumn("hit", ~hit if search.invert else hit)
+        times = F.lit(0) if search.invert else F.when(F.col("hit"), F.size(search.spans_udf()("as_cut"))).otherwise(0)
+        found = rows.withColumn("times", times).groupBy("doc").agg(F.count_if("hit").alias("count"), F.sum("times").alias("times"))
+        rows = found.select("doc", "count", "times", F.lit(0).cast("long").alias("size"), F.lit(0).alias("one")).unionAll(docs.select("doc", F.lit(0).cast("long"), F.lit(0).cast("long"), size, F.lit(1)))
     else:
-        times = None if search.invert else docs.select("doc", F.aggregate(line_structs("text", search.newlines), F.lit(0).cast("long"), lambda a, s: a + occurrences(s["as_cut"], search.pattern)).alias("times"))
-    rows = docs.select("doc", F.octet_length("text").cast("long").alias("size")).join(counts, "doc")
-    rows = rows.join(times, "doc", "left") if times is not None else rows.withColumn("times", F.lit(0).cast("long"))
-    return rows.agg(F.count("*").alias("files_searched"), F.count_if(F.col("count") > 0).alias("files_matched"), F.coalesce(F.sum("count"), F.lit(0)).alias("lines"), F.coalesce(F.sum("times"), F.lit(0)).alias("matches"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+        every = line_array("text", search.newlines)
+        test = (lambda line: ~search.matches(line)) if search.invert else search.matches
+        times = F.lit(0) if search.invert else F.aggregate(every, F.lit(0).cast("long"), lambda a, line: a + occurrences(line, search.pattern))
+        rows = docs.select("doc", F.size(F.filter(every, test)).cast("long").alias("count"), times.cast("long").alias("times"), size, F.lit(1).alias("one"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.agg(total("one").alias("files_searched"), F.count_if(F.col("count") > 0).alias("files_matched"), total("count").alias("lines"), total("times").alias("matches"), total("size").alias("bytes"))
 
 
 def is_binary(content: Column | str) -> Column:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.lines import LF, UNICODE, lines
+from weft.functions.lines import LF, UNICODE, numbered_lines
 
 K1, B = 1.2, 0.75
 #: Weight of a variant by its last edit, before it is divided by one plus the number of edits.
@@ -185,10 +185,10 @@ def score(spark: SparkSession, docs: DataFrame, queries: list[str], effort: Effo
     """
     names = effort.folds if folds is None else fold_names(folds)
     words = vocabulary([folded(q, names, ignore_case)[0] for q in queries], effort, **options)
-    rows = lines(docs, UNICODE if unicode or ignore_case else LF)
-    size = (F.octet_length("as_cut") + F.octet_length("terminator")).cast("double")
-    rows = rows.withColumn("size", size)
-    mean = rows.groupBy("doc").agg(F.avg("size").alias("mean"))
+    newlines = UNICODE if unicode or ignore_case else LF
+    # the sizes of all lines of a document are those of its text
+    rows = numbered_lines(docs.withColumn("total", F.octet_length("text")), newlines, carry=("total",))
+    rows = rows.withColumn("size", (F.octet_length("as_cut") + F.octet_length("terminator")).cast("double")).withColumn("mean", F.col("total") / F.col("n_lines"))
     target = _folder(names, ignore_case)("as_cut") if names or ignore_case else F.col("as_cut")
     rows = rows.withColumn("target", target)
     if len(words) <= SMALL:
@@ -196,7 +196,7 @@ def score(spark: SparkSession, docs: DataFrame, queries: list[str], effort: Effo
         # at most SMALL needles: every line meets each
         tf = F.regexp_count("target", F.concat(F.lit("(?=\\Q"), F.replace("needle", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")))
         hit = rows.join(F.broadcast(needles), F.contains("target", F.col("needle"))).withColumn("tf", tf.cast("double"))
-        hit = hit.groupBy("doc", "line_no", F.col("body").alias("line"), "size").agg(F.collect_list(F.struct("weight", "tf")).alias("terms"))
+        hit = hit.groupBy("doc", "line_no", F.col("body").alias("line"), "size", "mean").agg(F.collect_list(F.struct("weight", "tf")).alias("terms"))
     else:
         ball = spark.sparkContext.broadcast(words)
 
@@ -211,8 +211,7 @@ def score(spark: SparkSession, docs: DataFrame, queries: list[str], effort: Effo
                 out.append([{"weight": ball.value[w], "tf": float(n)} for w, n in sorted(seen.items())])
             return pd.Series(out)
 
-        hit = rows.withColumn("terms", count("target")).filter(F.size("terms") > 0).select("doc", "line_no", F.col("body").alias("line"), "size", "terms")
-    hit = hit.join(mean, "doc")
+        hit = rows.withColumn("terms", count("target")).filter(F.size("terms") > 0).select("doc", "line_no", F.col("body").alias("line"), "size", "mean", "terms")
     norm = F.when(F.col("mean") > 0, 1 - B + B * F.col("size") / F.col("mean")).otherwise(1.0)
     total = F.aggregate(F.array_sort("terms"), F.lit(0.0), lambda a, t: a + t["weight"] * t["tf"] * (K1 + 1) / (t["tf"] + K1 * norm))
     found = hit.withColumn("score", total).filter((F.col("score") > 0) & (F.col("score") >= min_score))
@@ -222,13 +221,13 @@ def score(spark: SparkSession, docs: DataFrame, queries: list[str], effort: Effo
 def _automaton(words):
     import ahocorasick
 
-    key = id(words)
-    if _KEPT.get("key") != key:
+    # kept by what is in it: another vocabulary may come to live at the same place
+    if _KEPT.get("words") is not words and _KEPT.get("words") != words:
         scan = ahocorasick.Automaton()
         for w in words:
             scan.add_word(w, w)
         scan.make_automaton()
-        _KEPT.update(key=key, scan=scan)
+        _KEPT.update(words=words, scan=scan)
     return _KEPT["scan"]
 
 

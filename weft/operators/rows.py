@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.lines import LF, line_structs, lines, whole
+from weft.functions.lines import LF, numbered_lines, whole
 from weft.functions.names import DEFAULT, content_name
 
 
@@ -32,19 +32,15 @@ def parse_rows(text: str) -> list[tuple[int, int | None]]:
 def select_rows(docs: DataFrame, rows: str | None = None, tail: int | None = None, every: int | None = None, newlines: str = LF) -> DataFrame:
     """doc, line_no, line by exactly one of: ranges, the last ``tail`` rows, each ``every``-th row.
 
-    The last rows are cut from the array of lines, so that only they become rows.
+    A document's number of lines comes with each line, so the last ones need no shuffle.
     """
     if sum(x is not None for x in (rows, tail, every)) != 1:
         raise ValueError("exactly one of rows, tail and every")
     if tail is not None:
         if tail < 1:
             raise ValueError("tail is at least 1")
-        parts = docs.select("doc", line_structs("text", newlines).alias("parts")).withColumn("n", F.size("parts"))
-        cut = F.slice("parts", F.greatest(F.lit(1), F.col("n") - tail + 1), F.lit(tail))
-        out = parts.select("doc", "n", F.posexplode(cut).alias("at", "line"))
-        out = out.select("doc", (F.greatest(F.lit(0), F.col("n") - tail) + F.col("at") + 1).cast("long").alias("line_no"), "line.as_cut", "line.terminator")
-        return _shown(out.withColumn("body", F.regexp_replace("as_cut", r"\r\z", "")))
-    found = lines(docs, newlines)
+        return _shown(numbered_lines(docs, newlines).filter(F.col("line_no") > F.col("n_lines") - tail))
+    found = numbered_lines(docs, newlines)
     if every is not None:
         if every < 1:
             raise ValueError("every is at least 1")

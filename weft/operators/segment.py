@@ -78,7 +78,8 @@ def sentences(text: str) -> list[str]:
         # a terminator, then closes, then spaces, then a separator
         term, j = k, after.get(k, n)
         if kind == "ATerm" and j < n:
-            before = max((x for x in solid[:_index(solid, k)][-1:]), default=None)
+            place = _index(solid, k)
+            before = solid[place - 1] if place else None
             if kinds[j] == "Numeric" or (kinds[j] == "Upper" and before is not None and kinds[before] in ("Upper", "Lower")):
                 k += 1
                 continue

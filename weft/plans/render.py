@@ -94,7 +94,7 @@ def vimgrep(docs: DataFrame, search: Search) -> DataFrame:
     if search.invert:
         rows = hits(docs, search).withColumn("column", F.lit(1).cast("long"))
     else:
-        rows = matches(docs, search).join(hits(docs, search).select("doc", "line_no", "body"), ["doc", "line_no"])
+        rows = matches(docs, search, body=True)
     return rows.select("doc", "line_no", F.concat_ws(":", F.col("doc").cast("string"), "line_no", "column", "body").alias("text"))
 
 
