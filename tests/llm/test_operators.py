@@ -1,6 +1,7 @@
 """The ten operators on small tables with everything odd in them, against brute force."""
 
 import collections
+import pickle
 import random
 import re
 import zlib
@@ -74,10 +75,47 @@ def test_mix_comes_near_its_targets(spark):
         taken[x.source_size] += x.taken
         target[x.source_size] = x.target
     assert abs(sum(target.values()) - sum(x.size for x in found)) < 1e-6
-    assert all(abs(taken[s] - t) <= 60 for s, t in target.items())
+    # the last document closes the gap
+    assert all(abs(taken[s] - t) <= 2 for s, t in target.items())
     assert all(t <= 3 * s + 1e-9 for s, t in target.items())
 
 
+def test_mix_includes_by_pareto_odds(spark):
+    """Rows are drawn as often as their own probabilities say, which differ; and as a slow Pareto sample of them says."""
+    rows = [(k, "w " * (5 if k % 5 else 80), "ab"[k % 2]) for k in range(6000)] + [(7000 + k, t, "c") for k, t in enumerate([None, "", " "])]
+    # weights 5 and 2: a has its words and more, b two sevenths of all
+    sizes = spark.createDataFrame([(i, s, len((t or "").split()), 0) for i, t, s in rows], "doc_id bigint, source string, size bigint, v bigint")
+    scratch = Scratch(spark, "test")
+    chances = {x.doc_id: x for x in pareto_mix.inclusion(scratch, sizes, scratch.keep(pareto_mix.source_targets(sizes), "targets")).collect()}
+    assert all(0 <= x.p < 1 for x in chances.values())
+    found = {x.doc_id: x for x in pareto_mix.mix(spark, spark.createDataFrame(rows, NONE)).collect()}
+    assert all(found[7000 + k].taken == 0 and found[7000 + k].source_size == 0 for k in range(3))
+    for source in (0, 1):
+        odds = set()
+        for remainder in (0, 1):
+            some = [k for k in range(6000) if k % 2 == source and (k % 5 > 0) == remainder]
+            p = {round(chances[k].p, 9) for k in some}
+            assert len(p) == 1
+            odds |= p
+            p, n = p.pop(), len(some)
+            hit = sum(found[k].copies - chances[k].whole for k in some)
+            assert abs(hit - n * p) < 4 * (n * p * (1 - p)) ** 0.5 + 1
+        # short documents are drawn more often than long ones
+        assert len(odds) == 2 and chances[1 if source else 2].p > chances[5 if source else 0].p
+        # expected words are those that are due
+        own = [x for k, x in chances.items() if k < 6000 and k % 2 == source]
+        assert abs(sum(x.p * x.size for x in own) - own[0].due) < 1e-6 * own[0].due
+        # the same ranks by hand
+        u = {x.doc_id: (int(__import__("hashlib").md5(f"{x.doc_id}:{pareto_mix.SEED}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for x in own}
+        left, last = own[0].due, False
+        for x in sorted(own, key=lambda x: (u[x.doc_id] / (1 - u[x.doc_id])) / (x.p / (1 - x.p))):
+            last = last or x.size > left
+            if not last:
+                left -= x.size
+                assert found[x.doc_id].copies == x.whole + 1
+        assert sum(found[x.doc_id].taken for x in own) - x.target <= left + 80
+
+
 def brute_components(rows):
     def shingles(t):
         w = (t or "").encode().lower().split()
@@ -397,15 +435,17 @@ def test_block_max_search_is_exact():
         dense[k, g.choice(width // 2, 6, replace=False) + k % 2 * (width // 2)] = g.random(6)
     dense[17] = dense[23]
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    # weights are kept in 32 bits
+    dense = dense.astype(np.float32).astype(float)
     ids = g.permutation(n)
     rows, cols = np.nonzero(dense)
-    index = nearest_toxic.BlockMaxIndex(rows, cols, dense[rows, cols], ids, np.zeros(n, int), width)
+    index = pickle.loads(pickle.dumps(nearest_toxic.BlockMaxIndex(rows, cols, dense[rows, cols], ids, np.zeros(n, int), width)))
     for q in dense[:60]:
         brute = sorted((-round(float(c), 12), int(d)) for c, d in zip(dense @ q, ids))
         want = [(-c, d) for c, d in brute if c < 0][:9]
         at = np.flatnonzero(q)
         cosines, places = index.search(at, q[at], 9)
-        assert index.ids[places].tolist() == [d for _, d in want] and np.allclose(cosines, [c for c, _ in want], atol=1e-11)
+        assert index.ids[places].tolist() == [d for _, d in want] and np.allclose(cosines, [c for c, _ in want], atol=1e-7)
     # alike vectors share blocks, so blocks of the other kind aren't read
     assert index.scored < 60 * index.n_blocks
     assert len(nearest_toxic.alike_order(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0)) == 0
@@ -422,13 +462,93 @@ def test_html():
     assert html_blocks.main_text(plain).count("\n") == 1
     for odd in (None, "", "<", "<p", "text only <b", "<article><p>" + "a " * 100_000, "<!-- open", "<script>open", '<a href="x' * 2000):
         assert isinstance(html_blocks.main_text(odd), str)
-    assert all(html_blocks.is_main(row[:-1]) == row[-1] for row in html_blocks.LABELLED)
+    assert all(html_blocks.is_main(row[:-1]) == row[-1] for row in html_blocks.labelled_rows())
+
+
+class Slow(__import__("html.parser").parser.HTMLParser):
+    """Blocks of the first article of a well-formed page, without those in named or semantic other parts; by the standard parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.found, self.now = [], [], []
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        if text:
+            self.found.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now.append(" ")
+        if tag in html_blocks.BLOCK:
+            self.cut()
+        if tag not in html_blocks.VOID:
+            self.stack.append((tag, dict(attrs).get("class", "")))
+
+    def handle_endtag(self, tag):
+        if tag in html_blocks.BLOCK:
+            self.cut()
+        while self.stack and self.stack.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        names = [t for t, _ in self.stack]
+        if "article" in names and not {"script", "style", "aside", "form", "footer", "nav"} & set(names) and not any(c in ("comments", "ad") for _, c in self.stack[names.index("article") :]):
+            self.now.append(data)
+
+
+def test_html_against_another_parser():
+    r = random.Random(11)
+    say = lambda n: " ".join(r.choice(VOCABULARY) for _ in range(n))
+    for k in range(60):
+        inner = [f"<h1>{say(r.randint(1, 12))}</h1>"]
+        for _ in range(r.randint(1, 12)):
+            kind = r.randint(0, 8)
+            text = say(r.choice([1, 2, 5, 20, 60, 150]))
+            inner.append([f"<p>{text}</p>", f"<p>{text} <a href=x>{say(2)}</a> &amp; {say(9)}</p>", f"<p><b>{text}</b><br>{say(3)}</p>", f"<ul><li>{text}</li><li>{say(4)}</li></ul>", f"<div class=comments><p>{text}</p></div>", f"<div class='ad'>{text}</div>", f"<form>{text}</form>", f"<div id=social-history><p>{text}</p></div>", f"<blockquote>{text}</blockquote>"][kind])
+        page = f"<html><body class='post-comments-enabled'><nav><a href=1>{say(1)}</a><a href=2>{say(2)}</a></nav><div class='ad'>{say(9)}</div><div class='post-comments-enabled'><article>{''.join(inner)}</article></div><script>var a='<p>no</p>'</script><footer>{say(9)}</footer></body></html>"
+        slow = Slow()
+        slow.feed(page)
+        slow.close()
+        assert html_blocks.main_text(page) == "\n".join(slow.found), k
+
+
+ARTICLE = "<article><h1>A title of it</h1><p>Some words that stand here.</p><p>Two.</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="post-comments-enabled">{ARTICLE}</div>', f"<nav><button>Menu</nav>{ARTICLE}<button>x</button>", f"<select><option>{ARTICLE}", f"<noscript>{ARTICLE}", f"<svg>{ARTICLE}", f"<template>{ARTICLE}",
+    f"<iframe src=x>{ARTICLE}", f"<noscript><p>Turn it on, this page needs it to be of use.</p></noscript>{ARTICLE}", f"{ARTICLE}<div class='comments'><p>{'Nice one said a reader. ' * 9}</p></div>", f"<aside><p>{'Other things. ' * 30}</p></aside>{ARTICLE}",
+])
+def test_html_keeps_an_article_whatever_is_around_it(page):
+    assert html_blocks.main_text(page).replace("a\n", "") .endswith("A title of it\nSome words that stand here.\nTwo.")
+    assert not re.search("reader|Other things|Turn it on", html_blocks.main_text(page))
+
+
+def test_html_without_an_article_goes_by_words_and_links():
+    words_ = lambda n: " ".join(["word"] * n)
+    link = lambda n: f"<a href=x>{' '.join(['link'] * n)}</a>"
+    page = f"<div>{link(2)}</div><div>{link(3)}</div><h1>{words_(8)}</h1><p>{words_(70)}</p><p>{words_(45)} {link(3)}</p><p>{words_(9)}</p><p>{words_(80)}</p><div>{link(4)} {words_(1)}</div><div>{link(2)}</div>"
+    assert [len(x.split()) for x in html_blocks.main_text(page).split("\n")] == [8, 70, 48, 9, 80]
+    used = set()
+
+    def walk(node):
+        if isinstance(node, tuple):
+            used.add(html_blocks.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    walk(html_blocks._tree())
+    assert {"words", "links", "words_before", "links_before", "words_after", "links_after"} <= used
 
 
 def test_html_frame(spark):
     rows = [(1, "u", None, 1), (2, None, "<article><p>é</p></article>", 2), (2, None, "<article><p>é</p></article>", 2), (None, "u", "", 3)]
+    rows.append((5, "u", "<p>" + "many words " * 200_000, 4))
     found = html_blocks.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, n_chars int")).collect()
-    assert sorted(key(r.page_id, r.n_chars) for r in found) == sorted([key(1, 0), key(2, 1), key(2, 1), key(None, 0)])
+    assert sorted(key(r.page_id, r.n_chars) for r in found) == sorted([key(1, 0), key(2, 1), key(2, 1), key(None, 0), key(5, 11 * 200_000 - 1)])
+    assert html_blocks.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
 def test_language_model(spark, docs):

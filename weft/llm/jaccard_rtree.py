@@ -8,12 +8,18 @@ one, of more groups where there are more shingles, and is then verified on the s
 Trees hold what can meet. Under an order of all shingles, two linked documents have one in common among the
 first n - ceil(0.8 n) + 1 of each; so a document goes under the keys of those first shingles, and a tree is
 what one key holds. Shingles that many documents put first come last in the order of a second round, which
-keeps trees small. Only keys with two different sets matter, and equal sets are one class throughout.
+keeps trees small. Only keys with two different sets matter, keys that hold the same sets are one tree, and
+equal sets are one class throughout.
 
-Groups of near copies need no tree at first: in a few rounds each member is compared with that class which
-most of its keys chose. What that joins is one component, and trees search only between components that
-share a key. A tree over LIMIT points is
-dealt out: the rows of its largest component in parts, the others to every part.
+What is found are links enough to hold every component together, never all pairs of a group:
+
+1. In ROUNDS rounds each class is compared with one class of its keys, at first with the one that shares most
+   keys: the original of near copies shares more than a copy does. What links is one component.
+2. Trees search between components that a key still holds. A tree tells its pairs only if they are no more
+   than its rows that have a partner, and else these rows.
+3. Rows of such trees meet again with their whole sets; links that join nothing new aren't looked for.
+
+A key of many rows is dealt out in blocks, so that any two rows of different components meet in some task.
 """
 
 from __future__ import annotations
@@ -33,11 +39,12 @@ WORDS = 5
 GROUPS = 128
 #: Two documents link when DEN * shared >= NUM * united.
 NUM, DEN = 80, 100
+#: Keys of more rows go last in the second round's order.
 OFTEN = 40
 #: Rounds of comparing every class with one other before trees search.
-ROUNDS = 3
-LIMIT = 4096
-LATE_BITS, BLOOM_BITS = 22, 24
+ROUNDS = 2
+#: A deal of a key has about so many rows, and so many shingles, of each of two sides.
+LIMIT, SHINGLES = 2048, 800_000
 LEAF = 16
 #: Keys that a task holds before it sends them.
 HELD = 1_500_000
@@ -68,16 +75,22 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _names(sets: list[np.ndarray]) -> np.ndarray:
-    """Two 64-bit names of each set; the first is the class of equal sets, the second tells if it is one."""
+def _names(sets: list[np.ndarray], again: np.ndarray = _ODD[:0]) -> np.ndarray:
+    """Two 64-bit names of each set. The first is the class of equal sets, the second tells if it is one.
+
+    Different sets with one first name are in ``again``: theirs is made of both names.
+    """
     with np.errstate(over="ignore"):
-        return np.array([(mix(s * _ODD[1]).sum(dtype=np.uint64) + np.uint64(len(s)) * _ODD[0], mix(s ^ _ODD[2]).sum(dtype=np.uint64)) if len(s) else (0, 0) for s in sets], np.uint64).reshape(-1, 2)
+        out = np.array([(mix(s * _ODD[1]).sum(dtype=np.uint64) + np.uint64(len(s)) * _ODD[0], mix(s ^ _ODD[2]).sum(dtype=np.uint64)) if len(s) else (0, 0) for s in sets], np.uint64).reshape(-1, 2)
+        hit = np.isin(out[:, 0], again)
+        out[hit, 0] = mix(out[hit, 0] * _ODD[3] + mix(out[hit, 1] ^ _ODD[4]))
+    return out
 
 
 def fine_point(own: np.ndarray) -> np.ndarray:
     """Counts of a set's shingles, in so many groups that a few fall into each and none holds over 255."""
     groups = GROUPS
-    while len(own) > 6 * groups:
+    while 2 * len(own) > 3 * groups:
         groups *= 2
     while True:
         counts = np.bincount((own >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
@@ -97,12 +110,36 @@ def bound(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(folded(a, groups), folded(b, groups)).sum(dtype=np.int64))
 
 
-def prefix(own: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """The shingles of an ascending set under which it is to be found; those that late marks come last."""
+class Bits:
+    """A set of 64-bit numbers by their first bits: false members, never false strangers. Its size is bounded."""
+
+    def __init__(self, bits: int, words_: np.ndarray):
+        self.bits, self.words = bits, words_
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        at = numbers.view(np.uint64) >> np.uint64(64 - self.bits)
+        return ((self.words[(at >> np.uint64(6)).astype(np.intp)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+    @staticmethod
+    def of(df: DataFrame, number: str, most: int = 26) -> Bits:
+        """Of a column, in 8 to 16 bits a row up to 2**most in all (8 MB); a mask that fills up sends more rows on."""
+        bits = int(min(most, max(10, np.ceil(np.log2(8 * max(1, df.count()))))))
+        place = F.shiftrightunsigned(number, 64 - bits)
+        found = df.select(place.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("b")).toPandas()
+        out = np.zeros(1 << (bits - 6), np.uint64)
+        out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
+        return Bits(bits, out)
+
+
+NOTHING = Bits(10, np.zeros(16, np.uint64))
+
+
+def prefix(own: np.ndarray, late: Bits) -> np.ndarray:
+    """The shingles of an ascending set under which it is to be found; those that late has come last."""
     n = len(own)
     first = n - (NUM * n + DEN - 1) // DEN + 1
-    behind = late[(own >> np.uint64(64 - LATE_BITS)).astype(np.int64)]
-    return np.r_[own[~behind][:first], own[behind][: max(0, first - int((~behind).sum()))]]
+    behind = late.has(own)
+    return np.concatenate([own[~behind][:first], own[behind][: max(0, first - int((~behind).sum()))]])
 
 
 def may_link(shared, a, b):
@@ -138,30 +175,86 @@ class RTree:
         return self.order[at]
 
 
-def tree_pairs(labels: np.ndarray, names: np.ndarray, sizes: np.ndarray, fine: list[np.ndarray]) -> np.ndarray:
-    """Pairs of names with different labels that the tree's bound and then the finer one leave."""
-    values, n = np.unique(labels, return_counts=True)
+def tree_pairs(labels: np.ndarray, sizes: np.ndarray, fine: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of different labels that the tree's bound and then the finer one leave together.
+
+    Their pairs (2, n) if these are no more than the rows in them, else none; and the rows.
+    """
+    values, place, n = np.unique(labels, return_inverse=True, return_counts=True)
+    none = np.zeros(0, np.int64)
     if len(values) < 2:
-        return np.zeros((0, 2), np.int64)
+        return np.zeros((2, 0), np.int64), none
+    met_one, found = np.zeros(len(fine), bool), 0
     counts = np.stack([folded(p, GROUPS) for p in fine])
-    tree, out = RTree(counts, sizes), []
-    for k in np.flatnonzero(labels != values[np.argmax(n)]):
+    tree, left, right = RTree(counts, sizes), [none], [none]
+    long = np.array([len(p) for p in fine])
+    at = np.zeros(len(fine), np.int64)
+    stacks = {}
+    for width in np.unique(long):
+        rows = np.flatnonzero(long == width)
+        at[rows] = np.arange(len(rows))
+        stacks[int(width)] = np.stack([fine[k] for k in rows])
+    for k in np.flatnonzero(place != np.argmax(n)):
         met = tree.search(counts[k], int(sizes[k]))
         met = met[labels[met] != labels[k]]
-        if len(fine[k]) > GROUPS:
-            met = np.array([m for m in met if may_link(bound(fine[k], fine[m]), int(sizes[k]), int(sizes[m]))], np.int64)
-        if len(met):
-            out.append(np.stack([np.minimum(names[met], names[k]), np.maximum(names[met], names[k])], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        for width in np.unique(long[met]):
+            some = met[long[met] == width]
+            groups = min(int(width), len(fine[k]))
+            points = stacks[int(width)][at[some]].reshape(len(some), -1, groups).sum(1, dtype=np.uint32)
+            shared = np.minimum(points, folded(fine[k], groups)).sum(1, dtype=np.int64)
+            some = some[may_link(shared, int(sizes[k]), sizes[some])]
+            if len(some):
+                met_one[some] = met_one[k] = True
+                found += len(some)
+            # a pair comes twice at most, so there are more pairs than rows from here on
+            if found <= 2 * len(fine):
+                left.append(np.full(len(some), k))
+                right.append(some)
+    rows = np.flatnonzero(met_one)
+    a, b = np.concatenate(left), np.concatenate(right)
+    pairs = np.unique(np.minimum(a, b) * len(fine) + np.maximum(a, b))
+    if found > 2 * len(fine) or len(pairs) > len(rows):
+        return np.zeros((2, 0), np.int64), rows
+    return np.stack([pairs // len(fine), pairs % len(fine)]), rows
+
+
+def spanning_links(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Rows that link, one pair for every two components that links join; rows of one label are one from the start.
+
+    Shingles stand in an inverted index, so a row's shared shingles with all others are counted at once. Rows
+    with the most common shingles come first, as they link with most; a row is left when no other is apart.
+    """
+    _, component = np.unique(labels, return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, shingle, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    by = np.argsort(shingle, kind="stable")
+    owners, begin = owner[by], np.r_[0, np.cumsum(often)]
+    own_begin = np.r_[0, np.cumsum(sizes)]
+    out: list[tuple[int, int]] = []
+    for k in np.argsort(-np.bincount(owner, often[shingle], len(sets)) / np.maximum(sizes, 1), kind="stable"):
+        apart = component != component[k]
+        if not apart.any():
+            break
+        own = shingle[own_begin[k] : own_begin[k + 1]]
+        size = often[own]
+        ends = np.cumsum(size)
+        places = np.repeat(begin[own] - (ends - size), size) + np.arange(int(size.sum()))
+        shared = np.bincount(owners[places], minlength=len(sets))
+        for j in np.flatnonzero(apart & may_link(shared, sizes[k], sizes)):
+            if component[j] != component[k]:
+                out.append((int(k), int(j)))
+                component[component == component[j]] = component[k]
+    return out
 
 
-def _documents(docs: DataFrame) -> DataFrame:
+def _documents(docs: DataFrame, again: np.ndarray) -> DataFrame:
     """doc_id, n, the class's two names and the point of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"))
-            names, fine = _names(sets).view(np.int64), [fine_point(s) for s in sets]
+            names, fine = _names(sets, again).view(np.int64), [fine_point(s) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array([p.tobytes() for p in fine], pa.binary())], ["doc_id", "n", "name", "check", "point"])
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, name bigint, check bigint, point binary")
@@ -175,7 +268,7 @@ def _rows(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], names[new]
 
 
-def _shared_keys(docs: DataFrame, late: np.ndarray, parts: int) -> DataFrame:
+def _shared_keys(docs: DataFrame, late: Bits, again: np.ndarray, parts: int) -> DataFrame:
     """(key, name) of every key that two classes at least have in their prefixes; a row may come twice.
 
     Tasks send packed keys by part. A key that a task itself finds in two classes is known to be shared; its
@@ -209,7 +302,7 @@ def _shared_keys(docs: DataFrame, late: np.ndarray, parts: int) -> DataFrame:
         size = 0
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"))
-            names = _names(sets)[:, 0]
+            names = _names(sets, again)[:, 0]
             firsts = [prefix(s, sent.value) if len(s) else s for s in sets]
             if any(map(len, firsts)):
                 held.append((np.concatenate(firsts), np.repeat(names, [len(f) for f in firsts])))
@@ -241,16 +334,32 @@ def _shared_keys(docs: DataFrame, late: np.ndarray, parts: int) -> DataFrame:
     return packed.repartition(parts, "part").mapInArrow(meet, "key bigint, name bigint")
 
 
-def _bits(df: DataFrame, index, bits: int) -> np.ndarray:
-    """A mask of 2**bits bits of the index of every row; what reaches the driver is as large whatever the rows."""
-    words_ = df.select(index.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("b")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words_["w"].to_numpy(np.int64)] = words_["b"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+def _places(classes: DataFrame, names: DataFrame) -> DataFrame:
+    """place: hashes of the documents that stand for the classes named (name)."""
+    return names.distinct().join(classes.select("name", "doc_id"), "name").select(F.xxhash64("doc_id").alias("place"))
+
+
+def _sets(scratch: Scratch, docs: DataFrame, classes: DataFrame, names: DataFrame, again: np.ndarray) -> DataFrame:
+    """name, set of the classes named (name); by chance of a few more. A pass over the texts shingles those alone."""
+    places = scratch.keep(_places(classes, names), "places")
+    mask = docs.sparkSession.sparkContext.broadcast(Bits.of(places, "place"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            batch = batch.filter(pa.array(mask.value.has(batch.column("place").to_numpy())))
+            if batch.num_rows:
+                sets = shingle_sets(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([pa.array(_names(sets, again)[:, 0].view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "set"])
 
+    found = docs.select("text", F.xxhash64("doc_id").alias("place")).mapInArrow(run, "name bigint, set binary")
+    # rows that repeat an id, or share its hash, may be copies: one set a class
+    kept = scratch.keep(found.filter(F.octet_length("set") > 0).dropDuplicates(["name"]), "sets")
+    scratch.drop(places)
+    return kept
 
-def _linked(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link: first those that their points allow, then by their shingles."""
+
+def _linked(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, again: np.ndarray) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link, as (u, v): first those that their points allow, then by their shingles."""
     side = lambda s: classes.select(F.col("name").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}"))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,116 +373,214 @@ def _linked(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFr
     near = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
     left = pairs.join(side("a"), "a").join(side("b"), "b").filter(near)
     left = scratch.keep(left.mapInArrow(bounded, "a bigint, b bigint, na bigint, nb bigint"), "bounded")
-    ids = left.select(F.col("a").alias("name")).unionAll(left.select(F.col("b"))).distinct().join(classes.select("name", "doc_id"), "name")
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BLOOM_BITS)
-    mask = docs.sparkSession.sparkContext.broadcast(_bits(ids, place, BLOOM_BITS))
+    sets = _sets(scratch, docs, classes, left.select(F.col("a").alias("name")).unionAll(left.select(F.col("b"))), again)
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            batch = batch.filter(pa.array(mask.value[batch.column("place").to_numpy()]))
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             if batch.num_rows:
-                sets = shingle_sets(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(_names(sets)[:, 0].view(np.int64)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["name", "set"])
+                both = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())
+                # each is ascending and has no number twice
+                shared = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in both]
+                good = pa.array(may_link(np.array(shared), batch.column("na").to_numpy(), batch.column("nb").to_numpy()))
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["u", "v"])
 
-    # a class's own document, and by chance a few more, of which a copy gives a pair twice
-    sets = scratch.keep(docs.select("text", place.alias("place")).mapInArrow(sets_of, "name bigint, set array<bigint>"), "sets")
     full = left.join(sets.select(F.col("name").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("name").alias("a"), F.col("set").alias("sa")), "a")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    out = scratch.keep(full.filter((NUM + DEN) * shared >= NUM * (F.col("na") + F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
+    out = scratch.keep(full.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(verified, "u bigint, v bigint"), "links")
+    scratch.drop(left)
     scratch.drop(sets)
     return out
 
 
-def link(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text; other columns are ignored).
-
-    component_id is the smallest doc_id reachable by links. A text without words, an empty and a null one
-    have no shingles and are linked with nothing. Rows that repeat an id are documents of their own, and
-    link as their texts do. A null id can't name a component unless all its ids are null. No rows give none.
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Of rows sorted by key and deal, those of one tree at a time; a tree may come in many batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, deal = batch.column("key").to_numpy(), batch.column("deal").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (deal[1:] != deal[:-1]), True])
+        for a, b in zip(cuts, cuts[1:]):
+            if last is not None and last != (key[a], deal[a]):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = (key[a], deal[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each tree, or where they are more than its rows with a partner, these rows (b null)."""
+    out: list[np.ndarray] = []
+
+    def send() -> pa.RecordBatch:
+        key, deal, a, b, pair = np.concatenate(out, 1)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(deal), pa.array(a), pa.array(b, mask=pair == 0)], ["key", "deal", "a", "b"])
+
+    for t in _trees(batches):
+        label, name, n = (t.column(c).to_numpy() for c in ("label", "name", "n"))
+        pairs, rows = tree_pairs(label, n, [np.frombuffer(p, np.uint8) for p in t.column("point").to_pylist()])
+        if not len(rows):
+            continue
+        few = pairs.shape[1] > 0
+        found = np.sort(name[pairs], axis=0) if few else np.stack([name[rows], name[rows]])
+        head = np.stack([np.full(found.shape[1], t.column(c)[0].as_py(), np.int64) for c in ("key", "deal")])
+        out.append(np.concatenate([head, found, np.full((1, found.shape[1]), int(few))]))
+        if sum(x.shape[1] for x in out) > 50_000:
+            yield send()
+            out = []
+    if out:
+        yield send()
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links that join components of each tree, whose rows have their sets."""
+    for t in _trees(batches):
+        name = t.column("name").to_numpy()
+        found = spanning_links(t.column("label").to_numpy(), [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()])
+        if found:
+            at = np.array(found)
+            yield pa.RecordBatch.from_arrays([pa.array(name[at[:, 0]]), pa.array(name[at[:, 1]])], ["u", "v"])
+
+
+def _dealt(scratch: Scratch, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, deal, label, name, n, point: the rows (key, name, label) of keys with several labels, in deals of bounded size.
+
+    The rows of a key's most common label are cut into parts and the others into blocks. Every part meets every
+    block, and every block each other, so any two rows of different labels meet.
+    """
+    sized = rows.join(classes.select("name", "n"), "name")
+    per_label = sized.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("w"))
+    every = [F.sum("rows").alias("rows"), F.sum("w").alias("w"), F.count("*").alias("labels"), F.max(F.struct("rows", "label", "w")).alias("main")]
+    per_key = per_label.groupBy("key").agg(*every).filter("labels > 1")
+    cut = lambda r, w: F.greatest(F.lit(1), F.ceil(r / LIMIT), F.ceil(w / SHINGLES)).cast("int")
+    per_key = per_key.select("key", F.col("main.label").alias("main"), cut(F.col("main.rows"), F.col("main.w")).alias("parts"), cut(F.col("rows") - F.col("main.rows"), F.col("w") - F.col("main.w")).alias("blocks"))
+    per_key = scratch.keep(per_key, "per_key")
+    met = rows.join(per_key, "key")
+    part = F.pmod(F.xxhash64("name"), F.col("parts")).cast("long")
+    block = F.pmod(F.xxhash64("name", F.lit(1)), F.col("blocks")).cast("long")
+    wide, last = 1 << 30, 1 << 60
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    of_main = F.transform(upto(F.col("blocks")), lambda q: part * wide + q)
+    with_main = F.transform(upto(F.col("parts")), lambda p: p * wide + block)
+    with_blocks = F.when(F.col("blocks") > 1, F.transform(upto(F.col("blocks")), lambda q: F.lit(last) + F.least(block, q) * wide + F.greatest(block, q))).otherwise(F.array().cast("array<bigint>"))
+    deals = F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(with_main, with_blocks))
+    met = met.select("key", "label", "name", F.explode(deals).alias("deal"))
+    return met.join(classes.select("name", "n", "point"), "name").select("key", "deal", "label", "name", "n", "point")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the label of their class (name); a class that no link has labels itself."""
+    found = rows.join(labels.select(F.col("node").alias("name"), "label"), "name", "left")
+    return found.select(*rows.columns, F.coalesce("label", "name").alias("label"))
+
+
+def _mixed(scratch: Scratch, rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose group still has two labels."""
+    some = rows.groupBy(*by).agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select(*by)
+    # written first, so that a join of a group of many rows can be split
+    return scratch.keep(rows.join(scratch.keep(some, "mixed"), by, "left_semi"), "open")
+
+
+def class_links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, n, name of the class), labels (node, label) of linked classes, and links (u, v) of classes.
+
+    The links are verified and hold every component together; those that join nothing new aren't among them.
     """
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    own = scratch.keep(_documents(texts), "documents")
-    classes = own.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("check").alias("c1"), F.max("check").alias("c2"))
-    classes = scratch.keep(classes, "classes")
-    if not classes.filter("c1 <> c2").isEmpty():
-        raise ValueError("two sets of shingles share a 64-bit name")
+    again = np.zeros(0, np.uint64)
+    while True:
+        own = scratch.keep(_documents(texts, again), "documents")
+        classes = own.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+        classes = scratch.keep(classes, "classes")
+        # of n sets about n * n / 2**65: none at 10**9, some tens at 10**11
+        same = classes.filter("c1 <> c2").select("name").toPandas()["name"].to_numpy(np.int64).view(np.uint64)
+        if not len(same):
+            break
+        again = np.union1d(again, same)
     classes = classes.drop("c1", "c2")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    late = np.zeros(1 << LATE_BITS, bool)
-    shared = scratch.keep(_shared_keys(texts, late, parts), "keys")
-    often = shared.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > OFTEN)
-    late = _bits(often, F.shiftrightunsigned("key", 64 - LATE_BITS), LATE_BITS)
-    if late.any():
-        old, shared = shared, scratch.keep(_shared_keys(texts, late, parts), "keys2")
-        scratch.drop(old)
-
-    # every class is compared with one class of the keys it has: of each key's chosen one, that of most keys
-    rows = scratch.keep(shared.distinct(), "rows")
+    shared = scratch.keep(_shared_keys(texts, NOTHING, again, parts), "keys")
+    often = scratch.keep(shared.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > OFTEN), "often")
+    if not often.isEmpty():
+        scratch.drop(shared)
+        shared = scratch.keep(_shared_keys(texts, Bits.of(often, "key", 24), again, parts), "keys2")
+    # of keys that hold the same classes one is enough
+    held = shared.distinct().withColumn("h", F.xxhash64("name"))
+    rows = scratch.keep(held, "held")
     scratch.drop(shared)
+    kinds = rows.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y"))
+    trees = scratch.keep(kinds.groupBy("k", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("keys")).filter("k > 1").select("key", "keys"), "trees")
+    old, rows = rows, scratch.keep(rows.join(trees, "key").select("key", "name", "keys"), "rows")
+    scratch.drop(old)
+
     open_rows, links, labels = rows.withColumn("label", F.col("name")), None, None
+    popular = scratch.keep(rows.groupBy("name").agg(F.sum("keys").alias("popular")), "popular")
     for turn in range(ROUNDS):
-        stars = open_rows.groupBy("key").agg(F.min_by(F.struct("name", "label"), F.xxhash64("name", F.lit(turn))).alias("star"))
-        met = open_rows.join(stars, "key").filter("label <> star.label").groupBy("name", F.col("star.name").alias("a")).agg(F.count("*").alias("keys"))
+        # each class meets one class of its keys: of each key's chosen one, that of most keys
+        choice = F.xxhash64("name", F.lit(turn))
+        stars = open_rows.join(popular, "name").groupBy("key").agg(F.max_by(F.struct("name", "label"), F.struct(F.col("popular") if turn == 0 else F.lit(0), choice)).alias("star"))
+        stars = scratch.keep(stars, "stars")
+        met = open_rows.join(stars, "key").filter("label <> star.label")
+        met = met.groupBy("name", F.col("star.name").alias("a")).agg(F.sum("keys").alias("keys"))
         pairs = met.groupBy(F.col("name").alias("b")).agg(F.max_by("a", F.struct("keys", "a")).alias("a"))
-        new = _linked(scratch, texts, classes, scratch.keep(pairs, "stars"))
+        new = _linked(scratch, texts, classes, scratch.keep(pairs, "pairs"), again)
         links = new if links is None else scratch.keep(links.unionAll(new), "links")
         labels = scratch.keep(components(scratch, links), "labels")
-        named = rows.join(labels.select(F.col("node").alias("name"), "label"), "name", "left").select("key", "name", F.coalesce("label", "name").alias("label"))
-        named = scratch.keep(named, "named")
-        mixed = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("key")
-        old, open_rows = open_rows, scratch.keep(named.join(mixed, "key", "left_semi"), "open")
-        scratch.drop(named)
-        if turn:
-            scratch.drop(old)
+        open_rows = _mixed(scratch, scratch.keep(_labelled(open_rows.drop("label"), labels), "named"), ["key"])
         if new.isEmpty():
             break
 
-    # keys that still hold different components
-    named = open_rows
-    per_label = named.groupBy("key", "label").agg(F.count("*").alias("rows"))
-    per_key = per_label.groupBy("key").agg(F.sum("rows").alias("rows"), F.count("*").alias("labels"), F.max_by("label", F.struct("rows", "label")).alias("main")).filter("labels > 1")
-    deals = F.ceil(F.col("rows") / LIMIT).cast("int")
-    open_ = named.join(per_key, "key").withColumn("deal", F.explode(F.when(F.col("label") == F.col("main"), F.array(F.pmod(F.xxhash64("name"), deals).cast("int"))).otherwise(F.sequence(F.lit(0), deals - 1))))
-    open_ = open_.join(classes.select("name", "n", "point"), "name").select("key", "deal", "label", "name", "n", "point")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows by key and deal, the pairs of each tree; a tree may go on in the next batch."""
-        rest: pa.Table | None = None
-
-        def trees(t: pa.Table) -> pa.RecordBatch:
-            key, deal, label, name, n = (t.column(c).to_numpy() for c in ("key", "deal", "label", "name", "n"))
-            fine = [np.frombuffer(p, np.uint8) for p in t.column("point").to_pylist()]
-            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (deal[1:] != deal[:-1]), True])
-            found = [tree_pairs(label[a:b], name[a:b], n[a:b], fine[a:b]) for a, b in zip(cuts, cuts[1:])]
-            found = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+    dealt = _dealt(scratch, open_rows, classes).repartition(parts, "key", "deal").sortWithinPartitions("key", "deal")
+    found = scratch.keep(dealt.mapInArrow(_searched, "key bigint, deal bigint, a bigint, b bigint"), "found")
+    pairs = scratch.keep(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+    if not pairs.isEmpty():
+        links = scratch.keep(links.unionAll(_linked(scratch, texts, classes, pairs, again)), "links")
+        labels = scratch.keep(components(scratch, links), "labels")
+    # trees with more pairs than rows, as far as they still hold several components
+    rest = found.filter("b is null").select("key", "deal", F.col("a").alias("name")).distinct()
+    if not rest.isEmpty():
+        rest = _mixed(scratch, scratch.keep(_labelled(rest, labels), "rest"), ["key", "deal"])
+        sets = _sets(scratch, texts, classes, rest.select("name"), again)
+        whole = rest.join(sets, "name").select("key", "deal", "label", "name", "set").repartition(parts, "key", "deal").sortWithinPartitions("key", "deal")
+        links = scratch.keep(links.unionAll(whole.mapInArrow(_joined, "u bigint, v bigint")), "links")
+        labels = scratch.keep(components(scratch, links), "labels")
+        scratch.drop(sets)
+    return own, labels, links
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            key, deal = t.column("key").to_numpy(), t.column("deal").to_numpy()
-            cut = int(np.flatnonzero((key != key[-1]) | (deal != deal[-1]))[-1]) + 1 if (key[0], deal[0]) != (key[-1], deal[-1]) else 0
-            if cut:
-                yield trees(t.slice(0, cut))
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield trees(rest)
-
-    dealt = open_.repartition(parts, "key", "deal").sortWithinPartitions("key", "deal")
-    more = scratch.keep(dealt.mapInArrow(search, "a bigint, b bigint").distinct(), "pairs")
-    if not more.isEmpty():
-        links = links.unionAll(_linked(scratch, texts, classes, more))
-        labels = scratch.keep(components(scratch, links), "labels2")
-
-    with_set = own.filter("n > 0").select("doc_id", "n", "name").join(labels.withColumnRenamed("node", "name"), "name", "left").select("doc_id", "n", F.coalesce("label", "name").alias("label"))
-    with_set = scratch.keep(with_set, "labelled")
-    least = with_set.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    result = with_set.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return result.unionAll(own.filter("n = 0").select("doc_id", F.col("n"), F.col("doc_id")))
+
+def link(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id of every row of docs (doc_id, text; other columns are ignored).
+
+    component_id is the smallest doc_id reachable by links, class_id that of the documents with equal sets. A text
+    without words, an empty and a null one have no shingles and are linked with nothing. Rows that repeat an id
+    are documents of their own, and link as their texts do. A null id can't name a component unless all its ids
+    are null. No rows give none.
+    """
+    own, labels, _ = class_links(spark, docs)
+    scratch = Scratch(spark, "jaccard-ids")
+    classes = own.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("class_id"))
+    classes = classes.join(labels.withColumnRenamed("node", "name"), "name", "left").select("name", "class_id", F.coalesce("label", "name").alias("label"))
+    classes = scratch.keep(classes, "classes")
+    least = scratch.keep(classes.groupBy("label").agg(F.min("class_id").alias("component_id")), "least")
+    named = scratch.keep(classes.join(least, "label").select("name", "class_id", "component_id"), "named")
+    result = own.filter("n > 0").join(named, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
+    return result.unionAll(own.filter("n = 0").select("doc_id", F.col("n"), F.col("doc_id"), F.col("doc_id")))
+
+
+def links(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """class_a, class_b: verified links between classes of equal sets, by their smallest doc_ids, that hold each component together.
+
+    With class_id of ``link`` as membership they say who is joined with whom, and by what. Null ids and rows
+    without shingles as there.
+    """
+    own, _, found = class_links(spark, docs)
+    ids = Scratch(spark, "jaccard-links").keep(own.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("class_id")), "ids")
+    side = lambda c: ids.select(F.col("name").alias(c), F.col("class_id").alias(f"class_{'a' if c == 'u' else 'b'}"))
+    return found.join(side("u"), "u").join(side("v"), "v").select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
