@@ -19,16 +19,32 @@ def test_replace(frame, text, pattern, new, fold, result, n):
 
 
 def test_replace_first_one_and_guards(frame):
-    docs = frame("trex trex\ntrex trex\n", "one trex", "none")
-    assert [r.text for r in replace.replace(docs, "trex", "dodo", "first").orderBy("doc").collect()] == ["dodo trex\ntrex trex\n", "one dodo", "none"]
-    one = replace.replace(docs, "trex", "dodo", "one").orderBy("doc").collect()
-    assert [r.status for r in one] == ["ambiguous", "done", "unresolved"] and one[0].text == "trex trex\ntrex trex\n"
+    docs = frame("oak oak\noak oak\n", "one oak", "none")
+    assert [r.text for r in replace.replace(docs, "oak", "elm", "first").orderBy("doc").collect()] == ["elm oak\noak oak\n", "one elm", "none"]
+    one = replace.replace(docs, "oak", "elm", "one").orderBy("doc").collect()
+    assert [r.status for r in one] == ["ambiguous", "done", "unresolved"] and one[0].text == "oak oak\noak oak\n"
     from pyspark.sql import functions as F
 
-    stale = replace.replace(docs, "trex", "x", expect_hash=F.lit("0000000000000")).collect()
+    stale = replace.replace(docs, "oak", "x", expect_hash=F.lit("0000000000000")).collect()
     assert {r.status for r in stale} == {"stale"}
     with pytest.raises(render.Ambiguous):
-        render.raise_refused(replace.replace(docs, "trex", "dodo", "one"))
+        render.raise_refused(replace.replace(docs, "oak", "elm", "one"))
+
+
+def test_chained_edits_are_guarded(frame):
+    from pyspark.sql import functions as F
+
+    from weft.functions.names import content_name
+
+    docs = frame("oak oak", "oak", "ash").withColumn("expected", F.when(F.col("doc") == 1, F.lit("0123456789abc")).otherwise(content_name("text")))
+    found = replace.chained(docs, [("oak", "elm"), ("elm", "fir")]).orderBy("doc").collect()
+    assert [(r.text, r.status) for r in found] == [("fir fir", "done"), ("oak", "stale"), ("ash", "done")]
+    want = frame("fir fir", "oak", "ash").orderBy("doc").select(content_name("text")).collect()
+    assert [r.hash_after for r in found] == [r[0] for r in want]
+    with pytest.raises(ValueError):
+        replace.replace(docs, "oak", "elm", expect_hash="0123")
+    with pytest.raises(ValueError):
+        replace.edit_lines(docs, "0000", "x", occurrences_="first")
 
 
 def test_edit_lines(frame):
@@ -71,7 +87,7 @@ def test_totals_and_forms(frame):
         count.count(frame(""), ("nothing",))
 
 
-@pytest.mark.parametrize("text", ["", "\n", "\n\n", "no trailing newline", "line1\nline2\nline3\n", "line1\nline2\nline3", "a\n\nb\n\n", "\nleading\nblank\n"])
+@pytest.mark.parametrize("text", ["", "\n", "\n\n", "open end", "p1\np2\np3\n", "p1\np2\np3", "a\n\nb\n\n", "\nfirst\nis empty\n"])
 def test_tail(frame, text):
     every = text.split("\n")
     every = every[:-1] if every[-1] == "" else every
@@ -101,29 +117,35 @@ def test_rows_and_columns(frame):
 
 def test_dedup_and_sort(frame):
     one = lambda df: [r.line for r in df.orderBy("line_no").collect()]
-    assert one(distinct.dedup(frame("line1\nline2\nline1\nline3\n"))) == ["line1", "line2", "line3"]
-    assert one(distinct.dedup(frame("Hello\nhello\nHELLO\nworld\n"), True)) == ["Hello", "world"]
+    assert one(distinct.dedup(frame("fir\nyew\nfir\nash\n"))) == ["fir", "yew", "ash"]
+    assert one(distinct.dedup(frame("Fir\nfir\nFIR\nash\n"), True)) == ["Fir", "ash"]
     order = lambda df: [r.line for r in df.collect()]
-    assert order(distinct.sort(frame("banana\napple\ncherry\n"))) == ["apple", "banana", "cherry"]
-    assert order(distinct.sort(frame("banana\napple\ncherry\n"), reverse=True)) == ["cherry", "banana", "apple"]
+    assert order(distinct.sort(frame("oak\nash\nyew\n"))) == ["ash", "oak", "yew"]
+    assert order(distinct.sort(frame("oak\nash\nyew\n"), reverse=True)) == ["yew", "oak", "ash"]
     assert order(distinct.sort(frame("b\na\nb\nc\na\n"), unique=True)) == ["a", "b", "c"]
-    assert order(distinct.sort(frame("cherry\nApple\nBANANA\n"), ignore_case=True)) == ["Apple", "BANANA", "cherry"]
-    assert order(distinct.sort(frame("Hello\nhello\nWORLD\nworld\n"), ignore_case=True, unique=True)) == ["Hello", "WORLD"]
+    assert order(distinct.sort(frame("yew\nAsh\nOAK\n"), ignore_case=True)) == ["Ash", "OAK", "yew"]
+    assert order(distinct.sort(frame("Fir\nfir\nYEW\nyew\n"), ignore_case=True, unique=True)) == ["Fir", "YEW"]
     assert got(distinct.first_disorder(frame("a\nb\n", "b\na\n")), "doc") == [(1, 2)]
 
 
 def test_chunks(frame):
-    text = "ab\nTHIS-LINE-IS-FAR-TOO-LONG\ncd\n"
+    text = "ab\na line that no budget holds\ncd\n"
     found = chunk.chunks(chunk.by_bytes(frame(text), 5)).orderBy("chunk").collect()
-    assert [r.text for r in found] == ["ab\n", "THIS-LINE-IS-FAR-TOO-LONG\n", "cd\n"]
+    assert [r.text for r in found] == ["ab\n", "a line that no budget holds\n", "cd\n"]
     for n in (1, 2, 4):
         found = chunk.chunks(chunk.by_count(frame("x\ny\n"), n), n).orderBy("chunk").collect()
         assert len(found) == n and "".join(r.text for r in found) == "x\ny\n"
     with pytest.raises(Exception, match="shares of fewer bytes"):
-        chunk.by_count(frame("x\ny\n"), 2**40).collect()
-    found = chunk.chunks(chunk.with_header(frame("id,name\n1,a\n2,b\n3,c\n4,d\n"), 1, lambda d: chunk.by_lines(d, 2))).orderBy("chunk").collect()
-    assert [r.text for r in found] == ["id,name\n1,a\n2,b\n", "id,name\n3,c\n4,d\n"]
+        chunk.by_count(frame("x\ny\n"), 600).collect()
+    found = chunk.chunks(chunk.with_header(frame("key,tree\n1,oak\n2,ash\n3,yew\n4,fir\n"), 1, lambda d: chunk.by_lines(d, 2))).orderBy("chunk").collect()
+    assert [r.text for r in found] == ["key,tree\n1,oak\n2,ash\n", "key,tree\n3,yew\n4,fir\n"]
     assert [(r.lines, r.header_lines) for r in found] == [(2, 1), (2, 1)]
+    # a header that is all there is, or leaves no room, is refused and not lost
+    for docs, budget, why in ((frame("a\nb\n", "only\n"), None, "1: no line follows"), (frame(""), None, "0: no line follows"), (frame("a long header\nx\n"), 10, "leaves no room")):
+        with pytest.raises(ValueError, match=why):
+            chunk.with_header(docs, 1, lambda d: chunk.by_lines(d, 2), budget)
+    with pytest.raises(ValueError):
+        chunk.by_count(frame("x\n"), 677)
     found = chunk.chunks(chunk.by_pattern(frame(">a\n1\n>b\n2\n"), ">")).orderBy("chunk").collect()
     assert [r.text for r in found] == [">a\n1\n", ">b\n2\n"]
     assert chunk.suffix(27) == "bb"

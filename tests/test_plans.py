@@ -11,7 +11,8 @@ import zipfile
 import pytest
 
 from weft.operators.find import Search
-from weft.plans import catalogue, render
+from weft.plans import catalogue, render, report
+from weft.plans.report import Report
 from weft.sources import containers, files
 from weft.streaming import text as streams
 
@@ -59,7 +60,7 @@ def test_containers(spark, tmp_path):
 
 def test_rendering(frame, tmp_path):
     docs = frame("one MATCH\ntwo\nMATCH MATCH\n")
-    records = [json.loads(r.record) for r in render.find_records(docs, Search("MATCH")).orderBy("doc", "phase", "line_no").collect()]
+    records = [json.loads(r.record) for r in report.json_report(docs, Search("MATCH"), Report(form="json")).orderBy("doc", "phase", "line_no").collect()]
     assert [r["type"] for r in records] == ["begin", "match", "match", "end"]
     assert [len(r["data"]["submatches"]) for r in records[1:3]] == [1, 2]
     vim = [r.text for r in render.vimgrep(docs, Search("MATCH")).orderBy("line_no", "text").collect()]
@@ -76,6 +77,37 @@ def test_rendering(frame, tmp_path):
     assert render.status_of(docs) == render.Status.FOUND and render.status_of(docs.limit(0)) == render.Status.NONE
 
 
+@pytest.mark.parametrize("bad", [
+    dict(show="all"), dict(form="xml"), dict(fields=("size",)), dict(show="count", fields=("line_numbers",)), dict(show="files", heading=True), dict(show="files_without", trim=3), dict(show="count", before=1),
+    dict(form="json", heading=True), dict(form="json", trim=9), dict(form="json", colour=True), dict(form="json", fields=("byte_offset",)), dict(form="vimgrep", fields=("line_hashes",)), dict(form="vimgrep", heading=True),
+    dict(fields=("file_hash",)), dict(hash_width=5), dict(quiet=True, most=3), dict(before=-1), dict(most=0), dict(trim=0),
+])
+def test_reports_refuse_what_excludes_itself(bad):
+    with pytest.raises(ValueError):
+        Report(**bad)
+
+
+def test_reports(frame):
+    docs = frame("one\nAß two ass\nthree\n")
+    search = Search("SS", ignore_case=True)
+    told = lambda **kw: [r.text for r in report.text_report(docs, search, Report(**kw)).orderBy("doc", "line_no", "part").collect()]
+    assert told(colour=True, paths=False) == ["A\x1b[1;31mß\x1b[0m two a\x1b[1;31mss\x1b[0m"]
+    assert told(show="matches", fields=("column_numbers", "line_numbers")) == ["0:2:2:ß", "0:2:9:ss"]
+    assert told(fields=("line_numbers", "column_numbers", "byte_offset"), before=1) == ["0-1-0-one", "0:2:2:4:Aß two ass"]
+    assert told(heading=True, fields=("file_hash",))[0].startswith("0  ") and told(show="count") == ["0:1"] and told(show="files") == ["0"]
+    for s, r in ((Search("a", invert=True), Report(show="matches")), (Search("a", multiline=True), Report(fields=("column_numbers",)))):
+        with pytest.raises(ValueError):
+            report.text_report(docs, s, r)
+    capped = report.text_report(frame("k\nk\nk\n"), Search("k"), Report(most=2, after=1)).collect()
+    assert sorted(r.text for r in capped) == ["0-k", "0:k", "0:k"]
+
+
+def test_count_tree(spark):
+    c = spark.createDataFrame([("a/x", 1200), ("a/y", 3), ("b", 10)], "doc string, bytes bigint")
+    assert [r.text for r in report.count_tree(c).orderBy("path").collect()] == ["1,203  a/", "1,200    x", "    3    y", "   10  b"]
+    assert [r.text for r in report.count_tree(c.filter("doc = 'b'")).collect()] == ["10"]
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("x MATCH\ny\nx MATCH\n")

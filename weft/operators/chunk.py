@@ -70,13 +70,15 @@ def by_bytes(docs: DataFrame, budget: int, header_bytes: int = 0, newlines: str
     return rows.select("doc", (F.col("at") + 1).cast("long").alias("line_no"), "z.parts.as_cut", without_cr("z.parts.as_cut").alias("body"), "z.parts.terminator", F.col("z.places").alias("chunk"))
 
 
-def by_count(docs: DataFrame, n: int, newlines: str = LF) -> DataFrame:
+def by_count(docs: DataFrame, n: int, newlines: str = LF, suffix_length: int = 2) -> DataFrame:
     """Lines with their chunk: n shares of near equal bytes, cut at the line's end at or after each share's.
 
     Shares that get no line have none; ``chunks`` with ``count`` lists them. More shares than bytes are refused.
     """
     if n < 1:
         raise ValueError("there is a share at least")
+    if n > 26**suffix_length:
+        raise ValueError(f"{suffix_length} letters name no {n} chunks")
     rows = lines(docs.withColumn("total", F.octet_length("text").cast("long")), newlines, offsets=True, carry=("total",))
     # in whole numbers: a double has no room for bytes times shares
     above = F.expr(f"cast((cast(byte_offset as decimal(38, 0)) * {n} + total - 1) div total as bigint)")
@@ -99,22 +101,20 @@ def with_header(docs: DataFrame, n: int, cut, budget: int | None = None) -> Data
     """Lines of ``cut`` (a function of documents) over what follows the first n lines, and those in each chunk.
 
     Header lines have negative line numbers in every chunk; the others keep those they have in what follows.
-    A document of n lines or fewer has nothing to chunk and is refused when its rows are read, as is one whose
+    A document of n lines or fewer has nothing to chunk and is refused with a ValueError at once, as is one whose
     header alone reaches the budget, where one is given.
     """
     if n < 1:
         raise ValueError("a header has a line at least")
-    parts = docs.withColumn("parts", line_structs("text"))
+    parts = docs.select("doc", line_structs("text").alias("parts"))
     joined = lambda p: F.array_join(F.transform(p, lambda s: F.concat(s["as_cut"], s["terminator"])), "")
     head = F.slice("parts", 1, n)
-    name = F.col("doc").cast("string")
-    fit = F.size("parts") > n
-    why = F.when(~fit, F.concat(name, F.lit(f": no line follows a header of {n}")))
-    if budget is not None:
-        wide = F.octet_length(joined(head)) >= budget
-        why, fit = why.when(wide, F.concat(name, F.lit(f": its header leaves no room in {budget} bytes"))), fit & ~wide
-    rest = joined(F.slice("parts", F.lit(n + 1), F.greatest(F.size("parts") - n, F.lit(0))))
-    rows = parts.select("doc", head.alias("head"), F.when(fit, rest).otherwise(F.raise_error(why).cast("string")).alias("text"))
+    short, wide = F.size("parts") <= n, F.octet_length(joined(head)) >= (budget or 0) if budget is not None else F.lit(False)
+    # asked here and not in a row's own expression, which could be evaluated before a filter that drops the row
+    bad = parts.filter(short | wide).select("doc", short.alias("short")).first()
+    if bad:
+        raise ValueError(f"{bad['doc']}: " + (f"no line follows a header of {n}" if bad["short"] else f"its header leaves no room in {budget} bytes"))
+    rows = parts.select("doc", head.alias("head"), joined(F.slice("parts", F.lit(n + 1), F.size("parts") - n)).alias("text"))
     cut_rows = cut(rows.select("doc", "text")).select("doc", "line_no", "as_cut", "body", "terminator", "chunk")
     every = cut_rows.select("doc", "chunk").distinct()
     header = every.join(rows.select("doc", F.posexplode("head").alias("at", "line")), "doc")

@@ -43,6 +43,14 @@ def sort(docs: DataFrame, reverse: bool = False, unique: bool = False, ignore_ca
     return rows.orderBy(*sort_order(ignore_case, reverse)).select("doc", "line_no", F.col("body").alias("line"))
 
 
+def sort_totals(docs: DataFrame, unique: bool = False, ignore_case: bool = False) -> DataFrame:
+    """One row: written, total. Only a unique sort writes fewer lines than there are."""
+    if unique:
+        return dedup_totals(docs, ignore_case).select(F.col("unique").alias("written"), "total")
+    rows = _keyed(docs, ignore_case, None)
+    return rows.agg(F.count("*").alias("written"), F.count("*").alias("total"))
+
+
 def first_disorder(docs: DataFrame, reverse: bool = False, unique: bool = False, ignore_case: bool = False) -> DataFrame:
     """doc and the first line_no that is out of order in it; documents in order have none."""
     rows = _keyed(docs, ignore_case, None)

@@ -32,7 +32,7 @@ def _folded(pattern: str, replacement: str, first: bool):
     return run
 
 
-def replace(docs: DataFrame, pattern: str, replacement: str, occurrences_: str = ALL, ignore_case: bool = False, expect_hash: Column | None = None) -> DataFrame:
+def replace(docs: DataFrame, pattern: str, replacement: str, occurrences_: str = ALL, ignore_case: bool = False, expect_hash: Column | str | None = None) -> DataFrame:
     """doc, text, replacements, status, hash_before, hash_after.
 
     ``first`` replaces the first match of a document, ``one`` refuses a document with none (unresolved) or
@@ -41,6 +41,9 @@ def replace(docs: DataFrame, pattern: str, replacement: str, occurrences_: str =
     """
     if not pattern:
         raise ValueError("an empty pattern matches everywhere")
+    if expect_hash is not None and not isinstance(expect_hash, Column):
+        parse_name(expect_hash, whole=True)
+        expect_hash = F.lit(expect_hash.lower())
     if occurrences_ not in (ALL, FIRST, ONE):
         raise ValueError(f"occurrences is {ALL}, {FIRST} or {ONE}")
     first = occurrences_ != ALL
@@ -71,6 +74,8 @@ def edit_lines(docs: DataFrame, name: str, new: str, placement: str = OVER, occu
         raise ValueError(f"placement is {OVER}, {AFTER} or {BEFORE}")
     if not new and placement != OVER:
         raise ValueError("an empty text can only stand over a line")
+    if occurrences_ not in (ALL, ONE):
+        raise ValueError(f"lines named are edited {ALL} or {ONE}")
     prefix = parse_name(name)
     rows = docs.withColumn("parts", line_structs("text", newlines))
     prevailing = F.coalesce(F.try_element_at(F.filter(F.transform("parts", lambda s: s["terminator"]), lambda t: t != ""), F.lit(1)), F.lit("\n"))
@@ -101,9 +106,16 @@ def edit_lines(docs: DataFrame, name: str, new: str, placement: str = OVER, occu
 
 
 def chained(docs: DataFrame, edits: list[tuple[str, str]]) -> DataFrame:
-    """Replacements one after another, each guarded by the name that the one before left."""
-    rows = docs.select("doc", "text", content_name("text").alias("expected"))
+    """Replacements one after another: doc, text, hash_after, status.
+
+    Each is guarded by the name that the one before left; ``expected``, a column of docs if there is one, guards
+    the first. A document that is stale stays as it is, and its later edits are refused too.
+    """
+    guard = F.col("expected") if "expected" in docs.columns else content_name("text")
+    rows = docs.select("doc", "text", guard.alias("expected"), F.lit(DONE).alias("before"))
     for pattern, replacement in edits:
-        done = replace(rows, pattern, replacement)
-        rows = done.select("doc", "text", F.col("hash_after").alias("expected"))
-    return rows.withColumnRenamed("expected", "hash_after")
+        # a name that no text has keeps what an earlier refusal left
+        held = F.when(F.col("before") == STALE, F.lit("")).otherwise(F.col("expected"))
+        done = replace(rows, pattern, replacement, expect_hash=held)
+        rows = done.select("doc", "text", F.col("hash_after").alias("expected"), F.when(F.col("status") == STALE, STALE).otherwise(DONE).alias("before"))
+    return rows.withColumnRenamed("expected", "hash_after").withColumnRenamed("before", "status")

@@ -15,10 +15,12 @@ from weft.functions.lines import lines, whole
 from weft.functions.names import content_name
 from weft.operators import checksum, chunk, cols, count, distinct, find, fuzzy, outline, replace, rows, segment
 from weft.operators.find import Search
-from weft.plans import render
+from weft.plans import render, report
+from weft.plans.report import Report
 from weft.sources import containers
 
 WORD, OTHER, NEEDLE = "ent", "tion", "schein"
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DUCK_WORD = r"[^ \t\n\x0B\f\r]+"
 
 
@@ -71,6 +73,8 @@ def _fold_first(df: DataFrame) -> DataFrame:
 
 def _two_edits(spark, d):
     source = docs(spark, d)
+    # every third document isn't what its editor read
+    source = source.withColumn("expected", F.when(F.col("doc") % 3 == 0, F.lit("0123456789abc")).otherwise(content_name("text")))
     return replace.chained(source, [(WORD, "<<1>>"), ("<<1>>", "[ent]")])
 
 
@@ -91,6 +95,55 @@ def _notebooks(spark, d):
     return containers.notebook_cells(made).select("doc", F.col("cell").cast("long").alias("cell"), "text")
 
 
+def _capitals(x: str) -> str:
+    return f"translate({x}, '{LOWER}', '{UPPER}')"
+
+
+def _twice(spark, d):
+    """Every document and, behind all of them, the same in capitals: texts whose lines fold together."""
+    source = docs(spark, d)
+    return source.unionAll(source.select(F.col("doc") + 100_000_000, F.translate("text", LOWER, UPPER)))
+
+
+TWICE = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 100000000, {_capitals('text')} FROM documents)"
+
+
+def _common_name(spark, d) -> str:
+    """The name of the line that most documents have, as a listing gives it."""
+    named = lines(docs(spark, d)).select(content_name(whole()).alias("name")).groupBy("name").count()
+    return named.orderBy(F.desc("count"), "name").first()["name"][:10]
+
+
+def _folders(spark, d):
+    """Documents under paths of their source and language."""
+    r = spark.read.parquet(f"{d}/documents.parquet")
+    return r.select(F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), "doc_id").alias("doc"), "text")
+
+
+def _markdown(spark, d):
+    """A nation's page: headings, a paragraph, code and a table."""
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    return n.select(F.col("n_nationkey").cast("long").alias("doc"), F.concat(F.lit("# "), "n_name", F.lit("\n\nRegion "), "n_regionkey", F.lit(".\n\n## Keys\n\n```sql\nselect "), "n_nationkey", F.lit("\n```\n\n| a | b |\n| - | - |\n")).alias("text"))
+
+
+def _c_sources(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    return n.select(F.col("n_nationkey").cast("long").alias("doc"), F.concat(F.lit("#include <"), F.lower("n_name"), F.lit(".h>\n\nint key_"), "n_nationkey", F.lit("(void) {\n    return "), "n_regionkey", F.lit(";\n}\n")).alias("text"))
+
+
+def _element(kind: str, text: str, level: int, line: str, count: int, begin: str, long: str, parent: str) -> str:
+    return f"SELECT n_nationkey::BIGINT AS doc, '{kind}' AS kind, {text} AS text, {level}::INT AS level, {line}::BIGINT AS line_number, {count}::BIGINT AS line_count, ({begin})::BIGINT AS byte_offset, ({long})::BIGINT AS byte_length, {parent}::BIGINT AS parent_line FROM nation"
+
+
+N, R, K = "strlen(n_name)", "strlen(n_regionkey::VARCHAR)", "strlen(n_nationkey::VARCHAR)"
+MARKDOWN_SQL = " UNION ALL ".join([
+    _element("heading", "n_name", 1, "1", 1, "0", f"{N} + 2", "NULL"), _element("paragraph", "''", 0, "3", 1, f"{N} + 4", f"{R} + 9", "1"), _element("heading", "'Keys'", 2, "5", 1, f"{N} + {R} + 14", "7", "NULL"),
+    _element("code_block", "'sql'", 0, "7", 3, f"{N} + {R} + 23", f"{K} + 18", "5"), _element("table", "''", 0, "11", 2, f"{N} + {R} + {K} + 43", "20", "5"),
+])
+C_SQL = " UNION ALL ".join([
+    _element("include", "'<' || lower(n_name) || '.h>'", 0, "1", 1, "0", f"{N} + 13", "NULL"), _element("function_definition", "'int key_' || n_nationkey || '(void)'", 0, "3", 3, f"{N} + 15", f"{K} + {R} + 31", "NULL"),
+])
+
 L = _lines()
 HITS = f"WITH {L} SELECT doc, line_no, line FROM L WHERE contains(line, '{WORD}')"
 CONTEXT = f"""
@@ -119,13 +172,16 @@ terms AS (SELECT doc, line_no, line, size, mean, weight, ((length({line}) - leng
 SELECT doc, line_no, line, round(sum(weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score FROM terms GROUP BY ALL"""
 
 
+RECORDS = Report(form="json", fields=("line_hashes", "file_hash"), before=1)
+
+
 #: name: (query, SQL or None)
 CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     # lines and search
     "lines": (lambda s, d: lines(docs(s, d), offsets=True).select("doc", "line_no", "byte_offset", F.col("body").alias("line")), f"WITH {L}, {OFFSETS} SELECT doc, line_no, byte_offset, line FROM O"),
     "find_lines": (lambda s, d: find.hits(docs(s, d), _q(WORD)).select("doc", "line_no", F.col("body").alias("line")), HITS),
     "find_matches": (lambda s, d: find.matches(docs(s, d), _q(WORD)), MATCHES),
-    "find_folded": (lambda s, d: find.hits(docs(s, d), _q("STRASSE", ignore_case=True)).select("doc", "line_no", F.col("body").alias("line")), f"WITH {L} SELECT doc, line_no, line FROM L WHERE contains({_duck_fold('line')}, 'strasse')"),
+    "find_folded": (lambda s, d: find.hits(docs(s, d), _q("SS", ignore_case=True)).select("doc", "line_no", F.col("body").alias("line")), f"WITH {L} SELECT doc, line_no, line FROM L WHERE contains({_duck_fold('line')}, 'ss')"),
     "find_folded_spans": (lambda s, d: find.matches(docs(s, d), _q("SS", ignore_case=True)), None),
     "find_word": (lambda s, d: find.hits(docs(s, d), _q("in", word=True)).select("doc", "line_no", F.col("body").alias("line")), f"WITH {L} SELECT doc, line_no, line FROM L WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])in([^A-Za-z0-9_]|$)')"),
     "find_inverted": (lambda s, d: find.hits(docs(s, d), _q(WORD, invert=True)).select("doc", "line_no", F.col("body").alias("line")), f"WITH {L} SELECT doc, line_no, line FROM L WHERE NOT contains(line, '{WORD}')"),
@@ -150,8 +206,35 @@ FROM (SELECT *, max(line_no) OVER (PARTITION BY doc) AS max_no FROM O) JOIN N ON
     "find_summary": (lambda s, d: find.summary(docs(s, d), _q(WORD)), f"""
 WITH {L} SELECT (SELECT count(*) FROM documents) AS files_searched, count(DISTINCT doc) AS files_matched, count(*) AS lines,
        sum(len(string_split(line, '{WORD}')) - 1)::BIGINT AS matches, (SELECT sum(strlen(text)) FROM documents)::BIGINT AS bytes FROM L WHERE contains(line, '{WORD}')"""),
-    "find_vimgrep": (lambda s, d: render.vimgrep(docs(s, d), _q(NEEDLE, unicode=True)), None),
-    "find_records": (lambda s, d: render.find_records(docs(s, d), _q(NEEDLE)), None),
+    "find_vimgrep": (lambda s, d: render.vimgrep(docs(s, d), _q(NEEDLE, unicode=True)), f"""
+WITH {L}, P AS (SELECT doc, line_no, line, string_split(line, '{NEEDLE}') AS p FROM L WHERE contains(line, '{NEEDLE}')), K AS (SELECT *, unnest(range(1, len(p))) AS k FROM P)
+SELECT doc, line_no, doc || ':' || line_no || ':' || (list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * {len(NEEDLE)} + 1)::BIGINT || ':' || line AS text FROM K"""),
+    "find_records": (lambda s, d: report.json_report(docs(s, d), _q(NEEDLE), RECORDS), f"""
+WITH {L}, {OFFSETS}, N AS (SELECT doc_id, text, {_name_sql('text')} AS file_hash FROM documents WHERE contains(text, '{NEEDLE}')),
+M AS (SELECT O.*, contains(line, '{NEEDLE}') AS hit, line || CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc) THEN '' ELSE chr(10) END AS whole, string_split(line, '{NEEDLE}') AS p,
+             bool_or(contains(line, '{NEEDLE}')) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS near FROM O JOIN N ON doc = doc_id),
+S AS (SELECT *, array_to_string(list_transform(range(1, len(p)), lambda k: '{{"match":{{"text":"{NEEDLE}"}},"start":' || (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + (k - 1) * {len(NEEDLE)})::BIGINT || ',"end":' || (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + k * {len(NEEDLE)})::BIGINT || '}}'), ',') AS subs FROM M WHERE near)
+SELECT doc_id AS doc, 0 AS phase, 0 AS line_no, '{{"type":"begin","data":{{"path":{{"text":"' || doc_id || '"}}}}}}' AS record FROM N
+UNION ALL SELECT doc, 1, line_no, '{{"type":"' || CASE WHEN hit THEN 'match' ELSE 'context' END || '","data":{{"path":{{"text":"' || doc || '"}},"lines":{{"text":' || to_json(whole)::VARCHAR || '}},"line_number":' || line_no || ',"absolute_offset":' || byte_offset || ',"line_hash":"' || {_name_sql("whole", 8)} || '","submatches":[' || CASE WHEN hit THEN subs ELSE '' END || ']}}}}' FROM S
+UNION ALL SELECT doc_id, 2, 0, '{{"type":"end","data":{{"path":{{"text":"' || doc_id || '"}},"file_hash":"' || file_hash || '","stats":{{"matched_lines":' || (SELECT count(*) FROM L WHERE doc = doc_id AND contains(line, '{NEEDLE}')) || ',"bytes_searched":' || strlen(text) || '}}}}}}' FROM N"""),
+    "find_count_records": (lambda s, d: report.json_report(docs(s, d), _q(WORD), Report(show="count", form="json")).select("doc", "record"), f"""WITH {L} SELECT doc, '{{"type":"count","data":{{"path":{{"text":"' || doc || '"}},"count":' || count(*) || '}}}}' AS record FROM L WHERE contains(line, '{WORD}') GROUP BY doc"""),
+    "find_file_records": (lambda s, d: report.json_report(docs(s, d), _q(NEEDLE), Report(show="files_without", form="json")).select("doc", "record"), f"""SELECT doc_id AS doc, '{{"type":"file","data":{{"path":{{"text":"' || doc_id || '"}}}}}}' AS record FROM documents WHERE NOT contains(text, '{NEEDLE}')"""),
+    "find_prefix": (lambda s, d: report.text_report(docs(s, d), _q(NEEDLE), Report(fields=("line_numbers", "column_numbers", "byte_offset", "line_hashes"), hash_width=6, before=1)).select("doc", "line_no", "text"), f"""
+WITH {L}, {OFFSETS}, M AS (SELECT *, contains(line, '{NEEDLE}') AS hit, line || CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc) THEN '' ELSE chr(10) END AS whole,
+      bool_or(contains(line, '{NEEDLE}')) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS near FROM O)
+SELECT doc, line_no, CASE WHEN hit THEN doc || ':' || line_no || ':' || (strlen(string_split(line, '{NEEDLE}')[1]) + 1) || ':' || byte_offset || ':' || {_name_sql("whole", 6)} || ':' ELSE doc || '-' || line_no || '-' || byte_offset || '-' || {_name_sql("whole", 6)} || '-' END || line AS text FROM M WHERE near"""),
+    "find_shown_matches": (lambda s, d: report.text_report(docs(s, d), _q("SCH", ignore_case=True), Report(show="matches", fields=("byte_offset",), paths=False)).select("doc", "line_no", "part", "text"), f"""
+WITH {L}, {OFFSETS}, P AS (SELECT *, regexp_extract_all(line, '(?i)[sß]ch') AS m FROM O) SELECT doc, line_no, unnest(range(len(m)))::INT AS part, byte_offset || ':' || unnest(m) AS text FROM P WHERE len(m) > 0"""),
+    "find_coloured": (lambda s, d: report.text_report(docs(s, d), _q("EIN", ignore_case=True), Report(colour=True, most=2)).select("doc", "line_no", "text"), f"""
+WITH {L}, H AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS k FROM L WHERE regexp_matches(line, '(?i)ein'))
+SELECT doc, line_no, doc || ':' || regexp_replace(line, '(ein)', chr(27) || '[1;31m\\1' || chr(27) || '[0m', 'gi') AS text FROM H WHERE k <= 2"""),
+    "find_headed": (lambda s, d: report.text_report(docs(s, d), _q(NEEDLE), Report(heading=True, fields=("file_hash", "line_numbers"))).select("doc", "line_no", "text"), f"""
+WITH {L} SELECT doc, line_no, line_no || ':' || line AS text FROM L WHERE contains(line, '{NEEDLE}')
+UNION ALL SELECT doc_id, 0, doc_id || '  ' || {_name_sql('text')} FROM documents WHERE contains(text, '{NEEDLE}')"""),
+    "find_word_summary": (lambda s, d: find.summary(docs(s, d), _q("in", word=True)), f"""
+WITH {L}, H AS (SELECT doc, len(regexp_extract_all(' ' || line || ' ', '[^A-Za-z0-9_]in(?:[^A-Za-z0-9_]in)*')) AS one, regexp_matches(line, '(^|[^A-Za-z0-9_])in([^A-Za-z0-9_]|$)') AS hit,
+    len(list_filter(string_split_regex(line, '[^A-Za-z0-9_]'), lambda w: w = 'in')) AS n FROM L)
+SELECT (SELECT count(*) FROM documents) AS files_searched, count(DISTINCT doc) AS files_matched, count(*) AS lines, sum(n)::BIGINT AS matches, (SELECT sum(strlen(text)) FROM documents)::BIGINT AS bytes FROM H WHERE hit"""),
     "find_text": (lambda s, d: render.text_lines(docs(s, d), _q(NEEDLE)).select("doc", "line_no", "text"), f"WITH {L} SELECT doc, line_no, doc || ':' || line_no || ':' || line AS text FROM L WHERE contains(line, '{NEEDLE}')"),
     "find_trimmed": (lambda s, d: find.hits(docs(s, d), _q(WORD)).select("doc", "line_no", render.trimmed("body", 40).alias("line")), f"WITH {L} SELECT doc, line_no, CASE WHEN length(line) > 40 THEN substr(line, 1, 40) || ' [...]' ELSE line END AS line FROM L WHERE contains(line, '{WORD}')"),
     # replacement
@@ -163,12 +246,21 @@ SELECT doc, CASE WHEN n = 1 THEN replace(text, '{NEEDLE}', '[X]') ELSE text END
        CASE WHEN n = 1 THEN 'done' WHEN n = 0 THEN 'unresolved' ELSE 'ambiguous' END AS status FROM n"""),
     "replace_folded": (lambda s, d: replace.replace(docs(s, d), "SS", ".", ignore_case=True).select("doc", "replacements"), f"SELECT doc_id AS doc, (len(string_split({_duck_fold('text')}, 'ss')) - 1)::BIGINT AS replacements FROM documents WHERE true"),
     "replace_hashes": (lambda s, d: replace.replace(docs(s, d), WORD, "[X]").select("doc", "hash_before", "hash_after"), f"SELECT doc_id AS doc, {_name_sql('text')} AS hash_before, {_name_sql(f'''replace(text, '{WORD}', '[X]')''')} AS hash_after FROM documents"),
-    "replace_chained": (_two_edits, f"SELECT doc_id AS doc, replace(text, '{WORD}', '[ent]') AS text, {_name_sql(f'''replace(text, '{WORD}', '[ent]')''')} AS hash_after FROM documents"),
+    "replace_chained": (_two_edits, f"WITH e AS (SELECT doc_id AS doc, CASE WHEN doc_id % 3 = 0 THEN text ELSE replace(text, '{WORD}', '[ent]') END AS text FROM documents) SELECT doc, text, {_name_sql('text')} AS hash_after, CASE WHEN doc % 3 = 0 THEN 'stale' ELSE 'done' END AS status FROM e"),
     "replace_guarded": (lambda s, d: replace.replace(docs(s, d), WORD, "[X]", expect_hash=F.when(F.col("doc") % 2 == 0, content_name("text")).otherwise("stale")).select("doc", "status"), f"SELECT doc_id AS doc, CASE WHEN doc_id % 2 = 1 THEN 'stale' WHEN contains(text, '{WORD}') THEN 'done' ELSE 'unresolved' END AS status FROM documents"),
-    "replace_line_named": (lambda s, d: replace.edit_lines(docs(s, d), "0000", "new", occurrences_="all").select("doc", "edits", "status"), f"""
+    "replace_folded_text": (lambda s, d: replace.replace(docs(s, d), "EIN", ".", ignore_case=True).select("doc", "text", "replacements"), "SELECT doc_id AS doc, regexp_replace(text, 'ein', '.', 'gi') AS text, len(regexp_extract_all(text, '(?i)ein'))::BIGINT AS replacements FROM documents"),
+    "replace_line_named": (lambda s, d: replace.edit_lines(docs(s, d), _common_name(s, d), "new", occurrences_="all").select("doc", "text", "edits", "status"), f"""
+WITH {L}, M AS (SELECT *, max(line_no) OVER (PARTITION BY doc) AS m FROM L),
+W AS (SELECT *, CASE WHEN line_no = m THEN '' ELSE chr(10) END AS nl FROM M), C AS (SELECT *, {_name_sql("line || nl")} AS name FROM W),
+A AS (SELECT substr(name, 1, 10) AS address FROM (SELECT name, count(*) AS n FROM C GROUP BY name ORDER BY n DESC, name LIMIT 1)),
+E AS (SELECT doc, count(*) FILTER (starts_with(name, address)) AS n, string_agg(CASE WHEN starts_with(name, address) THEN 'new' ELSE line END || nl, '' ORDER BY line_no) AS text FROM C, A GROUP BY doc)
+SELECT doc, text, n AS edits, CASE WHEN n = 0 THEN 'unresolved' ELSE 'done' END AS status FROM E"""),
+    "replace_line_after": (lambda s, d: replace.edit_lines(docs(s, d), _common_name(s, d), "more", replace.AFTER).select("doc", "text", "edits", "status"), f"""
 WITH {L}, M AS (SELECT *, max(line_no) OVER (PARTITION BY doc) AS m FROM L),
-H AS (SELECT doc, count(*) AS n FROM M WHERE {_name_sql("line || CASE WHEN line_no = m THEN '' ELSE chr(10) END", 4)} = '0000' GROUP BY doc)
-SELECT doc_id AS doc, coalesce(n, 0) AS edits, CASE WHEN n IS NULL THEN 'unresolved' ELSE 'done' END AS status FROM documents LEFT JOIN H ON doc = doc_id"""),
+W AS (SELECT *, CASE WHEN line_no = m THEN '' ELSE chr(10) END AS nl FROM M), C AS (SELECT *, {_name_sql("line || nl")} AS name FROM W),
+A AS (SELECT substr(name, 1, 10) AS address FROM (SELECT name, count(*) AS n FROM C GROUP BY name ORDER BY n DESC, name LIMIT 1)),
+E AS (SELECT doc, count(*) FILTER (starts_with(name, address)) AS n, string_agg(line || CASE WHEN starts_with(name, address) THEN chr(10) || 'more' ELSE '' END || nl, '' ORDER BY line_no) AS edited, string_agg(line || nl, '' ORDER BY line_no) AS plain FROM C, A GROUP BY doc)
+SELECT doc, CASE WHEN n = 1 THEN edited ELSE plain END AS text, (n = 1)::BIGINT AS edits, CASE WHEN n = 0 THEN 'unresolved' WHEN n = 1 THEN 'done' ELSE 'ambiguous' END AS status FROM E"""),
     # counts
     "count_ascii": (lambda s, d: count.count(docs(s, d)), rf"""
 WITH {L}, M AS (SELECT doc, count(*) AS lines, max(strlen(line)) AS m FROM L GROUP BY doc)
@@ -179,25 +271,47 @@ SELECT doc, lines, len(regexp_extract_all(text, '{DUCK_WORD}')) AS words, strlen
 WITH {L} SELECT count(*) AS lines, (SELECT sum(len(regexp_extract_all(text, '{DUCK_WORD}'))) FROM documents)::BIGINT AS words,
        (SELECT sum(strlen(text)) FROM documents)::BIGINT AS bytes, (SELECT sum(length(text)) FROM documents)::BIGINT AS chars, max(strlen(line)) AS max_line_length, (SELECT count(*) FROM documents) AS files FROM L"""),
     "count_with_total": (lambda s, d: count.with_total(count.count(docs(s, d), ("bytes", "chars"))).withColumn("doc", F.coalesce(F.col("doc").cast("string"), F.lit("total"))), "SELECT coalesce(doc_id::VARCHAR, 'total') AS doc, sum(strlen(text))::BIGINT AS bytes, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ROLLUP (doc_id)"),
-    "count_table": (lambda s, d: render.count_table(count.count(docs(s, d), ("bytes", "chars")), "human"), None),
+    "count_table": (lambda s, d: render.count_table(count.count(docs(s, d), ("bytes", "chars")), "human"), "SELECT doc_id AS doc, CASE WHEN strlen(text) >= 1000 THEN printf('%.1fK', strlen(text) / 1000) ELSE strlen(text)::VARCHAR END || chr(9) || CASE WHEN length(text) >= 1000 THEN printf('%.1fK', length(text) / 1000) ELSE length(text)::VARCHAR END || chr(9) || doc_id AS text FROM documents"),
+    "count_tree": (lambda s, d: report.count_tree(count.count(_folders(s, d), ("bytes", "chars"))), """
+WITH P AS (SELECT [coalesce(source, 'none'), coalesce(lang, 'none'), doc_id::VARCHAR] AS p, strlen(text) AS bytes, length(text) AS chars FROM documents),
+E AS (SELECT p, unnest(range(1, 4)) AS k, bytes, chars FROM P), G AS (SELECT array_to_string(p[1:k], '/') AS path, k - 1 AS depth, any_value(p[k]) AS name, sum(bytes)::BIGINT AS bytes, sum(chars)::BIGINT AS chars FROM E GROUP BY ALL),
+T AS (SELECT *, format('{:,}', bytes) AS b, format('{:,}', chars) AS c FROM G)
+SELECT path, depth::INT AS depth, lpad(b, (max(length(b)) OVER ())::INT, ' ') || '  ' || lpad(c, (max(length(c)) OVER ())::INT, ' ') || '  ' || repeat('  ', depth) || name || CASE WHEN depth < 2 THEN '/' ELSE '' END AS text FROM T"""),
+    "count_records": (lambda s, d: render.count_records(count.count(docs(s, d), ("bytes", "chars"))), """SELECT doc_id AS doc, '{"type":"count","data":{"path":"' || doc_id || '","bytes":' || strlen(text) || ',"chars":' || length(text) || '}}' AS record FROM documents"""),
     # rows and columns
     "rows_ranges": (lambda s, d: rows.select_rows(docs(s, d), "3,1,5-7").select("doc", "line_no", "line"), f"WITH {L} SELECT doc, line_no, line FROM L WHERE line_no IN (1, 3) OR line_no BETWEEN 5 AND 7"),
     "rows_every": (lambda s, d: rows.select_rows(docs(s, d), every=3).select("doc", "line_no", "line"), f"WITH {L} SELECT doc, line_no, line FROM L WHERE line_no % 3 = 0"),
     "rows_tail": (lambda s, d: rows.select_rows(docs(s, d), tail=2).select("doc", "line_no", "line"), f"WITH {L} SELECT doc, line_no, line FROM (SELECT *, max(line_no) OVER (PARTITION BY doc) AS n FROM L) WHERE line_no > n - 2"),
+    "rows_records": (lambda s, d: report.row_records(rows.select_rows(docs(s, d), "2")), f"""
+WITH {L}, M AS (SELECT *, line || CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc) THEN '' ELSE chr(10) END AS whole FROM L)
+SELECT doc, line_no, '{{"type":"row","data":{{"path":{{"text":"' || doc || '"}},"line_number":' || line_no || ',"line_hash":"' || {_name_sql("whole", 8)} || '","text":' || to_json(line)::VARCHAR || '}}}}' AS record FROM M WHERE line_no = 2"""),
+    "rows_names": (lambda s, d: report.row_names(docs(s, d)), f"SELECT doc_id AS doc, doc_id || '  ' || {_name_sql('text')} AS text FROM documents"),
+    "cols_records": (lambda s, d: report.column_records(cols.columns(docs(s, d), "1,2", " ", min_columns=2)), f"""
+WITH {L} SELECT doc, line_no, '{{"type":"columns","data":{{"path":{{"text":"' || doc || '"}},"line_number":' || line_no || ',"columns":[' || to_json(f[1])::VARCHAR || ',' || to_json(f[2])::VARCHAR || ']}}}}' AS record FROM (SELECT *, string_split(line, ' ') AS f FROM L WHERE line <> '') WHERE len(f) >= 2"""),
     "cols_select": (lambda s, d: cols.columns(docs(s, d), "3,1", " ", ",").select("doc", "line_no", "line"), f"""
 WITH {L} SELECT doc, line_no, CASE WHEN line = '' THEN ',' ELSE coalesce(f[3], '') || ',' || coalesce(f[1], '') END AS line FROM (SELECT *, string_split(line, ' ') AS f FROM L)"""),
     "cols_minimum": (lambda s, d: cols.columns(_events(s, d), "2", ":", min_columns=2).select("doc", "line_no", "line"), f"WITH {_lines('events', 'event_id', 'props')} SELECT doc, line_no, string_split(line, ':')[2] AS line FROM L WHERE len(string_split(line, ':')) >= 2"),
     # distinct and sort
     "dedup_lines": (lambda s, d: distinct.dedup(docs(s, d)).select("doc", "line_no", "line", "times"), f"WITH {L} SELECT doc, line_no, line, times FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc, line_no) AS k, count(*) OVER (PARTITION BY line) AS times FROM L) WHERE k = 1"),
-    "dedup_folded": (lambda s, d: distinct.dedup(docs(s, d), True).select("doc", "line_no", "line"), f"WITH {L} SELECT doc, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY {_duck_fold('line')} ORDER BY doc, line_no) AS k FROM L) WHERE k = 1"),
+    "dedup_folded": (lambda s, d: distinct.dedup(_twice(s, d), True).select("doc", "line_no", "line", "times"), f"WITH {_lines(TWICE)} SELECT doc, line_no, line, times FROM (SELECT *, count(*) OVER (PARTITION BY {_duck_fold('line')}) AS times, row_number() OVER (PARTITION BY {_duck_fold('line')} ORDER BY doc, line_no) AS k FROM L) WHERE k = 1"),
+    "dedup_records": (lambda s, d: report.distinct_records(distinct.dedup(docs(s, d)).filter("times > 1")), f"""
+WITH {L} SELECT doc, line_no, '{{"type":"line","data":{{"path":{{"text":"' || doc || '"}},"line_number":' || line_no || ',"text":' || to_json(line)::VARCHAR || ',"times":' || times || '}}}}' AS record
+FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc, line_no) AS k, count(*) OVER (PARTITION BY line) AS times FROM L) WHERE k = 1 AND times > 1"""),
+    "sort_totals": (lambda s, d: report.totals_record(distinct.sort_totals(docs(s, d), unique=True), "summary"), f"""WITH {L} SELECT '{{"type":"summary","data":{{"written":' || count(DISTINCT line) || ',"total":' || count(*) || '}}}}' AS record FROM L"""),
     "dedup_totals": (lambda s, d: distinct.dedup_totals(docs(s, d)), f'WITH {L} SELECT count(DISTINCT line) AS "unique", count(*) AS total FROM L'),
     "sort_lines": (lambda s, d: distinct.sort(docs(s, d)), f"WITH {L} SELECT doc, line_no, line FROM L ORDER BY line, doc, line_no"),
     "sort_reverse": (lambda s, d: distinct.sort(docs(s, d), reverse=True), f"WITH {L} SELECT doc, line_no, line FROM L ORDER BY line DESC, doc, line_no"),
     "sort_unique": (lambda s, d: distinct.sort(docs(s, d), unique=True), f"WITH {L} SELECT doc, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc, line_no) AS k FROM L) WHERE k = 1 ORDER BY line"),
-    "sort_folded": (lambda s, d: distinct.sort(docs(s, d), ignore_case=True, unique=True).select("line"), f"WITH {L} SELECT arg_min(line, (doc, line_no)) AS line FROM L GROUP BY {_duck_fold('line')}"),
+    "sort_folded": (lambda s, d: distinct.sort(_twice(s, d), ignore_case=True, unique=True).select("doc", "line_no", "line"), f"WITH {_lines(TWICE)} SELECT doc, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY {_duck_fold('line')} ORDER BY doc, line_no) AS k FROM L) WHERE k = 1"),
+    "sort_folded_all": (lambda s, d: distinct.sort(_twice(s, d), ignore_case=True).select("doc", "line_no", "line"), f"WITH {_lines(TWICE)} SELECT doc, line_no, line FROM L ORDER BY {_duck_fold('line')}, doc, line_no"),
     "sort_disorder": (lambda s, d: distinct.first_disorder(docs(s, d)), f"WITH {L} SELECT doc, min(line_no) AS line_no FROM (SELECT *, lag(line) OVER (PARTITION BY doc ORDER BY line_no) AS before FROM L) WHERE line < before GROUP BY doc"),
     # chunks
-    "chunk_lines": (lambda s, d: chunk.by_lines(docs(s, d), 5).groupBy("doc", "chunk").agg(F.count("*").alias("lines")), f"WITH {L} SELECT doc, (line_no - 1) // 5 AS chunk, count(*) AS lines FROM L GROUP BY ALL"),
+    "chunk_lines": (lambda s, d: chunk.chunks(chunk.by_lines(docs(s, d), 5)).select("doc", "chunk", "lines", "bytes", "text"), f"""
+WITH {L}, M AS (SELECT *, line || CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc) THEN '' ELSE chr(10) END AS whole FROM L)
+SELECT doc, (line_no - 1) // 5 AS chunk, count(*) AS lines, sum(strlen(whole))::BIGINT AS bytes, string_agg(whole, '' ORDER BY line_no) AS text FROM M GROUP BY ALL"""),
+    "chunk_manifest": (lambda s, d: report.chunk_manifest(chunk.chunks(chunk.by_lines(docs(s, d), 20)), chunk.suffix_column("chunk", 3), form="json"), f"""
+WITH {L}, M AS (SELECT *, line || CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc) THEN '' ELSE chr(10) END AS whole, (line_no - 1) // 20 AS chunk FROM L)
+SELECT doc, chunk, '{{"type":"chunk","data":{{"path":"x' || chr(97 + (chunk // 676)::INT) || chr(97 + (chunk // 26 % 26)::INT) || chr(97 + (chunk % 26)::INT) || '","lines":' || count(*) || ',"bytes":' || sum(strlen(whole))::BIGINT || ',"header_lines":0}}}}' AS text FROM M GROUP BY doc, chunk"""),
     "chunk_bytes": (lambda s, d: chunk.chunks(chunk.by_bytes(docs(s, d), 2000)).select("doc", "chunk", "lines", "bytes"), f"""
 WITH RECURSIVE {L}, S AS (SELECT doc, line_no, strlen(line) + CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc) THEN 0 ELSE 1 END AS size FROM L),
 R AS (SELECT doc, line_no, size, size AS used, 0::BIGINT AS chunk FROM S WHERE line_no = 1
@@ -213,10 +327,15 @@ SELECT doc_id AS doc, k AS chunk, coalesce(lines, 0) AS lines, coalesce(bytes, 0
 WITH {L}, C AS (SELECT doc, line_no, (sum(CASE WHEN starts_with(line, 'D') AND line_no > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no))::BIGINT AS chunk,
        strlen(line) + CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc) THEN 0 ELSE 1 END AS size FROM L)
 SELECT doc, chunk, count(*) AS lines, sum(size)::BIGINT AS bytes FROM C GROUP BY doc, chunk"""),
-    "chunk_header": (lambda s, d: chunk.chunks(chunk.with_header(docs(s, d), 1, lambda x: chunk.by_lines(x, 3))).select("doc", "chunk", "lines", "header_lines"), f"WITH {L} SELECT doc, (line_no - 2) // 3 AS chunk, count(*) AS lines, 1::BIGINT AS header_lines FROM L WHERE line_no > 1 GROUP BY ALL"),
+    "chunk_header": (lambda s, d: chunk.chunks(chunk.with_header(docs(s, d).filter(F.rlike("text", F.lit(r"(?s)\n."))), 1, lambda x: chunk.by_lines(x, 3))).select("doc", "chunk", "lines", "header_lines", "text"), f"""
+WITH {L}, M AS (SELECT *, line || CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc) THEN '' ELSE chr(10) END AS whole, first_value(line) OVER (PARTITION BY doc ORDER BY line_no) || chr(10) AS head FROM L)
+SELECT doc, (line_no - 2) // 3 AS chunk, count(*) AS lines, 1::BIGINT AS header_lines, any_value(head) || string_agg(whole, '' ORDER BY line_no) AS text FROM M WHERE line_no > 1 GROUP BY doc, chunk"""),
     "chunk_suffix": (lambda s, d: chunk.by_lines(docs(s, d), 5).select("doc", "line_no", chunk.suffix_column("chunk", 3).alias("suffix")), f"WITH {L} SELECT doc, line_no, chr(97 + ((line_no - 1) // 5 // 676)::INT) || chr(97 + ((line_no - 1) // 5 // 26 % 26)::INT) || chr(97 + ((line_no - 1) // 5 % 26)::INT) AS suffix FROM L"),
     # segments
-    "segment_whitespace": (lambda s, d: segment.segments(docs(s, d), "whitespace"), None),
+    "segment_whitespace": (lambda s, d: segment.segments(docs(s, d), "whitespace").select("doc", "start", "end", "segment"), rf"""
+WITH P AS (SELECT doc_id AS doc, regexp_extract_all(text, '[^\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+') AS p FROM documents), Q AS (SELECT doc, unnest(range(1, len(p) + 1)) AS k, unnest(p) AS segment FROM P),
+S AS (SELECT *, coalesce(sum(strlen(segment)) OVER (PARTITION BY doc ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM Q)
+SELECT doc, start, (start + strlen(segment))::BIGINT AS "end", segment FROM S WHERE regexp_matches(segment, '^[^\s\x0B\x{{85}}\p{{Z}}]')"""),
     "segment_whitespace_count": (lambda s, d: segment.count(docs(s, d), "whitespace"), r"SELECT doc_id AS doc, len(regexp_extract_all(text, '[^\s\x0B\x{85}\p{Z}]+')) AS segments FROM documents"),
     "segment_delimiters_count": (lambda s, d: segment.count(docs(s, d), "delimiters"), r"SELECT doc_id AS doc, len(regexp_extract_all(text, '[^\p{P}\p{S}\p{Z}\s\x0B\x{85}]+')) AS segments FROM documents"),
     "segment_newlines": (lambda s, d: segment.segments(docs(s, d), "newlines").select("doc", "start", "end", "segment"), f"""WITH {L}, {OFFSETS} SELECT doc, byte_offset AS start, byte_offset + strlen(line) AS "end", line AS segment FROM O WHERE line <> ''"""),
@@ -229,6 +348,7 @@ SELECT doc, chunk, count(*) AS lines, sum(size)::BIGINT AS bytes FROM C GROUP BY
     "sha256_digests": (lambda s, d: checksum.digests(docs(s, d)), "SELECT doc_id::VARCHAR AS path, sha256(text) AS digest, strlen(text) AS bytes FROM documents"),
     "sha256_manifest": (lambda s, d: checksum.manifest(checksum.digests(docs(s, d)), "bsd"), "SELECT doc_id::VARCHAR AS path, 'SHA256 (' || doc_id || ') = ' || sha256(text) AS line FROM documents"),
     "sha256_verify": (lambda s, d: checksum.verify(checksum.parse_manifest(_claims(s, d)), checksum.digests(docs(s, d))), "SELECT CASE WHEN doc_id % 5 = 0 THEN 'gone-' ELSE '' END || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'FAILED open or read' WHEN doc_id % 3 = 0 THEN 'FAILED' ELSE 'OK' END AS verdict FROM documents"),
+    "sha256_records": (lambda s, d: report.digest_records(checksum.digests(docs(s, d))), """SELECT doc_id::VARCHAR AS path, '{"type":"digest","data":{"path":"' || doc_id || '","digest":"' || sha256(text) || '","bytes":' || strlen(text) || '}}' AS record FROM documents"""),
     "sha256_totals": (lambda s, d: checksum.totals(checksum.digests(docs(s, d))), "SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents"),
     "content_names": (lambda s, d: docs(s, d).select("doc", content_name("text").alias("name")), f"SELECT doc_id AS doc, {_name_sql('text')} AS name FROM documents"),
     "line_names": (lambda s, d: lines(docs(s, d)).select("doc", "line_no", content_name(whole(), 8).alias("name")), f"""WITH {L}, M AS (SELECT *, max(line_no) OVER (PARTITION BY doc) AS m FROM L) SELECT doc, line_no, {_name_sql("line || CASE WHEN line_no = m THEN '' ELSE chr(10) END", 8)} AS name FROM M"""),
@@ -238,13 +358,16 @@ SELECT doc, chunk, count(*) AS lines, sum(size)::BIGINT AS bytes FROM C GROUP BY
     "fuzzy_exact_folded": (lambda s, d: fuzzy.score(s, docs(s, d), list(FUZZY_WORDS), fuzzy.Effort.EXACT).withColumn("score", F.round("score", 9)), _bm25(FUZZY_WORDS, _duck_fold("line"))),
     "fuzzy_typos": (lambda s, d: fuzzy.score(s, docs(s, d), [NEEDLE]), None),
     "fuzzy_spelling": (lambda s, d: fuzzy.score(s, docs(s, d), [NEEDLE], fuzzy.Effort.SPELLING), None),
-    "fuzzy_sounds": (lambda s, d: fuzzy.score(s, docs(s, d), ["Gaddafi", "philosophie"], fuzzy.Effort.SOUNDS), None),
+    "fuzzy_sounds": (lambda s, d: fuzzy.score(s, docs(s, d), ["skeingen", "vreh"], fuzzy.Effort.SOUNDS), None),
     "fuzzy_spans": (lambda s, d: fuzzy.locate(fuzzy.score(s, docs(s, d), [NEEDLE]), [NEEDLE]), None),
     "fuzzy_top": (lambda s, d: rows.top_k(fuzzy.score(s, docs(s, d), [NEEDLE]), 3), None),
     "fuzzy_files": (lambda s, d: fuzzy.files(fuzzy.score(s, docs(s, d), [NEEDLE], fuzzy.Effort.EXACT)), f"SELECT doc_id AS doc FROM documents WHERE contains(lower(text), '{NEEDLE}')"),
     # outlines and containers
-    "outline_markdown": (lambda s, d: outline.outline(docs(s, d), "markdown"), None),
-    "outline_c": (lambda s, d: outline.outline(docs(s, d, "conversations", "conv_id"), "c"), None),
+    "outline_markdown": (lambda s, d: outline.outline(_markdown(s, d), "markdown"), MARKDOWN_SQL),
+    "outline_documents": (lambda s, d: outline.outline(docs(s, d), "markdown"), None),
+    "outline_c": (lambda s, d: outline.outline(_c_sources(s, d), "c"), C_SQL),
+    "outline_headings": (lambda s, d: report.outline_text(outline.outline(_markdown(s, d), "markdown", "headings")).select("doc", "line_number", "text"), "SELECT n_nationkey::BIGINT AS doc, 1::BIGINT AS line_number, '1:heading  ' || n_name AS text FROM nation UNION ALL SELECT n_nationkey, 5, '5:heading    Keys' FROM nation"),
+    "outline_records": (lambda s, d: report.outline_records(outline.outline(_c_sources(s, d), "c")).select("doc", "byte_offset", F.get_json_object("record", "$.data.kind").alias("kind"), F.get_json_object("record", "$.data.text").alias("text")), f"SELECT doc, byte_offset, kind, text FROM ({C_SQL})"),
     "notebook_cells": (_notebooks, "SELECT conv_id AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cell, text FROM conversations"),
     "pages_find": (lambda s, d: find.count_lines(_pages(s, d), _q("<p>", multiline=True)), "SELECT page_id AS doc, len(string_split(html, '<p>')) - 1 AS count FROM pages WHERE contains(html, '<p>')"),
 }

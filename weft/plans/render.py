@@ -12,8 +12,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.names import content_name
-from weft.operators.find import Search, context, count_lines, hits, matches, summary
+from weft.operators.find import Search, context, hits, matches, summary
 
 
 class Status(enum.IntEnum):
@@ -63,20 +62,6 @@ def text_field(content: Column | str) -> Column:
     return F.struct(F.when(valid, c.cast("string")).alias("text"), F.when(~valid, F.base64(c.cast("binary"))).alias("bytes"))
 
 
-def find_records(docs: DataFrame, search: Search) -> DataFrame:
-    """doc, phase, line_no, record of a search: begin, then matches, then end for each document, in that order."""
-    counts = count_lines(docs, search)
-    begin = counts.select("doc", F.lit(0).alias("phase"), F.lit(0).cast("long").alias("line_no"), record("begin", F.struct(F.col("doc").cast("string").alias("text")).alias("path")).alias("record"))
-    found = hits(docs, search, offsets=True)
-    spans = F.array().cast("array<struct<start: long, end: long, column: long, match: string>>") if search.invert else search.spans_udf()("as_cut")
-    subs = F.transform(spans, lambda s: F.struct(F.struct(s["match"].alias("text")).alias("match"), s["start"].alias("start"), s["end"].alias("end")))
-    line = F.struct(F.concat("as_cut", "terminator").alias("text")).alias("lines")
-    body = found.select("doc", F.lit(1).alias("phase"), "line_no", record("match", F.struct(F.col("doc").cast("string").alias("text")).alias("path"), line, F.col("line_no").alias("line_number"), F.col("byte_offset").alias("absolute_offset"), subs.alias("submatches")).alias("record"))
-    names = docs.select("doc", content_name("text").alias("file_hash"), F.octet_length("text").alias("bytes"))
-    end = counts.join(names, "doc").select("doc", F.lit(2).alias("phase"), F.lit(0).cast("long").alias("line_no"), record("end", F.struct(F.col("doc").cast("string").alias("text")).alias("path"), "file_hash", F.struct(F.col("count").alias("matched_lines"), F.col("bytes").alias("bytes_searched")).alias("stats")).alias("record"))
-    return begin.unionAll(body).unionAll(end)
-
-
 def summary_record(docs: DataFrame, search: Search) -> DataFrame:
     return summary(docs, search).select(record("summary", "files_searched", "files_matched", "lines", "matches", "bytes").alias("record"))
 
@@ -104,11 +89,6 @@ def headings(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "line_no", "text").unionAll(heads)
 
 
-def coloured(line: Column | str, pattern: str) -> Column:
-    """A line with its matches in bold red."""
-    return F.replace(line, F.lit(pattern), F.lit(f"\x1b[1;31m{pattern}\x1b[0m"))
-
-
 def trimmed(line: Column | str, most: int, unicode: bool = True) -> Column:
     """A line of at most ``most`` characters, or bytes on a character's edge, and then [...]."""
     c = F.col(line) if isinstance(line, str) else line
