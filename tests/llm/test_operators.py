@@ -162,6 +162,87 @@ def test_jaccard_with_hot_groups(spark, monkeypatch):
     assert sorted(key(x.doc_id, x.n_shingles, x.component_id) for x in found) == brute_components(rows)
 
 
+def near_sets(g, n, groups):
+    """Sets around a few centres, so that some link, some nearly do and some share a little."""
+    centres = [np.sort(g.choice(2**60, 80, replace=False).astype(np.uint64)) for _ in range(groups)]
+    out = []
+    for k in range(n):
+        own = centres[k % groups].copy()
+        change = g.choice(80, int(g.integers(0, 22)), replace=False)
+        own[change] = g.choice(2**60, len(change), replace=False).astype(np.uint64)
+        out.append(np.unique(own))
+    return out
+
+
+def test_spanning_links_and_tree_pairs_against_brute_force():
+    g = np.random.default_rng(8)
+    for turn in range(6):
+        sets = near_sets(g, 70, 3 + turn)
+        labels = np.arange(70) if turn % 2 else g.integers(0, 40, 70)
+        sizes = np.array([len(s) for s in sets])
+        links = {(a, b) for a in range(70) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+
+        def classes(edges):
+            parent = {int(x): int(x) for x in labels}
+
+            def root(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in edges:
+                parent[root(int(labels[a]))] = root(int(labels[b]))
+            return [root(int(x)) for x in labels], len({root(x) for x in parent})
+
+        found = jaccard_rtree.spanning_links(labels, sets)
+        assert all((max(a, b), min(a, b)) in links for a, b in found)
+        whole, n = classes(links)
+        mine, m = classes(found)
+        assert n == m and len({*zip(whole, mine)}) == n
+        # one link for each two components that it joins
+        assert len(found) == len(set(labels.tolist())) - n
+        pairs, rows = jaccard_rtree.tree_pairs(labels, sizes, [jaccard_rtree.fine_point(s) for s in sets])
+        apart = {(a, b) for a, b in links if labels[a] != labels[b]}
+        assert {x for pair in apart for x in pair} <= set(rows.tolist())
+        assert pairs.shape[1] <= len(rows) and (not pairs.shape[1] or apart <= {(max(p), min(p)) for p in pairs.T.tolist()})
+
+
+def test_names_of_different_sets_that_met_once():
+    sets = [np.array([1, 2, 3], np.uint64), np.array([1, 2, 4], np.uint64)]
+    before = jaccard_rtree._names(sets)
+    after = jaccard_rtree._names(sets, before[:1, 0])
+    assert after[0, 0] != before[0, 0] and (after[1] == before[1]).all() and after[0, 1] == before[0, 1]
+
+
+def test_masks_lose_nothing(spark):
+    numbers = spark.range(5000).selectExpr("xxhash64(id) as x")
+    mask = jaccard_rtree.Bits.of(numbers, "x")
+    own = np.array([r.x for r in numbers.collect()], np.int64)
+    assert mask.has(own).all() and mask.has(np.random.default_rng(1).integers(-(2**63), 2**63, 5000)).mean() < 0.2
+
+
+def test_jaccard_links_hold_components_together(spark):
+    rows = [(k, edited(BASE[4], k % 4) if k < 12 else BASE[k % 6], None) for k in range(20)] + [(50, None, None), (51, BASE[4], None)]
+    table = spark.createDataFrame(rows, NONE)
+    found = {x.doc_id: x for x in jaccard_rtree.link(spark, table).collect()}
+    parent = {d: d for d in found}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for x in jaccard_rtree.links(spark, table).collect():
+        assert x.class_a < x.class_b and found[x.class_a].class_id == x.class_a
+        parent[root(x.class_a)] = root(x.class_b)
+    for x in found.values():
+        parent[root(x.doc_id)] = root(x.class_id)
+    groups = collections.defaultdict(list)
+    for d in found:
+        groups[root(d)].append(d)
+    assert {d: min(own) for own in groups.values() for d in own} == {d: x.component_id for d, x in found.items()}
+
+
 def test_rtree_bound_loses_nothing():
     g = np.random.default_rng(5)
     sizes = g.integers(5, 400, 300)
