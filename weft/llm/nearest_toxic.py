@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.storage import Scratch
-from weft.llm.word_hash import NOT_LETTERS, mix, slices, words
+from weft.llm.word_hash import NOT_LETTERS, mix, release, slices, words
 
 EXAMPLES = 8000
 NEIGHBOURS = 30
 BLOCK = 64
+#: Words of one example in COMMON are scored by a matrix, for TOGETHER texts at once.
+COMMON, TOGETHER = 32, 128
 FOLDS = 5
 #: Weight of a word that tells nothing of the label, beside log odds of words that do; their deviations below the estimate.
 LEAST, DEVIATIONS = 0.1, 2.0
@@ -74,38 +76,77 @@ def alike_order(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int)
 class BlockMaxIndex:
     """Unit vectors of examples by word: ``search`` is exact, whatever the order in blocks.
 
-    rows, words, weights: the entries of all vectors; ids and labels: of the examples.
+    rows, words, weights: the entries of all vectors; ids and labels: of the examples. Words of one example in
+    COMMON at least have a column of a matrix, which scores many texts at once; the others have postings in
+    blocks, and a block can reach no more than its best common part and its largest weights of the others.
     """
 
     def __init__(self, rows: np.ndarray, word: np.ndarray, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_words: int):
         order = alike_order(rows, word, weights, len(ids))
-        place = np.empty(len(ids), np.int64)
-        place[order] = np.arange(len(ids))
+        place = np.empty(len(ids), np.int32)
+        place[order] = np.arange(len(ids), dtype=np.int32)
         self.ids, self.labels, self.n_blocks = ids[order], labels[order].astype(np.int32), -(-len(ids) // BLOCK)
         at = place[rows]
         by = np.lexsort((at, word))
-        word, at, weights = word[by], at[by], weights[by]
-        self.example, self.weight = at.astype(np.intp), weights.astype(np.float64)
-        block = at // BLOCK
+        self._postings(np.searchsorted(word[by], np.arange(n_words + 1)), at[by], weights[by].astype(np.float32))
+
+    def _postings(self, begin: np.ndarray, at: np.ndarray, weights: np.ndarray) -> None:
+        """What a search reads, from the examples and weights of each word's postings."""
+        self.sent = np.diff(begin).astype(np.uint32), at, weights
+        size = np.diff(begin)
+        common = np.flatnonzero(size * COMMON >= max(COMMON, len(self.ids)))
+        self.column = np.full(len(size), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((self.n_blocks * BLOCK, len(common)))
+        word = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        dense = self.column[word] >= 0
+        self.matrix[at[dense], self.column[word[dense]]] = weights[dense]
+        word, at = word[~dense], at[~dense]
+        self.example, self.weight = at.astype(np.intp), weights[~dense].astype(np.float64)
+        block = self.example // BLOCK
         first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])][: len(word)])
-        #: entries (word, block) with where their postings begin and their largest weight, and where a word's entries begin
-        self.begin = np.r_[first, len(word)]
-        self.size = np.diff(self.begin)
-        self.block = block[first].astype(np.intp)
+        #: entries (word, block) with where their postings begin, how many they are and their largest weight, and where a word's entries begin
+        self.begin = first
+        self.size = np.diff(np.r_[first, len(word)])
+        self.block = block[first]
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
-        self.word_begin = np.searchsorted(word[first], np.arange(n_words + 1))
+        self.word_begin = np.searchsorted(word[first], np.arange(len(size) + 1))
         self.scored = 0
 
-    def search(self, word: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and places of the k nearest with a cosine above 0, nearest first, ties to the smaller id."""
+    def __getstate__(self):
+        # tasks are sent the postings alone, in few bytes
+        sizes, example, weight = self.sent
+        return self.ids, self.labels, sizes, example.astype(np.uint16 if len(self.ids) <= 1 << 16 else np.uint32), weight
+
+    def __setstate__(self, state):
+        self.ids, self.labels, sizes, example, weight = state
+        self.n_blocks = -(-len(self.ids) // BLOCK)
+        self._postings(np.r_[0, np.cumsum(sizes, dtype=np.int64)], example.astype(np.int32), weight)
+
+    def common_parts(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common words give to the cosine of each text with each example."""
+        texts = np.zeros((len(vectors), self.matrix.shape[1]))
+        for row, (word, weights) in zip(texts, vectors):
+            column = self.column[word]
+            row[column[column >= 0]] = weights[column >= 0]
+        return texts @ self.matrix.T
+
+    def search(self, word: np.ndarray, weights: np.ndarray, k: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the k nearest with a cosine above 0, nearest first, ties to the smaller id.
+
+        ``part`` is the text's row of ``common_parts``.
+        """
+        part = self.common_parts([(word, weights)])[0] if part is None else part
+        rare = self.column[word] < 0
+        word, weights = word[rare], weights[rare]
         begin = self.word_begin[word]
         size = self.word_begin[word + 1] - begin
         entry, own = ragged(begin, size), np.repeat(weights, size)
         block = self.block[entry]
-        bound = np.bincount(block, self.most[entry] * own, self.n_blocks)
+        bound = part.reshape(-1, BLOCK).max(1) + np.bincount(block, self.most[entry] * own, self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        cosines, places, worst, step = np.zeros(0), np.zeros(0, np.int64), 0.0, 4
+        cosines, places, step = np.zeros(0), np.zeros(0, np.int64), 8
         while len(order):
             now, order = order[:step], order[step:]
             wanted = np.zeros(self.n_blocks, bool)
@@ -114,16 +155,21 @@ class BlockMaxIndex:
             meant = entry[some]
             size = self.size[meant]
             at = ragged(self.begin[meant], size)
-            sums = np.bincount(self.example[at], self.weight[at] * np.repeat(own[some], size), len(self.ids))
-            new = np.flatnonzero(sums > 0)
+            sums = part + np.bincount(self.example[at], self.weight[at] * np.repeat(own[some], size), len(part))
+            new = (np.sort(now)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            new = new[sums[new] > 1e-12]
+            if len(cosines) == k:
+                new = new[sums[new] >= cosines[-1] - 1e-11]
             cosines, places = np.concatenate([cosines, np.round(sums[new], 12)]), np.concatenate([places, new])
+            if len(cosines) > 4 * k:
+                near = np.flatnonzero(cosines >= np.partition(cosines, -k)[-k])
+                cosines, places = cosines[near], places[near]
             best = np.lexsort((self.ids[places], -cosines))[:k]
             cosines, places = cosines[best], places[best]
             self.scored += len(now)
             step *= 4
             if len(cosines) == k:
-                worst = cosines[-1]
-                order = order[bound[order] >= worst - 1e-9]
+                order = order[bound[order] >= cosines[-1] - 1e-9]
         return cosines, places
 
 
@@ -133,36 +179,55 @@ class Model:
     def __init__(self, hashes: np.ndarray, weights: np.ndarray, index: BlockMaxIndex | None, prior: float, k: int):
         self.hashes, self.weights, self.index, self.prior, self.k = hashes, weights, index, prior, k
         self.slope, self.shift = 1.0, 0.0
+        self.sent = None
+
+    def __getstate__(self):
+        return self.hashes, self.weights, self.index, self.prior, self.k
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def send(self, spark: SparkSession):
+        """The model as a broadcast, once; its curve isn't part of it."""
+        self.sent = self.sent or spark.sparkContext.broadcast(self)
+        return self.sent
 
     def vector(self, word: np.ndarray, times: np.ndarray) -> np.ndarray:
         raw = (1 + np.log(times)) * self.weights[word]
         norm = math.sqrt(float(raw @ raw))
         return raw / norm if norm else raw
 
-    def vote(self, word: np.ndarray, times: np.ndarray, but: int | None = None):
-        """The toxic part of the nearest examples' votes, and these as (id, cosine, label); None without neighbours.
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> Iterator[tuple]:
+        """For each text (words, times) the toxic part of the nearest examples' votes, and these as (id, cosine, label).
 
-        ``but`` is the id of an example that takes no part, nor do its copies.
+        None without neighbours. ``but`` has the id of an example for each text; it takes no part, nor do its copies.
         """
-        if not len(word) or self.index is None:
-            return None, []
-        cosines, places = self.index.search(word, self.vector(word, times), self.k if but is None else self.k + 20)
-        if but is not None:
-            other = (self.index.ids[places] != but) & (cosines < 1 - 1e-9)
-            cosines, places = cosines[other][: self.k], places[other][: self.k]
-        if not len(places):
-            return None, []
-        weights = 1 / (NEAREST + 1 - cosines)
-        toxic = float(weights @ self.index.labels[places] / weights.sum())
-        return toxic, list(zip(self.index.ids[places[:3]].tolist(), cosines[:3].tolist(), self.index.labels[places[:3]].tolist()))
-
-    def score(self, word: np.ndarray, times: np.ndarray) -> tuple[float, list]:
-        """Score and evidence of a text with these words and times."""
-        toxic, near = self.vote(word, times)
-        return (self.prior, []) if toxic is None else (self.calibrated(toxic), near)
-
-    def calibrated(self, toxic: float) -> float:
-        return 1 / (1 + math.exp(-min(700.0, max(-700.0, self.slope * logit(toxic) + self.shift))))
+        for at in range(0, len(texts), TOGETHER):
+            vectors = [(word, self.vector(word, times)) for word, times in texts[at : at + TOGETHER]]
+            parts = self.index.common_parts(vectors) if self.index is not None else vectors
+            for n, ((word, weights), part) in enumerate(zip(vectors, parts), at):
+                if not len(word) or self.index is None:
+                    yield None, []
+                    continue
+                cosines, places = self.index.search(word, weights, self.k if but is None else self.k + 20, part)
+                if but is not None:
+                    other = (self.index.ids[places] != but[n]) & (cosines < 1 - 1e-9)
+                    cosines, places = cosines[other][: self.k], places[other][: self.k]
+                if not len(places):
+                    yield None, []
+                    continue
+                weighed = 1 / (NEAREST + 1 - cosines)
+                toxic = float(weighed @ self.index.labels[places] / weighed.sum())
+                yield toxic, list(zip(self.index.ids[places[:3]].tolist(), cosines[:3].tolist(), self.index.labels[places[:3]].tolist()))
+
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]], curve: tuple[float, float]) -> Iterator[tuple[float, list]]:
+        """Score and evidence of each text (words, times)."""
+        for toxic, near in self.votes(texts):
+            yield (self.prior, []) if toxic is None else (calibrated(toxic, curve), near)
+
+
+def calibrated(toxic: float, curve: tuple[float, float]) -> float:
+    return 1 / (1 + math.exp(-min(700.0, max(-700.0, curve[0] * logit(toxic) + curve[1]))))
 
 
 def logit(toxic):
@@ -197,9 +262,8 @@ def counts_of(texts: pa.Array, hashes: np.ndarray) -> list[tuple[np.ndarray, np.
     return [(keys[a:b] - t * len(hashes), n[a:b]) for t, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
-def _frequencies(spark: SparkSession, texts: DataFrame, hashes: np.ndarray) -> np.ndarray:
-    """In how many of all texts each word is."""
-    sent = spark.sparkContext.broadcast(hashes)
+def _frequencies(texts: DataFrame, sent, n_words: int) -> np.ndarray:
+    """In how many of all texts each of the words sent to the tasks is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(sent.value), np.int64)
@@ -212,7 +276,7 @@ def _frequencies(spark: SparkSession, texts: DataFrame, hashes: np.ndarray) -> n
 
     # a row for each word of the examples at most
     found = texts.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(hashes))
+    out = np.zeros(n_words)
     out[found["word"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
 
@@ -244,12 +308,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int =
     # a place that both labels have is a toxic one no more
     once = sample.mapInArrow(places, "word bigint, place bigint, toxic int").groupBy("word", "place").agg(F.min("toxic").alias("toxic"))
     per_word = once.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("ones")).toPandas()
-    per_word = per_word.assign(word=per_word["word"].to_numpy(np.int64).view(np.uint64)).sort_values("word")
-    hashes = per_word["word"].to_numpy(np.uint64)
+    found = per_word["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    hashes, relevant = found[order], relevance(per_word["n"].to_numpy(float)[order], per_word["ones"].to_numpy(float)[order])
+    del per_word, found, order
     n_docs = docs.count()
-    idf = np.log((n_docs + 1) / (_frequencies(spark, texts, hashes) + 1)) + 1
-    weights = idf * relevance(per_word["n"].to_numpy(float), per_word["ones"].to_numpy(float))
     sent = spark.sparkContext.broadcast(hashes)
+    idf = np.log((n_docs + 1) / (_frequencies(texts, sent, len(hashes)) + 1)) + 1
+    weights = idf * relevant
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -258,26 +324,30 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *packed], ["doc_id", "toxic", "words", "times"])
 
     counted = scratch.keep(sample.mapInArrow(count, "doc_id bigint, toxic int, words binary, times binary"), "counted")
+    sent.unpersist()
     rows = counted.toPandas().sort_values(["doc_id", "words"], kind="stable")
-    word, times = ([np.frombuffer(x, "<i4").astype(np.int64) for x in rows[c]] for c in ("words", "times"))
-    toxic = rows["toxic"].to_numpy(np.int64)
+    ids, toxic = rows["doc_id"].to_numpy(np.int64), rows["toxic"].to_numpy(np.int64)
+    word, times = ([np.frombuffer(x, "<i4") for x in rows[c]] for c in ("words", "times"))
     model = Model(hashes, weights, None, (float(toxic.sum()) + 0.05) / (len(rows) + 1), k)
-    vectors = [model.vector(w, n) for w, n in zip(word, times)]
+    vectors = [model.vector(w, n).astype(np.float32) for w, n in zip(word, times)]
+    del rows, times
     if any(map(len, vectors)):
-        at = np.repeat(np.arange(len(rows)), [len(w) for w in word])
-        model.index = BlockMaxIndex(at, np.concatenate(word), np.concatenate(vectors), rows["doc_id"].to_numpy(np.int64), toxic, len(hashes))
+        at = np.repeat(np.arange(len(ids), dtype=np.int32), [len(w) for w in word])
+        model.index = BlockMaxIndex(at, np.concatenate(word), np.concatenate(vectors), ids, toxic, len(hashes))
+        del at, word, vectors
+        release()
         model.slope, model.shift = _curve(spark, counted, model)
     return model
 
 
 def _curve(spark: SparkSession, counted: DataFrame, model: Model) -> tuple[float, float]:
     """The curve that the examples' own votes ask for, each example and its copies left out of its own."""
-    sent = spark.sparkContext.broadcast(model)
+    sent = model.send(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "words", "times")))
-            votes = [sent.value.vote(np.frombuffer(w, "<i4").astype(np.int64), np.frombuffer(n, "<i4").astype(np.int64), d)[0] for d, w, n in rows]
+            texts = [tuple(np.frombuffer(x, "<i4") for x in both) for both in zip(*(batch.column(c).to_pylist() for c in ("words", "times")))]
+            votes = [v for v, _ in sent.value.votes(texts, batch.column("doc_id").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], ["vote", "toxic"])
 
     parts = spark.sparkContext.defaultParallelism
@@ -293,11 +363,11 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     null id isn't held out. Rows that repeat are scored each, all alike. No rows give no rows. Other columns
     of docs are ignored, whatever their names.
     """
-    sent = spark.sparkContext.broadcast(model)
+    sent, curve = model.send(spark), (model.slope, model.shift)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [sent.value.score(*c) for c in counts_of(batch.column("text"), sent.value.hashes)]
+            found = list(sent.value.scores(counts_of(batch.column("text"), sent.value.hashes), curve))
             why = [[{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in e] for _, e in found]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in found], pa.float64()), pa.array(why, kind)], ["doc_id", "held_out", "score", "evidence"])
@@ -310,11 +380,11 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, with all their columns, that the model doesn't call toxic."""
-    sent = spark.sparkContext.broadcast(model)
+    sent, curve = model.send(spark), (model.slope, model.shift)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            good = [sent.value.score(*c)[0] < 0.5 for c in counts_of(batch.column("text"), sent.value.hashes)]
+            good = [score < 0.5 for score, _ in sent.value.scores(counts_of(batch.column("text"), sent.value.hashes), curve)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

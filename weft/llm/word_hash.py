@@ -64,7 +64,7 @@ def words(texts: pa.Array, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.n
     return mix(np.add.reduceat(values, word_begins) ^ (long.astype(np.uint64) << np.uint64(48))), per_text
 
 
-def _release() -> None:
+def release() -> None:
     """Give freed memory back to the system; a worker lives on and waits for its next task."""
     pa.default_memory_pool().release_unused()
     try:
@@ -85,4 +85,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_500_000
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
-    _release()
+    release()
