@@ -310,9 +310,13 @@ def test_repair_shortens_and_restores():
     for symbols in (3, 70_000):
         n = g.integers(0, 400, 30)
         ids = np.repeat(g.integers(0, symbols, n.sum() // 5 + 1), 5)[: n.sum()].astype(np.uint32)
-        rules, ends, body, start = repair_store.compress(ids, np.cumsum(n), symbols, least=3)
+        rules, ends, body, start = repair_store.compress(ids, np.cumsum(n), symbols)
         table = repair_store.expansions(rules, ends, symbols)
         assert (repair_store._gather(body, symbols, *table) == ids).all() and len(body) < len(ids)
+        # it ends when no pair pays for its rule
+        inside = np.setdiff1d(np.arange(len(body) - 1), start[1:] - 1)
+        pairs = collections.Counter(zip(body[inside].tolist(), body[inside + 1].tolist()))
+        assert max(pairs.values()) < repair_store.LEAST_COUNT[2 if symbols < 0x10000 else 4] and symbols + len(rules) < 0x10000 or symbols > 0xFFFF
         for k in range(30):
             assert (repair_store._gather(body[start[k] : start[k + 1]], symbols, *table) == ids[n[:k].sum() : n[: k + 1].sum()]).all()
 
@@ -647,6 +651,38 @@ def test_language_model(spark, docs):
     assert brown_lm.score_texts(spark, spark.createDataFrame([], NONE)).count() == 0
 
 
+def test_language_model_scores_against_a_plain_model(spark, docs):
+    """The sum over tokens of the class's and the word's probability, with dictionaries and one pass from left to right."""
+    from pyspark.sql import functions as F
+
+    table = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    rows = {r.doc_id: r.text for r in table.collect()}
+    training = table.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).select(F.col("text").cast("binary").alias("text"))
+    _, lexicon = brown_lm.word_classes(spark, Scratch(spark, "t"), training, classes=3, core_words=20)
+    known = {r.key: (r.n, r["class"]) for r in lexicon.collect()}
+    hashed = lambda t: [int(h) for h in words(pa.array([(t or "").encode()], pa.binary()))[0].view(np.int64)]
+    counted = collections.Counter(h for d, t in rows.items() if not held(d) for h in hashed(t))
+    assert {h: n for h, (n, _) in known.items()} == counted
+    of_class = collections.Counter()
+    for n, c in known.values():
+        of_class[c] += n
+    END, NEW = 3, 4
+
+    def steps(text):
+        before = END
+        for h in [*hashed(text), None]:
+            now = END if h is None else known[h][1] if h in known else NEW
+            yield before, now, h
+            before = before if now == NEW else now
+
+    moves = collections.Counter((b, c) for d, t in rows.items() if not held(d) for b, c, _ in steps(t))
+    total = {b: sum(moves[b, c] + brown_lm.ALPHA for c in range(5)) for b in range(4)}
+    for r in brown_lm.score_texts(spark, table, classes=3, core_words=20, table_words=30).collect():
+        want = sum(np.log10((moves[b, c] + brown_lm.ALPHA) / total[b]) + (np.log10(known[h][0] / of_class[c]) if c < END else 0) for b, c, h in steps(rows[r.doc_id]))
+        assert r.score == pytest.approx(want, abs=1e-6) and r.perplexity == pytest.approx(10 ** (-want / r.n_tokens))
+
+
 def test_language_model_has_classes_for_all_words(spark, docs):
     few, all_ = ({x.doc_id: x for x in brown_lm.score_texts(spark, docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), classes=3, core_words=20, table_words=most).collect()} for most in (25, 10**6))
     assert few.keys() == all_.keys()
@@ -699,6 +735,34 @@ def test_pipeline(spark, tmp_path):
     assert collections.Counter(x.doc_id for x in packed.filter("piece = 0").collect()) == kept[3]
 
 
+def test_pipeline_with_odd_tables(spark, tmp_path):
+    """An empty table, empty labels, null and repeated ids, columns with names that stages use inside; against brute force."""
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, name bigint, size string, _sha string, label int, component_id bigint"
+    odd = [(1, "a b c d e f g"), (1, "other words of the same id here"), (2, "other words of the same id here"), (None, None), (None, "a null id with words of its own"), (7, ""), (8, None), (8, None), (9, BASE[4]), (10, edited(BASE[4], 1))]
+    for n, rows in enumerate(([], odd)):
+        d = f"{tmp_path}/{n}"
+        spark.createDataFrame([(k, t, None, "ab"[(k or 0) % 2], 1, k, "x", "x", 1, 1) for k, t in rows], schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        docs, kept = spark.read.parquet(f"{d}/documents.parquet"), []
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = Scratch(spark, "t").keep(stage(spark, docs, d), name)
+            kept.append(collections.Counter((x.doc_id, x.text) for x in docs.collect()))
+        assert kept[0] == collections.Counter(rows)
+        largest = {}
+        for k, t in rows:
+            largest[t or ""] = max(largest.get(t or "", -1), -1 if k is None else k)
+        want = {(k, t or "") for k, t in rows if largest[t or ""] == (-1 if k is None else k)}
+        assert {(k, t or "") for k, t in kept[1]} == want and all(v == 1 for v in kept[1].values())
+        groups = brute_components(list(kept[1])) if rows else []
+        stay = {d for d, _, c in groups if d == c}
+        assert {key(k)[0] for k, _ in kept[2]} == stay
+        assert set(kept[3]) <= set(kept[2])
+        packed = corpus_pipeline.run(spark, d).collect()
+        assert sum(x.piece == 0 for x in packed) == sum(kept[3].values())
+
+
 def test_exchange_only_gains():
     g = np.random.default_rng(6)
     bigrams = g.poisson(2.0, (25, 25)).astype(float)

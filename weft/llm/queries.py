@@ -19,10 +19,9 @@ MODULES = {
 }
 
 
-def queries() -> dict:
-    return {name: importlib.import_module(f"weft.llm.{module}").query for name, module in MODULES.items()}
+def query(name: str):
+    return importlib.import_module(f"weft.llm.{MODULES[name]}").query
 
 
-def oracle_sql() -> dict:
-    modules = {name: importlib.import_module(f"weft.llm.{module}") for name, module in MODULES.items()}
-    return {name: m.SQL for name, m in modules.items() if getattr(m, "SQL", None)}
+def sql(name: str) -> str | None:
+    return getattr(importlib.import_module(f"weft.llm.{MODULES[name]}"), "SQL", None)
