@@ -26,7 +26,7 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = "mix-1"
 TILT = 0.5
-BITS, BINS, SCALE = 52, 1 << 16, 1024
+BITS, BINS, SCALE = 52, 1 << 13, 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
