@@ -37,6 +37,22 @@ def test_files_and_walk(spark, tmp_path):
     assert len(files.walk(str(tmp_path), ignore=False)) == 3
 
 
+def test_ignore_files_and_named_files(spark, tmp_path):
+    for name in ("keep.log", "a.log", "build/x.py", "src/build/y.py", "src/deep/er/z.tmp", "src/z.tmp", "doc/a1.md", "doc/a2.md", "doc/ab.md", "odd*.txt", "oddly.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x\n")
+    (tmp_path / ".gitignore").write_text("# rules\n*.log\n!keep.log\n/build/\nsrc/**/z.tmp\ndoc/a[0-9].md\nodd\\*.txt\n")
+    (tmp_path / "src/.gitignore").write_text("!z.tmp\n")
+    found = [os.path.relpath(p, tmp_path) for p in files.walk(str(tmp_path))]
+    assert found == ["doc/ab.md", "keep.log", "oddly.txt", "src/build/y.py", "src/deep/er/z.tmp", "src/z.tmp"]
+    names = lambda df: sorted(r.doc.rsplit("/", 1)[1] for r in df.select("doc").collect())
+    root = f"file://{tmp_path}"
+    assert names(files.read_files(spark, root, globs=["doc/*.md", "!a1.md"])) == ["a2.md", "ab.md"]
+    assert names(files.read_files(spark, root, globs=["src/**/*.py"])) == ["y.py"] and names(files.read_files(spark, root, globs=["s*c/*.py"])) == []
+    # a file that is named is read whatever the globs say
+    assert names(files.read_files(spark, [f"{root}/a.log", f"{root}/doc"], globs=["*1.md"])) == ["a.log", "a1.md"]
+
+
 def test_containers(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("in/x.txt", "zip text")
@@ -74,6 +90,15 @@ def test_rendering(frame, tmp_path):
     target.chmod(0o640)
     render.replace_file(str(target), b"new")
     assert target.read_bytes() == b"new" and target.stat().st_mode & 0o777 == 0o640
+    os.link(target, tmp_path / "second")
+    os.symlink(target, tmp_path / "link")
+    render.replace_file(str(tmp_path / "link"), b"newer")
+    assert (tmp_path / "second").read_bytes() == b"newer" and (tmp_path / "link").is_symlink()
+    render.replace_file("/dev/null", b"x")
+    render.create_file(str(tmp_path / "fresh"), b"1")
+    with pytest.raises(FileExistsError):
+        render.create_file(str(tmp_path / "fresh"), b"2")
+    assert (tmp_path / "fresh").read_bytes() == b"1" and not list(tmp_path.glob(".weft-*"))
     assert render.status_of(docs) == render.Status.FOUND and render.status_of(docs.limit(0)) == render.Status.NONE
 
 

@@ -37,6 +37,16 @@ def manifest(found: DataFrame, form: str = "coreutils") -> DataFrame:
     return found.select("path", line.alias("line"))
 
 
+def table(found: DataFrame) -> DataFrame:
+    """path and text of digests (path, digest, bytes): the digest, the size in grouped digits as wide as the widest, the path."""
+    size = F.format_number("bytes", 0)
+    # one row
+    widest = found.agg(F.max(F.char_length(size)).alias("wide"))
+    p, odd = escaped()
+    text = F.concat("digest", F.lit("  "), F.lpad(size, F.col("wide"), F.lit(" ")), F.lit("  "), F.when(odd, F.lit("\\")).otherwise(F.lit("")), p)
+    return found.crossJoin(F.broadcast(widest)).select("path", text.alias("text"))
+
+
 def parse_manifest(rows: DataFrame, column: str = "line") -> DataFrame:
     """line, digest, path, malformed of a manifest's lines; blank lines go."""
     line = F.regexp_replace(column, r"\r\z", "")

@@ -269,3 +269,10 @@ def files(scored: DataFrame) -> DataFrame:
 
 def files_without(docs: DataFrame, scored: DataFrame) -> DataFrame:
     return docs.select("doc").join(scored.select("doc").distinct(), "doc", "left_anti")
+
+
+def summary(docs: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row: files_searched, files_matched, lines."""
+    found = scored.agg(F.countDistinct("doc").alias("files_matched"), F.count("*").alias("lines"))
+    # two tables of one row
+    return docs.agg(F.count("*").alias("files_searched")).crossJoin(F.broadcast(found))

@@ -119,3 +119,10 @@ def chained(docs: DataFrame, edits: list[tuple[str, str]]) -> DataFrame:
         done = replace(rows, pattern, replacement, expect_hash=held)
         rows = done.select("doc", "text", F.col("hash_after").alias("expected"), F.when(F.col("status") == STALE, STALE).otherwise(DONE).alias("before"))
     return rows.withColumnRenamed("expected", "hash_after").withColumnRenamed("before", "status")
+
+
+def summary(edited: DataFrame) -> DataFrame:
+    """One row of ``replace``: files, changed, replacements, and how many were refused for each reason. For dry runs too."""
+    times = lambda status: F.count_if(F.col("status") == status).alias(status)
+    changed = F.count_if(F.col("hash_before") != F.col("hash_after")).alias("changed")
+    return edited.agg(F.count("*").alias("files"), changed, F.coalesce(F.sum("replacements"), F.lit(0)).alias("replacements"), times(UNRESOLVED), times(AMBIGUOUS), times(STALE))

@@ -248,6 +248,9 @@ SELECT doc, CASE WHEN n = 1 THEN replace(text, '{NEEDLE}', '[X]') ELSE text END
     "replace_hashes": (lambda s, d: replace.replace(docs(s, d), WORD, "[X]").select("doc", "hash_before", "hash_after"), f"SELECT doc_id AS doc, {_name_sql('text')} AS hash_before, {_name_sql(f'''replace(text, '{WORD}', '[X]')''')} AS hash_after FROM documents"),
     "replace_chained": (_two_edits, f"WITH e AS (SELECT doc_id AS doc, CASE WHEN doc_id % 3 = 0 THEN text ELSE replace(text, '{WORD}', '[ent]') END AS text FROM documents) SELECT doc, text, {_name_sql('text')} AS hash_after, CASE WHEN doc % 3 = 0 THEN 'stale' ELSE 'done' END AS status FROM e"),
     "replace_guarded": (lambda s, d: replace.replace(docs(s, d), WORD, "[X]", expect_hash=F.when(F.col("doc") % 2 == 0, content_name("text")).otherwise("stale")).select("doc", "status"), f"SELECT doc_id AS doc, CASE WHEN doc_id % 2 = 1 THEN 'stale' WHEN contains(text, '{WORD}') THEN 'done' ELSE 'unresolved' END AS status FROM documents"),
+    "replace_summary": (lambda s, d: replace.summary(replace.replace(docs(s, d), NEEDLE, "[X]", "one")), f"""
+WITH n AS (SELECT len(string_split(text, '{NEEDLE}')) - 1 AS n FROM documents)
+SELECT count(*) AS files, count(*) FILTER (n = 1) AS changed, count(*) FILTER (n = 1) AS replacements, count(*) FILTER (n = 0) AS unresolved, count(*) FILTER (n > 1) AS ambiguous, 0::BIGINT AS stale FROM n"""),
     "replace_folded_text": (lambda s, d: replace.replace(docs(s, d), "EIN", ".", ignore_case=True).select("doc", "text", "replacements"), "SELECT doc_id AS doc, regexp_replace(text, 'ein', '.', 'gi') AS text, len(regexp_extract_all(text, '(?i)ein'))::BIGINT AS replacements FROM documents"),
     "replace_line_named": (lambda s, d: replace.edit_lines(docs(s, d), _common_name(s, d), "new", occurrences_="all").select("doc", "text", "edits", "status"), f"""
 WITH {L}, M AS (SELECT *, max(line_no) OVER (PARTITION BY doc) AS m FROM L),
@@ -348,6 +351,7 @@ SELECT doc, start, (start + strlen(segment))::BIGINT AS "end", segment FROM S WH
     "sha256_digests": (lambda s, d: checksum.digests(docs(s, d)), "SELECT doc_id::VARCHAR AS path, sha256(text) AS digest, strlen(text) AS bytes FROM documents"),
     "sha256_manifest": (lambda s, d: checksum.manifest(checksum.digests(docs(s, d)), "bsd"), "SELECT doc_id::VARCHAR AS path, 'SHA256 (' || doc_id || ') = ' || sha256(text) AS line FROM documents"),
     "sha256_verify": (lambda s, d: checksum.verify(checksum.parse_manifest(_claims(s, d)), checksum.digests(docs(s, d))), "SELECT CASE WHEN doc_id % 5 = 0 THEN 'gone-' ELSE '' END || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'FAILED open or read' WHEN doc_id % 3 = 0 THEN 'FAILED' ELSE 'OK' END AS verdict FROM documents"),
+    "sha256_table": (lambda s, d: checksum.table(checksum.digests(docs(s, d))), "SELECT doc_id::VARCHAR AS path, sha256(text) || '  ' || lpad(format('{:,}', strlen(text)), (max(length(format('{:,}', strlen(text)))) OVER ())::INT, ' ') || '  ' || doc_id AS text FROM documents"),
     "sha256_records": (lambda s, d: report.digest_records(checksum.digests(docs(s, d))), """SELECT doc_id::VARCHAR AS path, '{"type":"digest","data":{"path":"' || doc_id || '","digest":"' || sha256(text) || '","bytes":' || strlen(text) || '}}' AS record FROM documents"""),
     "sha256_totals": (lambda s, d: checksum.totals(checksum.digests(docs(s, d))), "SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents"),
     "content_names": (lambda s, d: docs(s, d).select("doc", content_name("text").alias("name")), f"SELECT doc_id AS doc, {_name_sql('text')} AS name FROM documents"),
@@ -356,11 +360,12 @@ SELECT doc, start, (start + strlen(segment))::BIGINT AS "end", segment FROM S WH
     # fuzzy search
     "fuzzy_exact": (lambda s, d: fuzzy.score(s, docs(s, d), list(FUZZY_WORDS), fuzzy.Effort.EXACT, ignore_case=False).withColumn("score", F.round("score", 9)), _bm25(FUZZY_WORDS, "line")),
     "fuzzy_exact_folded": (lambda s, d: fuzzy.score(s, docs(s, d), list(FUZZY_WORDS), fuzzy.Effort.EXACT).withColumn("score", F.round("score", 9)), _bm25(FUZZY_WORDS, _duck_fold("line"))),
-    "fuzzy_typos": (lambda s, d: fuzzy.score(s, docs(s, d), [NEEDLE]), None),
-    "fuzzy_spelling": (lambda s, d: fuzzy.score(s, docs(s, d), [NEEDLE], fuzzy.Effort.SPELLING), None),
+    "fuzzy_typos": (lambda s, d: fuzzy.score(s, docs(s, d), [NEEDLE]).withColumn("score", F.round("score", 9)), _bm25(fuzzy.vocabulary([NEEDLE], fuzzy.Effort.TYPOS), _duck_fold("line"))),
+    "fuzzy_spelling": (lambda s, d: fuzzy.score(s, docs(s, d), [NEEDLE], fuzzy.Effort.SPELLING).withColumn("score", F.round("score", 9)), _bm25(fuzzy.vocabulary([NEEDLE], fuzzy.Effort.SPELLING), _duck_fold("line"))),
     "fuzzy_sounds": (lambda s, d: fuzzy.score(s, docs(s, d), ["skeingen", "vreh"], fuzzy.Effort.SOUNDS), None),
     "fuzzy_spans": (lambda s, d: fuzzy.locate(fuzzy.score(s, docs(s, d), [NEEDLE]), [NEEDLE]), None),
-    "fuzzy_top": (lambda s, d: rows.top_k(fuzzy.score(s, docs(s, d), [NEEDLE]), 3), None),
+    "fuzzy_top": (lambda s, d: rows.top_k(fuzzy.score(s, docs(s, d), list(FUZZY_WORDS), fuzzy.Effort.EXACT).withColumn("score", F.round("score", 9)), 2).select("doc", "line_no", "score", "rank"), f"SELECT doc, line_no, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, line_no) AS rank FROM ({_bm25(FUZZY_WORDS, _duck_fold('line'))})) WHERE rank <= 2"),
+    "fuzzy_summary": (lambda s, d: fuzzy.summary(docs(s, d), fuzzy.score(s, docs(s, d), [NEEDLE], fuzzy.Effort.EXACT)), f"WITH {L} SELECT (SELECT count(*) FROM documents) AS files_searched, count(DISTINCT doc) AS files_matched, count(*) AS lines FROM L WHERE contains({_duck_fold('line')}, '{NEEDLE}')"),
     "fuzzy_files": (lambda s, d: fuzzy.files(fuzzy.score(s, docs(s, d), [NEEDLE], fuzzy.Effort.EXACT)), f"SELECT doc_id AS doc FROM documents WHERE contains(lower(text), '{NEEDLE}')"),
     # outlines and containers
     "outline_markdown": (lambda s, d: outline.outline(_markdown(s, d), "markdown"), MARKDOWN_SQL),

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import enum
 import os
+import shutil
+import stat
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -138,17 +140,39 @@ def write_chunks(chunks: DataFrame, path: str, suffix: Column) -> None:
     chunks.select(suffix.alias("suffix"), F.col("text").alias("value")).write.partitionBy("suffix").text(path)
 
 
-def replace_file(path: str, data: bytes) -> None:
-    """Write a local file so that a reader sees it whole, old or new: through links, keeping its mode."""
-    path = os.path.realpath(path)
-    mode = os.stat(path).st_mode & 0o7777 if os.path.exists(path) else 0o666 & ~_umask()
+def _temporary(path: str, data: bytes) -> str:
+    """A file beside path that only its owner can read, with data on the disk."""
     handle, other = tempfile.mkstemp(dir=os.path.dirname(path), prefix=".weft-")
     try:
         with os.fdopen(handle, "wb") as f:
             f.write(data)
             f.flush()
             os.fsync(f.fileno())
-        os.chmod(other, mode)
+    except BaseException:
+        os.unlink(other)
+        raise
+    return other
+
+
+def replace_file(path: str, data: bytes) -> None:
+    """Write a local file so that a reader sees it whole, old or new: through links, keeping its mode.
+
+    A file with several names is copied back into, so that all of them see the new content; what is no
+    regular file is written as it is.
+    """
+    path = os.path.realpath(path)
+    found = os.stat(path) if os.path.exists(path) else None
+    if found and not stat.S_ISREG(found.st_mode):
+        with open(path, "wb") as f:
+            f.write(data)
+        return
+    other = _temporary(path, data)
+    try:
+        if found and found.st_nlink > 1:
+            shutil.copyfile(other, path)
+            os.unlink(other)
+            return
+        os.chmod(other, found.st_mode & 0o7777 if found else 0o666 & ~_umask())
         os.replace(other, path)
     except BaseException:
         if os.path.exists(other):
@@ -156,6 +180,21 @@ def replace_file(path: str, data: bytes) -> None:
         raise
 
 
+def create_file(path: str, data: bytes) -> None:
+    """Write a new local file whole; one that is there is refused with FileExistsError."""
+    other = _temporary(os.path.abspath(path), data)
+    try:
+        os.chmod(other, 0o666 & ~_umask())
+        os.link(other, path)
+    finally:
+        os.unlink(other)
+
+
+def discard(rows: DataFrame) -> None:
+    """Compute all rows and keep none."""
+    rows.write.format("noop").mode("overwrite").save()
+
+
 def _umask() -> int:
     now = os.umask(0)
     os.umask(now)

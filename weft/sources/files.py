@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +18,45 @@ TYPES = {
 }
 
 
+def path_pattern(glob: str) -> str:
+    """A pattern, for Java and Python, of the paths that a glob means: ``*`` and ``?`` stay in one part, ``**`` is any parts.
+
+    A backslash takes the next character as it is; a set that isn't closed is a bracket.
+    """
+    out, k = "", 0
+    while k < len(glob):
+        c = glob[k]
+        if glob.startswith("**/", k) and (k == 0 or glob[k - 1] == "/"):
+            out, k = out + "(?:[^/]+/)*", k + 3
+        elif glob.startswith("**", k) and k + 2 == len(glob) and (k == 0 or glob[k - 1] == "/"):
+            out, k = out + ".+", k + 2
+        elif c == "*":
+            out, k = out + "[^/]*", k + 1
+        elif c == "?":
+            out, k = out + "[^/]", k + 1
+        elif c == "[" and (end := glob.find("]", k + 2 + (glob[k + 1 : k + 2] in ("!", "^")))) > 0:
+            inside = glob[k + 1 : end]
+            negated = inside[:1] in ("!", "^")
+            inside = re.sub(r"([\[\]\\^&])", r"\\\1", inside[negated:])
+            out, k = out + f"(?!/)[{'^' if negated else ''}{inside}]", end + 1
+        else:
+            if c == "\\" and k + 1 < len(glob):
+                k, c = k + 1, glob[k + 1]
+            out, k = out + (c if c.isalnum() or c in "/_" else re.escape(c)), k + 1
+    return out
+
+
 def read_files(spark: SparkSession, path, globs: list[str] | None = None, types: list[str] | None = None, binary: bool = True) -> DataFrame:
     """doc (path), text, content, bytes of each file under a path or list of paths, hidden ones left out.
 
-    Globs match a path or a file name, a leading ! excludes; types are named sets. Without ``binary`` a file
+    Globs match a file name, or with a slash the end of a path; a leading ! excludes; types are named sets. They
+    choose among what lies under a folder: a file that ``path`` itself names is always read. Without ``binary`` a file
     with a NUL in its first 8 KiB is skipped. Names are filtered in the listing, before anything is read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
+    plain = lambda p: re.sub("^[a-z]+:/*", "/", p)
+    place = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    named = place.isin([plain(p) for p in ([path] if isinstance(path, str) else path)])
     keep = F.lit(True)
     for exclude in (False, True):
         own = [g.removeprefix("!") for g in globs or [] if g.startswith("!") == exclude]
@@ -36,10 +67,9 @@ def read_files(spark: SparkSession, path, globs: list[str] | None = None, types:
         if own:
             hit = F.lit(False)
             for g in own:
-                pattern = fnmatch.translate(g).replace(r"\Z", r"$").replace(r"\z", "$")
-                hit = hit | F.rlike(name, F.lit(pattern)) | F.rlike(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(pattern))
+                hit = hit | F.rlike(place, F.lit(f"(?s)/{path_pattern(g.lstrip('/'))}$"))
             keep = keep & (~hit if exclude else hit)
-    files = files.filter(keep)
+    files = files.filter(keep | named)
     if not binary:
         files = files.filter(~is_binary(F.col("content")))
     return files.select(F.col("path").alias("doc"), F.col("content").cast("string").alias("text"), "content", F.col("length").alias("bytes"))
@@ -55,7 +85,7 @@ def walk(root: str, max_depth: int | None = None, hidden: bool = False, ignore:
     def down(folder: str, depth: int, rules: list[tuple[str, str]]) -> None:
         if ignore and os.path.isfile(f"{folder}/.gitignore"):
             with open(f"{folder}/.gitignore", encoding="utf-8", errors="replace") as f:
-                rules = rules + [(folder, x.strip()) for x in f if x.strip() and not x.startswith("#")]
+                rules = rules + [(folder, x) for x in (re.sub(r"(?<!\\)\s+$", "", y.rstrip("\r\n")) for y in f) if x and not x.startswith("#")]
         for e in sorted(os.scandir(folder), key=lambda e: e.name):
             if (not hidden and e.name.startswith(".")) or (e.is_symlink() and not follow) or _ignored(e, rules):
                 continue
@@ -72,6 +102,7 @@ def walk(root: str, max_depth: int | None = None, hidden: bool = False, ignore:
 
 
 def _ignored(entry: os.DirEntry, rules: list[tuple[str, str]]) -> bool:
+    """Whether the last rule that matches an entry ignores it. A rule with a slash within it starts at its own folder."""
     found = False
     for base, rule in rules:
         keep, rule = rule.startswith("!"), rule.removeprefix("!")
@@ -79,7 +110,7 @@ def _ignored(entry: os.DirEntry, rules: list[tuple[str, str]]) -> bool:
         if folder_only and not entry.is_dir():
             continue
         relative = os.path.relpath(entry.path, base)
-        hit = fnmatch.fnmatch(relative, rule.lstrip("/")) if "/" in rule else fnmatch.fnmatch(entry.name, rule)
+        hit = re.fullmatch(path_pattern(rule.lstrip("/")), relative, re.S) if "/" in rule else re.fullmatch(path_pattern(rule), entry.name, re.S)
         found = not keep if hit else found
     return found
 
