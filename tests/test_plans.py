@@ -1,6 +1,8 @@
+import bz2
 import gzip
 import io
 import json
+import lzma
 import os
 import sqlite3
 import subprocess
@@ -61,17 +63,25 @@ def test_containers(spark, tmp_path):
         info.size = 8
         t.addfile(info, io.BytesIO(b"tar text"))
     (tmp_path / "c.gz").write_bytes(gzip.compress(b"plain"))
+    (tmp_path / "e.xz").write_bytes(lzma.compress(b"x z"))
+    (tmp_path / "f.bz2").write_bytes(bz2.compress(b"b z"))
+    zst = pytest.importorskip("zstandard").ZstdCompressor()
+    (tmp_path / "g.zst").write_bytes(zst.compress(b"two ") + zst.compress(b"frames"))
+    (tmp_path / "h.tar.xz").write_bytes(lzma.compress((lambda o: (tarfile.open(fileobj=o, mode="w").addfile(tarfile.TarInfo("empty.txt")), o.getvalue())[1])(io.BytesIO()) + bytes(1024)))
     got = {(r.doc.rsplit("/", 1)[1], r.member): r.text for r in containers.read_archives(spark, f"file://{tmp_path}").collect()}
-    assert got == {("a.zip", "in/x.txt"): "zip text", ("b.tar.gz", "y.txt"): "tar text", ("c.gz", ""): "plain"}
+    assert got == {("a.zip", "in/x.txt"): "zip text", ("b.tar.gz", "y.txt"): "tar text", ("c.gz", ""): "plain", ("e.xz", ""): "x z", ("f.bz2", ""): "b z", ("g.zst", ""): "two frames", ("h.tar.xz", "empty.txt"): ""}
     book = json.dumps({"cells": [{"cell_type": "code", "source": ["a\n", "b"]}, {"cell_type": "markdown", "source": "c"}]})
     cells = containers.notebook_cells(spark.createDataFrame([("n", book)], "doc string, text string")).orderBy("cell").collect()
     assert [(r.cell_type, r.text) for r in cells] == [("code", "a\nb"), ("markdown", "c")]
     with sqlite3.connect(tmp_path / "d.db") as db:
         db.execute("CREATE TABLE t (x)")
         db.executemany("INSERT INTO t VALUES (?)", [("one",), (2,), ("three",)])
+        db.execute("CREATE TABLE none (x)")
+        db.execute("INSERT INTO t (rowid, x) VALUES (-7, 'seven'), (1000000, 'far')")
     containers.register(spark)
     found = spark.read.format("sqlite_text").option("path", str(tmp_path / "d.db")).option("table", "t").option("column", "x").load()
-    assert sorted(r.text for r in found.collect()) == ["one", "three"]
+    assert sorted((r.rowid, r.text) for r in found.collect()) == [(-7, "seven"), (1, "one"), (3, "three"), (1000000, "far")]
+    assert spark.read.format("sqlite_text").option("path", str(tmp_path / "d.db")).option("table", "none").option("column", "x").load().count() == 0
 
 
 def test_rendering(frame, tmp_path):

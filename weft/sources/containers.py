@@ -35,7 +35,7 @@ def unpack(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
     elif data[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        plain = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+        plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
     if plain[257:262] == b"ustar":
         with tarfile.open(fileobj=io.BytesIO(plain)) as t:
             for m in t:
@@ -87,15 +87,23 @@ class _SqliteReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.table, self.column, self.parts = options["path"], options["table"], options["column"], int(options.get("parts", 4))
 
-    def partitions(self):
-        return [InputPartition(k) for k in range(self.parts)]
-
-    def read(self, partition):
+    def _ask(self, what: str, where: str = "", values: tuple = ()):
         import sqlite3
 
         quoted = lambda x: '"' + x.replace('"', '""') + '"'
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            yield from db.execute(f"SELECT rowid, {quoted(self.column)} FROM {quoted(self.table)} WHERE typeof({quoted(self.column)}) = 'text' AND abs(rowid) % ? = ?", (self.parts, partition.value))
+            yield from db.execute(f"SELECT {what.format(column=quoted(self.column))} FROM {quoted(self.table)} {where.format(column=quoted(self.column))}", values)
+
+    def partitions(self):
+        # ranges of the table's own key, so that each is read from its place on
+        (first, last), *_ = self._ask("min(rowid), max(rowid)")
+        if first is None:
+            return [InputPartition((1, 0))]
+        step = (last - first) // self.parts + 1
+        return [InputPartition((a, min(last, a + step - 1))) for a in range(first, last + 1, step)]
+
+    def read(self, partition):
+        yield from self._ask("rowid, {column}", "WHERE typeof({column}) = 'text' AND rowid BETWEEN ? AND ?", partition.value)
 
 
 def register(spark: SparkSession) -> None:
