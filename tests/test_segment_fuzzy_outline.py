@@ -101,6 +101,17 @@ def test_variants_are_within_their_edits():
     assert deletions <= set(words) and swaps <= set(words)
 
 
+def test_folds_in_one_pass_are_the_folds_one_after_another():
+    texts = ["Straße ÆON Ǆ", "сад Щука ΨΥΧΗ ς", "한국 서울 값", "カタカナ ひらがな ラーメン", "ＡＢＣ　１２", "שלום עולם", "سلام عالم", "Philosophie quick ghost", "é̂ ﬁ İ", "", "plain ascii"]
+    for names in (fuzzy.SCRIPT_FOLDS, ("Latin-ASCII", "Latin-Phonetic"), ("Hangul-Latin",), ("Cyrillic-Latin", "Greek-Latin"), ("Latin-Phonetic", "Fullwidth-ASCII"), ()):
+        for case in (True, False):
+            for text in texts:
+                assert fuzzy.folded_text(text, names, case) == fuzzy.folded(text, names, case)[0]
+    assert fuzzy.folded_text("한국 서울", ("Hangul-Latin",)) == "hanguk seoul" and fuzzy.folded_text("さくら サクラ", ("Kana-Latin",)) == "sakura sakura"
+    assert fuzzy.folded_text("שלום", ("Hebrew-Latin",)) == "shlvm" and fuzzy.folded_text("سلام", ("Arabic-Latin",)) == "slam" and fuzzy.folded_text("ＡＢ１", ("Fullwidth-ASCII",), False) == "AB1"
+    assert [fuzzy.script_layout(x) for x in ("שלום", "سلام", "서울", "word")] == ["he", "ar", "ko", "us"]
+
+
 def test_automaton_is_that_of_the_words(spark):
     # two vocabularies in one process, one after the other gone
     for words in ({"alpha": 1.0}, {"omega": 1.0}, {"alpha": 1.0, "omega": 0.5}):

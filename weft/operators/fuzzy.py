@@ -7,8 +7,10 @@ large one; spans are looked for in lines that matched alone.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from enum import IntEnum
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,9 @@ LAYOUTS = {
     "fr": ("&é\"'(-è_çà)=", "azertyuiop^$", "qsdfghjklmù*", "wxcvbn,;:!"),
     "ru": ("1234567890-=", "йцукенгшщзхъ", "фывапролджэ", "ячсмитьбю."),
     "el": ("1234567890-=", ";ςερτυθιοπ[]", "ασδφγηξκλ΄'", "ζχψωβνμ,./"),
+    "he": ("1234567890-=", "/'קראטוןםפ][", "שדגכעיחלךף,", "זסבהנמצתץ."),
+    "ar": ("1234567890-=", "ضصثقفغعهخحجد", "شسيبلاتنمكط", "ئءؤرىةوزظ"),
+    "ko": ("1234567890-=", "ㅂㅈㄷㄱㅅㅛㅕㅑㅐㅔ[]", "ㅁㄴㅇㄹㅎㅗㅓㅏㅣ;'", "ㅋㅌㅊㅍㅠㅜㅡ,./"),
 }
 #: Misspellings that people are known to make, and what they mean.
 MISSPELLINGS = {
@@ -45,6 +50,35 @@ FOLDS = {
     "Greek-Latin": dict(zip("αβγδεζηικλμνξοπρσςτυφω", ["a", "v", "g", "d", "e", "z", "i", "i", "k", "l", "m", "n", "x", "o", "p", "r", "s", "s", "t", "y", "f", "o"])) | {"θ": "th", "χ": "ch", "ψ": "ps"},
     "Latin-Phonetic": {"ph": "f", "ck": "k", "q": "k", "c": "k", "g": "k", "z": "s", "y": "i", "v": "f", "w": "f", "gh": "k", "kh": "k", "dh": "d", "th": "t"},
 }
+#: Sounds of the letters that a Hangul syllable is made of: first consonants, vowels, last consonants.
+HANGUL = ("g kk n d tt r m b pp s ss - j jj ch k t p h".split(), "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split(), "- k k k n n n t l k m l l l p l m p p t t ng t t k t p t".split())
+
+
+def _syllables() -> dict[str, str]:
+    """Hangul syllables, which stand in the order of their letters."""
+    first, vowel, last = HANGUL
+    return {chr(0xAC00 + n): (first[n // 588] + vowel[n % 588 // 28] + last[n % 28]).replace("-", "") for n in range(11172)}
+
+
+def _kana() -> dict[str, str]:
+    """Hiragana and Katakana by the syllables in their Unicode names."""
+    names = {c: unicodedata.name(c, "") for c in map(chr, range(0x3041, 0x30FB))}
+    return {c: n.rsplit(" ", 1)[1].lower() for c, n in names.items() if " LETTER " in n} | {"ー": ""}
+
+
+def _wide() -> dict[str, str]:
+    """Full-width forms of ASCII."""
+    return {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)} | {"\u3000": " "}
+
+
+FOLDS |= {
+    "Hangul-Latin": _syllables(),
+    "Kana-Latin": _kana(),
+    "Fullwidth-ASCII": _wide(),
+    "Hebrew-Latin": dict(zip("אבגדהוזחטיכלמנסעפצקרשתךםןףץ", ["", "b", "g", "d", "h", "v", "z", "h", "t", "i", "k", "l", "m", "n", "s", "", "p", "ts", "k", "r", "sh", "t", "k", "m", "n", "p", "ts"])),
+    "Arabic-Latin": dict(zip("ابتثجحخدذرزسشصضطظعغفقكلمنهوي", ["a", "b", "t", "th", "j", "h", "kh", "d", "dh", "r", "z", "s", "sh", "s", "d", "t", "z", "", "gh", "f", "q", "k", "l", "m", "n", "h", "w", "y"])) | {"ة": "h", "ى": "a", "أ": "a", "إ": "i", "آ": "a", "ؤ": "w", "ئ": "y", "ء": ""},
+}
+SCRIPT_FOLDS = ("Fullwidth-ASCII", "Cyrillic-Latin", "Greek-Latin", "Hangul-Latin", "Kana-Latin", "Hebrew-Latin", "Arabic-Latin", "Latin-ASCII", "Latin-Phonetic")
 SPAN = "array<struct<start: long, end: long, match: string>>"
 
 
@@ -60,14 +94,14 @@ class Effort(IntEnum):
     @property
     def folds(self) -> tuple[str, ...]:
         if self >= Effort.SCRIPTS:
-            return ("Cyrillic-Latin", "Greek-Latin", "Latin-ASCII", "Latin-Phonetic")
+            return SCRIPT_FOLDS
         return {Effort.ACCENTS: ("Latin-ASCII",), Effort.SOUNDS: ("Latin-ASCII", "Latin-Phonetic")}.get(self, ())
 
 
 def script_layout(query: str) -> str:
     """The layout that most letters of a query are on."""
     names = [unicodedata.name(c, "") for c in query if c.isalpha()]
-    for start, layout in (("CYRILLIC", "ru"), ("GREEK", "el")):
+    for start, layout in (("CYRILLIC", "ru"), ("GREEK", "el"), ("HEBREW", "he"), ("ARABIC", "ar"), ("HANGUL", "ko")):
         if sum(n.startswith(start) for n in names) * 2 > len(names):
             return layout
     return "us"
@@ -81,19 +115,17 @@ def neighbours(layout: str) -> dict[str, str]:
     return {c: "".join(sorted(d for d, (u, v) in at.items() if d != c and abs(v - y) <= 1 and abs(u - x) <= 1)) for c, (x, y) in at.items()}
 
 
-def edits_of(word: str, alphabet: str, near: dict[str, str] | None = None):
-    """(variant, edit) one edit away: of all the alphabet, or of keys near the one that is replaced."""
-    n = len(word)
-    for k in range(n):
-        yield word[:k] + word[k + 1 :], "deletion"
-        for c in near.get(word[k], "") if near is not None else alphabet:
-            yield word[:k] + c + word[k + 1 :], "substitution"
-    for k in range(n - 1):
-        yield word[:k] + word[k + 1] + word[k] + word[k + 2 :], "transposition"
-    for k in range(n + 1):
-        # at the end a key near the last one slips in
-        for c in (near.get(word[min(k, n - 1)], "") if n else "") if near is not None else alphabet:
-            yield word[:k] + c + word[k:], "insertion"
+def one_edit_away(word: str, alphabet: str, near: dict[str, str] | None = None):
+    """(variant, edit) of all words one edit from a word: with any letter of the alphabet, or with ``near`` a neighbour of the key meant."""
+    keys = (lambda meant: alphabet) if near is None else (lambda meant: near.get(meant, ""))
+    for head, tail in ((word[:k], word[k:]) for k in range(len(word) + 1)):
+        # the key meant is the next one, and behind the word its last
+        yield from ((head + c + tail, "insertion") for c in keys(tail[:1] or head[-1:]))
+        if tail:
+            yield head + tail[1:], "deletion"
+            yield from ((head + c + tail[1:], "substitution") for c in keys(tail[0]))
+        if tail[1:]:
+            yield head + tail[1] + tail[0] + tail[2:], "transposition"
 
 
 def vocabulary(queries: list[str], effort: Effort = Effort.TYPOS, max_distance: int | None = None, layout: str | None = None, dictionary: dict[str, str] | None = None, most: int = 2_000_000) -> dict[str, float]:
@@ -116,7 +148,7 @@ def vocabulary(queries: list[str], effort: Effort = Effort.TYPOS, max_distance:
         for step in range(1, distance + 1):
             following: set[str] = set()
             for word in ring:
-                for variant, edit in edits_of(word, alphabet, near):
+                for variant, edit in one_edit_away(word, alphabet, near):
                     if variant and variant != query:
                         following.add(variant)
                         found[variant] = max(found.get(variant, 0), WEIGHTS[edit] / (1 + step))
@@ -166,10 +198,46 @@ def folded(text: str, folds=(), ignore_case: bool = True) -> tuple[str, list[int
     return text, places
 
 
+@lru_cache(maxsize=64)
+def _fused(folds: tuple[str, ...]) -> list:
+    """Steps that do what the named folds do one after another: runs of tables of single characters are one table.
+
+    A later table of a run folds what the earlier ones made of a character, and what they leave.
+    """
+    steps: list = []
+    for name in folds:
+        table = FOLDS[name]
+        if name == "Latin-ASCII" or max(map(len, table)) > 1:
+            longest = "|".join(map(re.escape, sorted(table, key=len, reverse=True)))
+            steps.append((re.compile(longest), table, name == "Latin-ASCII"))
+        elif steps and isinstance(steps[-1], dict):
+            made = {c: new.translate(str.maketrans(table)) for c, new in steps[-1].items()}
+            steps[-1] = table | made
+        else:
+            steps.append(dict(table))
+    return [str.maketrans(x) if isinstance(x, dict) else x for x in steps]
+
+
+def folded_text(text: str, folds=(), ignore_case: bool = True) -> str:
+    """The text of ``folded``, without the places."""
+    text = text.casefold() if ignore_case else text
+    for step in _fused(tuple(folds)):
+        if isinstance(step, dict):
+            text = text if text.isascii() else text.translate(step)
+            continue
+        pattern, table, marks = step
+        if marks and text.isascii():
+            continue
+        text = pattern.sub(lambda m, table=table: table[m[0]], text)
+        if marks and not text.isascii():
+            text = "".join(c if c.isascii() else "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in text)
+    return text
+
+
 def _folder(folds, ignore_case: bool):
     @F.pandas_udf("string")
     def run(text: pd.Series) -> pd.Series:
-        return pd.Series([folded(t or "", folds, ignore_case)[0] for t in text])
+        return pd.Series([folded_text(t or "", folds, ignore_case) for t in text])
 
     return run
 
@@ -184,7 +252,7 @@ def score(spark: SparkSession, docs: DataFrame, queries: list[str], effort: Effo
     as it stands in the line, overlaps included. Only scores above 0 match.
     """
     names = effort.folds if folds is None else fold_names(folds)
-    words = vocabulary([folded(q, names, ignore_case)[0] for q in queries], effort, **options)
+    words = vocabulary([folded_text(q, names, ignore_case) for q in queries], effort, **options)
     newlines = UNICODE if unicode or ignore_case else LF
     # the sizes of all lines of a document are those of its text
     rows = numbered_lines(docs.withColumn("total", F.octet_length("text")), newlines, carry=("total",))
@@ -237,7 +305,7 @@ _KEPT: dict = {}
 def locate(scored: DataFrame, queries: list[str], effort: Effort = Effort.TYPOS, ignore_case: bool = True, folds=None, **options) -> DataFrame:
     """Spans of the variants in lines of ``score``: doc, line_no, start, end (bytes), match; leftmost, then longest."""
     names = effort.folds if folds is None else fold_names(folds)
-    words = vocabulary([folded(q, names, ignore_case)[0] for q in queries], effort, **options)
+    words = vocabulary([folded_text(q, names, ignore_case) for q in queries], effort, **options)
     ball = scored.sparkSession.sparkContext.broadcast(words)
 
     @F.pandas_udf(SPAN)
