@@ -445,13 +445,12 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(scratch: Scratch, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, deal, label, name, n, point: the rows (key, name, label) of keys with several labels, in deals of bounded size.
+    """key, deal, label, name, n, point: the rows (key, name, label, n) of keys with several labels, in deals of bounded size.
 
     The rows of a key's most common label are cut into parts and the others into blocks. Every part meets every
     block, and every block each other, so any two rows of different labels meet.
     """
-    sized = rows.join(classes.select("name", "n"), "name")
-    per_label = sized.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("w"))
+    per_label = rows.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("w"))
     every = [F.sum("rows").alias("rows"), F.sum("w").alias("w"), F.count("*").alias("labels"), F.max(F.struct("rows", "label", "w")).alias("main")]
     per_key = per_label.groupBy("key").agg(*every).filter("labels > 1")
     cut = lambda r, w: F.greatest(F.lit(1), F.ceil(r / LIMIT), F.ceil(w / SHINGLES)).cast("int")
@@ -517,29 +516,36 @@ def class_links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
     old, rows = rows, scratch.keep(rows.join(trees, "key").select("key", "name", "keys"), "rows")
     scratch.drop(old)
 
-    open_rows, links, labels = rows.withColumn("label", F.col("name")), None, None
-    popular = scratch.keep(rows.groupBy("name").agg(F.sum("keys").alias("popular")), "popular")
+    # a class that links with a star takes its label: equal labels are one component, though one may have several yet
+    popular = rows.groupBy("name").agg(F.sum("keys").alias("popular")).join(classes.select("name", "n"), "name")
+    open_rows, links = scratch.keep(rows.join(popular, "name").withColumn("label", F.col("name")), "open"), None
+    scratch.drop(rows)
     for turn in range(ROUNDS):
         # each class meets one class of its keys: of each key's chosen one, that of most keys
-        choice = F.xxhash64("name", F.lit(turn))
-        stars = open_rows.join(popular, "name").groupBy("key").agg(F.max_by(F.struct("name", "label"), F.struct(F.col("popular") if turn == 0 else F.lit(0), choice)).alias("star"))
-        stars = scratch.keep(stars, "stars")
-        met = open_rows.join(stars, "key").filter("label <> star.label")
-        met = met.groupBy("name", F.col("star.name").alias("a")).agg(F.sum("keys").alias("keys"))
-        pairs = met.groupBy(F.col("name").alias("b")).agg(F.max_by("a", F.struct("keys", "a")).alias("a"))
-        new = _linked(scratch, texts, classes, scratch.keep(pairs, "pairs"), again)
-        links = new if links is None else scratch.keep(links.unionAll(new), "links")
-        labels = scratch.keep(components(scratch, links), "labels")
-        open_rows = _mixed(scratch, scratch.keep(_labelled(open_rows.drop("label"), labels), "named"), ["key"])
-        if new.isEmpty():
-            break
+        choice = F.struct(*([F.col("popular")] if turn == 0 else []), F.xxhash64("name", F.lit(turn)))
+        stars = scratch.keep(open_rows.groupBy("key").agg(F.max_by(F.struct("name", "label"), choice).alias("star")), "stars")
+        met = open_rows.join(stars, "key").filter("label <> star.label").groupBy("name", "label", "star").agg(F.sum("keys").alias("keys"))
+        pairs = met.groupBy(F.col("name").alias("b"), F.col("label").alias("old")).agg(F.max_by("star", F.struct("keys", "star")).alias("star"))
+        pairs = scratch.keep(pairs.select("b", "old", F.col("star.name").alias("a"), F.col("star.label").alias("new")), "pairs")
+        linked = _linked(scratch, texts, classes, pairs.select("a", "b"), again)
+        links = linked if links is None else links.unionAll(linked)
+        moved = pairs.join(linked.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"]).groupBy(F.col("old").alias("label")).agg(F.min("new").alias("new"))
+        moved = scratch.keep(moved, "moved")
+        # what a star itself moved to is its members' label too; twice, for stars of stars
+        onward, target = moved, moved.select(F.col("label").alias("new"), F.col("new").alias("next"))
+        for _ in range(2):
+            onward = onward.join(target, "new", "left").select("label", F.coalesce("next", "new").alias("new"))
+        named = open_rows.join(scratch.keep(onward, "onward"), "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+        old, open_rows = open_rows, _mixed(scratch, scratch.keep(named, "named"), ["key"])
+        scratch.drop(old)
 
     dealt = _dealt(scratch, open_rows, classes).repartition(parts, "key", "deal").sortWithinPartitions("key", "deal")
     found = scratch.keep(dealt.mapInArrow(_searched, "key bigint, deal bigint, a bigint, b bigint"), "found")
     pairs = scratch.keep(found.filter("b is not null").select("a", "b").distinct(), "pairs")
     if not pairs.isEmpty():
-        links = scratch.keep(links.unionAll(_linked(scratch, texts, classes, pairs, again)), "links")
-        labels = scratch.keep(components(scratch, links), "labels")
+        links = links.unionAll(_linked(scratch, texts, classes, pairs, again))
+    links = scratch.keep(links, "links")
+    labels = scratch.keep(components(scratch, links), "labels")
     # trees with more pairs than rows, as far as they still hold several components
     rest = found.filter("b is null").select("key", "deal", F.col("a").alias("name")).distinct()
     if not rest.isEmpty():
@@ -548,7 +554,7 @@ def class_links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
         whole = rest.join(sets, "name").select("key", "deal", "label", "name", "set").repartition(parts, "key", "deal").sortWithinPartitions("key", "deal")
         links = scratch.keep(links.unionAll(whole.mapInArrow(_joined, "u bigint, v bigint")), "links")
         labels = scratch.keep(components(scratch, links), "labels")
-        scratch.drop(sets)
+    scratch.only(own, labels, links)
     return own, labels, links
 
 

@@ -28,7 +28,9 @@ EXAMPLES = 8000
 NEIGHBOURS = 30
 BLOCK = 64
 #: Words of one example in COMMON are scored by a matrix, for TOGETHER texts at once.
-COMMON, TOGETHER = 32, 128
+COMMON, TOGETHER = 12, 64
+#: Bytes of texts that a task looks at together; its arrays are many times as large.
+PORTION = 400_000
 FOLDS = 5
 #: Weight of a word that tells nothing of the label, beside log odds of words that do; their deviations below the estimate.
 LEAST, DEVIATIONS = 0.1, 2.0
@@ -54,7 +56,7 @@ def ragged(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
 def alike_order(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     """An order of n sparse vectors in which neighbours are alike: halves along the main direction, again and again."""
     dense = np.zeros((n, 64))
-    np.add.at(dense, (rows, (mix(cols.astype(np.uint64) + np.uint64(1)) % np.uint64(64)).astype(np.int64)), weights)
+    np.add.at(dense, (rows, (cols.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(26)), weights)
     out, todo = [], [np.arange(n)]
     while todo:
         own = todo.pop()
@@ -88,12 +90,15 @@ class BlockMaxIndex:
         self.ids, self.labels, self.n_blocks = ids[order], labels[order].astype(np.int32), -(-len(ids) // BLOCK)
         at = place[rows]
         by = np.lexsort((at, word))
-        self._postings(np.searchsorted(word[by], np.arange(n_words + 1)), at[by], weights[by].astype(np.float32))
-
-    def _postings(self, begin: np.ndarray, at: np.ndarray, weights: np.ndarray) -> None:
-        """What a search reads, from the examples and weights of each word's postings."""
-        self.sent = np.diff(begin).astype(np.uint32), at, weights
-        size = np.diff(begin)
+        self.sent = np.bincount(word, minlength=n_words).astype(np.uint32), at[by], weights[by].astype(np.float32)
+        self.column, self.scored = None, 0
+
+    def _open(self) -> None:
+        """Make what a search reads from the size of each word's postings, their examples and weights; once in a process that searches."""
+        if self.column is not None:
+            return
+        size, at, weights = self.sent
+        size, at = size.astype(np.int64), at.astype(np.int32)
         common = np.flatnonzero(size * COMMON >= max(COMMON, len(self.ids)))
         self.column = np.full(len(size), -1, np.int32)
         self.column[common] = np.arange(len(common))
@@ -101,17 +106,17 @@ class BlockMaxIndex:
         word = np.repeat(np.arange(len(size), dtype=np.int32), size)
         dense = self.column[word] >= 0
         self.matrix[at[dense], self.column[word[dense]]] = weights[dense]
-        word, at = word[~dense], at[~dense]
-        self.example, self.weight = at.astype(np.intp), weights[~dense].astype(np.float64)
-        block = self.example // BLOCK
+        # every worker keeps these, so they take few bytes
+        few = np.uint16 if len(self.ids) <= 1 << 16 else np.int32
+        word, self.example, self.weight = word[~dense], at[~dense].astype(few), weights[~dense]
+        block = self.example // few(BLOCK)
         first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])][: len(word)])
         #: entries (word, block) with where their postings begin, how many they are and their largest weight, and where a word's entries begin
-        self.begin = first
-        self.size = np.diff(np.r_[first, len(word)])
+        self.begin = first.astype(np.int32)
+        self.size = np.diff(np.r_[first, len(word)]).astype(np.int32)
         self.block = block[first]
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
-        self.word_begin = np.searchsorted(word[first], np.arange(len(size) + 1))
-        self.scored = 0
+        self.word_begin = np.searchsorted(word[first], np.arange(len(size) + 1, dtype=np.int32)).astype(np.int32)
 
     def __getstate__(self):
         # tasks are sent the postings alone, in few bytes
@@ -119,12 +124,12 @@ class BlockMaxIndex:
         return self.ids, self.labels, sizes, example.astype(np.uint16 if len(self.ids) <= 1 << 16 else np.uint32), weight
 
     def __setstate__(self, state):
-        self.ids, self.labels, sizes, example, weight = state
-        self.n_blocks = -(-len(self.ids) // BLOCK)
-        self._postings(np.r_[0, np.cumsum(sizes, dtype=np.int64)], example.astype(np.int32), weight)
+        self.ids, self.labels, *sent = state
+        self.n_blocks, self.sent, self.column, self.scored = -(-len(self.ids) // BLOCK), tuple(sent), None, 0
 
     def common_parts(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What common words give to the cosine of each text with each example."""
+        self._open()
         texts = np.zeros((len(vectors), self.matrix.shape[1]))
         for row, (word, weights) in zip(texts, vectors):
             column = self.column[word]
@@ -136,6 +141,7 @@ class BlockMaxIndex:
 
         ``part`` is the text's row of ``common_parts``.
         """
+        self._open()
         part = self.common_parts([(word, weights)])[0] if part is None else part
         rare = self.column[word] < 0
         word, weights = word[rare], weights[rare]
@@ -267,7 +273,7 @@ def _frequencies(texts: DataFrame, sent, n_words: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(sent.value), np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PORTION):
             for word, _ in counts_of(batch.column("text"), sent.value):
                 held[word] += 1
         at = np.flatnonzero(held)
@@ -297,7 +303,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int =
     sample = scratch.keep(texts.join(F.broadcast(named), "doc_id"), "sample")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PORTION):
             found, per_text = words(batch.column("text"), NOT_LETTERS)
             zero = np.zeros(1, np.uint64)
             pair = mix(np.r_[zero, found[:-1]] * np.uint64(3) + np.r_[found[1:], zero]) if len(found) else found
@@ -318,7 +324,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int =
     weights = idf * relevant
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PORTION):
             found = counts_of(batch.column("text"), sent.value)
             packed = [pa.array([x[c].astype("<i4").tobytes() for x in found], pa.binary()) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *packed], ["doc_id", "toxic", "words", "times"])
@@ -366,7 +372,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     sent, curve = model.send(spark), (model.slope, model.shift)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PORTION):
             found = list(sent.value.scores(counts_of(batch.column("text"), sent.value.hashes), curve))
             why = [[{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in e] for _, e in found]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
@@ -383,7 +389,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, model: Model) -> DataFra
     sent, curve = model.send(spark), (model.slope, model.shift)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PORTION):
             good = [score < 0.5 for score, _ in sent.value.scores(counts_of(batch.column("text"), sent.value.hashes), curve)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
