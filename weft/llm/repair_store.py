@@ -1,8 +1,10 @@
 """Token ids in binary shards, compressed by a Re-Pair grammar, with random access by document.
 
 A shard holds the ids of neighbouring documents in ascending doc_id order. Re-Pair replaces frequent pairs
-of neighbouring symbols by new symbols (nonterminals), again and again; here a round replaces all the pairs
-that are frequent enough at once, left to right, and counts anew. No pair crosses a document's end, so the
+of neighbouring symbols by new symbols (nonterminals), again and again; here a round replaces many of the pairs
+that are frequent enough at once, the most frequent first, left to right, and counts anew. It ends when no pair
+that is left pays for its rule, or, where the vocabulary fits 16 bits, when these have no symbol left: a wider
+symbol would double the whole shard for pairs of a few places. No pair crosses a document's end, so the
 symbols of one document decode alone: ``body[body_start[k] : body_start[k + 1]]``, expanded by the rules.
 
 File format: a Parquet table with a row for each shard. part, seq: place among the shards, ascending;
@@ -26,10 +28,8 @@ from weft.llm.storage import Scratch
 from weft.llm.tokens import SpacedEncoder, encoder, portions
 
 SHARD_IDS = 1_000_000
-LEAST_COUNT = 24
-#: Rounds go on while one shortens the shard by this part at least.
-LEAST_GAIN = 0.005
-MOST_RULES = 15_000
+#: A rule costs two symbols and a length and saves one symbol each time: in 16 bits five times pay for it, in 32 four.
+LEAST_COUNT = {2: 5, 4: 4}
 SLOT_BITS = 20
 
 SHARDS = pa.schema([
@@ -46,22 +46,26 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, least: int = LEAST_COUNT, most_rules: int = MOST_RULES):
+def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int):
     """Grammar of ids, whose documents end before the positions ``ends``: rules, round_ends, body, body_start."""
+    narrow = first_symbol < 0x10000
+    most_rules, least = (0x10000 - first_symbol, LEAST_COUNT[2]) if narrow else (1 << 30, LEAST_COUNT[4])
     seq = ids.astype(np.uint32)
     closes = np.zeros(len(seq), bool)
     closes[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     round_ends: list[int] = []
     known = 0
-    gain = 1.0
-    while gain >= LEAST_GAIN:
+    while True:
         room = most_rules - known
         if room <= 0 or len(seq) < 2:
             break
         wide = int(seq.max()) > 0xFFFF
         codes = (seq[:-1].astype(np.uint64) << 32 | seq[1:]) if wide else (seq[:-1] << 16 | seq[1:])
-        found = np.sort(codes[~closes[:-1]])
+        found = codes[~closes[:-1]]
+        # pairs whose slot is seen too seldom are too
+        place = _slot(found).astype(np.intp)
+        found = np.sort(found[np.bincount(place, minlength=1 << SLOT_BITS)[place] >= least])
         if not len(found):
             break
         starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
@@ -70,10 +74,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, least: int =
         if not len(good):
             break
         # the most frequent first, so that the room goes to them; ties by the pair's own order
-        good = np.sort(good[np.argsort(-counts[good], kind="stable")[: max(1, min(room, most_rules // 4))]])
+        good = np.sort(good[np.argsort(-counts[good], kind="stable")[: max(1, min(room, most_rules // 2))]])
         chosen = found[starts[good]]
         # a slot for each chosen pair; where two share one, the other waits for the next round
-        slots = np.full(1 << SLOT_BITS, -1, np.int16 if most_rules < 1 << 15 else np.int32)
+        slots = np.full(1 << SLOT_BITS, -1, np.int16 if narrow and most_rules < 1 << 15 else np.int32)
         slots[_slot(chosen)] = np.arange(len(chosen))
         chosen = chosen[slots[_slot(chosen)] == np.arange(len(chosen))]
         slots[_slot(chosen)] = np.arange(len(chosen))
@@ -86,12 +90,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, least: int =
         runs = np.r_[True, np.diff(may) != 1]
         begin = np.maximum.accumulate(np.where(runs, np.arange(len(may)), 0))
         take = (np.arange(len(may)) - begin) % 2 == 0
-        may, at = may[take], at[take]
+        # of pairs that overlap, one may have lost all its places
+        may, (used, at) = may[take], np.unique(at[take], return_inverse=True)
+        left, right = left[used], right[used]
         seq[may] = first_symbol + known + at
         closes[may] = closes[may + 1]
         stay = np.ones(len(seq), bool)
         stay[may + 1] = False
-        gain = len(may) / len(seq)
         seq, closes = seq[stay], closes[stay]
         rules.append(np.stack([left, right], 1))
         known += len(left)

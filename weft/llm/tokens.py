@@ -12,19 +12,26 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
+from operator import itemgetter
+
+import numpy as np
 
 KEPT_WORDS, FIRST_WORDS = 1_200_000, 500_000
 LONGEST_KEPT = 48
+#: Words encoded in one text.
+JOINED = 1000
 #: White space as the tokenizers' own patterns mean it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 RUNS = re.compile(f"([{SPACE}]*)([^{SPACE}]*)")
-EDGE = re.compile(f"[{SPACE}]")
 PUNCTUATION = frozenset(".,;:!?|")
 
 
 class _Encoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit bytes."""
 
+    #: Whether a word of letters alone is one part as it is.
+    PLAIN_ALONE = False
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -47,7 +54,8 @@ class _Encoder:
             self.kept = kept = dict(islice(kept.items(), FIRST_WORDS))
             new = every.difference(kept)
         whole, joined = [], []
-        for w in new:
+        plain = [w for w in new if w.isalpha()] if self.PLAIN_ALONE else []
+        for w in new.difference(plain):
             parts = self._parts(w)
             if parts is None:
                 kept[w] = None
@@ -55,14 +63,17 @@ class _Encoder:
                 whole.append((w, parts[0]))
             else:
                 joined.append((w, *parts))
-        need = {part for _, part in whole}.union({c for _, c, _ in joined}, {m for _, _, m in joined}).difference(kept)
-        need = list(need)
-        kept.update(zip(need, self._raw([self._text(p) for p in need])))
+        need = set(map(itemgetter(1), whole)).union(map(itemgetter(1), joined), map(itemgetter(2), joined)).difference(kept)
+        self._encode_parts(need.union(plain))
         kept.update([(w, kept[part]) for w, part in whole if w is not part])
         kept.update([(w, kept[c] + kept[m]) for w, c, m in joined])
-        if any(len(w) > LONGEST_KEPT for w in new):
+        if max(map(len, new)) > LONGEST_KEPT:
             self.long += [w for w in new if len(w) > LONGEST_KEPT]
 
+    def _encode_parts(self, need: set[str]) -> None:
+        need = list(need)
+        self.kept.update(zip(need, self._raw([self._text(p) for p in need])))
+
     def _forget(self) -> None:
         """Drop words too long to keep, once their texts are done."""
         for w in self.long:
@@ -101,11 +112,19 @@ class SpacedEncoder(_Encoder):
     """
 
     BARE = "\0\1"
+    PLAIN_ALONE = True
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.begins_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            # the vocabulary writes a space as this letter
+            self.begins_word[k] = token.startswith("Ġ")
 
     def _parts(self, word: str) -> tuple | None:
         bare = word.startswith(self.BARE)
         body = word[2:] if bare else word
-        if not body or EDGE.match(body[0]) or EDGE.match(body[-1]):
+        if not body or body[0].isspace() or body[-1].isspace():
             return None  # the white space around it is more than one space or line feed
         if len(body) > 1 and body[-1] in PUNCTUATION and body[:-1].isalpha() and max(body) < "İ":
             return (word[:-1], self.BARE + body[-1])
@@ -114,6 +133,19 @@ class SpacedEncoder(_Encoder):
     def _text(self, part: str) -> str:
         return part[2:] if part.startswith(self.BARE) else " " + part
 
+    def _encode_parts(self, need: set[str]) -> None:
+        """Words with a space before them are encoded many in one text: an id that begins with a space begins a word."""
+        spaced = [p for p in need if not p.startswith(self.BARE)]
+        super()._encode_parts(need.difference(spaced))
+        runs = [spaced[k : k + JOINED] for k in range(0, len(spaced), JOINED)]
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(run) for run in runs], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            begins = np.flatnonzero(self.begins_word[ids])
+            if len(begins) != len(run):
+                raise ValueError("a word of the vocabulary isn't told by the space before it")
+            flat, cuts = ids.astype("<u4").tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
+            self.kept.update(zip(run, [flat[a:b] for a, b in zip(cuts, cuts[1:])]))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         split, odd = [], {}
         for k, t in enumerate(texts):
