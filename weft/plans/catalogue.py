@@ -158,6 +158,8 @@ cut AS (SELECT doc, line_no, p, unnest(range(1, len(p))) AS k FROM parts)
 SELECT doc, line_no, (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + (k - 1) * {len(WORD)})::BIGINT AS start,
        (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + k * {len(WORD)})::BIGINT AS "end",
        (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + (k - 1) * {len(WORD)} + 1)::BIGINT AS "column", '{WORD}' AS match FROM cut"""
+#: Where folded text has ss: in a sharp s, in two letters, or in one and half of the sharp s behind it, which is then taken whole.
+SHARP = "(?i)ß|s[sß]"
 FUZZY_WORDS = {"colour": 1.0, "schein": 1.0}
 
 
@@ -182,7 +184,11 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "find_lines": (lambda s, d: find.hits(docs(s, d), _q(WORD)).select("doc", "line_no", F.col("body").alias("line")), HITS),
     "find_matches": (lambda s, d: find.matches(docs(s, d), _q(WORD)), MATCHES),
     "find_folded": (lambda s, d: find.hits(docs(s, d), _q("SS", ignore_case=True)).select("doc", "line_no", F.col("body").alias("line")), f"WITH {L} SELECT doc, line_no, line FROM L WHERE contains({_duck_fold('line')}, 'ss')"),
-    "find_folded_spans": (lambda s, d: find.matches(docs(s, d), _q("SS", ignore_case=True)), None),
+    "find_folded_spans": (lambda s, d: find.matches(docs(s, d), _q("SS", ignore_case=True)), f"""
+WITH {L}, P AS (SELECT doc, line_no, string_split_regex(line, '{SHARP}') AS p, regexp_extract_all(line, '{SHARP}') AS m FROM L), K AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM P),
+S AS (SELECT *, (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: strlen(x))), 0))::BIGINT AS start,
+       (list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) + 1)::BIGINT AS "column" FROM K)
+SELECT doc, line_no, start, (start + strlen(m[k]))::BIGINT AS "end", "column", m[k] AS match FROM S"""),
     "find_word": (lambda s, d: find.hits(docs(s, d), _q("in", word=True)).select("doc", "line_no", F.col("body").alias("line")), f"WITH {L} SELECT doc, line_no, line FROM L WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])in([^A-Za-z0-9_]|$)')"),
     "find_inverted": (lambda s, d: find.hits(docs(s, d), _q(WORD, invert=True)).select("doc", "line_no", F.col("body").alias("line")), f"WITH {L} SELECT doc, line_no, line FROM L WHERE NOT contains(line, '{WORD}')"),
     "find_context": (lambda s, d: find.context(docs(s, d), _q(NEEDLE), 1, 2), CONTEXT),
