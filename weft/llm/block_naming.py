@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.storage import Scratch
 
-BLOCK_BYTES = 4096
+BLOCK_BYTES = 512
 ROW = ["doc_id", "n_bytes", "h"]
 
 
