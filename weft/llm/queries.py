@@ -16,6 +16,9 @@ MODULES = {
     "op8_exact_dedup": "block_naming",
     "op9_main_text": "html_blocks",
     "op10_class_lm": "brown_lm",
+    "op11_source_divergence": "source_divergence",
+    "op12_run_detection": "repetition_runs",
+    "op13_substring_dedup": "recompression",
 }
 
 
