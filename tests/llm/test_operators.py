@@ -283,6 +283,19 @@ def test_token_ids(kind, name):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(kind, P.path(name)).ids(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize(("kind", "name"), [(tokens.WordEncoder, "word_bpe_49k.json"), (tokens.SpacedEncoder, "byte_bpe_50k.json")])
+def test_token_ids_of_random_texts(kind, name):
+    """Added tokens, odd white space, marks and emoji, in any order."""
+    from tokenizers import Tokenizer
+
+    g = random.Random(6)
+    pieces = ["a", "b", "The", "don't", "'s", "x1", "12", ".", ",", "...", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "é", "e\u0301", "\u0301", "İ", "ß", "Σ", "日本", "א", "😀", "👩‍💻", "\ufe0f", "\0", "\1"]
+    plain = Tokenizer.from_file(P.path(name))
+    texts = ["a\n\n<|endoftext|>b", "a  <|endoftext|>", *("".join(g.choices(pieces, k=g.randint(0, 14))) for _ in range(8000))]
+    mine = tokens.encoder(kind, P.path(name)).ids(texts)
+    assert [t for t, m, w in zip(texts, mine, plain.encode_batch(texts, add_special_tokens=False)) if np.frombuffer(m, "<u4").tolist() != w.ids] == []
+
+
 def encoded(name, text):
     from tokenizers import Tokenizer
 

@@ -120,6 +120,8 @@ class SpacedEncoder(_Encoder):
         for token, k in self.tokenizer.get_vocab().items():
             # the vocabulary writes a space as this letter
             self.begins_word[k] = token.startswith("Ġ")
+        #: The library cuts a text at these first, so white space before one isn't a word's.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _parts(self, word: str) -> tuple | None:
         bare = word.startswith(self.BARE)
@@ -149,7 +151,7 @@ class SpacedEncoder(_Encoder):
     def ids(self, texts: list[str]) -> list[bytes]:
         split, odd = [], {}
         for k, t in enumerate(texts):
-            if self.BARE in t:
+            if self.BARE in t or any(a in t for a in self.added):
                 odd[k] = t
                 split.append([])
                 continue
