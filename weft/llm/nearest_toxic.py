@@ -136,10 +136,10 @@ class BlockMaxIndex:
             row[column[column >= 0]] = weights[column >= 0]
         return texts @ self.matrix.T
 
-    def search(self, word: np.ndarray, weights: np.ndarray, k: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, word: np.ndarray, weights: np.ndarray, k: int, part: np.ndarray | None = None, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and places of the k nearest with a cosine above 0, nearest first, ties to the smaller id.
 
-        ``part`` is the text's row of ``common_parts``.
+        ``part`` is the text's row of ``common_parts``. With ``but``, the id of an example, it and all copies of the text take no part.
         """
         self._open()
         part = self.common_parts([(word, weights)])[0] if part is None else part
@@ -164,6 +164,8 @@ class BlockMaxIndex:
             sums = part + np.bincount(self.example[at], self.weight[at] * np.repeat(own[some], size), len(part))
             new = (np.sort(now)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             new = new[sums[new] > 1e-12]
+            if but is not None:
+                new = new[(self.ids[new] != but) & (sums[new] < 1 - 1e-6)]
             if len(cosines) == k:
                 new = new[sums[new] >= cosines[-1] - 1e-11]
             cosines, places = np.concatenate([cosines, np.round(sums[new], 12)]), np.concatenate([places, new])
@@ -215,10 +217,7 @@ class Model:
                 if not len(word) or self.index is None:
                     yield None, []
                     continue
-                cosines, places = self.index.search(word, weights, self.k if but is None else self.k + 20, part)
-                if but is not None:
-                    other = (self.index.ids[places] != but[n]) & (cosines < 1 - 1e-9)
-                    cosines, places = cosines[other][: self.k], places[other][: self.k]
+                cosines, places = self.index.search(word, weights, self.k, part, None if but is None else but[n])
                 if not len(places):
                     yield None, []
                     continue
@@ -305,8 +304,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int =
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PORTION):
             found, per_text = words(batch.column("text"), NOT_LETTERS)
-            zero = np.zeros(1, np.uint64)
-            pair = mix(np.r_[zero, found[:-1]] * np.uint64(3) + np.r_[found[1:], zero]) if len(found) else found
+            # a text begins and ends with nothing beside it, whatever comes with it in a batch
+            before, after = np.r_[np.uint64(0), found[:-1]][: len(found)], np.r_[found[1:], np.uint64(0)][: len(found)]
+            ends = np.cumsum(per_text)[per_text > 0]
+            before[np.r_[0, ends[:-1]][: len(ends)]] = 0
+            after[ends - 1] = 0
+            pair = mix(before * np.uint64(3) + after)
             toxic = np.repeat(batch.column("toxic").to_numpy(), per_text)
             rows = np.unique(np.stack([found, pair, toxic.astype(np.uint64)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].view(np.int64)), pa.array(rows[:, 1].view(np.int64)), pa.array(rows[:, 2].astype(np.int32))], ["word", "place", "toxic"])
