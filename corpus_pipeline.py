@@ -39,9 +39,21 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of near copies; rows without words are no copies of one another here."""
-    own = jaccard_rtree.link(spark, docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return _only(docs, own)
+    """The row with the smallest id of each group of near copies; rows without words are no copies of one another here.
+
+    Where ids repeat, rows are told apart by id and text, the least digest of a text goes first among equal
+    ids, and rows that repeat both are one.
+    """
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        own = jaccard_rtree.link(spark, docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+        return _only(docs, own)
+    scratch = Scratch(spark, "stage-near-copies")
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    rows = scratch.keep(docs.select("doc_id", digest.alias("text_sha256"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", digest).alias("row")).dropDuplicates(["doc_id", "text_sha256"]), "rows")
+    found = jaccard_rtree.link(spark, rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256")
+    first = rows.join(found, "row").groupBy("component_id").agg(F.min_by(F.struct("doc_id", "text_sha256"), order).alias("own"))
+    return _only(docs, scratch.keep(first.select("own.*"), "first")).dropDuplicates(["doc_id", "text"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
