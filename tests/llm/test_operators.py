@@ -662,6 +662,33 @@ def test_html_without_an_article_goes_by_words_and_links():
     assert {"words", "links", "words_before", "links_before", "words_after", "links_after"} <= used
 
 
+WORDS, REPLY = " ".join(f"wort{k}" for k in range(60)), " ".join(f"reply{k}" for k in range(40))
+PAGE = f"<nav><a>x</a></nav><article><p>{WORDS}</p></article>"
+NAMED = "reader-comments user-comments responses discussion disqus_thread js-comments c-comments cookie-law-info adsbygoogle entry-meta comments".split()
+
+
+@pytest.mark.parametrize("page", [
+    *(f"{PAGE}<div class='{c}'><p>{REPLY}</p></div>" for c in NAMED), *(f"<article><p>{WORDS}</p><div id={c}><p>{REPLY}</p></div></article>" for c in NAMED), *(f"<div><p>{WORDS}</p></div><div class={c}><p>{REPLY}</p></div>" for c in NAMED),
+    f"<article><p>{WORDS}</p><div hidden><p>{REPLY}</p></div></article>", f"<article><p>{WORDS}</p><div style='color:red; display: none'><p>{REPLY}</p></div></article>",
+    f"{PAGE}<section class=comments><article class=comment><p>{REPLY}</p></article></section>", f"{PAGE}<section class=comments><article><p>{REPLY}</p></article></section>",
+    f"<form action=x><input type=hidden name=v>{PAGE}</form>", f"<form action=x><div><p>{WORDS}</p></div></form>", f"{PAGE}<form><p>{REPLY}</p><input><input><textarea></textarea></form>",
+    f"<div class='site has-sidebar comments-open'>{PAGE}</div>", f"<div class='content-sidebar-wrap'>{PAGE}</div>", f"<div class='page-widget page-widget-theme-content'><p>{WORDS}</p></div>", f"<article class='post category-discussion'><p>{WORDS}</p></article>",
+])
+def test_html_of_common_shapes(page):
+    assert html_blocks.main_text(page) == WORDS
+
+
+def test_html_of_elements_never_closed_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        html_blocks.blocks("<div><p>x</section>" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.2
+
+
 def test_html_frame(spark):
     rows = [(1, "u", None, 1), (2, None, "<article><p>é</p></article>", 2), (2, None, "<article><p>é</p></article>", 2), (None, "u", "", 3)]
     rows.append((5, "u", "<p>" + "many words " * 200_000, 4))

@@ -33,10 +33,19 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
-OTHER = frozenset("aside dialog footer form header menu nav".split())
+OTHER = frozenset("aside dialog footer header menu nav".split())
 #: Names that pages give to parts beside the text, and words that may stand with them in one name.
-OTHER_NAMES = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter notice popup promo promotion related replies reply respond search share sharing sidebar social sponsor sponsored subscribe subscription tags toolbar widget widgets".split())
-PLAIN_NAMES = frozenset("1 2 3 area articles bar bars body bottom box button buttons container content description form group header icons inner item items left link links list main media message policy outer page panel post posts primary right row secondary section site slot text title top trail wrap wrapper".split())
+OTHER_NAMES = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies discussion disqus footer gdpr masthead menu meta nav navbar navigation newsletter notice popup promo promotion related replies reply respond response responses search share sharing sidebar social sponsor sponsored subscribe subscription tags toolbar widget widgets".split())
+PLAIN_NAMES = frozenset("1 2 3 area article articles bar bars body bottom box button buttons container content description entry form group header icons inner item items left link links list main media message policy outer page panel post posts primary right row secondary section site slot text title top trail wrap wrapper".split())
+#: Words that are enough in a name, whatever stands with them, and those that make a name a state of what is around the text.
+TELLING_NAMES = frozenset("ads adsbygoogle advert advertisement advertising adverts breadcrumb breadcrumbs comment commentlist comments cookie cookies discussion disqus gdpr newsletter replies responses sponsored".split())
+STATES = frozenset("closed count disabled enabled has no off on open with without".split())
+#: Parts with readers' words or other pages' texts: an article inside one is no article of the page.
+FOREIGN_NAMES = frozenset("comment commentlist comments discussion disqus related replies reply respond response responses".split())
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*["']?false)|\bstyle\s*=\s*(?:"[^"]*|'[^']*)display\s*:\s*none""", re.I)
+#: A form outside an article with more words than so many for each control and one more isn't a part of a page but what is around it.
+WORDS_A_CONTROL = 20
+CONTROL = re.compile(r"<(?:textarea|select|button)\b", re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_other", "named_other", "heading")
 
@@ -111,14 +120,24 @@ def _tree():
     return train(labelled_rows())
 
 
-def names_other(attrs: str) -> bool:
-    """Whether a class, id or role names a part beside the text: all words of one name are known, and one of them says so."""
-    for found in NAMES.findall(attrs):
-        for name in "".join(found).lower().split():
-            parts = [p for p in re.split(r"[-_:]+", name) if p]
-            if any(p in OTHER_NAMES for p in parts) and all(p in OTHER_NAMES or p in PLAIN_NAMES for p in parts):
-                return True
-    return False
+@cache
+def part_named(name: str, article: bool = False) -> int:
+    """Whether a name says that a part is beside the text (1), and 2 if articles inside are none of the page.
+
+    One telling word is enough except for an article; else all words have to be known ones.
+    """
+    parts = [p for p in re.split(r"[-_:]+", name.lower()) if p]
+    if not any(p in OTHER_NAMES or p in TELLING_NAMES for p in parts) or any(p in STATES for p in parts):
+        return 0
+    if all(p in OTHER_NAMES or p in PLAIN_NAMES for p in parts) or (not article and any(p in TELLING_NAMES for p in parts)):
+        return 2 if any(p in FOREIGN_NAMES for p in parts) else 1
+    return 0
+
+
+def names_other(attrs: str, article: bool = False) -> int:
+    """What an element's class, id and role say: as ``part_named``; hidden elements are beside the text."""
+    found = [part_named(name, article) for names in NAMES.findall(attrs) for name in "".join(names).split() if len(name) < 80]
+    return max([*found, 2 if HIDDEN.search(attrs) else 0])
 
 
 def is_main(features) -> int:
@@ -131,16 +150,23 @@ def is_main(features) -> int:
 def blocks(page: str) -> list[list]:
     """[text, words, words in links, in_article, in_other, named_other, heading] of each block of a page, in its order."""
     out: list[list] = []
-    stack: list[tuple[str, int, int, int]] = []  # element, in_article, in_other, named_other
+    stack: list[tuple[str, int, int, int, int]] = []  # element, in_article, in_other, named_other, form
+    opened: dict[str, int] = {}  # how many of each element are in the stack
+    forms, of_form = [0], []  # controls of each form, the first is none; the form of each block
     now, linked, link, heading = [], [], 0, 0
 
     def end() -> None:
         nonlocal now, linked
         text = " ".join("".join(now).split())
         if text:
-            out.append([text, text.count(" ") + 1, len("".join(linked).split()), *(stack[-1][1:] if stack else (0, 0, 0)), heading])
+            _, article, other, named, form = stack[-1] if stack else ("", 0, 0, 0, 0)
+            out.append([text, text.count(" ") + 1, len("".join(linked).split()), article, other, min(1, named), heading])
+            of_form.append(form)
         now, linked = [], []
 
+    def leave() -> None:
+        opened[stack.pop()[0]] -= 1
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -153,8 +179,12 @@ def blocks(page: str) -> list[list]:
         at, name = m.end(), (m["name"] or "").lower()
         if m["raw"] or m["closed"] or m["short"]:
             now.append(" ")
+            if stack and stack[-1][4] and CONTROL.match(m[0]):
+                forms[stack[-1][4]] += 1
         if not name:
             continue
+        if name == "input" and stack and stack[-1][4] and "hidden" not in m["attrs"].lower():
+            forms[stack[-1][4]] += 1
         if name == "a":
             link = 0 if m["close"] else 1
         elif name == "br":
@@ -163,26 +193,37 @@ def blocks(page: str) -> list[list]:
             end()
             link = 0
             if m["close"]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if opened.get(name):
+                    while stack[-1][0] != name:
+                        leave()
+                    leave()
             else:
                 while stack and (stack[-1][0] == "p" or stack[-1][0] in HEADING or (stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th"))):
-                    stack.pop()
+                    leave()
                 if name not in VOID and not m["attrs"].endswith("/"):
-                    above = stack[-1] if stack else ("", 0, 0, 0)
+                    above, form = stack[-1] if stack else ("", 0, 0, 0, 0), 0
                     # a header inside an article is a part of it
-                    other = name in OTHER and not (name == "header" and above[1])
-                    # what is named around an article says nothing of it
-                    named = 0 if name in ARTICLE else int(above[3] or (name != "body" and names_other(m["attrs"])))
-                    stack.append((name, int(above[1] or name in ARTICLE), int(above[2] or other), named))
+                    other = (name in OTHER and not (name == "header" and above[1])) or (name == "form" and above[1])
+                    # what is named around an article says nothing of it, unless all inside is somebody else's
+                    around = 0 if name in ARTICLE and above[3] < 2 else above[3]
+                    named = max(around, names_other(m["attrs"], name in ARTICLE) if name not in ("html", "body", "main") else 0)
+                    if name == "form":
+                        forms.append(0)
+                        form = len(forms) - 1
+                    stack.append((name, int(above[1] or name in ARTICLE), int(above[2] or other), named, form or above[4]))
+                    opened[name] = opened.get(name, 0) + 1
             heading = int(bool(stack) and stack[-1][0] in HEADING)
     rest = page[at:]
     now.append(entities.unescape(rest))
     if link:
         linked.append(rest)
     end()
+    said = [0] * len(forms)
+    for b, form in zip(out, of_form):
+        said[form] += 0 if b[4] or b[5] else b[1]
+    for b, form in zip(out, of_form):
+        if form and said[form] <= WORDS_A_CONTROL * (1 + forms[form]):
+            b[4] = 1
     return out
 
 
