@@ -672,7 +672,7 @@ NAMED = "reader-comments user-comments responses discussion disqus_thread js-com
     f"<article><p>{WORDS}</p><div hidden><p>{REPLY}</p></div></article>", f"<article><p>{WORDS}</p><div style='color:red; display: none'><p>{REPLY}</p></div></article>",
     f"{PAGE}<section class=comments><article class=comment><p>{REPLY}</p></article></section>", f"{PAGE}<section class=comments><article><p>{REPLY}</p></article></section>",
     f"<form action=x><input type=hidden name=v>{PAGE}</form>", f"<form action=x><div><p>{WORDS}</p></div></form>", f"{PAGE}<form><p>{REPLY}</p><input><input><textarea></textarea></form>",
-    f"<div class='site has-sidebar comments-open'>{PAGE}</div>", f"<div class='content-sidebar-wrap'>{PAGE}</div>", f"<div class='page-widget page-widget-theme-content'><p>{WORDS}</p></div>", f"<article class='post category-discussion'><p>{WORDS}</p></article>",
+    f"<div class='site has-sidebar comments-open'>{PAGE}</div>", f"<div class='content-sidebar-wrap'>{PAGE}</div>", f"<div class='kit-widget kit-widget-theme-content'><p>{WORDS}</p></div>", f"<article class='post category-discussion'><p>{WORDS}</p></article>",
 ])
 def test_html_of_common_shapes(page):
     assert html_blocks.main_text(page) == WORDS
