@@ -206,7 +206,8 @@ def repeated(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = texts.mapInArrow(_anchors, "key binary, n_words bigint, plain binary, anchor array<bigint>, first array<int>, n array<int>")
     every = told.groupBy("key").agg(F.first(F.struct("n_words", "plain", "anchor", "first", "n")).alias("own"), F.count("*").alias("copies"))
     every = scratch.keep(every.select("key", "copies", "own.*"), "texts")
-    twice = every.select("copies", F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.sum("copies").alias("times")).filter("times > 1").select("anchor")
+    # tables that are joined are written first, so that a name that very many texts have can be split in the join
+    twice = scratch.keep(every.select("copies", F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.sum("copies").alias("times")).filter("times > 1").select("anchor"), "twice")
     listed = every.select("key", "copies", F.inline(F.arrays_zip("anchor", "first", "n")))
     asked = listed.join(twice, "anchor", "left_semi").groupBy("key").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("anchor", "first", "n")).alias("asked"))
     own = texts.groupBy(key_of(F.col("text")).alias("key")).agg(F.first("text").alias("text"))
@@ -214,12 +215,12 @@ def repeated(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # blocks with the same windows are one
     found = suspects.mapInArrow(_digests(False), "anchor bigint, block binary, copies bigint, windows binary")
     same = scratch.keep(found.groupBy("anchor", "block").agg(F.sum("copies").alias("times"), F.first("windows").alias("windows")), "blocks")
-    mixed = same.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
+    mixed = scratch.keep(same.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"), "mixed")
     size = (F.octet_length("windows") / 8).cast("int")
     whole = same.filter("times > 1").select("anchor", "block", F.sequence(F.lit(0), size - 1).alias("places"))
     cut = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.struct(k.alias("place"), F.substring("windows", k * 8 + 1, F.lit(8)).alias("window")))
     single = scratch.keep(same.join(mixed, "anchor", "left_semi").select("anchor", "block", "times", F.inline(cut)), "windows")
-    again = single.groupBy("anchor", "window").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor", "window")
+    again = scratch.keep(single.groupBy("anchor", "window").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor", "window"), "again")
     parts = single.filter("times = 1").join(again, ["anchor", "window"], "left_semi").groupBy("anchor", "block").agg(F.collect_list("place").alias("places"))
     there = scratch.keep(whole.unionByName(parts), "repeated")
     placed = suspects.mapInArrow(_digests(True), "anchor bigint, block binary, key binary, first int")
