@@ -6,13 +6,19 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weft.functions.lines import TEXT, Form
+
+
+def fold(text: Column | str, form: Form = TEXT) -> Column:
+    """A text folded; bytes that are no UTF-8 stay as they are."""
 
-def fold(text: Column | str) -> Column:
     def run(texts: pd.Series) -> pd.Series:
+        if form.binary:
+            return pd.Series([None if t is None else form.raw(form.text(t).casefold()) for t in texts])
         return pd.Series([None if t is None else t.casefold() for t in texts])
 
     # made where it is used: a worker that imports this module has no session
-    return F.pandas_udf(run, "string")(text)
+    return F.pandas_udf(run, form.type)(text)
 
 
 def folded_map(text: str) -> tuple[str, list[int]]:
@@ -50,6 +56,8 @@ def spans(text: str, literal: str, ignore_case: bool = False, overlapping: bool
     return found
 
 
-def contains(text: Column | str, literal: str, ignore_case: bool = False) -> Column:
+def contains(text: Column | str, literal: str, ignore_case: bool = False, form: Form = TEXT) -> Column:
     """Whether a text holds a literal; native, but for the folding of the text."""
-    return F.contains(fold(text), F.lit(literal.casefold())) if ignore_case else F.contains(text if isinstance(text, Column) else F.col(text), F.lit(literal))
+    if ignore_case:
+        return F.contains(fold(text, form), form.lit(literal.casefold()))
+    return F.contains(text if isinstance(text, Column) else F.col(text), form.lit(literal))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.folding import fold
-from weft.functions.lines import LF, UNICODE, line_structs, lines, whole, without_cr
+from weft.functions.lines import LF, UNICODE, form_of, line_structs, lines, whole, without_cr
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,11 +63,12 @@ def by_bytes(docs: DataFrame, budget: int, header_bytes: int = 0, newlines: str
     """
     if budget <= header_bytes:
         raise ValueError("the header leaves no room for lines")
-    rows = docs.select("doc", line_structs("text", newlines).alias("parts"))
+    form = form_of(docs)
+    rows = docs.select("doc", line_structs("text", newlines, form).alias("parts"))
     sizes = F.transform("parts", lambda s: (F.octet_length(s["as_cut"]) + F.octet_length(s["terminator"])).cast("long"))
     rows = rows.withColumn("places", _greedy(sizes, budget - header_bytes))
     rows = rows.select("doc", F.posexplode(F.arrays_zip("parts", "places")).alias("at", "z"))
-    return rows.select("doc", (F.col("at") + 1).cast("long").alias("line_no"), "z.parts.as_cut", without_cr("z.parts.as_cut").alias("body"), "z.parts.terminator", F.col("z.places").alias("chunk"))
+    return rows.select("doc", (F.col("at") + 1).cast("long").alias("line_no"), "z.parts.as_cut", without_cr("z.parts.as_cut", form).alias("body"), "z.parts.terminator", F.col("z.places").alias("chunk"))
 
 
 def by_count(docs: DataFrame, n: int, newlines: str = LF, suffix_length: int = 2) -> DataFrame:
@@ -92,7 +93,8 @@ def by_pattern(docs: DataFrame, pattern: str, ignore_case: bool = False, newline
     if not pattern or "\n" in pattern:
         raise ValueError("a delimiter is a literal within a line")
     rows = lines(docs, newlines or (UNICODE if ignore_case else LF))
-    starts = F.startswith(fold("as_cut"), F.lit(pattern.casefold())) if ignore_case else F.startswith("as_cut", F.lit(pattern))
+    form = form_of(docs)
+    starts = F.startswith(fold("as_cut", form), form.lit(pattern.casefold())) if ignore_case else F.startswith("as_cut", form.lit(pattern))
     rows = rows.withColumn("starts", (starts & (F.col("line_no") > 1)).cast("long"))
     return rows.withColumn("chunk", F.sum("starts").over(_order())).drop("starts")
 
@@ -106,28 +108,29 @@ def with_header(docs: DataFrame, n: int, cut, budget: int | None = None) -> Data
     """
     if n < 1:
         raise ValueError("a header has a line at least")
-    parts = docs.select("doc", line_structs("text").alias("parts"))
-    joined = lambda p: F.array_join(F.transform(p, lambda s: F.concat(s["as_cut"], s["terminator"])), "")
+    form = form_of(docs)
+    parts = docs.select("doc", line_structs("text", form=form).alias("parts"))
+    joined = lambda p: form.joined(F.transform(p, lambda s: F.concat(s["as_cut"], s["terminator"])))
     head = F.slice("parts", 1, n)
     short, wide = F.size("parts") <= n, F.octet_length(joined(head)) >= (budget or 0) if budget is not None else F.lit(False)
     # asked here and not in a row's own expression, which could be evaluated before a filter that drops the row
     bad = parts.filter(short | wide).select("doc", short.alias("short")).first()
     if bad:
         raise ValueError(f"{bad['doc']}: " + (f"no line follows a header of {n}" if bad["short"] else f"its header leaves no room in {budget} bytes"))
-    rows = parts.select("doc", head.alias("head"), joined(F.slice("parts", F.lit(n + 1), F.size("parts") - n)).alias("text"))
+    rows = parts.select("doc", head.alias("head"), joined(F.slice("parts", F.lit(n + 1), F.greatest(F.lit(0), F.size("parts") - n))).alias("text"))
     cut_rows = cut(rows.select("doc", "text")).select("doc", "line_no", "as_cut", "body", "terminator", "chunk")
     every = cut_rows.select("doc", "chunk").distinct()
     header = every.join(rows.select("doc", F.posexplode("head").alias("at", "line")), "doc")
-    header = header.select("doc", (F.col("at") - n).cast("long").alias("line_no"), "line.as_cut", without_cr("line.as_cut").alias("body"), "line.terminator", "chunk")
+    header = header.select("doc", (F.col("at") - n).cast("long").alias("line_no"), "line.as_cut", without_cr("line.as_cut", form).alias("body"), "line.terminator", "chunk")
     return cut_rows.unionByName(header)
 
 
 def chunks(cut: DataFrame, count: int | None = None) -> DataFrame:
     """doc, chunk, lines, bytes, header_lines, text of rows with a chunk; with count also the empty ones below it."""
     order = F.transform(F.array_sort(F.collect_list(F.struct("line_no", whole().alias("w")))), lambda s: s["w"])
-    size = F.octet_length("as_cut") + F.octet_length("terminator")
-    found = cut.groupBy("doc", "chunk").agg(F.count_if(F.col("line_no") > 0).alias("lines"), F.sum(size).cast("long").alias("bytes"), F.count_if(F.col("line_no") < 0).alias("header_lines"), F.array_join(order, "").alias("text"))
+    size, form = F.octet_length("as_cut") + F.octet_length("terminator"), form_of(cut, "as_cut")
+    found = cut.groupBy("doc", "chunk").agg(F.count_if(F.col("line_no") > 0).alias("lines"), F.sum(size).cast("long").alias("bytes"), F.count_if(F.col("line_no") < 0).alias("header_lines"), form.joined(order).alias("text"))
     if count is None:
         return found
     every = cut.select("doc").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-    return every.join(found, ["doc", "chunk"], "left").na.fill(0, ["lines", "bytes", "header_lines"]).na.fill("", ["text"])
+    return every.join(found, ["doc", "chunk"], "left").na.fill(0, ["lines", "bytes", "header_lines"]).withColumn("text", F.coalesce("text", form.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.lines import LF, lines, quoted
+from weft.functions.lines import LF, form_of, lines, quoted
 
 
 def parse_columns(text: str) -> list[int]:
@@ -35,10 +35,11 @@ def columns(docs: DataFrame, wanted: str, delimiter: str = "\t", output_delimite
 
     Lines with fewer than ``min_columns`` fields go. Lines are cut no further than the furthest column needs.
     """
-    places = parse_columns(wanted)
-    cut = fields("body", delimiter, -1 if min_columns > max(places) else max(places) + 1)
+    places, form = parse_columns(wanted), form_of(docs)
+    cut = fields(form.opened("body"), form.literal(delimiter), -1 if min_columns > max(places) else max(places) + 1)
     rows = lines(docs, newlines).withColumn("f", cut)
     if min_columns:
         rows = rows.filter(F.size("f") >= min_columns)
     found = F.array(*[F.coalesce(F.try_element_at("f", F.lit(k)), F.lit("")) for k in places])
-    return rows.select("doc", "line_no", found.alias("columns"), F.array_join(found, delimiter if output_delimiter is None else output_delimiter).alias("line"))
+    line = F.array_join(found, form.literal(delimiter if output_delimiter is None else output_delimiter))
+    return rows.select("doc", "line_no", (F.transform(found, form.closed) if form.binary else found).alias("columns"), form.closed(line).alias("line"))

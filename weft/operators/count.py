@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.lines import LF, UNICODE, line_array
+from weft.functions.lines import LF, TEXT, UNICODE, Form, form_of, line_array
 
 #: How lines and words are told: ascii counts an unterminated last line, posix only line feeds.
 ASCII, POSIX, UNICODE_MODE = "ascii", "posix", "unicode"
@@ -20,19 +20,21 @@ def _modes(mode: str) -> str:
     return mode
 
 
-def expressions(mode: str = ASCII, text: str = "text") -> dict[str, Column]:
+def expressions(mode: str = ASCII, text: str = "text", form: Form = TEXT) -> dict[str, Column]:
+    """Of bytes, words by Unicode and characters are those of the text with U+FFFD for what is no UTF-8; the rest is counted as it is."""
     t = F.col(text)
+    opened, decoded = form.opened(t), F.decode(t, "UTF-8") if form.binary else t
+    lines = F.transform(line_array(t, UNICODE if mode == UNICODE_MODE else LF, form), form.opened) if form.binary else line_array(t, UNICODE if mode == UNICODE_MODE else LF)
     if _modes(mode) == POSIX:
-        n_lines = F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit("")))
+        n_lines = form.size(opened) - form.size(F.replace(opened, F.lit("\n"), F.lit("")))
     else:
-        n_lines = F.size(line_array(t, UNICODE if mode == UNICODE_MODE else LF))
-    lines = line_array(t, UNICODE if mode == UNICODE_MODE else LF)
-    body = lambda x: F.octet_length(F.regexp_replace(x, r"\r\z", ""))
+        n_lines = F.size(lines)
+    body = lambda x: form.size(F.regexp_replace(x, r"\r\z", ""))
     found = {
         "lines": n_lines,
-        "words": F.regexp_count(t, F.lit(WORD[UNICODE_MODE if mode == UNICODE_MODE else ASCII])),
+        "words": F.regexp_count(decoded if mode == UNICODE_MODE else opened, F.lit(WORD[UNICODE_MODE if mode == UNICODE_MODE else ASCII])),
         "bytes": F.octet_length(t),
-        "chars": F.char_length(t),
+        "chars": F.char_length(decoded),
         "max_line_length": F.coalesce(F.array_max(F.transform(lines, body)), F.lit(0)),
     }
     return {k: v.cast("long") for k, v in found.items()}
@@ -46,7 +48,7 @@ def _wanted(fields) -> list[str]:
 
 def count(docs: DataFrame, fields=FIELDS, mode: str = ASCII) -> DataFrame:
     """doc and the fields asked for, in the fixed order; what isn't asked for isn't computed."""
-    found = expressions(mode)
+    found = expressions(mode, form=form_of(docs))
     return docs.select("doc", *[found[f].alias(f) for f in _wanted(fields)])
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.folding import fold
-from weft.functions.lines import LF, UNICODE, lines
+from weft.functions.lines import LF, UNICODE, form_of, lines
 
 
 def _keyed(docs: DataFrame, ignore_case: bool, newlines: str | None) -> DataFrame:
     rows = lines(docs, newlines or (UNICODE if ignore_case else LF))
-    return rows.withColumn("key", fold("body") if ignore_case else F.col("body"))
+    return rows.withColumn("key", fold("body", form_of(docs)) if ignore_case else F.col("body"))
 
 
 def dedup(docs: DataFrame, ignore_case: bool = False, newlines: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import folding
-from weft.functions.lines import LF, line_structs
+from weft.functions.lines import LF, Form, form_of, line_structs
 from weft.functions.names import content_name, parse_name
 from weft.operators.find import occurrences
 
@@ -17,16 +17,18 @@ OVER, AFTER, BEFORE = "over", "after", "before"
 DONE, UNRESOLVED, AMBIGUOUS, STALE = "done", "unresolved", "ambiguous", "stale"
 
 
-def _folded(pattern: str, replacement: str, first: bool):
-    @F.pandas_udf("struct<text: string, count: long>")
+def _folded(pattern: str, replacement: str, first: bool, form: Form):
+    @F.pandas_udf(f"struct<text: {form.type}, count: long>")
     def run(text: pd.Series) -> pd.DataFrame:
         out = []
-        for t in text:
-            at, parts, found = 0, [], folding.spans(t or "", pattern, True)
+        for value in text:
+            t = form.text(value)
+            at, parts, found = 0, [], folding.spans(t, pattern, True)
             for a, b in found[:1] if first else found:
                 parts += [t[at:a], replacement]
                 at = b
-            out.append(("".join(parts) + t[at:] if found else t, len(found)))
+            made = "".join(parts) + t[at:]
+            out.append((value if not found else form.raw(made) if form.binary else made, len(found)))
         return pd.DataFrame(out, columns=["text", "count"])
 
     return run
@@ -46,13 +48,14 @@ def replace(docs: DataFrame, pattern: str, replacement: str, occurrences_: str =
         expect_hash = F.lit(expect_hash.lower())
     if occurrences_ not in (ALL, FIRST, ONE):
         raise ValueError(f"occurrences is {ALL}, {FIRST} or {ONE}")
-    first = occurrences_ != ALL
+    first, form = occurrences_ != ALL, form_of(docs)
     if ignore_case:
-        rows = docs.withColumn("r", _folded(pattern, replacement, first)("text")).withColumn("new", F.col("r.text")).withColumn("n", F.col("r.count"))
+        rows = docs.withColumn("r", _folded(pattern, replacement, first, form)("text")).withColumn("new", F.col("r.text")).withColumn("n", F.col("r.count"))
     else:
-        at = F.locate(pattern, F.col("text"))
-        one = F.when(at > 0, F.concat(F.substring("text", F.lit(1), at - 1), F.lit(replacement), F.substring("text", at + len(pattern), F.char_length("text")))).otherwise(F.col("text"))
-        rows = docs.withColumn("new", one if first else F.replace("text", F.lit(pattern), F.lit(replacement))).withColumn("n", occurrences("text", pattern))
+        text, old, new = form.opened("text"), form.literal(pattern), form.literal(replacement)
+        at = F.locate(old, text)
+        one = F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.lit(new), F.substring(text, at + len(old), F.char_length(text)))).otherwise(text)
+        rows = docs.withColumn("new", form.closed(one if first else F.replace(text, F.lit(old), F.lit(new)))).withColumn("n", occurrences("text", pattern, form))
     status = F.when(F.col("n") == 0, UNRESOLVED).when(F.col("n") > 1, AMBIGUOUS).otherwise(DONE) if occurrences_ == ONE else F.when(F.col("n") == 0, UNRESOLVED).otherwise(DONE)
     if expect_hash is not None:
         status = F.when(content_name("text") != expect_hash, STALE).otherwise(status)
@@ -77,16 +80,18 @@ def edit_lines(docs: DataFrame, name: str, new: str, placement: str = OVER, occu
     if occurrences_ not in (ALL, ONE):
         raise ValueError(f"lines named are edited {ALL} or {ONE}")
     prefix = parse_name(name)
-    rows = docs.withColumn("parts", line_structs("text", newlines))
+    form = form_of(docs)
+    # lines are opened while they are edited; their names cover what they are
+    rows = docs.withColumn("parts", line_structs(form.opened("text"), newlines))
     prevailing = F.coalesce(F.try_element_at(F.filter(F.transform("parts", lambda s: s["terminator"]), lambda t: t != ""), F.lit(1)), F.lit("\n"))
     rows = rows.withColumn("prevailing", prevailing)
-    is_hit = lambda s: F.startswith(content_name(F.concat(s["as_cut"], s["terminator"])), F.lit(prefix))
+    is_hit = lambda s: F.startswith(content_name(form.closed(F.concat(s["as_cut"], s["terminator"]))), F.lit(prefix))
     rows = rows.withColumn("n", F.size(F.filter("parts", is_hit)).cast("long"))
     status = F.when(F.col("n") == 0, UNRESOLVED).when((F.col("n") > 1) & F.lit(occurrences_ == ONE), AMBIGUOUS).otherwise(DONE)
     if expect_hash is not None:
         status = F.when(content_name("text") != expect_hash, STALE).otherwise(status)
     rows = rows.withColumn("status", status)
-    body = new[:-1] if new.endswith("\n") else new
+    body = form.literal(new[:-1] if new.endswith("\n") else new)
 
     def edited(s: Column) -> Column:
         own = F.when(s["terminator"] == "", F.col("prevailing")).otherwise(s["terminator"])
@@ -100,7 +105,7 @@ def edit_lines(docs: DataFrame, name: str, new: str, placement: str = OVER, occu
             made = F.concat(s["as_cut"], own, text, s["terminator"])
         return F.when(is_hit(s), made).otherwise(line)
 
-    text = F.when(F.col("status") == DONE, F.array_join(F.transform("parts", edited), "")).otherwise(F.col("text"))
+    text = F.when(F.col("status") == DONE, form.closed(F.array_join(F.transform("parts", edited), ""))).otherwise(F.col("text"))
     edits = F.when(F.col("status") == DONE, F.col("n")).otherwise(F.lit(0))
     return rows.select("doc", text.alias("text"), edits.cast("long").alias("edits"), F.col("n").alias("found"), "status", content_name("text").alias("hash_before"), content_name(text).alias("hash_after"))
 

@@ -46,12 +46,13 @@ def path_pattern(glob: str) -> str:
     return out
 
 
-def read_files(spark: SparkSession, path, globs: list[str] | None = None, types: list[str] | None = None, binary: bool = True) -> DataFrame:
+def read_files(spark: SparkSession, path, globs: list[str] | None = None, types: list[str] | None = None, binary: bool = True, as_bytes: bool = False) -> DataFrame:
     """doc (path), text, content, bytes of each file under a path or list of paths, hidden ones left out.
 
     Globs match a file name, or with a slash the end of a path; a leading ! excludes; types are named sets. They
     choose among what lies under a folder: a file that ``path`` itself names is always read. Without ``binary`` a file
-    with a NUL in its first 8 KiB is skipped. Names are filtered in the listing, before anything is read.
+    with a NUL in its first 8 KiB is skipped. Names are filtered in the listing, before anything is read. With ``as_bytes``
+    text is the content itself, and all line operators keep its bytes, be they UTF-8 or not.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     plain = lambda p: re.sub("^[a-z]+:/*", "/", p)
@@ -72,7 +73,7 @@ def read_files(spark: SparkSession, path, globs: list[str] | None = None, types:
     files = files.filter(keep | named)
     if not binary:
         files = files.filter(~is_binary(F.col("content")))
-    return files.select(F.col("path").alias("doc"), F.col("content").cast("string").alias("text"), "content", F.col("length").alias("bytes"))
+    return files.select(F.col("path").alias("doc"), (F.col("content") if as_bytes else F.col("content").cast("string")).alias("text"), "content", F.col("length").alias("bytes"))
 
 
 def walk(root: str, max_depth: int | None = None, hidden: bool = False, ignore: bool = True, follow: bool = False) -> list[str]:
