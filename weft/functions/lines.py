@@ -95,9 +95,13 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def whole_ends(parts: Column) -> Column:
+    """What a text is cut into, without the empty last part of a text that ends with a terminator."""
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def line_array(text: Column | str, newlines: str = LF, form: Form = TEXT) -> Column:
     """The lines of a text, without terminators; an empty text has none."""
-    whole_ends = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
     found = once(F.split(form.opened(text), form.terminator[_check(newlines)], -1), whole_ends)
     return F.transform(found, form.closed) if form.binary else found
 

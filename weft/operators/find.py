@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from weft.functions import folding
 from weft.functions.intervals import around, lines_of_spans
-from weft.functions.lines import LF, TEXT, UNICODE, Form, begins, form_of, line_array, lines, quoted, terminators, whole, without_cr
+from weft.functions.lines import LF, TEXT, UNICODE, Form, begins, form_of, line_array, lines, once, quoted, whole, whole_ends, without_cr
 from weft.functions.names import DEFAULT, content_name
 
 SPAN = "array<struct<start: long, end: long, column: long, match: {}>>"
 #: Lines of a document that are shown: their places from 0, whether each is a hit, its group.
-AROUND = "struct<at: array<int>, is_match: array<boolean>, group_id: array<long>, found: int, line_feeds: int>"
+AROUND = "struct<at: array<int>, is_match: array<boolean>, group_id: array<long>, opens: array<boolean>, found: int, line_feeds: int>"
 
 
 @dataclass(frozen=True)
@@ -129,9 +129,9 @@ def matches(docs: DataFrame, search: Search, offsets: bool = False, body: bool =
     return found.select(*keep, F.explode(search.spans_udf(form_of(docs))("as_cut")).alias("m")).select(*keep, "m.start", "m.end", "m.column", "m.match")
 
 
-def _line_hits(search: Search, form: Form, closed: bool) -> Column:
-    """Places (from 0) of the selected lines in ``parts``; ``n_lines`` of them are lines."""
-    if search.ignore_case or (search.word and closed):
+def _line_hits(search: Search, form: Form) -> Column:
+    """Places (from 0) of the selected lines in ``parts``."""
+    if search.ignore_case or (search.word and form.binary):
 
         @F.pandas_udf("array<int>")
         def run(parts: pd.Series) -> pd.Series:
@@ -146,18 +146,17 @@ def _line_hits(search: Search, form: Form, closed: bool) -> Column:
                 out.append(np.flatnonzero(np.array(hit, bool) != search.invert).astype(np.int32))
             return pd.Series(out)
 
-        return F.filter(run("parts"), lambda k: k < F.col("n_lines"))
+        return run("parts")
     # opened lines are strings, whatever they were
     literal = form.literal(search.pattern)
     test = (lambda x: F.rlike(x, F.lit(f"(?<![{search._edge}]){quoted(literal)}(?![{search._edge}])"))) if search.word else (lambda x: F.contains(x, F.lit(literal)))
-    told = F.transform("parts", lambda x, k: F.when((~test(x) if search.invert else test(x)) & (k < F.col("n_lines")), k))
-    return F.array_compact(told)
+    return F.array_compact(F.transform("parts", lambda x, k: F.when(~test(x) if search.invert else test(x), k)))
 
 
 def document_hits(docs: DataFrame, search: Search, before: int = 0, after: int = 0, most: int | None = None, offsets: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc, carried columns, matches, lines_searched and ``shown`` of each document with a hit; nothing is shuffled.
 
-    shown: structs of at (from 0), is_match, group_id, as_cut and terminator (opened), byte_offset, of selected lines and those
+    shown: structs of at (from 0), is_match, group_id, opens (a region begins), as_cut and terminator (opened), byte_offset, of selected lines and those
     around them, in order. matches counts selected lines, or matches of a multiline search, ``most`` at most; the walk
     through a document ends once it has these, at the line behind the last.
     """
@@ -169,8 +168,7 @@ def document_hits(docs: DataFrame, search: Search, before: int = 0, after: int =
     if not search.invert:
         docs = docs.filter(search.possible("text", form))
     cut = docs.select("doc", *carry, form.opened("text").alias("text"))
-    cut = cut.select("doc", *carry, "text", F.split("text", form.terminator[newlines], -1).alias("parts"))
-    cut = cut.withColumn("n_lines", F.size("parts") - (F.element_at("parts", -1) == "").cast("int"))
+    cut = cut.select("doc", *carry, "text", once(F.split("text", form.terminator[newlines], -1), whole_ends).alias("parts")).withColumn("n_lines", F.size("parts"))
     long = lambda c: c.cast("long")
     if search.multiline:
 
@@ -183,12 +181,12 @@ def document_hits(docs: DataFrame, search: Search, before: int = 0, after: int =
                 found = found if most is None else found[:most]
                 data = form.raw(t)
                 out.append((*around(*lines_of_spans(data, [x[:2] for x in found]), before, after), len(found), data.count(b"\n")))
-            return pd.DataFrame(out, columns=["at", "is_match", "group_id", "found", "line_feeds"])
+            return pd.DataFrame(out, columns=["at", "is_match", "group_id", "opens", "found", "line_feeds"])
 
         cut = cut.withColumn("near", regions("text"))
         n, searched = long(F.col("near.found")), long(F.col("near.line_feeds") + 1)
     else:
-        cut = cut.withColumn("places", _line_hits(search, form, form.binary))
+        cut = cut.withColumn("places", _line_hits(search, form))
         n, searched = long(F.size("places")), long(F.col("n_lines"))
         if most is not None:
             ends = F.try_element_at("places", F.lit(most)) + 2
@@ -200,28 +198,41 @@ def document_hits(docs: DataFrame, search: Search, before: int = 0, after: int =
             @F.pandas_udf(AROUND)
             def widened(places: pd.Series, n_lines: pd.Series) -> pd.DataFrame:
                 found = [(*around(np.asarray(p, np.int64), np.asarray(p, np.int64), k, before, after), 0, 0) for p, k in zip(places, n_lines)]
-                return pd.DataFrame(found, columns=["at", "is_match", "group_id", "found", "line_feeds"])
+                return pd.DataFrame(found, columns=["at", "is_match", "group_id", "opens", "found", "line_feeds"])
 
             cut = cut.withColumn("near", widened("places", "n_lines"))
     if search.multiline or before or after:
-        chosen = F.arrays_zip(F.col("near.at").alias("at"), F.col("near.is_match").alias("is_match"), F.col("near.group_id").alias("group_id"))
+        chosen = F.arrays_zip(F.col("near.at").alias("at"), F.col("near.is_match").alias("is_match"), F.col("near.group_id").alias("group_id"), F.col("near.opens").alias("opens"))
     else:
-        chosen = F.transform("places", lambda k: F.struct(k.alias("at"), F.lit(True).alias("is_match"), F.lit(None).cast("long").alias("group_id")))
-    if newlines != LF or offsets:
-        cut = cut.withColumn("ends", terminators("text", F.col("parts"), newlines, form))
+        chosen = F.transform("places", lambda k: F.struct(k.alias("at"), F.lit(True).alias("is_match"), F.lit(None).cast("long").alias("group_id"), F.lit(True).alias("opens")))
+    # what belongs to the whole text is bound once, so that nothing of it is computed for each line
+    bound = [F.col("parts").alias("parts"), chosen.alias("chosen"), F.size("parts").alias("n"), F.endswith("text", F.lit("\n")).alias("ended")]
+    if newlines != LF:
+        bound.append(F.concat(F.regexp_extract_all("text", F.lit(form.terminator[newlines]), 0), F.array(F.lit(""))).alias("ends"))
     if offsets:
-        sizes = F.transform(F.arrays_zip("parts", "ends"), lambda z: (form.size(z["parts"]) + form.size(z["ends"])).cast("long"))
+        # a line begins behind all before it and their terminators; only the last may have none
+        if newlines == LF:
+            sizes = F.transform("parts", lambda x: (form.size(x) + 1).cast("long"))
+        else:
+            ends = F.regexp_extract_all("text", F.lit(form.terminator[newlines]), 0)
+            sizes = F.zip_with("parts", ends, lambda x, e: (form.size(x) + F.coalesce(form.size(e), F.lit(0))).cast("long"))
         cut = cut.withColumn("begins", begins(sizes))
-    terminator = (lambda k: F.get("ends", k)) if newlines != LF or offsets else (lambda k: F.when(k < F.size("parts") - 1, F.lit("\n")).otherwise(F.lit("")))
-    offset = (lambda k: F.get("begins", k)) if offsets else (lambda k: F.lit(None).cast("long"))
-    told = lambda c: F.struct(c["at"].alias("at"), c["is_match"].alias("is_match"), c["group_id"].alias("group_id"), F.get("parts", c["at"]).alias("as_cut"), terminator(c["at"]).alias("terminator"), offset(c["at"]).alias("byte_offset"))
-    return cut.select("doc", *carry, n.alias("matches"), searched.alias("lines_searched"), F.transform(chosen, told).alias("shown"), "n_lines")
+        bound.append(F.col("begins").alias("begins"))
+
+    def told(x: Column, c: Column) -> Column:
+        last = F.when((c["at"] < x["n"] - 1) | x["ended"], F.lit("\n")).otherwise(F.lit("")) if newlines == LF else F.get(x["ends"], c["at"])
+        offset = F.get(x["begins"], c["at"]) if offsets else F.lit(None).cast("long")
+        return F.struct(c["at"].alias("at"), c["is_match"].alias("is_match"), c["group_id"].alias("group_id"), c["opens"].alias("opens"), F.get(x["parts"], c["at"]).alias("as_cut"), last.alias("terminator"), offset.alias("byte_offset"))
+
+    shown = once(F.struct(*bound), lambda x: F.transform(x["chosen"], lambda c: told(x, c)))
+    return cut.select("doc", *carry, n.alias("matches"), searched.alias("lines_searched"), shown.alias("shown"), "n_lines")
 
 
 def shown_lines(found: DataFrame, form: Form = TEXT, carry: tuple[str, ...] = ()) -> DataFrame:
     """The lines of ``document_hits`` as rows: doc, carried columns, line_no, is_match, group_id, byte_offset, as_cut, body, terminator."""
-    rows = found.select("doc", *carry, F.inline("shown"))
-    return rows.select("doc", *carry, (F.col("at") + 1).cast("long").alias("line_no"), "is_match", "group_id", "byte_offset", form.closed("as_cut").alias("as_cut"), form.closed(without_cr("as_cut")).alias("body"), form.closed("terminator").alias("terminator"))
+    # an outer one asks nothing of the array before it is made; a document without lines is one row then
+    rows = found.select("doc", *carry, F.inline_outer("shown")).filter(F.col("at").isNotNull())
+    return rows.select("doc", *carry, (F.col("at") + 1).cast("long").alias("line_no"), "is_match", "group_id", "opens", "byte_offset", form.closed("as_cut").alias("as_cut"), form.closed(without_cr("as_cut")).alias("body"), form.closed("terminator").alias("terminator"))
 
 
 def occurrences(text: Column | str, pattern: str, form: Form = TEXT) -> Column:
@@ -280,9 +291,9 @@ def capped(docs: DataFrame, search: Search, most: int) -> DataFrame:
     Documents go in the order of ``doc``. One that reaches the cap before its last line ends the walk.
     """
     form = form_of(docs)
-    found = document_hits(docs, search, most=most).filter(F.size("shown") > 0)
+    found = document_hits(docs, search, most=most)
     # one row
-    unread = (F.col("matches") >= most) & (F.element_at("shown", -1)["at"] + 1 < F.col("n_lines"))
+    unread = (F.col("matches") >= most) & (F.try_element_at("shown", F.lit(-1))["at"] + 1 < F.col("n_lines"))
     ends = found.filter(unread).agg(F.min("doc").alias("last"))
     found = found.crossJoin(F.broadcast(ends)).filter(F.col("last").isNull() | (F.col("doc") <= F.col("last")))
     return shown_lines(found, form).select("doc", "line_no", "as_cut", "body", "terminator")

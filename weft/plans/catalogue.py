@@ -221,19 +221,20 @@ M AS (SELECT O.*, contains(line, '{NEEDLE}') AS hit, line || CASE WHEN line_no =
              bool_or(contains(line, '{NEEDLE}')) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS near FROM O JOIN N ON doc = doc_id),
 S AS (SELECT *, array_to_string(list_transform(range(1, len(p)), lambda k: '{{"match":{{"text":"{NEEDLE}"}},"start":' || (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + (k - 1) * {len(NEEDLE)})::BIGINT || ',"end":' || (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + k * {len(NEEDLE)})::BIGINT || '}}'), ',') AS subs FROM M WHERE near)
 SELECT doc_id AS doc, 0 AS phase, 0 AS line_no, '{{"type":"begin","data":{{"path":{{"text":"' || doc_id || '"}}}}}}' AS record FROM N
-UNION ALL SELECT doc, 1, line_no, '{{"type":"' || CASE WHEN hit THEN 'match' ELSE 'context' END || '","data":{{"path":{{"text":"' || doc || '"}},"lines":{{"text":' || to_json(whole)::VARCHAR || '}},"line_number":' || line_no || ',"absolute_offset":' || byte_offset || ',"line_hash":"' || {_name_sql("whole", 8)} || '","submatches":[' || CASE WHEN hit THEN subs ELSE '' END || ']}}}}' FROM S
-UNION ALL SELECT doc_id, 2, 0, '{{"type":"end","data":{{"path":{{"text":"' || doc_id || '"}},"file_hash":"' || file_hash || '","stats":{{"matched_lines":' || (SELECT count(*) FROM L WHERE doc = doc_id AND contains(line, '{NEEDLE}')) || ',"bytes_searched":' || strlen(text) || '}}}}}}' FROM N"""),
+UNION ALL SELECT doc, 1, line_no, '{{"type":"' || CASE WHEN hit THEN 'match' ELSE 'context' END || '","data":{{"path":{{"text":"' || doc || '"}},"lines":{{"text":' || to_json(line)::VARCHAR || '}},"line_number":' || line_no || ',"absolute_offset":' || byte_offset || ',"line_hash":"' || {_name_sql("whole", 8)} || '"' || CASE WHEN hit THEN ',"submatches":[' || subs || ']' ELSE '' END || '}}}}' FROM S
+UNION ALL SELECT doc_id, 2, 0, '{{"type":"end","data":{{"path":{{"text":"' || doc_id || '"}},"file_hash":"' || file_hash || '","stats":{{"matches":' || (SELECT count(*) FROM L WHERE doc = doc_id AND contains(line, '{NEEDLE}')) || ',"lines_searched":' || (SELECT count(*) FROM L WHERE doc = doc_id) || '}}}}}}' FROM N"""),
     "find_count_records": (lambda s, d: report.json_report(docs(s, d), _q(WORD), Report(show="count", form="json")).select("doc", "record"), f"""WITH {L} SELECT doc, '{{"type":"count","data":{{"path":{{"text":"' || doc || '"}},"count":' || count(*) || '}}}}' AS record FROM L WHERE contains(line, '{WORD}') GROUP BY doc"""),
     "find_file_records": (lambda s, d: report.json_report(docs(s, d), _q(NEEDLE), Report(show="files_without", form="json")).select("doc", "record"), f"""SELECT doc_id AS doc, '{{"type":"file","data":{{"path":{{"text":"' || doc_id || '"}}}}}}' AS record FROM documents WHERE NOT contains(text, '{NEEDLE}')"""),
     "find_prefix": (lambda s, d: report.text_report(docs(s, d), _q(NEEDLE), Report(fields=("line_numbers", "column_numbers", "byte_offset", "line_hashes"), hash_width=6, before=1)).select("doc", "line_no", "text"), f"""
 WITH {L}, {OFFSETS}, M AS (SELECT *, contains(line, '{NEEDLE}') AS hit, line || CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc) THEN '' ELSE chr(10) END AS whole,
       bool_or(contains(line, '{NEEDLE}')) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS near FROM O)
+SELECT doc, line_no, '--' AS text FROM (SELECT doc, line_no, lag(line_no) OVER (PARTITION BY doc ORDER BY line_no) AS before FROM M WHERE near) WHERE line_no > before + 1 UNION ALL
 SELECT doc, line_no, CASE WHEN hit THEN doc || ':' || line_no || ':' || (strlen(string_split(line, '{NEEDLE}')[1]) + 1) || ':' || byte_offset || ':' || {_name_sql("whole", 6)} || ':' ELSE doc || '-' || line_no || '-' || byte_offset || '-' || {_name_sql("whole", 6)} || '-' END || line AS text FROM M WHERE near"""),
     "find_shown_matches": (lambda s, d: report.text_report(docs(s, d), _q("SCH", ignore_case=True), Report(show="matches", fields=("byte_offset",), paths=False)).select("doc", "line_no", "part", "text"), f"""
 WITH {L}, {OFFSETS}, P AS (SELECT *, regexp_extract_all(line, '(?i)[sß]ch') AS m FROM O) SELECT doc, line_no, unnest(range(len(m)))::INT AS part, byte_offset || ':' || unnest(m) AS text FROM P WHERE len(m) > 0"""),
     "find_coloured": (lambda s, d: report.text_report(docs(s, d), _q("EIN", ignore_case=True), Report(colour=True, most=2)).select("doc", "line_no", "text"), f"""
 WITH {L}, H AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS k FROM L WHERE regexp_matches(line, '(?i)ein'))
-SELECT doc, line_no, doc || ':' || regexp_replace(line, '(ein)', chr(27) || '[1;31m\\1' || chr(27) || '[0m', 'gi') AS text FROM H WHERE k <= 2"""),
+SELECT doc, line_no, chr(27) || '[1;35m' || doc || chr(27) || '[0m:' || regexp_replace(line, '(ein)', chr(27) || '[1;31m\\1' || chr(27) || '[0m', 'gi') AS text FROM H WHERE k <= 2"""),
     "find_headed": (lambda s, d: report.text_report(docs(s, d), _q(NEEDLE), Report(heading=True, fields=("file_hash", "line_numbers"))).select("doc", "line_no", "text"), f"""
 WITH {L} SELECT doc, line_no, line_no || ':' || line AS text FROM L WHERE contains(line, '{NEEDLE}')
 UNION ALL SELECT doc_id, 0, doc_id || '  ' || {_name_sql('text')} FROM documents WHERE contains(text, '{NEEDLE}')"""),

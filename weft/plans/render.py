@@ -61,7 +61,9 @@ def text_field(content: Column | str) -> Column:
     """{"text": …} of valid UTF-8, {"bytes": base64} of anything else."""
     c = F.col(content) if isinstance(content, str) else content
     valid = F.is_valid_utf8(c.cast("string"))
-    return F.struct(F.when(valid, c.cast("string")).alias("text"), F.when(~valid, F.base64(c.cast("binary"))).alias("bytes"))
+    # in one line, where Spark's own base64 breaks lines
+    coded = F.regexp_replace(F.base64(c.cast("binary")), r"\s", "")
+    return F.struct(F.when(valid, c.cast("string")).alias("text"), F.when(~valid, coded).alias("bytes"))
 
 
 def summary_record(docs: DataFrame, search: Search) -> DataFrame:

@@ -1,7 +1,8 @@
 """How the results of a search, of rows, columns, outlines, chunks and digests are told: text with prefixes, or JSON records.
 
 A Report says what is shown and how. What can't go together is refused when it is made or first used, never
-ignored. Rendering is a projection; ``part`` orders the rows of one document.
+ignored. Rendering is a projection; ``part`` orders the rows of one line. A document's records, from begin to end, are made
+in its own row: a report reads its documents once and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.lines import lines, whole
+from weft.functions.lines import UNICODE, Form, form_of, once, whole
 from weft.functions.names import DEFAULT, content_name
-from weft.operators.find import Search, count_lines, files_without
+from weft.operators.find import Search, count_lines, document_hits, files_without, shown_lines
 from weft.plans.render import record, text_field, trimmed
 
 LINES, MATCHES, COUNT, FILES, FILES_WITHOUT = "lines", "matches", "count", "files", "files_without"
@@ -21,7 +22,10 @@ TEXT, JSON, VIMGREP = "text", "json", "vimgrep"
 NUMBERS, COLUMNS, OFFSETS, LINE_HASHES, FILE_HASH = "line_numbers", "column_numbers", "byte_offset", "line_hashes", "file_hash"
 #: Fields in the order in which they stand before a line.
 FIELDS = (NUMBERS, COLUMNS, OFFSETS, LINE_HASHES, FILE_HASH)
+#: Escape codes of a report in colour.
 RED, PLAIN = "\x1b[1;31m", "\x1b[0m"
+PATH_COLOUR, GAP_COLOUR = "\x1b[1;35m", "\x1b[36m"
+FIELD_COLOURS = {NUMBERS: "\x1b[32m", COLUMNS: "\x1b[32m", OFFSETS: "\x1b[36m", LINE_HASHES: "\x1b[33m", FILE_HASH: "\x1b[33m"}
 
 
 @dataclass(frozen=True)
@@ -67,6 +71,8 @@ class Report:
             raise ValueError("a hash width without line hashes does nothing")
         if self.quiet and self.most is not None and not self.summary:
             raise ValueError("a quiet search ends at the first hit, so a cap does nothing")
+        if self.quiet and (bad := [x for x in has if has[x]]):
+            raise ValueError(f"a quiet search shows nothing, so {', '.join(bad)} can't be asked for")
 
     def check(self, search: Search) -> None:
         """What the search itself excludes."""
@@ -77,75 +83,131 @@ class Report:
 
 
 def selected(docs: DataFrame, search: Search, report: Report) -> DataFrame:
-    """Lines that are shown: doc, file_hash, line_no, is_match, byte_offset, as_cut, body, terminator, group_id."""
-    hit = search.matches("as_cut")
-    rows = lines(docs.withColumn("file_hash", content_name("text")), search.newlines, offsets=True, carry=("file_hash",))
-    rows = rows.withColumn("is_match", ~hit if search.invert else hit)
-    order = Window.partitionBy("doc").orderBy("line_no")
-    if report.most is not None:
-        # the walk through a document ends with its last match that is shown, and that match's context
-        rows = rows.withColumn("seen", F.sum(F.col("is_match").cast("int")).over(order))
-        rows = rows.withColumn("is_match", F.col("is_match") & (F.col("seen") <= report.most)).drop("seen")
-    if not (report.before or report.after):
-        return rows.filter("is_match").withColumn("group_id", F.lit(None).cast("long"))
-    rows = rows.withColumn("near", F.max(F.col("is_match").cast("int")).over(order.rowsBetween(-report.after, report.before)) == 1).filter("near").drop("near")
-    gap = (F.col("line_no") - F.lag("line_no", 1, -1).over(order) > 1).cast("long")
-    return rows.withColumn("gap", gap).withColumn("group_id", F.sum("gap").over(order)).drop("gap")
-
-
-def _prefix(report: Report, column: Column) -> list[Column]:
+    """Documents with a hit and the lines that are shown of each (find.document_hits), with file_hash and bytes.
+
+    All lines of a multiline search's regions are told as matches; ``most`` counts matches then.
+    """
+    docs = docs.withColumn("file_hash", content_name("text")).withColumn("bytes", F.octet_length("text").cast("long"))
+    found = document_hits(docs, search, report.before, report.after, report.most, offsets=True, carry=("file_hash", "bytes"))
+    if search.multiline:
+        shown = F.transform("shown", lambda s: s.withField("is_match", F.lit(True)))
+        found = found.withColumn("shown", shown)
+    return found
+
+
+def _in(colour: str, text: Column, report: Report) -> Column:
+    return F.concat(F.lit(colour), text, F.lit(PLAIN)) if report.colour else text
+
+
+def _prefix(report: Report, column: Column, first: Column) -> list[Column]:
     sep = F.when(F.col("is_match"), ":").otherwise("-")
     parts = {NUMBERS: F.col("line_no").cast("string"), COLUMNS: column.cast("string"), OFFSETS: F.col("byte_offset").cast("string"), LINE_HASHES: content_name(whole(), report.hash_width or DEFAULT)}
-    out = [F.col("doc").cast("string"), sep] if report.paths and not report.heading else []
+    path = F.concat(_in(PATH_COLOUR, F.col("doc").cast("string"), report), sep)
+    out = [F.when(first, path).otherwise("")] if report.paths and not report.heading else []
     for name in FIELDS:
         if name in report.fields and name in parts:
+            told = _in(FIELD_COLOURS[name], parts[name], report)
             # a context line has no match to point at
-            out += [F.when(F.col("is_match"), F.concat(parts[name], sep)).otherwise("")] if name == COLUMNS else [parts[name], sep]
+            out += [F.when(F.col("is_match"), F.concat(told, sep)).otherwise("")] if name == COLUMNS else [told, sep]
     return out
 
 
 def text_report(docs: DataFrame, search: Search, report: Report) -> DataFrame:
-    """doc, line_no, part, text: lines behind path, number, column, offset and hash; the text of a match or a line."""
+    """doc, line_no, part, text: lines behind path, number, column, offset and hash; the text of a match or a line.
+
+    Where context is asked for, -- stands before each group of lines but a document's first, as part -1 of the group's
+    first line. A multiline search without fields names the path once a region. Text of bytes is binary.
+    """
     report.check(search)
     if report.show in (COUNT, FILES, FILES_WITHOUT):
         return _per_file(docs, search, report)
-    rows = selected(docs, search, report)
-    spans = F.array().cast("array<struct<start: long, end: long, column: long, match: string>>") if search.invert else search.spans_udf()("as_cut")
+    form = form_of(docs)
+    found = selected(docs, search, report)
+    rows = shown_lines(found, form, ("file_hash",))
+    spans = search.no_spans(form) if search.invert or search.multiline else F.when(F.col("is_match"), search.spans_udf(form)("as_cut")).otherwise(search.no_spans(form))
     rows = rows.withColumn("spans", spans)
-    first = F.coalesce(F.try_element_at("spans", F.lit(1))["column"], F.lit(1).cast("long"))
-    if report.show == MATCHES:
+    column = F.coalesce(F.try_element_at("spans", F.lit(1))["column"], F.lit(1).cast("long"))
+    part, heads = F.lit(0), []
+    if report.show == MATCHES and not search.multiline:
         rows = rows.filter("is_match").select("*", F.posexplode("spans").alias("at", "m"))
-        column, shown, part = F.col("m.column"), F.col("m.match"), F.col("at")
+        column, part = F.col("m.column"), F.col("at")
+        shown = F.concat(form.lit(RED), F.col("m.match"), form.lit(PLAIN)) if report.colour else F.col("m.match")
+        if report.trim is not None:
+            shown = _trimmed(shown, report.trim, search, form)
     else:
-        column, shown, part = first, F.col("body"), F.lit(0)
-        if report.colour:
-            shown = coloured_spans(shown, F.col("spans"))
-    if report.trim is not None:
-        shown = trimmed(shown, report.trim, search.newlines != "lf")
-    told = rows.select("doc", "line_no", part.alias("part"), F.concat(*_prefix(report, column), shown).alias("text"), "file_hash")
-    if not report.heading:
-        return told.drop("file_hash")
-    name = F.concat(F.col("doc").cast("string"), F.lit("  "), F.col("file_hash")) if FILE_HASH in report.fields else F.col("doc").cast("string")
-    heads = told.select("doc", name.alias("text")).distinct().select("doc", F.lit(0).cast("long").alias("line_no"), F.lit(0).alias("part"), "text")
-    return heads.unionByName(told.drop("file_hash"))
+        shown = _body(report, search, form)
+    first = F.col("opens") if search.multiline and not report.fields else F.lit(True)
+    lead = [x.cast("binary") if form.binary else x for x in _prefix(report, column, first)]
+    told = rows.select("doc", "line_no", part.alias("part"), F.concat(*lead, shown).alias("text"))
+    if report.before or report.after:
+        # the lines of one group follow one another, so the group's first line is told by a look at the document's own array
+        gaps = found.select("doc", F.explode_outer(_group_starts()).alias("line_no")).filter(F.col("line_no").isNotNull())
+        heads.append(gaps.select("doc", "line_no", F.lit(-1).alias("part"), _text(_in(GAP_COLOUR, F.lit("--"), report), form)))
+    if report.heading:
+        name = _in(PATH_COLOUR, F.col("doc").cast("string"), report)
+        if FILE_HASH in report.fields:
+            name = F.concat(name, F.lit("  "), _in(FIELD_COLOURS[FILE_HASH], F.col("file_hash"), report))
+        heads.append(found.filter("matches > 0").select("doc", F.lit(0).cast("long").alias("line_no"), F.lit(0).alias("part"), _text(name, form)))
+    for h in heads:
+        told = told.unionByName(h)
+    return told
+
+
+def _text(text: Column, form: Form) -> Column:
+    return (text.cast("binary") if form.binary else text).alias("text")
 
 
-def coloured_spans(line: Column, spans: Column) -> Column:
+def _group_starts() -> Column:
+    """Line numbers of the first lines of groups but the first, of a row of ``selected``."""
+
+    def starts(shown: Column) -> Column:
+        before = F.concat(F.slice(shown, 1, 1), F.slice(shown, F.lit(1), F.greatest(F.lit(0), F.size(shown) - 1)))
+        return F.array_compact(F.zip_with(shown, before, lambda now, last: F.when(now["group_id"] > last["group_id"], (now["at"] + 1).cast("long"))))
+
+    return once(F.col("shown"), starts)
+
+
+def _trimmed(line: Column, most: int, search: Search, form: Form) -> Column:
+    if form.binary:
+        return F.when(F.octet_length(line) > most, F.concat(F.substring(line, 1, most), form.lit(" [...]"))).otherwise(line)
+    return trimmed(line, most, search.newlines == UNICODE)
+
+
+def _body(report: Report, search: Search, form: Form) -> Column:
+    """A line as it is shown: cut to the width asked for, its matches in colour; codes spend none of the width."""
+    body, mark = F.col("body"), form.lit("")
+    if report.trim is not None:
+        cut = _trimmed(body, report.trim, search, form)
+        was_cut = F.octet_length(body) > F.octet_length(cut) - 6
+        was_cut = was_cut & (cut != body)
+        size = F.octet_length(cut) - 6
+        body = F.when(was_cut, F.substring(cut.cast("binary"), F.lit(1), size).cast(form.type)).otherwise(body)
+        mark = F.when(was_cut, form.lit(" [...]")).otherwise(form.lit(""))
+    if not report.colour:
+        return F.concat(body, mark)
+    size = F.octet_length(body).cast("long")
+    inside = F.transform(F.filter("spans", lambda s: s["start"] < size), lambda s: F.struct(s["start"].alias("start"), F.least(s["end"], size).alias("end")))
+    return F.concat(coloured_spans(body, inside, form), mark)
+
+
+def coloured_spans(line: Column, spans: Column, form: Form | None = None) -> Column:
     """A line with the bytes of its spans in bold red, whatever their case."""
+    form = form or Form()
     raw = line.cast("binary")
-    cut = lambda a, b: F.substring(raw, a + 1, b - a).cast("string")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["text"], cut(acc["at"].cast("int"), s["start"].cast("int")), F.lit(RED), cut(s["start"].cast("int"), s["end"].cast("int")), F.lit(PLAIN)).alias("text"))
+    cut = lambda a, b: F.substring(raw, a + 1, b - a)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("text"))
+    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["text"], cut(acc["at"].cast("int"), s["start"].cast("int")), F.lit(RED.encode()), cut(s["start"].cast("int"), s["end"].cast("int")), F.lit(PLAIN.encode())).alias("text"))
     done = F.aggregate(spans, start, step)
-    return F.concat(done["text"], cut(done["at"].cast("int"), F.octet_length(line)))
+    return F.concat(done["text"], cut(done["at"].cast("int"), F.octet_length(line))).cast(form.type)
 
 
 def _per_file(docs: DataFrame, search: Search, report: Report) -> DataFrame:
     own = lambda rows, *text: rows.select("doc", F.lit(0).cast("long").alias("line_no"), F.lit(0).alias("part"), F.concat(*text).alias("text"))
+    path = _in(PATH_COLOUR, F.col("doc").cast("string"), report)
     if report.show == COUNT:
-        return own(count_lines(docs, search), *([F.col("doc").cast("string"), F.lit(":")] if report.paths else []), F.col("count").cast("string"))
+        return own(count_lines(docs, search, most=report.most), *([path, F.lit(":")] if report.paths else []), F.col("count").cast("string"))
     found = files_without(docs, search) if report.show == FILES_WITHOUT else count_lines(docs, search)
-    return own(found, F.col("doc").cast("string"))
+    return own(found, path)
 
 
 def _path() -> Column:
@@ -153,25 +215,37 @@ def _path() -> Column:
 
 
 def json_report(docs: DataFrame, search: Search, report: Report) -> DataFrame:
-    """doc, phase, line_no, record: begin, match and context records by line, end; or one count or file record."""
+    """doc, phase, line_no, record: begin, match and context records by line, end; or one count or file record.
+
+    Lines, and matches in them, are {"text": …}, or {"bytes": base64} where they are no UTF-8. An end tells the document's matches
+    and how many of its lines the walk had looked at when it ended.
+    """
     report.check(search)
     if report.show in (FILES, FILES_WITHOUT):
         found = files_without(docs, search) if report.show == FILES_WITHOUT else count_lines(docs, search)
         return found.select("doc", F.lit(0).alias("phase"), F.lit(0).cast("long").alias("line_no"), record("file", _path()).alias("record"))
     if report.show == COUNT:
-        return count_lines(docs, search).select("doc", F.lit(0).alias("phase"), F.lit(0).cast("long").alias("line_no"), record("count", _path(), "count").alias("record"))
-    rows = selected(docs, search, report)
-    spans = F.array().cast("array<struct<start: long, end: long, column: long, match: string>>") if search.invert else F.when(F.col("is_match"), search.spans_udf()("as_cut")).otherwise(F.array())
-    subs = F.transform(spans, lambda s: F.struct(F.struct(s["match"].alias("text")).alias("match"), s["start"].alias("start"), s["end"].alias("end")))
+        return count_lines(docs, search, most=report.most).select("doc", F.lit(0).alias("phase"), F.lit(0).cast("long").alias("line_no"), record("count", _path(), "count").alias("record"))
+    form = form_of(docs)
+    found = selected(docs, search, report)
+    # the first and the last record stand around a document's lines in one array
+    kind = found.schema["shown"].dataType.elementType
+    empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])
+    phased = lambda k, s: F.struct(F.lit(k).alias("phase"), s.alias("s"))
+    around = lambda lines: F.when(F.size(lines) > 0, F.concat(F.array(phased(0, empty)), F.transform(lines, lambda s: phased(1, s)), F.array(phased(2, empty))))
+    rows = found.select("doc", "file_hash", "matches", "lines_searched", F.inline_outer(once(F.col("shown"), around))).filter(F.col("phase").isNotNull())
+    rows = rows.select("doc", "file_hash", "matches", "lines_searched", "phase", "s.*")
+    rows = rows.select("doc", "file_hash", "matches", "lines_searched", "phase", "is_match", "byte_offset", F.coalesce(F.col("at") + 1, F.lit(0)).cast("long").alias("line_no"), form.closed("as_cut").alias("as_cut"), form.closed("terminator").alias("terminator"))
+    shows = F.col("is_match") & ~F.lit(search.invert or search.multiline)
+    spans = F.when(shows, search.spans_udf(form)("as_cut")).otherwise(search.no_spans(form)) if not (search.invert or search.multiline) else search.no_spans(form)
+    rows = rows.withColumn("spans", spans)
+    subs = F.transform("spans", lambda s: F.struct(text_field(s["match"]).alias("match"), s["start"].alias("start"), s["end"].alias("end")))
     names = [content_name(whole(), report.hash_width or DEFAULT).alias("line_hash")] if LINE_HASHES in report.fields else []
-    told = lambda kind: record(kind, _path(), text_field(whole()).alias("lines"), F.col("line_no").alias("line_number"), F.col("byte_offset").alias("absolute_offset"), *names, subs.alias("submatches"))
-    body = rows.select("doc", F.lit(1).alias("phase"), "line_no", F.when(F.col("is_match"), told("match")).otherwise(told("context")).alias("record"))
-    counts = count_lines(docs.withColumn("size", F.octet_length("text")), search)
-    begin = counts.select("doc", F.lit(0).alias("phase"), F.lit(0).cast("long").alias("line_no"), record("begin", _path()).alias("record"))
-    ends = counts.join(docs.select("doc", content_name("text").alias("file_hash"), F.octet_length("text").alias("bytes")), "doc")
-    more = ["file_hash"] if FILE_HASH in report.fields else []
-    end = ends.select("doc", F.lit(2).alias("phase"), F.lit(0).cast("long").alias("line_no"), record("end", _path(), *more, F.struct(F.col("count").alias("matched_lines"), F.col("bytes").alias("bytes_searched")).alias("stats")).alias("record"))
-    return begin.unionAll(body).unionAll(end)
+    own = [_path(), text_field("as_cut").alias("lines"), F.col("line_no").alias("line_number"), F.col("byte_offset").alias("absolute_offset"), *names]
+    stats = F.struct("matches", "lines_searched").alias("stats")
+    told = F.when(F.col("phase") == 0, record("begin", _path())).when(F.col("phase") == 2, record("end", _path(), *(["file_hash"] if FILE_HASH in report.fields else []), stats))
+    told = told.when(F.col("is_match"), record("match", *own, subs.alias("submatches"))).otherwise(record("context", *own))
+    return rows.select("doc", "phase", F.when(F.col("phase") == 1, F.col("line_no")).otherwise(F.lit(0)).cast("long").alias("line_no"), told.alias("record"))
 
 
 # records of the other operators
