@@ -156,7 +156,7 @@ def _line_hits(search: Search, form: Form) -> Column:
 def document_hits(docs: DataFrame, search: Search, before: int = 0, after: int = 0, most: int | None = None, offsets: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc, carried columns, matches, lines_searched and ``shown`` of each document with a hit; nothing is shuffled.
 
-    shown: structs of at (from 0), is_match, group_id, opens (a region begins), as_cut and terminator (opened), byte_offset, of selected lines and those
+    shown: structs of first (of the document), gap (a further group begins), at (from 0), is_match, group_id, opens (a region begins), as_cut and terminator (opened), byte_offset, of selected lines and those
     around them, in order. matches counts selected lines, or matches of a multiline search, ``most`` at most; the walk
     through a document ends once it has these, at the line behind the last.
     """
@@ -219,12 +219,13 @@ def document_hits(docs: DataFrame, search: Search, before: int = 0, after: int =
         cut = cut.withColumn("begins", begins(sizes))
         bound.append(F.col("begins").alias("begins"))
 
-    def told(x: Column, c: Column) -> Column:
+    def told(x: Column, c: Column, k: Column) -> Column:
         last = F.when((c["at"] < x["n"] - 1) | x["ended"], F.lit("\n")).otherwise(F.lit("")) if newlines == LF else F.get(x["ends"], c["at"])
         offset = F.get(x["begins"], c["at"]) if offsets else F.lit(None).cast("long")
-        return F.struct(c["at"].alias("at"), c["is_match"].alias("is_match"), c["group_id"].alias("group_id"), c["opens"].alias("opens"), F.get(x["parts"], c["at"]).alias("as_cut"), last.alias("terminator"), offset.alias("byte_offset"))
+        gap = (k > 0) & (c["group_id"] > F.get(x["chosen"], k - 1)["group_id"])
+        return F.struct((k == 0).alias("first"), F.coalesce(gap, F.lit(False)).alias("gap"), c["at"].alias("at"), c["is_match"].alias("is_match"), c["group_id"].alias("group_id"), c["opens"].alias("opens"), F.get(x["parts"], c["at"]).alias("as_cut"), last.alias("terminator"), offset.alias("byte_offset"))
 
-    shown = once(F.struct(*bound), lambda x: F.transform(x["chosen"], lambda c: told(x, c)))
+    shown = once(F.struct(*bound), lambda x: F.transform(x["chosen"], lambda c, k: told(x, c, k)))
     return cut.select("doc", *carry, n.alias("matches"), searched.alias("lines_searched"), shown.alias("shown"), "n_lines")
 
 
@@ -232,7 +233,7 @@ def shown_lines(found: DataFrame, form: Form = TEXT, carry: tuple[str, ...] = ()
     """The lines of ``document_hits`` as rows: doc, carried columns, line_no, is_match, group_id, byte_offset, as_cut, body, terminator."""
     # an outer one asks nothing of the array before it is made; a document without lines is one row then
     rows = found.select("doc", *carry, F.inline_outer("shown")).filter(F.col("at").isNotNull())
-    return rows.select("doc", *carry, (F.col("at") + 1).cast("long").alias("line_no"), "is_match", "group_id", "opens", "byte_offset", form.closed("as_cut").alias("as_cut"), form.closed(without_cr("as_cut")).alias("body"), form.closed("terminator").alias("terminator"))
+    return rows.select("doc", *carry, (F.col("at") + 1).cast("long").alias("line_no"), "is_match", "group_id", "first", "gap", "opens", "byte_offset", form.closed("as_cut").alias("as_cut"), form.closed(without_cr("as_cut")).alias("body"), form.closed("terminator").alias("terminator"))
 
 
 def occurrences(text: Column | str, pattern: str, form: Form = TEXT) -> Column:

@@ -7,6 +7,7 @@ in its own row: a report reads its documents once and shuffles nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,7 +83,7 @@ class Report:
             raise ValueError("a match over several lines has no column in one")
 
 
-def selected(docs: DataFrame, search: Search, report: Report) -> DataFrame:
+def selected(docs: DataFrame, search: Search, report: Report, watch: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
     """Documents with a hit and the lines that are shown of each (find.document_hits), with file_hash and bytes.
 
     All lines of a multiline search's regions are told as matches; ``most`` counts matches then.
@@ -92,7 +93,7 @@ def selected(docs: DataFrame, search: Search, report: Report) -> DataFrame:
     if search.multiline:
         shown = F.transform("shown", lambda s: s.withField("is_match", F.lit(True)))
         found = found.withColumn("shown", shown)
-    return found
+    return watch(found)
 
 
 def _in(colour: str, text: Column, report: Report) -> Column:
@@ -112,7 +113,7 @@ def _prefix(report: Report, column: Column, first: Column) -> list[Column]:
     return out
 
 
-def text_report(docs: DataFrame, search: Search, report: Report) -> DataFrame:
+def text_report(docs: DataFrame, search: Search, report: Report, watch: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
     """doc, line_no, part, text: lines behind path, number, column, offset and hash; the text of a match or a line.
 
     Where context is asked for, -- stands before each group of lines but a document's first, as part -1 of the group's
@@ -122,12 +123,12 @@ def text_report(docs: DataFrame, search: Search, report: Report) -> DataFrame:
     if report.show in (COUNT, FILES, FILES_WITHOUT):
         return _per_file(docs, search, report)
     form = form_of(docs)
-    found = selected(docs, search, report)
+    found = selected(docs, search, report, watch)
     rows = shown_lines(found, form, ("file_hash",))
     spans = search.no_spans(form) if search.invert or search.multiline else F.when(F.col("is_match"), search.spans_udf(form)("as_cut")).otherwise(search.no_spans(form))
     rows = rows.withColumn("spans", spans)
     column = F.coalesce(F.try_element_at("spans", F.lit(1))["column"], F.lit(1).cast("long"))
-    part, heads = F.lit(0), []
+    part = F.lit(0)
     if report.show == MATCHES and not search.multiline:
         rows = rows.filter("is_match").select("*", F.posexplode("spans").alias("at", "m"))
         column, part = F.col("m.column"), F.col("at")
@@ -138,33 +139,18 @@ def text_report(docs: DataFrame, search: Search, report: Report) -> DataFrame:
         shown = _body(report, search, form)
     first = F.col("opens") if search.multiline and not report.fields else F.lit(True)
     lead = [x.cast("binary") if form.binary else x for x in _prefix(report, column, first)]
-    told = rows.select("doc", "line_no", part.alias("part"), F.concat(*lead, shown).alias("text"))
+    own = lambda line_no, part, text: F.struct(line_no.cast("long").alias("line_no"), part.cast("int").alias("part"), (text.cast("binary") if form.binary else text).alias("text"))
+    told = [own(F.col("line_no"), part, F.concat(*lead, shown))]
     if report.before or report.after:
-        # the lines of one group follow one another, so the group's first line is told by a look at the document's own array
-        gaps = found.select("doc", F.explode_outer(_group_starts()).alias("line_no")).filter(F.col("line_no").isNotNull())
-        heads.append(gaps.select("doc", "line_no", F.lit(-1).alias("part"), _text(_in(GAP_COLOUR, F.lit("--"), report), form)))
+        told.insert(0, F.when(F.col("gap") & (part == 0), own(F.col("line_no"), F.lit(-1), _in(GAP_COLOUR, F.lit("--"), report))))
     if report.heading:
         name = _in(PATH_COLOUR, F.col("doc").cast("string"), report)
         if FILE_HASH in report.fields:
             name = F.concat(name, F.lit("  "), _in(FIELD_COLOURS[FILE_HASH], F.col("file_hash"), report))
-        heads.append(found.filter("matches > 0").select("doc", F.lit(0).cast("long").alias("line_no"), F.lit(0).alias("part"), _text(name, form)))
-    for h in heads:
-        told = told.unionByName(h)
-    return told
-
-
-def _text(text: Column, form: Form) -> Column:
-    return (text.cast("binary") if form.binary else text).alias("text")
-
-
-def _group_starts() -> Column:
-    """Line numbers of the first lines of groups but the first, of a row of ``selected``."""
-
-    def starts(shown: Column) -> Column:
-        before = F.concat(F.slice(shown, 1, 1), F.slice(shown, F.lit(1), F.greatest(F.lit(0), F.size(shown) - 1)))
-        return F.array_compact(F.zip_with(shown, before, lambda now, last: F.when(now["group_id"] > last["group_id"], (now["at"] + 1).cast("long"))))
-
-    return once(F.col("shown"), starts)
+        told.insert(0, F.when(F.col("first") & (part == 0), own(F.lit(0), F.lit(0), name)))
+    if len(told) == 1:
+        return rows.select("doc", told[0].alias("t")).select("doc", "t.*")
+    return rows.select("doc", F.inline_outer(F.array_compact(F.array(*told))))
 
 
 def _trimmed(line: Column, most: int, search: Search, form: Form) -> Column:
@@ -214,7 +200,7 @@ def _path() -> Column:
     return F.struct(F.col("doc").cast("string").alias("text")).alias("path")
 
 
-def json_report(docs: DataFrame, search: Search, report: Report) -> DataFrame:
+def json_report(docs: DataFrame, search: Search, report: Report, watch: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
     """doc, phase, line_no, record: begin, match and context records by line, end; or one count or file record.
 
     Lines, and matches in them, are {"text": …}, or {"bytes": base64} where they are no UTF-8. An end tells the document's matches
@@ -227,7 +213,7 @@ def json_report(docs: DataFrame, search: Search, report: Report) -> DataFrame:
     if report.show == COUNT:
         return count_lines(docs, search, most=report.most).select("doc", F.lit(0).alias("phase"), F.lit(0).cast("long").alias("line_no"), record("count", _path(), "count").alias("record"))
     form = form_of(docs)
-    found = selected(docs, search, report)
+    found = selected(docs, search, report, watch)
     # the first and the last record stand around a document's lines in one array
     kind = found.schema["shown"].dataType.elementType
     empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])
