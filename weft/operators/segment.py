@@ -58,66 +58,74 @@ def words(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+@lru_cache(maxsize=1)
+def _sentence_stops():
+    """What can end a sentence: a terminator, or a paragraph separator; nothing between these decides anything."""
+    return regex.compile(r"[\p{Sentence_Break=ATerm}\p{Sentence_Break=STerm}\p{Sentence_Break=Sep}\r\n]")
+
+
+@lru_cache(maxsize=1)
+def _sentence_tail():
+    """Closes, spaces and what is attached to them, behind a terminator."""
+    attached = r"[\p{Sentence_Break=Extend}\p{Sentence_Break=Format}]*"
+    return regex.compile(rf"{attached}((?:\p{{Sentence_Break=Close}}{attached})*)((?:\p{{Sentence_Break=Sp}}{attached})*)")
+
+
+@lru_cache(maxsize=1)
+def _sentence_goes_on():
+    """The next character that tells whether a sentence goes on: a lower-case letter says so."""
+    return regex.compile(r"[\p{Sentence_Break=OLetter}\p{Sentence_Break=Upper}\p{Sentence_Break=Lower}\p{Sentence_Break=Sep}\r\n\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}]")
+
+
 def sentences(text: str) -> list[str]:
-    """Sentences by rules SB1 to SB11; nothing knows abbreviations."""
-    kinds, n = [_sb(c) for c in text], len(text)
-    solid = [k for k in range(n) if kinds[k] not in ("Extend", "Format")]
-    out, begin = [], 0
-    after = {a: b for a, b in zip(solid, solid[1:])}
-    breaks, k = [], 0
-    while k < n:
-        kind = kinds[k]
+    """Sentences by rules SB1 to SB11; nothing knows abbreviations. Only what stands around a terminator is looked at."""
+    n, k, begin, out = len(text), 0, 0, []
+    stops, tails, goes_on = _sentence_stops(), _sentence_tail(), _sentence_goes_on()
+    find, clear = stops.search, ("Extend", "Format")
+
+    def cut(end: int) -> None:
+        nonlocal begin
+        if end > begin:
+            out.append(text[begin:end])
+            begin = end
+
+    while m := find(text, k):
+        k = m.start()
+        kind = _sb(text[k])
         if kind in ("Sep", "CR", "LF"):
-            if not (kind == "CR" and k + 1 < n and kinds[k + 1] == "LF"):
-                breaks.append(k + 1)
-            k += 1
-            continue
-        if kind not in ("ATerm", "STerm"):
-            k += 1
+            k += 2 if kind == "CR" and text[k + 1 : k + 2] == "\n" else 1
+            cut(k)
             continue
-        # a terminator, then closes, then spaces, then a separator
-        term, j = k, after.get(k, n)
-        if kind == "ATerm" and j < n:
-            place = _index(solid, k)
-            before = solid[place - 1] if place else None
-            if kinds[j] == "Numeric" or (kinds[j] == "Upper" and before is not None and kinds[before] in ("Upper", "Lower")):
+        tail = tails.match(text, k + 1)
+        # a terminator, then closes, then spaces, then what comes
+        first, spaces, j = tail.start(1), tail.start(2), tail.end()
+        last = _sb(text[j]) if j < n else ""
+        if kind == "ATerm" and first < n:
+            after = _sb(text[first])
+            before = k - 1
+            while before >= 0 and _sb(text[before]) in clear:
+                before -= 1
+            if after == "Numeric" or (after == "Upper" and before >= 0 and _sb(text[before]) in ("Upper", "Lower")):
                 k += 1
                 continue
-        while j < n and kinds[j] == "Close":
-            j = after.get(j, n)
-        spaces = j
-        while j < n and kinds[j] == "Sp":
-            j = after.get(j, n)
-        if j < n and kinds[j] in ("Sep", "CR", "LF"):
-            end = j + (2 if kinds[j] == "CR" and j + 1 < n and kinds[j + 1] == "LF" else 1)
-            breaks.append(end)
-            k = end
+        if last in ("Sep", "CR", "LF"):
+            k = j + (2 if last == "CR" and text[j + 1 : j + 2] == "\n" else 1)
+            cut(k)
             continue
-        if j < n and kinds[j] in ("SContinue", "ATerm", "STerm"):
-            k = max(k + 1, spaces if kinds[j] == "SContinue" else j)
+        if last in ("SContinue", "ATerm", "STerm"):
+            k = max(k + 1, spaces if last == "SContinue" else j)
             continue
-        if kinds[term] == "ATerm" and j < n:
-            x = j
-            while x < n and kinds[x] not in ("OLetter", "Upper", "Lower", "Sep", "CR", "LF", "STerm", "ATerm"):
-                x = after.get(x, n)
-            if x < n and kinds[x] == "Lower":
+        if kind == "ATerm" and j < n:
+            x = goes_on.search(text, j)
+            if x and _sb(x[0]) == "Lower":
                 k = j
                 continue
-        breaks.append(j)
+        cut(j)
         k = max(j, k + 1)
-    for end in sorted(set(breaks) | {n}):
-        if end > begin:
-            out.append(text[begin:end])
-            begin = end
+    cut(n)
     return out
 
 
-def _index(ordered: list[int], value: int) -> int:
-    import bisect
-
-    return bisect.bisect_left(ordered, value)
-
-
 #: Pairs (before, after) that stay together without spaces between, by rules LB12 to LB30b.
 TOGETHER = {
     **{(a, b): 1 for a in ("AL", "HL") for b in ("AL", "HL", "NU", "PR", "PO", "OP", "IN", "NS")},
@@ -215,8 +223,9 @@ def _tiled(by: str):
         out = []
         for t in text:
             at, one = 0, []
+            plain = t is None or t.isascii()
             for s in TILE[by](t or ""):
-                size = len(s.encode())
+                size = len(s) if plain else len(s.encode())
                 one.append({"start": at, "end": at + size, "segment": s})
                 at += size
             out.append(one)
