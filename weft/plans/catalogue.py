@@ -385,9 +385,15 @@ SELECT doc, start, (start + strlen(segment))::BIGINT AS "end", segment FROM S WH
 }
 
 
+def _every() -> dict:
+    from weft.plans.catalogue_more import MORE
+
+    return CATALOGUE | MORE
+
+
 def queries() -> dict:
-    return {name: run for name, (run, _) in CATALOGUE.items()}
+    return {name: run for name, (run, _) in _every().items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, (_, sql) in CATALOGUE.items() if sql}
+    return {name: sql for name, (_, sql) in _every().items() if sql}
