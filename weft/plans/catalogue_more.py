@@ -51,7 +51,7 @@ def _plain(spark, d, marks: bool = True) -> DataFrame:
 
 
 def _segments_sql(text: str, pattern: str) -> str:
-    return f"SELECT doc, (k - 1)::BIGINT AS seq, m[k] AS segment FROM (SELECT doc_id AS doc, regexp_extract_all({text}, '{pattern}') AS m, unnest(range(1, len(m) + 1)) AS k FROM documents)"
+    return f"SELECT doc, unnest(range(len(m))) AS seq, unnest(m) AS segment FROM (SELECT doc_id AS doc, regexp_extract_all({text}, '{pattern}') AS m FROM documents)"
 
 
 WORDS_ONLY = f"replace({PLAIN}, '!', ' ')"
