@@ -34,7 +34,8 @@ WINDOW, ROUNDS = 35, 3
 _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-BYTES = 1_000_000
+#: Bytes of texts that a task looks at together.
+BYTES = 400_000
 
 
 def rounds(name: np.ndarray, edge: np.ndarray, n_rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -149,6 +150,10 @@ class _Words:
         self.text = b" ".join(text.split())
         self.begin = np.concatenate([[0], np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32) + 1, [len(self.text) + 1]])
 
+    def block(self, first: int, n: int) -> bytes:
+        """A digest of all words of n windows: blocks with equal ones have equal windows."""
+        return hashlib.blake2b(self.text[self.begin[first] : self.begin[first + n - 1 + WINDOW] - 1], digest_size=16).digest()
+
     def windows(self, first: int, n: int) -> bytes:
         """Digests of n windows, eight bytes each."""
         at, to = self.begin[first : first + n].tolist(), (self.begin[first + WINDOW : first + WINDOW + n] - 1).tolist()
@@ -162,7 +167,7 @@ class _Words:
 
 
 def _digests(places: bool):
-    """For each block that a text is asked for: its anchor, a digest of its windows, and either where it is or the windows' digests."""
+    """For each block that a text is asked for: its anchor, a digest of its words, and either where it is or the windows' digests."""
     names = ["anchor", "block", *(["key", "first"] if places else ["copies", "windows"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +176,8 @@ def _digests(places: bool):
             for key, copies, text, asked in zip(*(batch.column(c).to_pylist() for c in ("key", "copies", "text", "asked"))):
                 own = _Words(text)
                 for b in asked:
-                    found = own.windows(b["first"], b["n"])
-                    block = hashlib.blake2b(found, digest_size=16).digest()
-                    rows.append((b["anchor"], block, key, b["first"]) if places else (b["anchor"], block, copies, found))
+                    block = own.block(b["first"], b["n"])
+                    rows.append((b["anchor"], block, key, b["first"]) if places else (b["anchor"], block, copies, own.windows(b["first"], b["n"])))
             kinds = [pa.int64(), pa.binary(), *([pa.binary(), pa.int32()] if places else [pa.int64(), pa.binary()])]
             for at in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000]), kinds)], names)
