@@ -127,3 +127,17 @@ def test_files_as_bytes(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(ODD[0])
     docs = files.read_files(spark, f"file://{tmp_path}", as_bytes=True)
     assert bytes(find.hits(docs, Search("b")).first().as_cut) == b"a\xffb"
+
+
+def test_written_lines_and_told_rows(spark, frame):
+    docs = frame("a\r\nb\na", "b\nc")
+    got = lambda df: [r.text for r in df.orderBy("doc", "line_no").collect()]
+    assert got(distinct.written(docs)) == ["a\n", "b\n", "c\n"] and got(distinct.written(docs, "\0")) == ["a\0", "b\0", "c\0"]
+    assert got(distinct.written(docs, None)) == ["a\r\n", "b\n", "c"]
+    raw = spark.createDataFrame([(0, b"\xff\r\n\xff\nx")], "doc bigint, text binary")
+    assert [bytes(x) for x in got(distinct.written(raw, None))] == [b"\xff\r\n", b"x"]
+    some = rows.select_rows(raw, rows="2-", hash_width=4)
+    assert [bytes(x) for x in got(rows.told(some, numbers=True))] == [b"2:\xff", b"3:x"] and {len(r.line_hash) for r in some.collect()} == {4}
+    assert got(rows.told(rows.select_rows(docs, tail=1), hashes=True))[0][8:] == ":a"
+    with pytest.raises(ValueError):
+        distinct.written(docs, "\r")

@@ -25,6 +25,19 @@ def dedup(docs: DataFrame, ignore_case: bool = False, newlines: str | None = Non
     return found.select("first.doc", "first.line_no", F.col("first.body").alias("line"), "first.terminator", "times")
 
 
+def written(docs: DataFrame, terminator: str | None = "\n", ignore_case: bool = False, newlines: str | None = None) -> DataFrame:
+    """doc, line_no, text of the first of equal lines as they are written: with this terminator, LF or NUL, whatever they had.
+
+    None writes a line as it was found, its own terminator and a CR before it included, as an edit in place has to.
+    """
+    if terminator not in ("\n", "\0", None):
+        raise ValueError("a written line ends with LF, NUL or as it did")
+    form = form_of(docs)
+    rows = _keyed(docs, ignore_case, newlines).groupBy("key").agg(F.min(F.struct("doc", "line_no", "as_cut", "body", "terminator")).alias("first"))
+    text = F.concat("first.as_cut", "first.terminator") if terminator is None else F.concat(F.col("first.body"), form.lit(terminator))
+    return rows.select("first.doc", "first.line_no", text.alias("text"))
+
+
 def dedup_totals(docs: DataFrame, ignore_case: bool = False) -> DataFrame:
     """One row: unique, total."""
     return dedup(docs, ignore_case).agg(F.count("*").alias("unique"), F.coalesce(F.sum("times"), F.lit(0)).alias("total"))

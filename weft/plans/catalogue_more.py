@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from weft.functions import tables
 from weft.functions.lines import lines
-from weft.operators import distinct, find, replace, segment
+from weft.operators import distinct, find, replace, rows, segment
 from weft.operators.find import Search
 from weft.plans import report, summaries
-from weft.plans.catalogue import NEEDLE, OFFSETS, WORD, L, _lines, docs
+from weft.plans.catalogue import NEEDLE, OFFSETS, WORD, L, _lines, _name_sql, docs
 from weft.plans.report import Report
 from weft.sources import large, scratch
 
@@ -33,8 +33,8 @@ def _hex(text: str) -> str:
 def _files(spark, d) -> DataFrame:
     """The documents of each source as one file of lines, in the order of their ids, read back in splits."""
     path = scratch.new_folder(spark, "large")
-    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    rows.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    texts.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
     found = large.numbered(spark, path)
     return found.withColumn("doc", F.regexp_extract("doc", "source=([^/]*)/", 1))
 
@@ -105,6 +105,8 @@ SELECT doc, line_no, (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + (k
 WITH {FL}, M AS (SELECT *, contains(line, '{NEEDLE}') AS is_match, bool_or(contains(line, '{NEEDLE}')) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM L)
 SELECT doc, line_no, is_match, line FROM M WHERE near"""),
     "sort_disorder_overall": (lambda s, d: distinct.disorder(docs(s, d)), OVERALL),
+    "dedup_written": (lambda s, d: distinct.written(docs(s, d), "\0"), f"WITH {L} SELECT doc, line_no, line || chr(0) AS text FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc, line_no) AS k FROM L) WHERE k = 1"),
+    "rows_told": (lambda s, d: rows.told(rows.select_rows(docs(s, d), every=3, hash_width=5), True, True), f"WITH {L}, M AS (SELECT *, max(line_no) OVER (PARTITION BY doc) AS last FROM L) SELECT doc, line_no, line_no || ':' || {_name_sql("line || CASE WHEN line_no = last THEN '' ELSE chr(10) END", 5)} || ':' || line AS text FROM M WHERE line_no % 3 = 0"),
     "segment_sentences_plain": (lambda s, d: segment.segments(_plain(s, d), "sentences").select("doc", "seq", "segment"), _segments_sql(PLAIN, "[^!]*(?:! *)+|[^!]+")),
     "segment_words_plain": (lambda s, d: segment.segments(_plain(s, d, False), "words").select("doc", "seq", "segment"), _segments_sql(WORDS_ONLY, "[A-Za-z]+| +")),
     "segment_words_lateral": (_lateral, _segments_sql(WORDS_ONLY, "[A-Za-z]+| +")),
