@@ -62,7 +62,7 @@ def test_word_and_invert(frame):
 
 @pytest.mark.parametrize(
     ("text", "literal", "spans"),
-    [("xẞẞy", "ss", [(1, 2), (2, 3)]), ("xssy", "ẞ", [(1, 3)]), ("xİİy", "i", [(1, 2), (2, 3)]), ("xﬁy", "fi", [(1, 2)]), ("IŞİD", "işi", [(0, 3)]), ("Straße", "STRASSE", [(0, 6)])],
+    [("groẞ maẞ", "SS", [(3, 4), (7, 8)]), ("Gasse", "ß", [(2, 4)]), ("Aİ bİ", "i", [(1, 2), (4, 5)]), ("proﬁt", "FI", [(3, 4)]), ("DIŞARI", "şarı", []), ("GROSSE Maße", "große", [(0, 6)])],
 )
 def test_folded_spans(text, literal, spans):
     assert folding.spans(text, literal, True) == spans
