@@ -122,7 +122,7 @@ def test_searches_inside_documents_shuffle_nothing(spark, tmp_path):
     spark.createDataFrame([(1, "a k\nb\n")], "doc bigint, text string").write.parquet(str(tmp_path / "t"))
     docs = spark.read.parquet(str(tmp_path / "t"))
     for df in (
-        find.context(docs, Search("k"), 1, 1), find.context(docs, Search("K", ignore_case=True), 0, 2), find.multiline(docs, Search("k\nb", multiline=True), 1), report.json_report(docs, Search("k"), Report(form="json", before=2, most=3, fields=("file_hash",))),
+        find.context(docs, Search("k")), find.context(docs, Search("k"), 1, 1), find.context(docs, Search("K", ignore_case=True), 0, 2), find.multiline(docs, Search("k\nb", multiline=True), 1), report.json_report(docs, Search("k"), Report(form="json", before=2, most=3, fields=("file_hash",))),
         report.text_report(docs, Search("k"), Report(most=2)), report.json_report(docs, Search("k\nb", multiline=True), Report(form="json")),
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()

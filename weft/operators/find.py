@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import folding
@@ -153,12 +153,12 @@ def _line_hits(search: Search, form: Form) -> Column:
     return F.array_compact(F.transform("parts", lambda x, k: F.when(~test(x) if search.invert else test(x), k)))
 
 
-def document_hits(docs: DataFrame, search: Search, before: int = 0, after: int = 0, most: int | None = None, offsets: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def document_hits(docs: DataFrame, search: Search, before: int = 0, after: int = 0, most: int | None = None, offsets: bool = False, carry: tuple[str, ...] = (), grouped: bool = False) -> DataFrame:
     """doc, carried columns, matches, lines_searched and ``shown`` of each document with a hit; nothing is shuffled.
 
     shown: structs of first (of the document), gap (a further group begins), at (from 0), is_match, group_id, opens (a region begins), as_cut and terminator (opened), byte_offset, of selected lines and those
     around them, in order. matches counts selected lines, or matches of a multiline search, ``most`` at most; the walk
-    through a document ends once it has these, at the line behind the last.
+    through a document ends once it has these, at the line behind the last. Without context, groups are told if ``grouped``.
     """
     if min(before, after) < 0:
         raise ValueError("context isn't negative")
@@ -193,7 +193,7 @@ def document_hits(docs: DataFrame, search: Search, before: int = 0, after: int =
             searched = long(F.coalesce(F.least(ends, F.col("n_lines")), F.col("n_lines")))
             cut = cut.withColumn("searched", searched).withColumn("places", F.slice("places", 1, most))
             searched = F.col("searched")
-        if before or after:
+        if before or after or grouped:
 
             @F.pandas_udf(AROUND)
             def widened(places: pd.Series, n_lines: pd.Series) -> pd.DataFrame:
@@ -201,7 +201,7 @@ def document_hits(docs: DataFrame, search: Search, before: int = 0, after: int =
                 return pd.DataFrame(found, columns=["at", "is_match", "group_id", "opens", "found", "line_feeds"])
 
             cut = cut.withColumn("near", widened("places", "n_lines"))
-    if search.multiline or before or after:
+    if search.multiline or before or after or grouped:
         chosen = F.arrays_zip(F.col("near.at").alias("at"), F.col("near.is_match").alias("is_match"), F.col("near.group_id").alias("group_id"), F.col("near.opens").alias("opens"))
     else:
         chosen = F.transform("places", lambda k: F.struct(k.alias("at"), F.lit(True).alias("is_match"), F.lit(None).cast("long").alias("group_id"), F.lit(True).alias("opens")))
@@ -306,11 +306,7 @@ def context(docs: DataFrame, search: Search, before: int = 0, after: int = 0) ->
     A line in two contexts comes once; groups that adjoin are one. A multiline search shows the lines that its matches
     touch. Contexts are merged as intervals of the hits alone, in the document's own row.
     """
-    rows = shown_lines(document_hits(docs, search, before, after), form_of(docs))
-    if not (before or after or search.multiline):
-        # lines that adjoin are one group without context too
-        gap = F.coalesce(F.col("line_no") - F.lag("line_no").over(Window.partitionBy("doc").orderBy("line_no")), F.lit(2)) > 1
-        rows = rows.withColumn("gap", gap.cast("long")).withColumn("group_id", F.sum("gap").over(Window.partitionBy("doc").orderBy("line_no")))
+    rows = shown_lines(document_hits(docs, search, before, after, grouped=True), form_of(docs))
     return rows.select("doc", "line_no", "is_match", "group_id", F.col("body").alias("line"))
 
 
