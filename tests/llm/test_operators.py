@@ -274,6 +274,16 @@ def test_word_hashes():
     assert sliced.tolist() == hashes.tolist()[:5] and per.tolist() == [3, 2]
 
 
+def test_spaced_words_are_looked_up_once(monkeypatch):
+    """A word costs one look a portion, however often its texts have it."""
+    enc, texts = tokens.SpacedEncoder(P.path("byte_bpe_50k.json")), ["ka lomi, don't\nka\n" * 50, "", "lomi, ka  x\n\n", "ka <|endoftext|> \0\1 ka", " ka ka\t" * 9]
+    looked = []
+    monkeypatch.setattr(enc, "_learn", lambda words, learn=enc._learn: learn(looked.extend(words) or looked))
+    ids = [np.frombuffer(x, "<u4").tolist() for x in enc.ids(texts)]
+    assert ids == [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert looked and len(looked) == len(set(looked)) < 20
+
+
 @pytest.mark.parametrize(("kind", "name"), [(tokens.WordEncoder, "word_bpe_49k.json"), (tokens.SpacedEncoder, "byte_bpe_50k.json")])
 def test_token_ids(kind, name):
     from tokenizers import Tokenizer

@@ -31,6 +31,8 @@ SHARD_IDS = 1_000_000
 #: A rule costs two symbols and a length and saves one symbol each time: in 16 bits five times pay for it, in 32 four.
 LEAST_COUNT = {2: 5, 4: 4}
 SLOT_BITS = 20
+#: Characters of texts that are encoded together: the more, the fewer words are looked up again.
+PORTION = 5_000_000
 
 SHARDS = pa.schema([
     ("part", pa.int32()), ("seq", pa.int32()), ("width", pa.int32()), ("first_symbol", pa.int64()), ("n_ids", pa.int64()),
@@ -62,10 +64,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int):
             break
         wide = int(seq.max()) > 0xFFFF
         codes = (seq[:-1].astype(np.uint64) << 32 | seq[1:]) if wide else (seq[:-1] << 16 | seq[1:])
-        found = codes[~closes[:-1]]
-        # pairs whose slot is seen too seldom are too
-        place = _slot(found).astype(np.intp)
-        found = np.sort(found[np.bincount(place, minlength=1 << SLOT_BITS)[place] >= least])
+        found = np.sort(codes[~closes[:-1]])
         if not len(found):
             break
         starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
@@ -84,15 +83,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int):
         shift = np.uint64(32) if wide else np.uint32(16)
         left, right = (chosen >> shift).astype(np.uint32), (chosen & chosen.dtype.type((1 << int(shift)) - 1)).astype(np.uint32)
         at = slots[_slot(codes)]
-        may = np.flatnonzero((at >= 0) & (chosen[at] == codes) & ~closes[:-1])
+        may = np.flatnonzero(at >= 0)
+        may = may[(chosen[at[may]] == codes[may]) & ~closes[may]]
         at = at[may].astype(np.int64)
         # of hits that overlap one another, every second one from the left
         runs = np.r_[True, np.diff(may) != 1]
         begin = np.maximum.accumulate(np.where(runs, np.arange(len(may)), 0))
-        take = (np.arange(len(may)) - begin) % 2 == 0
+        take = (np.arange(len(may)) - begin) & 1 == 0
+        may, at = may[take], at[take]
         # of pairs that overlap, one may have lost all its places
-        may, (used, at) = may[take], np.unique(at[take], return_inverse=True)
-        left, right = left[used], right[used]
+        used = np.bincount(at, minlength=len(chosen)) > 0
+        left, right, at = left[used], right[used], (np.cumsum(used) - 1)[at]
         seq[may] = first_symbol + known + at
         closes[may] = closes[may + 1]
         stay = np.ones(len(seq), bool)
@@ -174,7 +175,7 @@ def encode_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_i
 
         for batch in batches:
             keys = iter(batch.column("doc_id").to_pylist())
-            for some in portions(x.as_py() for x in batch.column("text")):
+            for some in portions(batch.column("text").to_pylist(), PORTION):
                 for ids in enc.ids(some):
                     if held and size + len(ids) // 4 + 1 > shard_ids:
                         yield out()

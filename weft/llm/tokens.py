@@ -15,6 +15,8 @@ from itertools import islice
 from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 KEPT_WORDS, FIRST_WORDS = 1_200_000, 500_000
 LONGEST_KEPT = 48
@@ -29,9 +31,6 @@ PUNCTUATION = frozenset(".,;:!?|")
 class _Encoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit bytes."""
 
-    #: Whether a word of letters alone is one part as it is.
-    PLAIN_ALONE = False
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -54,8 +53,7 @@ class _Encoder:
             self.kept = kept = dict(islice(kept.items(), FIRST_WORDS))
             new = every.difference(kept)
         whole, joined = [], []
-        plain = [w for w in new if w.isalpha()] if self.PLAIN_ALONE else []
-        for w in new.difference(plain):
+        for w in new:
             parts = self._parts(w)
             if parts is None:
                 kept[w] = None
@@ -64,7 +62,7 @@ class _Encoder:
             else:
                 joined.append((w, *parts))
         need = set(map(itemgetter(1), whole)).union(map(itemgetter(1), joined), map(itemgetter(2), joined)).difference(kept)
-        self._encode_parts(need.union(plain))
+        self._encode_parts(need)
         kept.update([(w, kept[part]) for w, part in whole if w is not part])
         kept.update([(w, kept[c] + kept[m]) for w, c, m in joined])
         if max(map(len, new)) > LONGEST_KEPT:
@@ -112,7 +110,7 @@ class SpacedEncoder(_Encoder):
     """
 
     BARE = "\0\1"
-    PLAIN_ALONE = True
+    LINE = BARE + "\n"
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -122,6 +120,7 @@ class SpacedEncoder(_Encoder):
             self.begins_word[k] = token.startswith("Ġ")
         #: The library cuts a text at these first, so white space before one isn't a word's.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kept[self.LINE] = self._raw(["\n"])[0]
 
     def _parts(self, word: str) -> tuple | None:
         bare = word.startswith(self.BARE)
@@ -135,6 +134,30 @@ class SpacedEncoder(_Encoder):
     def _text(self, part: str) -> str:
         return part[2:] if part.startswith(self.BARE) else " " + part
 
+    def _learn(self, words: list[str]) -> None:
+        """Have self.kept hold every one of words, which are distinct."""
+        kept = self.kept
+        new = [w for w in words if w not in kept]
+        if len(kept) + len(new) > KEPT_WORDS:
+            self.kept = kept = dict(islice(kept.items(), FIRST_WORDS))
+            new = [w for w in words if w not in kept]
+        # a word of letters alone is one part as it is
+        alone, joined = [w for w in new if w.isalpha()], []
+        for w in new:
+            if not w.isalpha():
+                parts = self._parts(w)
+                if parts is None:
+                    kept[w] = None
+                elif len(parts) == 1:
+                    alone.append(w)
+                else:
+                    joined.append((w, *parts))
+        need = {part for _, *both in joined for part in both}
+        self._encode_parts(need.difference(kept).union(alone))
+        kept.update([(w, kept[c] + kept[m]) for w, c, m in joined])
+        if max(map(len, new), default=0) > LONGEST_KEPT:
+            self.long += [w for w in new if len(w) > LONGEST_KEPT]
+
     def _encode_parts(self, need: set[str]) -> None:
         """Words with a space before them are encoded many in one text: an id that begins with a space begins a word."""
         spaced = [p for p in need if not p.startswith(self.BARE)]
@@ -149,30 +172,32 @@ class SpacedEncoder(_Encoder):
             self.kept.update(zip(run, [flat[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split, odd = [], {}
-        for k, t in enumerate(texts):
-            if self.BARE in t or any(a in t for a in self.added):
-                odd[k] = t
-                split.append([])
-                continue
-            words: list[str] = []
-            for n, line in enumerate(t.split("\n")):
-                if n:
-                    words.append(self.BARE + "\n")
-                own = line.split(" ")
-                own[0] = self.BARE + own[0]
-                words += own
-            split.append(words)
-        self._learn(w for s in split for w in s if w != self.BARE + "\n")
-        self.kept.setdefault(self.BARE + "\n", self._raw(["\n"])[0])
-        get, out = self.kept.__getitem__, []
-        for k, s in enumerate(split):
-            try:
-                out.append(self._raw([odd[k]])[0] if k in odd else b"".join(map(get, s)))
-            except TypeError:
-                out.append(self._runs(texts[k]))
+        odd = {k for k, t in enumerate(texts) if self.BARE in t or any(a in t for a in self.added)}
+        # a line feed is a word of its own, and what follows it has no space before it
+        lines = [self.BARE + ("" if k in odd else t.replace("\n", f" {self.LINE} {self.BARE}")) for k, t in enumerate(texts)]
+        split = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words, word = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self._learn(words)
+        found = list(map(self.kept.__getitem__, words))
         self._forget()
-        return out
+        # words whose white space is more than one space or line feed are told by their texts
+        none = np.zeros(len(found), bool)
+        if None in found:
+            none = np.array([x is None for x in found], bool)
+            found = [x or b"" for x in found]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        each = size[word]
+        ends = np.cumsum(each)
+        flat = np.repeat((np.cumsum(size) - size)[word] - (ends - each), each)
+        flat += np.arange(len(flat))
+        flat = pool[flat].tobytes()
+        begins = split.offsets.to_numpy()
+        cuts = (4 * np.r_[0, ends][begins]).tolist()
+        unsure = np.r_[0, np.cumsum(none[word])][begins]
+        odd_space = (unsure[1:] > unsure[:-1]).tolist()
+        return [self._raw([t])[0] if k in odd else self._runs(t) if odd_space[k] else flat[cuts[k] : cuts[k + 1]] for k, t in enumerate(texts)]
 
     def _runs(self, text: str) -> bytes:
         """The same for any white space: the last space before a word goes with it, the rest stands alone."""
