@@ -274,6 +274,24 @@ def test_word_hashes():
     assert sliced.tolist() == hashes.tolist()[:5] and per.tolist() == [3, 2]
 
 
+def test_many_blocks_are_read_by_word(monkeypatch):
+    """Where bounds leave most blocks, a search asks for a range of postings a word, not one a word and block."""
+    g = np.random.default_rng(5)
+    n, width = 6400, 40
+    dense = np.where(g.random((n, width)) < 0.07, g.random((n, width)), 0)
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    rows, cols = np.nonzero(dense)
+    index = nearest_toxic.BlockMaxIndex(rows, cols, dense[rows, cols], np.arange(n), np.zeros(n, int), width)
+    q = np.full(width, width**-0.5)
+    asked = []
+    monkeypatch.setattr(nearest_toxic, "ragged", lambda starts, size, real=nearest_toxic.ragged: (asked.append(len(starts)), real(starts, size))[1])
+    cosines, places = index.search(np.arange(width), q, 9)
+    true = np.round(dense.astype(np.float32) @ q, 12)
+    want = np.lexsort((np.arange(n), -true))[:9]
+    assert index.ids[places].tolist() == want.tolist() and np.allclose(cosines, true[want], atol=1e-9)
+    assert index.scored > index.n_blocks // 2 and sum(asked[1:]) <= 8 * width + 2 * width
+
+
 def test_spaced_words_are_looked_up_once(monkeypatch):
     """A word costs one look a portion, however often its texts have it."""
     enc, texts = tokens.SpacedEncoder(P.path("byte_bpe_50k.json")), ["ka lomi, don't\nka\n" * 50, "", "lomi, ka  x\n\n", "ka <|endoftext|> \0\1 ka", " ka ka\t" * 9]

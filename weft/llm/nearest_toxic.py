@@ -27,6 +27,8 @@ from weft.llm.word_hash import NOT_LETTERS, mix, release, slices, words
 EXAMPLES = 8000
 NEIGHBOURS = 30
 BLOCK = 64
+#: Blocks that a search reads first; of more than one in WHOLE of all that are left it reads all postings of its words.
+FIRST, WHOLE = 8, 8
 #: Words of one example in COMMON are scored by a matrix, for TOGETHER texts at once.
 COMMON, TOGETHER = 12, 64
 #: Bytes of texts that a task looks at together; its arrays are many times as large.
@@ -117,6 +119,8 @@ class BlockMaxIndex:
         self.block = block[first]
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
         self.word_begin = np.searchsorted(word[first], np.arange(len(size) + 1, dtype=np.int32)).astype(np.int32)
+        #: where a word's postings begin
+        self.posting_begin = np.r_[self.begin, np.int32(len(word))][self.word_begin]
 
     def __getstate__(self):
         # tasks are sent the postings alone, in few bytes
@@ -148,26 +152,32 @@ class BlockMaxIndex:
         begin = self.word_begin[word]
         size = self.word_begin[word + 1] - begin
         entry, own = ragged(begin, size), np.repeat(weights, size)
-        block = self.block[entry]
-        bound = part.reshape(-1, BLOCK).max(1) + np.bincount(block, self.most[entry] * own, self.n_blocks)
+        block = self.block.take(entry, mode="clip")
+        bound = part.reshape(-1, BLOCK).max(1) + np.bincount(block, self.most.take(entry, mode="clip") * own, self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        cosines, places, step = np.zeros(0), np.zeros(0, np.int64), 8
+        cosines, places, step = np.zeros(0), np.zeros(0, np.int64), FIRST
         while len(order):
-            now, order = order[:step], order[step:]
+            # picking many blocks' postings costs more than reading those of the other blocks along
+            many = len(order) > max(step, self.n_blocks // WHOLE) and step > FIRST
+            now, order = (order, order[:0]) if many else (order[:step], order[step:])
             wanted = np.zeros(self.n_blocks, bool)
             wanted[now] = True
-            some = np.flatnonzero(wanted[block])
-            meant = entry[some]
-            size = self.size[meant]
-            at = ragged(self.begin[meant], size)
-            sums = part + np.bincount(self.example[at], self.weight[at] * np.repeat(own[some], size), len(part))
-            new = (np.sort(now)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            new = new[sums[new] > 1e-12]
+            if many:
+                begin, given = self.posting_begin[word], weights
+                size = self.posting_begin[word + 1] - begin
+            else:
+                some = np.flatnonzero(wanted.take(block))
+                meant, given = entry.take(some), own.take(some)
+                begin, size = self.begin.take(meant), self.size.take(meant)
+            at, given = ragged(begin, size), np.repeat(given, size)
+            given *= self.weight.take(at, mode="clip")
+            sums = part + np.bincount(self.example.take(at, mode="clip"), given, len(part))
+            # what can't be among the nearest needn't be looked at
+            near = np.flatnonzero(sums >= (max(1e-12, cosines[-1] - 1e-11) if len(cosines) == k else 1e-12))
+            new = near[wanted[near // BLOCK] & (sums[near] > 1e-12)]
             if but is not None:
                 new = new[(self.ids[new] != but) & (sums[new] < 1 - 1e-6)]
-            if len(cosines) == k:
-                new = new[sums[new] >= cosines[-1] - 1e-11]
             cosines, places = np.concatenate([cosines, np.round(sums[new], 12)]), np.concatenate([places, new])
             if len(cosines) > 4 * k:
                 near = np.flatnonzero(cosines >= np.partition(cosines, -k)[-k])
@@ -259,7 +269,10 @@ def counts_of(texts: pa.Array, hashes: np.ndarray) -> list[tuple[np.ndarray, np.
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
     if not len(hashes) or not len(found):
         return [none] * len(texts)
-    at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+    # in ascending order neighbours are looked up side by side
+    order = np.argsort(found)
+    at = np.empty(len(found), np.int64)
+    at[order] = np.minimum(np.searchsorted(hashes, found[order]), len(hashes) - 1)
     hit = np.flatnonzero(hashes[at] == found)
     text = np.repeat(np.arange(len(per_text)), per_text)[hit]
     keys, n = np.unique(text * len(hashes) + at[hit], return_counts=True)
