@@ -13,7 +13,7 @@ import pytest
 
 from weft.llm import block_naming, brown_lm, cross_polytope, html_blocks, jaccard_rtree, nearest_toxic, pareto_mix, repair_store, slack_packing, tokens, warc_store
 from weft.llm.storage import Scratch
-from weft.llm.word_hash import words
+from weft.llm.word_hash import quick_words, words
 
 P = pytest.importorskip("public_tokenizers")
 rng = random.Random(7)
@@ -208,6 +208,38 @@ def test_spanning_links_and_tree_pairs_against_brute_force():
         assert pairs.shape[1] <= len(rows) and (not pairs.shape[1] or apart <= {(max(p), min(p)) for p in pairs.T.tolist()})
 
 
+def test_small_trees_searched_at_once_as_one_by_one(monkeypatch):
+    g = np.random.default_rng(8)
+    tables, want = [], set()
+    for key in range(60):
+        n = int(g.integers(1, 100))
+        base = [g.integers(0, 2**63, int(g.choice([6, 40, 300, 1200])), dtype=np.uint64) for _ in range(4)]
+        sets = [np.unique(np.r_[base[k % 4][: int(len(base[k % 4]) * g.uniform(0.75, 1))], g.integers(0, 2**63, 3, dtype=np.uint64)]) for k in range(n)]
+        labels, names, sizes = g.integers(0, 2 + key % 7, n), g.permutation(1000)[:n] - 500, np.array([len(s) for s in sets])
+        fine = [jaccard_rtree.fine_point(s) for s in sets]
+        tables.append(pa.RecordBatch.from_pydict({"key": np.full(n, key), "deal": np.full(n, -key), "label": labels, "name": names, "n": sizes, "point": [p.tobytes() for p in fine]}))
+        pairs, rows = jaccard_rtree.tree_pairs(labels, sizes, fine)
+        want |= {(key, -key, *sorted((int(names[a]), int(names[b])))) for a, b in pairs.T} or {(key, -key, int(names[k]), None) for k in rows}
+    assert {x[3] is None for x in want} == {True, False}
+    # none of them is walked row by row
+    monkeypatch.setattr(jaccard_rtree, "tree_pairs", None)
+    found = [tuple(x.values()) for batch in jaccard_rtree._searched(iter(tables)) for x in batch.to_pylist()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_quick_words():
+    g = np.random.default_rng(4)
+    bits = [b" ", b"\t", b"\r", b"a", b"A", b"b", b"\x00", b"\x1f", b"\x85", "\xe9".encode(), b"Eightlet", b"eightletnine", b"x" * 300]
+    texts = [None if g.random() < 0.2 else b"".join(bits[k] for k in g.integers(0, len(bits), g.integers(0, 30))) for _ in range(500)]
+    hashes, n = quick_words(pa.array([b"zz q", *texts], pa.binary()).slice(1))
+    cut = [re.findall(rb"[^\x20\x09-\x0d]+", (t or b"").lower()) for t in texts]
+    assert n.tolist() == [len(c) for c in cut]
+    seen = {}
+    assert all(seen.setdefault(w, h) == h for w, h in zip((w for c in cut for w in c), hashes.tolist()))
+    assert len(set(seen.values())) == len(seen) > 500
+    assert len(quick_words(pa.array([None, b""], pa.binary()))[0]) == 0
+
+
 def test_names_of_different_sets_that_met_once():
     sets = [np.array([1, 2, 3], np.uint64), np.array([1, 2, 4], np.uint64)]
     before = jaccard_rtree._names(sets)

@@ -5,6 +5,8 @@ summed minima of two points bound the shingles that two documents share, and the
 and the maxima of a tree's node bound those it shares with all below. What passes the bound meets a finer
 one, of more groups where there are more shingles, and is then verified on the shingles themselves.
 
+Trees of one or two levels, which are nearly all, are searched many at once.
+
 Trees hold what can meet. Under an order of all shingles, two linked documents have one in common among the
 first n - ceil(0.8 n) + 1 of each; so a document goes under the keys of those first shingles, and a tree is
 what one key holds. Shingles that many documents put first come last in the order of a second round, which
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.components import components
 from weft.llm.storage import Scratch
-from weft.llm.word_hash import mix, slices, words
+from weft.llm.word_hash import mix, quick_words, slices
 
 WORDS = 5
 GROUPS = 128
@@ -53,23 +55,22 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Ascending hashes of the distinct shingles of each text; of fewer words than WORDS, of all of them as one."""
-    hashes, per_text = words(texts)
-    mixed = [mix(hashes * _ODD[k] + np.uint64(k)) for k in range(WORDS)]
+    hashes, per_text = quick_words(texts)
     ends = np.cumsum(per_text)
-    full = np.zeros(0, np.uint64)
+    full = hashes[:0]
     if len(hashes) >= WORDS:
-        full = mixed[0][: len(hashes) - WORDS + 1].copy()
+        full = hashes[: len(hashes) - WORDS + 1] * _ODD[0]
         for k in range(1, WORDS):
-            full += mixed[k][k : len(hashes) - WORDS + 1 + k]
+            full += hashes[k : len(hashes) - WORDS + 1 + k] * _ODD[k]
         full = mix(full)
     out = []
     for n, end in zip(per_text.tolist(), ends.tolist()):
         if n >= WORDS:
             own = np.sort(full[end - n : end - WORDS + 1])
-            out.append(own[np.r_[True, own[1:] != own[:-1]]])
+            out.append(own if (new := own[1:] != own[:-1]).all() else own[np.r_[True, new]])
         elif n:
-            few = np.bitwise_xor.reduce([mixed[k][end - n + k : end - n + k + 1] for k in range(n)])
-            out.append(mix(few ^ (_ODD[4:] * np.uint64(n))))
+            few = (hashes[end - n : end] * _ODD[:n]).sum(dtype=np.uint64, keepdims=True)
+            out.append(mix(mix(few) ^ (_ODD[4:] * np.uint64(n))))
         else:
             out.append(full[:0])
     return out
@@ -80,8 +81,14 @@ def _names(sets: list[np.ndarray], again: np.ndarray = _ODD[:0]) -> np.ndarray:
 
     Different sets with one first name are in ``again``: theirs is made of both names.
     """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(sizes)
+    out = np.zeros((len(sets), 2), np.uint64)
     with np.errstate(over="ignore"):
-        out = np.array([(mix(s * _ODD[1]).sum(dtype=np.uint64) + np.uint64(len(s)) * _ODD[0], mix(s ^ _ODD[2]).sum(dtype=np.uint64)) if len(s) else (0, 0) for s in sets], np.uint64).reshape(-1, 2)
+        if len(some):
+            every, begins = np.concatenate(sets), (np.cumsum(sizes) - sizes)[some]
+            out[some, 0] = np.add.reduceat(mix(every * _ODD[1]), begins) + sizes[some].astype(np.uint64) * _ODD[0]
+            out[some, 1] = np.add.reduceat(mix(every ^ _ODD[2]), begins)
         hit = np.isin(out[:, 0], again)
         out[hit, 0] = mix(out[hit, 0] * _ODD[3] + mix(out[hit, 1] ^ _ODD[4]))
     return out
@@ -114,7 +121,7 @@ class Bits:
     """A set of 64-bit numbers by their first bits: false members, never false strangers. Its size is bounded."""
 
     def __init__(self, bits: int, words_: np.ndarray):
-        self.bits, self.words = bits, words_
+        self.bits, self.words, self.none = bits, words_, not words_.any()
 
     def has(self, numbers: np.ndarray) -> np.ndarray:
         at = numbers.view(np.uint64) >> np.uint64(64 - self.bits)
@@ -138,6 +145,8 @@ def prefix(own: np.ndarray, late: Bits) -> np.ndarray:
     """The shingles of an ascending set under which it is to be found; those that late has come last."""
     n = len(own)
     first = n - (NUM * n + DEN - 1) // DEN + 1
+    if late.none:
+        return own[:first]
     behind = late.has(own)
     return np.concatenate([own[~behind][:first], own[behind][: max(0, first - int((~behind).sum()))]])
 
@@ -218,6 +227,75 @@ def tree_pairs(labels: np.ndarray, sizes: np.ndarray, fine: list[np.ndarray]) ->
     return np.stack([pairs // len(fine), pairs % len(fine)]), rows
 
 
+def _folded_all(fine: list[np.ndarray], rows: np.ndarray, groups: int, kind: type) -> np.ndarray:
+    """The points of these rows in so many groups, one below another."""
+    out = np.empty((len(rows), groups), kind)
+    long = np.array([len(fine[k]) for k in rows])
+    for width in np.unique(long):
+        at = np.flatnonzero(long == width)
+        out[at] = np.concatenate([fine[k] for k in rows[at]]).reshape(len(at), -1, groups).sum(1, dtype=kind)
+    return out
+
+
+def _bounds(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed minima of points by their places, a few at a time."""
+    out, step = np.zeros(len(a), np.int64), max(16, (1 << 18) // left.shape[1])
+    for at in range(0, len(a), step):
+        out[at : at + step] = np.minimum(left[a[at : at + step]], right[b[at : at + step]]).sum(1, dtype=left.dtype)
+    return out
+
+
+def _after(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges, the number of the range and the place, for every place in them."""
+    n = end - first
+    return np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first, n)
+
+
+def forest_pairs(tree: np.ndarray, labels: np.ndarray, sizes: np.ndarray, fine: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``tree_pairs`` of many trees of one or two levels at once; rows stand by tree, numbered from 0.
+
+    All rows go down at once: from a row to the leaves behind its own that the bound leaves, to their rows, to the
+    finer bound. The pairs (2, n) of the trees that have no more of them than rows with a partner, and such rows of
+    the others.
+    """
+    order = np.lexsort((labels, sizes, tree))
+    tree, labels, sizes, fine = tree[order], labels[order], sizes[order].astype(np.int64), [fine[k] for k in order]
+    rows, ends = np.arange(len(tree)), np.cumsum(np.bincount(tree))
+    # sums are at most the size of a set
+    kind = np.uint16 if sizes.max() < 1 << 16 else np.uint32
+    counts = _folded_all(fine, rows, GROUPS, kind)
+    within = rows - np.r_[0, ends[:-1]][tree]
+    begins = np.flatnonzero(within % LEAF == 0)
+    leaf, leaf_end = np.cumsum(within % LEAF == 0) - 1, np.r_[begins[1:], len(rows)]
+    largest, small = np.maximum.reduceat(counts, begins), np.minimum.reduceat(sizes, begins)
+    low, high = np.minimum.reduceat(labels, begins), np.maximum.reduceat(labels, begins)
+    row, to = _after(leaf + 1, leaf[ends - 1][tree] + 1)
+    good = (DEN * sizes[row] >= NUM * small[to]) & ((low[to] != labels[row]) | (high[to] != labels[row]))
+    row, to = row[good], to[good]
+    good = may_link(_bounds(counts, row, largest, to), sizes[row], small[to])
+    row, to = row[good], to[good]
+    near, far = _after(np.r_[rows + 1, begins[to]], np.r_[leaf_end[leaf], leaf_end[to]])
+    a, b = np.r_[rows, row][near], far
+    good = (labels[a] != labels[b]) & (DEN * sizes[a] >= NUM * sizes[b])
+    a, b = a[good], b[good]
+    good = may_link(_bounds(counts, a, counts, b), sizes[a], sizes[b])
+    a, b = a[good], b[good]
+    long = np.array([len(p) for p in fine])
+    left, least = np.ones(len(a), bool), np.minimum(long[a], long[b])
+    for groups in np.unique(least[least > GROUPS]):
+        # the larger point is folded to the groups of the smaller one
+        some = np.flatnonzero(least == groups)
+        own, at = np.unique(np.r_[a[some], b[some]], return_inverse=True)
+        points = _folded_all(fine, own, int(groups), kind)
+        left[some] = may_link(_bounds(points, at[: len(some)], points, at[len(some) :]), sizes[a[some]], sizes[b[some]])
+    a, b = a[left], b[left]
+    met = np.zeros(len(tree), bool)
+    met[a] = met[b] = True
+    few = np.bincount(tree[a], minlength=len(ends)) <= np.bincount(tree[met], minlength=len(ends))
+    told = few[tree[a]]
+    return order[np.stack([a[told], b[told]])], order[met & ~few[tree]]
+
+
 def spanning_links(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Rows that link, one pair for every two components that links join; rows of one label are one from the start.
 
@@ -262,8 +340,11 @@ def _documents(docs: DataFrame, again: np.ndarray) -> DataFrame:
 
 def _rows(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs, by key."""
-    order = np.lexsort((names, keys))
+    order = np.argsort(keys)
     keys, names = keys[order], names[order]
+    same = keys[1:] == keys[:-1]
+    many = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    names[many] = names[many[np.lexsort((names[many], keys[many]))]]
     new = np.r_[True, (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])][: len(keys)]
     return keys[new], names[new]
 
@@ -413,23 +494,46 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of each tree, or where they are more than its rows with a partner, these rows (b null)."""
     out: list[np.ndarray] = []
+    small: list[pa.Table] = []
+    held = told = 0
+
+    def tell(rows: pa.Table, pairs: np.ndarray, alone: np.ndarray) -> None:
+        nonlocal told
+        key, deal, name = (rows.column(c).to_numpy() for c in ("key", "deal", "name"))
+        for at, found, pair in ((pairs[0], np.sort(name[pairs], axis=0), 1), (alone, np.stack([name[alone], name[alone]]), 0)):
+            if len(at):
+                told += len(at)
+                out.append(np.stack([key[at], deal[at], *found, np.full(len(at), pair)]))
+
+    def read(rows: pa.Table) -> tuple:
+        return rows.column("label").to_numpy(), rows.column("n").to_numpy(), [np.frombuffer(p, np.uint8) for p in rows.column("point").to_pylist()]
+
+    def search_small() -> None:
+        rows = pa.concat_tables(small).combine_chunks()
+        tree = np.repeat(np.arange(len(small)), [t.num_rows for t in small])
+        tell(rows, *forest_pairs(tree, *read(rows)))
+        small.clear()
 
     def send() -> pa.RecordBatch:
         key, deal, a, b, pair = np.concatenate(out, 1)
+        out.clear()
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(deal), pa.array(a), pa.array(b, mask=pair == 0)], ["key", "deal", "a", "b"])
 
     for t in _trees(batches):
-        label, name, n = (t.column(c).to_numpy() for c in ("label", "name", "n"))
-        pairs, rows = tree_pairs(label, n, [np.frombuffer(p, np.uint8) for p in t.column("point").to_pylist()])
-        if not len(rows):
-            continue
-        few = pairs.shape[1] > 0
-        found = np.sort(name[pairs], axis=0) if few else np.stack([name[rows], name[rows]])
-        head = np.stack([np.full(found.shape[1], t.column(c)[0].as_py(), np.int64) for c in ("key", "deal")])
-        out.append(np.concatenate([head, found, np.full((1, found.shape[1]), int(few))]))
-        if sum(x.shape[1] for x in out) > 50_000:
+        if t.num_rows <= LEAF * LEAF:
+            small.append(t)
+            held += t.nbytes
+            if held > 2_000_000:
+                search_small()
+                held = 0
+        else:
+            pairs, rows = tree_pairs(*read(t))
+            tell(t, pairs, rows if not pairs.shape[1] else rows[:0])
+        if told > 50_000:
             yield send()
-            out = []
+            told = 0
+    if small:
+        search_small()
     if out:
         yield send()
 
