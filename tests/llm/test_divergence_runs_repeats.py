@@ -98,6 +98,16 @@ def test_terms_of_a_long_text_are_cut_at_their_ends(monkeypatch):
     assert source_divergence.terms_of(text) == want
 
 
+def test_terms_are_brought_together_once(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("Ab ab \xe9a c-d", "en", s) for s in "xyz"] + [("rare", "en", "x"), (None, None, None)]
+    counted = source_divergence.count_terms(spark.createDataFrame(rows, "text string, lang string, source string"))
+    spread = counted.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    assert spread._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    assert {(r["lang"], bytes(r["term"]), r["n"]) for r in spread.collect()} == {("en", b"ab", 6), ("en", "\xe9a".encode(), 3), ("en", b"c", 3), ("en", b"d", 3), ("en", b"rare", 1)}
+
+
 # runs
 
 

@@ -29,24 +29,31 @@ from weft.llm.word_hash import release
 MIN_DOCS, SCALE, SHOWN = 3, 1_000_000_000, 200
 #: Terms of bytes whose A-Z are lower-case already; bytes from 0x80 on are parts of characters beyond ASCII.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: A-Z in lower case, and a blank for every byte that no term has.
+FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 #: Counted terms that a task holds before it sends them, and bytes of a text that are cut at once.
-HELD, PIECE = 150_000, 4_000_000
+HELD, PIECE = 600_000, 4_000_000
 #: A table of groups of at most so many rows is sent to all tasks; a larger one is joined by shuffle.
 FEW_GROUPS = 50_000
 
 
-def terms_of(text: bytes) -> Counter:
-    """How often each term is in a text."""
-    if len(text) <= PIECE:
-        return Counter(TERM.findall(text.lower()))
-    found, at = Counter(), 0
+def pieces_of(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text, as they come, piece by piece."""
+    at = 0
     while at < len(text):
         # a piece ends where a term does
         end = at + PIECE
         while end < len(text) and TERM.match(text[end : end + 1].lower()):
             end += 1
-        found.update(TERM.findall(text[at:end].lower()))
+        yield text[at:end].translate(FOLDED).split()
         at = end
+
+
+def terms_of(text: bytes) -> Counter:
+    """How often each term is in a text."""
+    found = Counter()
+    for terms in pieces_of(text):
+        found.update(terms)
     return found
 
 
@@ -59,8 +66,8 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
         def told() -> Iterator[pa.RecordBatch]:
             for (lang, source), found in times.items():
-                names, held = list(found), rows[lang, source]
-                columns = [pa.array([lang] * len(names)), pa.array([source] * len(names)), pa.array(names, pa.binary()), pa.array(found.values(), pa.int64()), pa.array([held[x] for x in names], pa.int64())]
+                names, again = list(found), rows.get((lang, source), {})
+                columns = [pa.array([lang] * len(names)), pa.array([source] * len(names)), pa.array(names, pa.binary()), pa.array(found.values(), pa.int64()), pa.array([again.get(x, 0) + 1 for x in names], pa.int64())]
                 if names:
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
             times.clear()
@@ -69,11 +76,16 @@ def count_terms(docs: DataFrame) -> DataFrame:
         size = 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                found, key = terms_of(text), (lang, source)
-                before = len(times.setdefault(key, Counter()))
-                times[key].update(found)
-                rows.setdefault(key, Counter()).update(found.keys())
-                size += len(times[key]) - before
+                key, own = (lang, source), set()
+                found = times.setdefault(key, Counter())
+                before = len(found)
+                # lists and sets are counted in one call, mappings in a loop; only rows after a term's first are counted
+                for terms in pieces_of(text):
+                    new = set(terms) - own
+                    rows.setdefault(key, Counter()).update(found.keys() & new)
+                    found.update(terms)
+                    own |= new
+                size += len(found) - before
                 if size > HELD:
                     yield from told()
                     size = 0
@@ -83,7 +95,8 @@ def count_terms(docs: DataFrame) -> DataFrame:
     empty = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     texts = docs.select(*empty, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     found = texts.mapInArrow(run, "lang string, source string, term binary, n bigint, docs bigint")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have added up what they hold; all rows of a term meet here, for what follows too
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -103,11 +116,11 @@ def _sent(groups: DataFrame, n: int) -> DataFrame:
 def audit(spark: SparkSession, docs: DataFrame, shown: int = SHOWN) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank: how a source differs from each other one, and its most telling terms."""
     scratch = Scratch(spark, "divergence")
-    counted = scratch.keep(count_terms(docs), "counted")
+    # rare terms, which are most, go before lists are made
+    everywhere = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    common = count_terms(docs).withColumn("everywhere", everywhere).filter(F.col("everywhere") >= MIN_DOCS)
     own = F.collect_list(F.struct("source", "n"))
-    kept = counted.groupBy("lang", "term").agg(F.array_sort(own).alias("counts"), F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= MIN_DOCS)
-    kept = scratch.keep(kept.drop("docs"), "kept")
-    scratch.drop(counted)
+    kept = scratch.keep(common.groupBy("lang", "term").agg(F.array_sort(own).alias("counts"), F.sum("n").alias("total")), "kept")
     by_lang = kept.groupBy("lang").agg(F.sum("total").alias("n_lang"), F.count("*").alias("v"))
     by_source = kept.select("lang", F.inline("counts")).groupBy("lang", "source").agg(F.sum("n").alias("n_source"))
     every = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
@@ -123,9 +136,10 @@ def audit(spark: SparkSession, docs: DataFrame, shown: int = SHOWN) -> DataFrame
 def joint_cells(kept: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     """lang, x, y (x < y: sources), a, b, times: how many kept terms have these counts in the two, zero cells too."""
     alike = kept.groupBy("lang", "counts").agg(F.count("*").alias("terms"))
-    later = lambda x, k: F.transform(F.slice("counts", k + 2, F.size("counts")), lambda y: F.struct(x["source"].alias("x"), y["source"].alias("y"), x["n"].alias("a"), y["n"].alias("b")))
-    both = alike.filter(F.size("counts") > 1).select("lang", "terms", F.inline(F.flatten(F.transform("counts", later))))
-    both = both.groupBy("lang", "x", "y", "a", "b").agg(F.sum("terms").alias("times"))
+    # each source of a term with those behind it, a row at a time
+    first = alike.filter(F.size("counts") > 1).select("lang", "terms", "counts", F.posexplode("counts").alias("k", "at"))
+    later = first.filter(F.col("k") + 1 < F.size("counts")).select("lang", "terms", F.col("at.source").alias("x"), F.col("at.n").alias("a"), F.inline(F.slice("counts", F.col("k") + 2, F.size("counts"))).alias("y", "b"))
+    both = later.groupBy("lang", "x", "y", "a", "b").agg(F.sum("terms").alias("times"))
     # each source's own histogram, with the terms of the language that it lacks
     own = alike.select("lang", "terms", F.inline("counts")).groupBy("lang", "source", F.col("n").alias("a")).agg(F.sum("terms").alias("times"))
     names = groups.select("lang", "source", "v")
