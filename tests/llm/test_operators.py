@@ -324,6 +324,9 @@ def test_many_blocks_are_read_by_word(monkeypatch):
     assert index.scored > index.n_blocks // 2 and sum(asked[1:]) <= 8 * width + 2 * width
 
 
+ENCODERS = [(tokens.WordEncoder, "word_bpe_49k.json"), (tokens.SpacedEncoder, "byte_bpe_50k.json")]
+
+
 def test_spaced_words_are_looked_up_once(monkeypatch):
     """A word costs one look a portion, however often its texts have it."""
     enc, texts = tokens.SpacedEncoder(P.path("byte_bpe_50k.json")), ["ka lomi, don't\nka\n" * 50, "", "lomi, ka  x\n\n", "ka <|endoftext|> \0\1 ka", " ka ka\t" * 9]
@@ -334,6 +337,49 @@ def test_spaced_words_are_looked_up_once(monkeypatch):
     assert looked and len(looked) == len(set(looked)) < 20
 
 
+class Recorded:
+    """A tokenizer that notes the texts given to it."""
+
+    def __init__(self, tokenizer, given):
+        self.tokenizer, self.given = tokenizer, given
+
+    def encode_batch_fast(self, texts, **more):
+        self.given += texts
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+
+@pytest.mark.parametrize(("kind", "name"), ENCODERS)
+def test_marks_behind_a_word_cost_no_encoding_of_it(kind, name):
+    """Whatever stands behind a word, the library gets its letters once."""
+    enc, given = kind(P.path(name)), []
+    texts = ["lomi, lomi### lomi!? lomi### lömi%% lomi", "x lomi... lömi&&&", "a lomi*)"]
+    want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for own in {"tokenizer", "plain"} & set(vars(enc)):
+        setattr(enc, own, Recorded(getattr(enc, own), given))
+    found = [np.frombuffer(x, "<u4").tolist() for t in texts for x in enc.ids([t])]
+    assert found == want
+    # the first word of a text has no space before it, which counts to one of the vocabularies
+    assert " ".join(given).count("lömi") == 1 and " ".join(given).count("lomi") == 1 + enc.SPACED
+
+
+@pytest.mark.parametrize(("kind", "name"), ENCODERS)
+def test_words_make_room_for_others(kind, name, monkeypatch):
+    """Ids stay right when words are dropped, and words too long to keep are dropped with their texts."""
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 60)
+    monkeypatch.setattr(tokens, "FIRST_WORDS", 20)
+    enc, g = kind(P.path(name)), random.Random(3)
+    words = ["".join(g.choices("aeklmoö", k=g.randint(1, 6))) + g.choice(["", "", ",", "##", "7"]) for _ in range(200)] + ["ka" * 40, "Lo" * 50 + "!!", "x1" * 30, "ЖЯ", "日本,"]
+    for _ in range(60):
+        texts = [" ".join(g.choices(words, k=g.randint(0, 9))).replace("##", "##" + g.choice(["", "\n"])) for _ in range(3)]
+        ids, ends = enc.coded(texts, 0)
+        want = [[*x.ids, 0] for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert ids.tolist() == sum(want, []) and np.diff(ends, prepend=0).tolist() == list(map(len, want))
+        assert max(map(len, enc.kept)) <= tokens.LONGEST_KEPT and len(enc.kept) < 200 and list(enc.kept.values()) == list(range(len(enc.kept)))
+
+
 @pytest.mark.parametrize(("kind", "name"), [(tokens.WordEncoder, "word_bpe_49k.json"), (tokens.SpacedEncoder, "byte_bpe_50k.json")])
 def test_token_ids(kind, name):
     from tokenizers import Tokenizer

@@ -31,8 +31,6 @@ SHARD_IDS = 1_000_000
 #: A rule costs two symbols and a length and saves one symbol each time: in 16 bits five times pay for it, in 32 four.
 LEAST_COUNT = {2: 5, 4: 4}
 SLOT_BITS = 20
-#: Characters of texts that are encoded together: the more, the fewer words are looked up again.
-PORTION = 5_000_000
 
 SHARDS = pa.schema([
     ("part", pa.int32()), ("seq", pa.int32()), ("width", pa.int32()), ("first_symbol", pa.int64()), ("n_ids", pa.int64()),
@@ -147,9 +145,7 @@ def decode_document(shard: dict, k: int) -> np.ndarray:
     return _gather(body, shard["first_symbol"], *expansions(rules, list(shard["round_ends"]), shard["first_symbol"]))
 
 
-def _shard(part: int, seq: int, ids: list[bytes], doc_ids: list, vocabulary: int) -> dict:
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    n = np.array([len(x) // 4 for x in ids], np.int64)
+def _shard(part: int, seq: int, flat: np.ndarray, n: np.ndarray, doc_ids: list, vocabulary: int) -> dict:
     first = max(vocabulary, int(flat.max(initial=0)) + 1)
     rules, round_ends, body, body_start = compress(flat, np.cumsum(n), first)
     width = 2 if first + len(rules) <= 0x10000 else 4
@@ -166,24 +162,28 @@ def encode_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(SpacedEncoder, tokenizer_path), np.uint32(end_id).astype("<u4").tobytes()
+        enc = encoder(SpacedEncoder, tokenizer_path)
         vocabulary = enc.tokenizer.get_vocab_size()
-        part, seq, held, names, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, held, names, sizes, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([_shard(part, seq, held, names, vocabulary)], SHARDS)
+            return pa.RecordBatch.from_pylist([_shard(part, seq, np.concatenate(held), np.array(sizes, np.int64), names, vocabulary)], SHARDS)
 
         for batch in batches:
             keys = iter(batch.column("doc_id").to_pylist())
-            for some in portions(batch.column("text").to_pylist(), PORTION):
-                for ids in enc.ids(some):
-                    if held and size + len(ids) // 4 + 1 > shard_ids:
+            for some in portions(batch.column("text").to_pylist()):
+                ids, ends = enc.coded(some, end_id)
+                first = begin = 0
+                for end, key in zip(ends.tolist(), keys):
+                    if names and size + end - begin > shard_ids:
+                        held.append(ids[first:begin])
                         yield out()
-                        seq, held, names, size = seq + 1, [], [], 0
-                    held.append(ids + end)
-                    names.append(next(keys))
-                    size += len(ids) // 4 + 1
-        if held:
+                        seq, held, names, sizes, size, first = seq + 1, [], [], [], 0, begin
+                    names.append(key)
+                    sizes.append(end - begin)
+                    size, begin = size + end - begin, end
+                held.append(ids[first:])
+        if names:
             yield out()
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
