@@ -337,6 +337,16 @@ def test_spaced_words_are_looked_up_once(monkeypatch):
     assert looked and len(looked) == len(set(looked)) < 20
 
 
+def test_words_of_pieces_are_looked_up_once(monkeypatch):
+    """The vocabulary that drops white space: a word costs one look a portion, too."""
+    enc, texts = tokens.WordEncoder(P.path("word_bpe_49k.json")), ["ka lomi, don't\nka\n" * 50, "", "lomi, KA  x\n\n", "ka <|endoftext|> ka", " ka ka\t" * 9]
+    looked = []
+    monkeypatch.setattr(enc, "_learn", lambda words, learn=enc._learn: learn(looked.extend(words) or looked))
+    ids = [np.frombuffer(x, "<u4").tolist() for x in enc.ids(texts)]
+    assert ids == [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert looked and len(looked) == len(set(looked)) < 20
+
+
 class Recorded:
     """A tokenizer that notes the texts given to it."""
 
@@ -458,6 +468,18 @@ def test_packing(spark, docs):
     assert slack_packing.pack(spark, spark.createDataFrame([], NONE), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_pieces_end_at_the_capacity(spark):
+    """Documents whose ids, with the end id, fill pieces just so, or by one more or less."""
+    sizes = [0, 6, 7, 8, 15, 16, 40]
+    docs = spark.createDataFrame([(k, "a " * k) for k in sizes], "doc_id long, text string")
+    found = sorted(slack_packing.pack(spark, docs, P.path("word_bpe_49k.json"), 8).collect(), key=lambda r: (r.doc_id, r.piece))
+    want = []
+    for k in sizes:
+        ids = encoded("word_bpe_49k.json", "a " * k)
+        want += [(k, a // 8, a, len(ids[a : a + 8]), zlib.crc32(ids[a : a + 8].tobytes())) for a in range(0, k + 1, 8)]
+    assert [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found] == want
+
+
 def test_fullest_is_fullest():
     r = random.Random(4)
     for _ in range(60):

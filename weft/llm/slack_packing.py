@@ -71,18 +71,18 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
     """Pieces of every document, with their rank among the pieces of their length in their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(WordEncoder, tokenizer_path), np.uint32(end_id).astype("<u4").tobytes()
-        part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        enc, part, seen = encoder(WordEncoder, tokenizer_path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             keys, rows = iter(batch.column("doc_id").to_pylist()), []
             for some in portions(x.as_py() for x in batch.column("text")):
-                for ids in enc.ids(some):
-                    ids, key = ids + end, next(keys)
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        n = len(own) // 4
-                        rows.append((key, k, at // 4, n, zlib.crc32(own), part, seen[n]))
+                ids, ends = enc.coded(some, end_id)
+                flat, begin = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
+                for end, key in zip(ends.tolist(), keys):
+                    for k, at in enumerate(range(begin, end, capacity)):
+                        n = min(capacity, end - at)
+                        rows.append((key, k, at - begin, n, zlib.crc32(flat[4 * at : 4 * (at + n)]), part, seen[n]))
                         seen[n] += 1
+                    begin = end
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), PIECES)], schema=PIECES)
 
