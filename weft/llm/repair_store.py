@@ -51,8 +51,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int):
     narrow = first_symbol < 0x10000
     most_rules, least = (0x10000 - first_symbol, LEAST_COUNT[2]) if narrow else (1 << 30, LEAST_COUNT[4])
     seq = ids.astype(np.uint32)
-    closes = np.zeros(len(seq), bool)
-    closes[ends[ends > 0] - 1] = True
+    # where the last symbol of each document stands
+    last = np.unique(ends[ends > 0]) - 1
     rules: list[np.ndarray] = []
     round_ends: list[int] = []
     known = 0
@@ -61,8 +61,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int):
         if room <= 0 or len(seq) < 2:
             break
         wide = int(seq.max()) > 0xFFFF
-        codes = (seq[:-1].astype(np.uint64) << 32 | seq[1:]) if wide else (seq[:-1] << 16 | seq[1:])
-        found = np.sort(codes[~closes[:-1]])
+        codes = (seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]) if wide else (seq[:-1] << np.uint32(16) | seq[1:])
+        # what crosses a document's end is no pair; the largest code stands for it
+        none = codes.dtype.type(-1 & (1 << 8 * codes.itemsize) - 1)
+        codes[last[:-1]] = none
+        found = np.sort(codes)
+        found = found[: np.searchsorted(found, none)]
         if not len(found):
             break
         starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
@@ -82,25 +86,25 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int):
         left, right = (chosen >> shift).astype(np.uint32), (chosen & chosen.dtype.type((1 << int(shift)) - 1)).astype(np.uint32)
         at = slots[_slot(codes)]
         may = np.flatnonzero(at >= 0)
-        may = may[(chosen[at[may]] == codes[may]) & ~closes[may]]
-        at = at[may].astype(np.int64)
+        at = at[may]
+        hit = chosen[at] == codes[may]
+        may, at = may[hit], at[hit].astype(np.int64)
         # of hits that overlap one another, every second one from the left
-        runs = np.r_[True, np.diff(may) != 1]
-        begin = np.maximum.accumulate(np.where(runs, np.arange(len(may)), 0))
-        take = (np.arange(len(may)) - begin) & 1 == 0
+        runs = np.flatnonzero(np.r_[True, may[1:] != may[:-1] + 1])
+        take = (np.arange(len(may)) - np.repeat(runs, np.diff(runs, append=len(may)))) & 1 == 0
         may, at = may[take], at[take]
         # of pairs that overlap, one may have lost all its places
         used = np.bincount(at, minlength=len(chosen)) > 0
         left, right, at = left[used], right[used], (np.cumsum(used) - 1)[at]
         seq[may] = first_symbol + known + at
-        closes[may] = closes[may + 1]
         stay = np.ones(len(seq), bool)
         stay[may + 1] = False
-        seq, closes = seq[stay], closes[stay]
+        seq = seq[stay]
+        last -= np.searchsorted(may, last)
         rules.append(np.stack([left, right], 1))
         known += len(left)
         round_ends.append(known)
-    at_end = np.flatnonzero(closes) + 1
+    at_end = last + 1
     empty = np.r_[0, ends[:-1]] == ends
     body_start = np.zeros(len(ends) + 1, np.int64)
     body_start[1:][~empty] = at_end
