@@ -1,6 +1,8 @@
 """The ten operators on small tables with everything odd in them, against brute force."""
 
+import base64
 import collections
+import contextlib
 import hashlib
 import pickle
 import random
@@ -527,6 +529,65 @@ def test_warc(spark, tmp_path):
     assert warc_store.parse_records(warc_store.read_archive(*warc_store.write_archive(Scratch(spark, "t"), warc_store.records(pages.limit(0))))).count() == 0
 
 
+@contextlib.contextmanager
+def _settings(spark, **values):
+    """Settings of the session for a while."""
+    names = {"threshold": "spark.sql.autoBroadcastJoinThreshold", "coalesce": "spark.sql.adaptive.coalescePartitions.enabled"}
+    before = {names[k]: spark.conf.get(names[k]) for k in values}
+    for k, v in values.items():
+        spark.conf.set(names[k], v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_warc_shuffles_payloads_once(spark):
+    r = random.Random(3)
+    texts = [base64.b64encode(r.randbytes(15_000)).decode() for _ in range(150)]
+    pages = spark.createDataFrame([(k, "u", texts[k % 150]) for k in range(160)], "page_id bigint, url string, html string")
+    with _settings(spark, threshold="-1"):
+        before = _shuffled(spark)
+        archive = warc_store.write_archive(Scratch(spark, "t"), warc_store.records(pages), warc_store.contents(pages))
+        got = warc_store.parse_records(warc_store.read_archive(*archive)).collect()
+        moved = _shuffled(spark) - before
+    assert {r.page_id: r.refers_to for r in got} == {k: k + 150 if k < 10 else None for k in range(160)}
+    assert moved < 1.5 * sum(map(len, texts))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("weft_")]
+
+
+def test_warc_deals_a_popular_payload(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(warc_store, "MANY", 50)
+    htmls = [None] * 600 + ["small"] * 51 + ["other"] * 50 + ["z" * 2000] * 60 + [f"page {k}" for k in range(40)]
+    # the last ones are one row many times, so that their headers are equal too
+    rows = [(k, "u", h) for k, h in enumerate(htmls)] + [(5000, "u", "copy")] * 300
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    with _settings(spark, threshold="-1", coalesce="false"):
+        archive = warc_store.write_archive(Scratch(spark, "t"), warc_store.records(pages), warc_store.contents(pages))
+        records = warc_store.read_archive(*archive)
+        parsed = warc_store.parse_records(records)
+        got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in parsed.collect())
+        dealt = [parsed.filter(which).groupBy(F.spark_partition_id()).count().count() for which in ("payload_bytes = 0", "page_id = 5000")]
+        with pytest.raises(Exception, match="no payload of digest"):
+            warc_store.read_archive(archive[0].filter("octet_length(payload) > 0"), archive[1]).collect()
+    last = max(k for k, h in enumerate(htmls) if h and len(h) == 2000)
+    sizes = [(k, len(h or "")) for k, _, h in rows]
+    assert got == collections.Counter((k, n, *(("revisit", last) if n == 2000 and k != last else ("response", None))) for k, n in sizes)
+    assert min(dealt) > 1
+
+
 def test_neighbours(spark):
     g = np.random.default_rng(1)
     good = {k: g.normal(size=24) for k in range(0, 600)}

@@ -57,12 +57,24 @@ class Scratch:
         self._paths: list[str] = []
         _ROOTS.append(self.root)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back, so that what follows has no lineage and sees fixed values."""
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write df and read it back, so that what follows has no lineage and sees fixed values.
+
+        With ``by`` its rows lie in as many buckets of that column as a shuffle has partitions, and a join on
+        the column doesn't shuffle them again. Only tables of the catalogue have buckets: the name is there for
+        a moment, and as its files are in a folder of ours, they stay when it goes.
+        """
         path = f"{self.root}/{len(self._paths) + 1:02d}-{name}"
         self._paths.append(path)
-        df.write.option("compression", "zstd").parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
+        out = df.write.option("compression", "zstd")
+        if by is None:
+            out.parquet(path)
+            back = self.spark.read.schema(df.schema).parquet(path)
+        else:
+            table = f"weft_{name}_{uuid.uuid4().hex}"
+            out.format("parquet").bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+            back = self.spark.table(table)
+            self.spark.sql(f"DROP TABLE {table}")
         back.weft_path = path
         return back
 

@@ -5,8 +5,8 @@ blank line, HTTP header, blank line) are stored apart, with the digest of the pa
 record's bytes come back by a join on the digest. When an archive is read, the stored bytes are hashed
 again, and bytes that don't have their digest fail the read, as does a record without its payload.
 
-The store is two Parquet tables. ``write_warc`` gives the same records as ordinary WARC files, and
-``read_warc`` reads such files from anywhere into rows that ``write_archive`` can take.
+The store is two Parquet tables, payloads in buckets of their digest. ``write_warc`` gives the same records as
+ordinary WARC files, and ``read_warc`` reads such files from anywhere into rows that ``write_archive`` can take.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ LEAST_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 HEAD = 4096
+#: Records with one payload that a task may join; those of a payload with more are dealt over several.
+MANY = 4096
 
 
 def _uuid(name) -> F.Column:
@@ -32,6 +34,16 @@ def _uuid(name) -> F.Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
 
 
+def _hashed(pages: DataFrame) -> DataFrame:
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    return rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("sha1", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
+
+
+def contents(pages: DataFrame) -> DataFrame:
+    """digest and payload of each row: every payload that the rows' records need, whichever of them are revisits."""
+    return _hashed(pages).select("digest", "payload")
+
+
 def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, header, payload, digest (SHA-256), sha1, and of a revisit the page_id it refers to, for each row.
 
@@ -39,8 +51,7 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     the record of the largest page_id is the response, and the others revisit it; smaller payloads are all
     responses. Rows that repeat a page_id with the same payload are all responses if it is the largest.
     """
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("sha1", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
+    rows = _hashed(pages)
     firsts = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies"))
     # only digests that repeat need the join's second side
     firsts = firsts.filter("copies > 1").select("digest", "first_id")
@@ -63,23 +74,38 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return rows.select("page_id", F.concat(*warc).cast("binary").alias("header"), "payload", "digest", revisit.alias("revisit"))
 
 
-def write_archive(scratch: Scratch, recs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two tables of the archive: payloads (digest, payload), headers (header, digest; null in a revisit)."""
+def write_archive(scratch: Scratch, recs: DataFrame, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The two tables of the archive: payloads (digest, payload), headers (header, digest; null in a revisit).
+
+    ``found`` has the payloads where they can be had without what it takes to tell the records, as from
+    ``contents``; these are otherwise read from the responses.
+    """
     headers = scratch.keep(recs.select("header", F.when(~F.col("revisit"), F.col("digest")).alias("digest")), "headers")
-    # the partial aggregate of each task drops copies before the shuffle
-    payloads = recs.filter(~F.col("revisit")).select("digest", "payload").groupBy("digest").agg(F.first("payload").alias("payload"))
-    return scratch.keep(payloads, "payloads"), headers
+    found = recs.filter(~F.col("revisit")).select("digest", "payload") if found is None else found
+    # the partial aggregate of each task drops copies before the only shuffle that payloads make
+    payloads = found.groupBy("digest").agg(F.first("payload").alias("payload"))
+    return scratch.keep(payloads, "payloads", by="digest"), headers
 
 
 def read_archive(payloads: DataFrame, headers: DataFrame) -> DataFrame:
-    """Every record's bytes: column record. Stored bytes that don't have their digest fail the read."""
-    bad = F.raise_error(F.concat(F.lit("payload without its digest: "), F.hex("digest")))
-    sound = payloads.select("digest", F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(bad.cast("binary")).alias("payload"))
-    full = headers.filter("digest IS NOT NULL").join(sound, "digest", "left")
-    lost = F.raise_error(F.concat(F.lit("no payload of digest "), F.hex("digest")))
+    """Every record's bytes: column record. Stored bytes that don't have their digest fail the read.
+
+    Headers go to the buckets of the payloads. Those of a digest that more than ``MANY`` records have are dealt
+    over several parts, each with a copy of its payload, so that no task gets them all.
+    """
+    bad = F.raise_error(F.concat(F.lit("payload without its digest: "), F.hex("digest"))).cast("binary")
+    sound = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(bad).alias("payload")
+    lost = F.raise_error(F.concat(F.lit("no payload of digest "), F.hex("digest"))).cast("binary")
     end = F.lit(CRLF + CRLF).cast("binary")
-    full = full.select(F.concat("header", F.coalesce("payload", lost.cast("binary")), end).alias("record"))
-    return full.unionAll(headers.filter("digest IS NULL").select(F.concat("header", end).alias("record")))
+    full = headers.filter("digest IS NOT NULL")
+    # at most one row for MANY records
+    popular = full.groupBy("digest").agg(F.ceil(F.count("*") / MANY).cast("int").alias("parts")).filter("parts > 1")
+    rare = full.join(F.broadcast(popular), "digest", "left_anti").join(payloads.select("digest", sound), "digest", "left")
+    dealt = full.join(F.broadcast(popular), "digest").withColumn("part", F.pmod(F.monotonically_increasing_id(), "parts").cast("int")).drop("parts")
+    copies = payloads.join(F.broadcast(popular), "digest").select("digest", sound, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = dealt.join(copies, ["digest", "part"], "left")
+    whole = F.concat("header", F.coalesce("payload", lost), end).alias("record")
+    return rare.select(whole).unionAll(dealt.select(whole)).unionAll(headers.filter("digest IS NULL").select(F.concat("header", end).alias("record")))
 
 
 def parse_records(recs: DataFrame) -> DataFrame:
@@ -144,7 +170,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return parse_records(read_archive(*write_archive(Scratch(spark, "warc"), records(pages))))
+    return parse_records(read_archive(*write_archive(Scratch(spark, "warc"), records(pages), contents(pages))))
 
 
 SQL = f"""
