@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from weft.operators import replace
+from weft.operators import fuzzy, replace
 from weft.plans import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -42,3 +42,11 @@ def test_folded_matches_that_share_a_character(same, frame):
         assert replace.replace(frame(text), "SS", ".", "first", ignore_case=True).first().text == first
     # a match needs a character of its own
     assert replace.replace(frame("eﬃeß"), "f", ".", ignore_case=True).first().replacements == 1
+
+
+def test_files_that_match_in_whole_characters_only(spark, same, frame):
+    assert same("fuzzy_files", "ein ßchein", "ein SCHEIN", "x\nSchein\n", "Sche\nin", "schEİn", "ſchein", "ẞchein", "", None, "Scheinßchein") == [(1,), (2,), (4,), (9,)]
+    # the others fold fully
+    assert same("fuzzy_summary", "ein ßchein", "ein SCHEIN", "x\nSchein\n", "kein", "Sche\nin") == [(5, 3, 3)]
+    found = fuzzy.score(spark, frame("ΛΟΓΟΣ ein", "λογος"), ["λογοσ"], fuzzy.Effort.EXACT, simple=True).collect()
+    assert [r.doc for r in found] == [0]

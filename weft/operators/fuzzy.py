@@ -243,21 +243,27 @@ def _folder(folds, ignore_case: bool):
 
 
 SMALL = 64
+#: What lower case would make two characters of, or another one at a word's end.
+ONE_BY_ONE = ("İΣ", "iσ")
 
 
-def score(spark: SparkSession, docs: DataFrame, queries: list[str], effort: Effort = Effort.TYPOS, ignore_case: bool = True, min_score: float = 0.0, unicode: bool = False, folds=None, **options) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, queries: list[str], effort: Effort = Effort.TYPOS, ignore_case: bool = True, min_score: float = 0.0, unicode: bool = False, folds=None, simple: bool = False, **options) -> DataFrame:
     """Matched lines with their BM25: doc, line_no, line, score.
 
     A line's length is its bytes with the terminator, over the mean of its document. A term counts as often
-    as it stands in the line, overlaps included. Only scores above 0 match.
+    as it stands in the line, overlaps included. Only scores above 0 match. With ``simple`` case is ignored character by
+    character (a sharp s is no ss), so that a match never begins or ends inside what one character folds to.
     """
     names = effort.folds if folds is None else fold_names(folds)
-    words = vocabulary([folded_text(q, names, ignore_case) for q in queries], effort, **options)
+    lowered = lambda q: q.translate(str.maketrans(*ONE_BY_ONE)).lower() if simple else q
+    words = vocabulary([folded_text(lowered(q), names, ignore_case and not simple) for q in queries], effort, **options)
     newlines = UNICODE if unicode or ignore_case else LF
     # the sizes of all lines of a document are those of its text
     rows = numbered_lines(docs.withColumn("total", F.octet_length("text")), newlines, carry=("total",))
     rows = rows.withColumn("size", (F.octet_length("as_cut") + F.octet_length("terminator")).cast("double")).withColumn("mean", F.col("total") / F.col("n_lines"))
-    target = _folder(names, ignore_case)("as_cut") if names or ignore_case else F.col("as_cut")
+    target = F.lower(F.translate("as_cut", *ONE_BY_ONE)) if simple else F.col("as_cut")
+    if names or (ignore_case and not simple):
+        target = _folder(names, ignore_case and not simple)(target)
     rows = rows.withColumn("target", target)
     if len(words) <= SMALL:
         needles = spark.createDataFrame([(w, float(x)) for w, x in words.items()], "needle string, weight double")
