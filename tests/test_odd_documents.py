@@ -1,8 +1,11 @@
 """Registered queries against their SQL over documents that the driver's tables don't have."""
 
+import re
+
 import duckdb
 import pytest
 
+from weft.functions import lines
 from weft.operators import fuzzy, replace
 from weft.plans import catalogue
 
@@ -50,3 +53,13 @@ def test_files_that_match_in_whole_characters_only(spark, same, frame):
     assert same("fuzzy_summary", "ein ßchein", "ein SCHEIN", "x\nSchein\n", "kein", "Sche\nin") == [(5, 3, 3)]
     found = fuzzy.score(spark, frame("ΛΟΓΟΣ ein", "λογος"), ["λογοσ"], fuzzy.Effort.EXACT, simple=True).collect()
     assert [r.doc for r in found] == [0]
+
+
+def test_lines_on_their_way_to_python_carry_no_document(spark, frame, capsys):
+    """A row of a line that holds all lines of its document is as large as the document, and is queued as it is."""
+    for scored in (fuzzy.score(spark, frame("a\nschein\n"), ["schein"]), fuzzy.score(spark, frame("a\nschein\n"), ["schein"], fuzzy.Effort.EXACT)):
+        scored.explain("formatted")
+        queued = re.findall(r"\) (?:ArrowEvalPython|Generate) .*\nInput .*\n(?:Arguments: posexplode\(.*?\), (.*))?", capsys.readouterr().out)
+        told = [x for x in queued if x]
+        assert told and not any(re.search(r"\bparts#", x.split(", false, ")[0]) for x in told)
+    assert [tuple(r)[:2] for r in lines.numbered_lines(frame("a\nb\n"), lines.UNICODE).select("line_no", "n_lines").collect()] == [(1, 2), (2, 2)]

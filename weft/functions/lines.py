@@ -147,10 +147,11 @@ def numbered_lines(docs: DataFrame, newlines: str = LF, offsets: bool = False, c
     form = form_of(docs)
     cut = docs.select("doc", *carry, form.opened("text").alias("text"))
     cut = cut.select("doc", *carry, "text", F.split("text", form.terminator[_check(newlines)], -1).alias("parts"))
-    cut = cut.withColumn("n_parts", F.size("parts"))
+    # told before the parts become rows: a row that needs them carries all of its document
+    cut = cut.withColumn("n_parts", F.size("parts")).withColumn("ended", F.element_at("parts", -1) == "")
     plain = newlines == LF and not offsets
     if plain:
-        rows = cut.select("doc", *carry, "n_parts", (F.element_at("parts", -1) == "").alias("ended"), F.posexplode("parts").alias("at", "as_cut"))
+        rows = cut.select("doc", *carry, "n_parts", "ended", F.posexplode("parts").alias("at", "as_cut"))
         rows = rows.withColumn("terminator", F.when(F.col("at") < F.col("n_parts") - 1, F.lit("\n")).otherwise(F.lit("")))
     else:
         cut = cut.withColumn("ends", terminators("text", F.col("parts"), newlines, form))
@@ -159,7 +160,7 @@ def numbered_lines(docs: DataFrame, newlines: str = LF, offsets: bool = False, c
             sizes = F.transform(F.arrays_zip("parts", "ends"), lambda z: (form.size(z["parts"]) + form.size(z["ends"])).cast("long"))
             cut = cut.withColumn("begins", begins(sizes))
             zipped.append(F.col("begins").alias("byte_offset"))
-        rows = cut.select("doc", *carry, "n_parts", (F.element_at("parts", -1) == "").alias("ended"), F.posexplode(F.arrays_zip(*zipped)).alias("at", "z"))
+        rows = cut.select("doc", *carry, "n_parts", "ended", F.posexplode(F.arrays_zip(*zipped)).alias("at", "z"))
         rows = rows.select("doc", *carry, "n_parts", "ended", "at", "z.*")
     rows = rows.filter((F.col("at") < F.col("n_parts") - 1) | (F.col("as_cut") != ""))
     own = [form.closed("as_cut").alias("as_cut"), form.closed(without_cr("as_cut")).alias("body"), form.closed("terminator").alias("terminator"), *(["byte_offset"] if offsets else [])]
