@@ -1,12 +1,14 @@
 """Registered queries against their SQL over documents that the driver's tables don't have."""
 
+import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from weft.functions import lines
-from weft.operators import fuzzy, replace
+from weft.operators import fuzzy, replace, segment
 from weft.plans import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -59,7 +61,37 @@ def test_lines_on_their_way_to_python_carry_no_document(spark, frame, capsys):
     """A row of a line that holds all lines of its document is as large as the document, and is queued as it is."""
     for scored in (fuzzy.score(spark, frame("a\nschein\n"), ["schein"]), fuzzy.score(spark, frame("a\nschein\n"), ["schein"], fuzzy.Effort.EXACT)):
         scored.explain("formatted")
-        queued = re.findall(r"\) (?:ArrowEvalPython|Generate) .*\nInput .*\n(?:Arguments: posexplode\(.*?\), (.*))?", capsys.readouterr().out)
+        queued = re.findall(r"\) (?:ArrowEvalPython|Generate).*\nInput .*\n(?:Arguments: posexplode\(.*?\), (.*))?", capsys.readouterr().out)
         told = [x for x in queued if x]
         assert told and not any(re.search(r"\bparts#", x.split(", false, ")[0]) for x in told)
     assert [tuple(r)[:2] for r in lines.numbered_lines(frame("a\nb\n"), lines.UNICODE).select("line_no", "n_lines").collect()] == [(1, 2), (2, 2)]
+
+
+@pytest.mark.parametrize("by", segment.TILERS)
+def test_segments_leave_a_task_in_batches_of_a_bounded_size(by):
+    texts = ["", None, "é x. Y?\r\nß z", "w " * 120_000, "ü. " * 40_000, *["To be. Or not? " * 50] * 2000]
+    columns = ["doc", "seq", "start", "end", "segment"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc", "text"])
+    wanted = []
+    for k, text in enumerate(texts):
+        at = 0
+        for n, s in enumerate(segment.TILE[by](text or "")):
+            wanted.append((k, n, at, at + len(s.encode()), s))
+            at = wanted[-1][3]
+    batches = list(segment._tiled(by, columns)([batch]))
+    assert len(batches) > 1 and max(b.num_rows for b in batches) < 2 * segment.ROWS
+    assert [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in columns))] == wanted
+
+
+def test_plain_stretches_are_cut_as_the_rules_cut_them():
+    draw = random.Random(7)
+    letters = [*"abZ09_" * 4, *"  \n\r\t.,'\"-()/$%:!?é́‍ ​⁠אカ漢😀🇩", "  ", "b c ", "d  "]
+    for _ in range(20_000):
+        text = "".join(draw.choices(letters, k=draw.randint(0, 25)))
+        assert segment.words(text) == segment._word_pattern().findall(text)
+        assert segment.linebreaks(text) == segment._linebreaks(text)
+
+
+def test_plain_segments(same):
+    for name in ("segment_words_plain", "segment_linebreaks_plain"):
+        same(name, "", None, " ", "a", "  a  bc d ", "a.b, ü c?", "x" * 70_000 + " y")
