@@ -6,12 +6,15 @@ has as many buckets as the number of vectors asks for. A query probes the bucket
 each of TABLES tables, and what they hold is ranked by the exact cosine. The probes grow with the square root
 of the number of vectors, as a fixed number finds less and less of a growing table.
 
+Queries are searched in rounds, each of as many as probe AT_ONCE buckets together.
+
 Equal vectors are one class, searched once: its first members stand for it, as no more can be in a result.
 Candidates are scored where their vectors are: a query's vector goes to each block of vectors once.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -29,6 +32,8 @@ NEIGHBOURS = 5
 EVERY = 50
 SEED = 20
 BLOCK = 5000
+#: Probed buckets of the queries that are searched at once; the others follow in further rounds.
+AT_ONCE = 8_000_000
 
 
 def axes_for(n: int, dims: int) -> list[int]:
@@ -62,6 +67,24 @@ def rotate(x: np.ndarray, table: int, function: int) -> np.ndarray:
     return x
 
 
+@functools.lru_cache(maxsize=256)
+def _turning(table: int, function: int, dims: int) -> np.ndarray:
+    """The pseudo-rotation as a matrix, for vectors short enough."""
+    return rotate(np.eye(dims), table, function)
+
+
+def _turned(x: np.ndarray, table: int, function: int, most: int) -> np.ndarray:
+    """The first ``most`` components of the rows of x when rotated."""
+    return x @ _turning(table, function, x.shape[1])[:, :most] if x.shape[1] <= 256 else rotate(x, table, function)[:, :most]
+
+
+@functools.lru_cache(maxsize=64)
+def _pairs(first: int, second: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two falling lists whose sums can be among the ``probes`` largest: (i + 1) * (j + 1) sums are no smaller than that of i and j."""
+    many = np.minimum(second, probes // np.arange(1, min(first, probes) + 1))
+    return np.repeat(np.arange(len(many)), many), np.concatenate([np.arange(n) for n in many])
+
+
 def _scaled(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of one length as rows, divided by their largest component where squares would leave the range; their norms."""
     x = np.array(vectors, np.float64)
@@ -84,11 +107,12 @@ def buckets(vectors: list, n: int, probes: int) -> np.ndarray:
         codes, sums = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
         for f, most in enumerate(axes_for(n, dims)):
             axes = 2 * most
-            turned = rotate(x, table, f)[:, :most]
+            turned = _turned(x, table, f, most)
             near = np.concatenate([turned, -turned], 1)
             best = np.argsort(-near, 1, kind="stable")[:, : min(probes, axes)] if probes > 1 else near.argmax(1)[:, None]
-            total = (sums[:, :, None] + near[rows, best][:, None, :]).reshape(len(x), -1)
-            every = (codes[:, :, None] * axes + best[:, None, :]).reshape(len(x), -1)
+            i, j = _pairs(codes.shape[1], best.shape[1], probes)
+            total = sums[:, i] + near[rows, best][:, j]
+            every = codes[:, i] * axes + best[:, j]
             keep = np.argsort(-total, 1, kind="stable")[:, :probes]
             codes, sums = every[rows, keep], total[rows, keep]
         out.append(codes + (np.int64(x.shape[1] % 1024 * TABLES + table) << np.int64(48)))
@@ -100,7 +124,7 @@ def _hashed(df: DataFrame, key: str, n: int, probes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, 2048 // probes)
+            step = max(1, 16384 // probes)
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
                 vectors, ids = some.column("embedding").to_pylist(), some.column(key).to_pylist()
@@ -169,14 +193,28 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, neighbou
     n = classes.count()
     blocks = max(1, n // BLOCK)
     entries = _hashed(classes, "class_id", n, 1)
-    probes = _hashed(distinct, "query", n, probes_for(n))
+    # pairs of queries and candidates outnumber all else, so only some queries meet theirs at once
+    rounds = max(1, math.ceil(distinct.count() * TABLES * probes_for(n) / AT_ONCE))
+    if rounds > 1:
+        entries = scratch.keep(entries, "entries")
     block = F.pmod(F.xxhash64("class_id"), F.lit(blocks))
-    met = entries.join(probes, "code").groupBy("query", block.alias("block")).agg(F.collect_set("class_id").alias("candidates"))
-    met = met.join(distinct, "query").select("block", "query", "embedding", "candidates")
     right = classes.select(block.alias("block"), "class_id", "embedding", "members")
-    best = met.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(_best(neighbours + 1), "query bigint, vec_id bigint, score double")
-    top = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= neighbours + 1)
-    top = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
+
+    def found(some: DataFrame) -> DataFrame:
+        # queries are few bytes that many buckets come of
+        probes = _hashed(some.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "query", n, probes_for(n))
+        met = entries.join(probes, "code").groupBy("query", block.alias("block")).agg(F.collect_set("class_id").alias("candidates"))
+        met = met.join(some, "query").select("block", "query", "embedding", "candidates")
+        best = met.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(_best(neighbours + 1), "query bigint, vec_id bigint, score double")
+        top = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= neighbours + 1)
+        return top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
+
+    if rounds > 1:
+        turn = F.pmod(F.xxhash64("query"), F.lit(rounds))
+        parts = [scratch.keep(found(distinct.filter(turn == k)), f"found{k}") for k in range(rounds)]
+        top = functools.reduce(DataFrame.unionAll, parts)
+    else:
+        top = found(distinct)
     own = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, neighbours)
     result = named.select("query_id", "query").join(top, "query").select("query_id", F.posexplode(own).alias("at", "hit"))
     return result.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
